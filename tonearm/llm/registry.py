@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import bpe
+from tonearm.llm import bpe, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_minhash": minhash.op4_minhash,
     "op7_bpe": bpe.op7_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}

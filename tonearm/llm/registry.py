@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import bpe, minhash
+from tonearm.llm import bpe, decontaminate, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_minhash": minhash.op4_minhash,
     "op7_bpe": bpe.op7_bpe,
 }

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import bpe, decontaminate, minhash
+from tonearm.llm import bpe, decontaminate, minhash, quality, secret
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": secret.op1_secrets,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_quality": quality.op3_quality,
     "op4_minhash": minhash.op4_minhash,
     "op7_bpe": bpe.op7_bpe,
 }

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import bpe, decontaminate, minhash, quality, secret
+from tonearm.llm import bpe, chat, decontaminate, licence, minhash, quality, secret
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secret.op1_secrets,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality": quality.op3_quality,
     "op4_minhash": minhash.op4_minhash,
+    "op6_chat": chat.op6_chat,
     "op7_bpe": bpe.op7_bpe,
+    "op9_licences": licence.op9_licences,
 }
 ORACLE_SQL: dict[str, str] = {}

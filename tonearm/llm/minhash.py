@@ -9,7 +9,8 @@ Groups of copies stay small work: equal sets are one class from the start; withi
 compared with the bucket's least class only, and links are confirmed on the full shingle sets and joined to
 components. Buckets that still hold several components are then searched without loss by prefix filtering: two sets
 over the threshold share a token among their first ones in any fixed order, so only classes of different components
-that share such a token, at places where the threshold can still be met, are compared. No cap, no all-pairs bucket.
+that share such a token, at places where the threshold can still be met, and whose parity bitmaps allow it, are
+compared. These filters are exact: they only leave out pairs that cannot meet the threshold. No cap, no all-pairs bucket.
 
 Cases: a null or wordless text has no shingles and is linked with nothing; fewer words than a shingle count as one
 shingle; rows with a null id are linked with nothing and kept; repeated rows share their component, and all of them
@@ -191,24 +192,35 @@ def frequent_tokens(sets: DataFrame) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def parities(tokens: np.ndarray, rows: int) -> np.ndarray:
+    """Eight longs of 64 parities each, repeated for so many rows."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1
+    return np.repeat(np.packbits(odd.astype(np.uint8)).view(np.int64)[:, None], rows, axis=1)
+
+
 def prefixes(sets: DataFrame, percent: int, frequent: bytes) -> DataFrame:
-    """(rep, label, tokens) to (token, rep, label, n, at): the first tokens in the order (frequent, hash), enough to meet any partner."""
+    """(rep, label, tokens) to (token, rep, label, n, at): the first tokens in the order (frequent, hash), enough to meet any partner.
+
+    p0 to p7 are the parities of the tokens' counts in 512 slots: two sets differ in at least as many tokens as parities.
+    """
+
+    names = ["token", "rep", "label", "n", "at", *[f"p{i}" for i in range(8)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(np.uint64)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for rep, label, buffer in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 tokens = np.frombuffer(buffer, np.uint64)
                 n = len(tokens)
                 first = n - (percent * n + 99) // 100 + 1
                 order = np.lexsort((tokens, bits[tokens % np.uint64(ORDER_SLOTS)]))[:first]
-                for column, values in zip(out, (tokens[order].view(np.int64), np.full(len(order), rep), np.full(len(order), label), np.full(len(order), n), np.arange(len(order))), strict=True):
+                for column, values in zip(out, (tokens[order].view(np.int64), np.full(len(order), rep), np.full(len(order), label), np.full(len(order), n), np.arange(len(order)), *parities(tokens, len(order))), strict=True):
                     column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["token", "rep", "label", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=names)
 
-    return sets.select("rep", "label", "tokens").mapInArrow(run, "token long, rep long, label long, n long, at long")
+    return sets.select("rep", "label", "tokens").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -242,7 +254,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     mixed = tables.write(first.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token"), "mixed")
     first = tables.write(first.join(mixed, "token", "left_semi"), "candidates")
     x, y = first.alias("x"), first.alias("y")
-    may = F.expr(f"x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n)")
+    differ = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(8))
+    may = F.expr(f"x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n) and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & may).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = tables.write(confirmed(rest, sets, percent), "more")
     ends = more.join(own.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a", "left").join(own.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b", "left")

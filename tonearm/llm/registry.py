@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import bpe, chat, decontaminate, licence, minhash, quality, secret
+from tonearm.llm import bpe, chat, decontaminate, language, licence, minhash, quality, secret
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secret.op1_secrets,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": minhash.op4_minhash,
     "op6_chat": chat.op6_chat,
     "op7_bpe": bpe.op7_bpe,
+    "op8_language": language.op8_language,
     "op9_licences": licence.op9_licences,
 }
 ORACLE_SQL: dict[str, str] = {}

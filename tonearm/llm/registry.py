@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import bpe, chat, decontaminate, language, licence, minhash, quality, secret
+from tonearm.llm import bpe, chat, decontaminate, language, licence, minhash, pii, quality, secret
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secret.op1_secrets,
@@ -17,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": bpe.op7_bpe,
     "op8_language": language.op8_language,
     "op9_licences": licence.op9_licences,
+    "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}

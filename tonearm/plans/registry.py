@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tonearm.plans import analytics, library, pairing, signals
+from tonearm.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tonearm.plans import library
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (library,):
-    QUERIES |= module.QUERIES
-    ORACLE_SQL |= module.ORACLE_SQL
+for module in (library, analytics, signals, pairing):
+    QUERIES |= module.PLANS.queries
+    ORACLE_SQL |= module.PLANS.oracle_sql

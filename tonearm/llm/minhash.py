@@ -185,7 +185,8 @@ def frequent_tokens(sets: DataFrame) -> bytes:
             slots, counts = np.unique(np.frombuffer(found, np.uint64) % np.uint64(ORDER_SLOTS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["slot", "n"])
 
-    sample = sets.orderBy(F.xxhash64("rep")).limit(ORDER_SAMPLE).select("tokens")
+    chosen = sets.select("rep").orderBy(F.xxhash64("rep")).limit(ORDER_SAMPLE)  # ids only; the sets follow by a join
+    sample = sets.join(F.broadcast(chosen), "rep").select("tokens")
     rows = sample.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n >= 8").select("slot").collect()
     bits = np.zeros(ORDER_SLOTS, bool)
     bits[[r[0] for r in rows]] = True

@@ -345,8 +345,8 @@ def key_estimate(chroma_: DataFrame, key: str) -> DataFrame:
     rows = [(t, m, pc, float(p[(pc - t) % 12])) for m, p in ((False, MAJOR), (True, MINOR)) for t in range(12) for pc in range(12)]
     profiles = spark.createDataFrame(rows, "tonic int, minor boolean, pc int, weight double")  # 288 fixed rows
     r = chroma_.join(F.broadcast(profiles), "pc").groupBy(key, "tonic", "minor").agg(F.corr("energy", "weight").alias("r"))
-    ranked = r.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("n"), "tonic", "minor"))).alias("k"))
-    first, second = F.get("k", 0), F.get("k", 1)
+    ranked = r.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("n"), "tonic", "minor"))).alias("__k"))
+    first, second = F.get("__k", 0), F.get("__k", 1)
     return ranked.select(key, first["tonic"].alias("tonic"), first["minor"].alias("minor"), ((1 - first["n"]) / 2).alias("strength"), (second["n"] - first["n"]).alias("margin"))
 
 

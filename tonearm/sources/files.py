@@ -23,7 +23,8 @@ def fingerprints(files: DataFrame) -> DataFrame:
     """SHA-256 over size, time, the first MiB and the last 64 KiB of each file (binaryFile rows)."""
     head = F.substring(F.col("content"), 1, HEAD)
     tail = F.expr(f"substring(content, greatest(1, length(content) - {TAIL - 1}), {TAIL})")
-    mark = F.concat(F.col("length").cast("binary"), F.unix_millis("modificationTime").cast("binary"), head, tail)
+    wide = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))  # eight bytes, the highest first
+    mark = F.concat(wide(F.col("length")), wide(F.unix_millis("modificationTime")), head, tail)
     return files.select("path", F.sha2(mark, 256).alias("fingerprint"))
 
 

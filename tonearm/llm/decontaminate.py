@@ -134,7 +134,7 @@ class Passages:
             alike = np.flatnonzero((self.m[passage] == m) & (self.k[passage] == k))
             edits = self.align(codes, m, k, np.stack([self.codes[p] for p in passage[alike]]), low[alike])
             for i, e in zip(alike[edits <= k], edits[edits <= k], strict=True):
-                lo, hi = int(low[i]), int(low[i]) + m + 2 * k + 1
+                lo, hi = int(low[i]) - (k + 1), int(low[i]) + m + 3 * (k + 1)  # all that was aligned
                 doc = int(np.searchsorted(starts, max(0, (lo + hi) // 2), "right")) - 1
                 if doc < len(texts):
                     out[doc].append((self.item[passage[i]], int(max(0, lo - starts[doc])), int(min(len(texts[doc]), hi - starts[doc])), int(e)))

@@ -33,14 +33,14 @@ REPEATED_PERCENT, LEAST_WORDS = 20, 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What conditions may ask of a text: shares, so that a rule means the same for short and long ones, and its length.
 FEATURES = {
-    "length": F.col("n_words").cast("double"),
-    "mean_word": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-    "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "repeat_share": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "capital_share": F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "digit_share": F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "mark_share": F.col("n_marks") / F.greatest(F.col("word_chars"), F.lit(1)),
+    "length": "cast(n_words as double)",
+    "mean_word": "word_chars / greatest(n_words, 1)",
+    "symbol_share": "n_symbols / greatest(word_chars, 1)",
+    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
+    "capital_share": "n_capitals / greatest(word_chars, 1)",
+    "digit_share": "n_digits / greatest(word_chars, 1)",
+    "mark_share": "n_marks / greatest(word_chars, 1)",
 }
 
 
@@ -195,13 +195,13 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     texts = docs.select(F.col(id).alias("label_id"), F.col(text).alias("label_text")).join(F.broadcast(chosen), "label_id")
     stats = with_statistics(texts, F.col("label_text")).filter(~base_failed())
     fold = F.pmod(F.xxhash64("row.label_id", F.lit(3)), F.lit(3)).alias("fold")
-    return learn(stats.select(F.col("row.bad").alias("bad"), fold, *[c.alias(n) for n, c in FEATURES.items()]))
+    return learn(stats.select(F.col("row.bad").alias("bad"), fold, *[F.expr(e).alias(n) for n, e in FEATURES.items()]))
 
 
 def judge(docs: DataFrame, rules: RuleList, text: str = "text") -> DataFrame:
     """row (the document as a struct), its statistics, base_failed, rule (number of the rule that rejects, else 0), kept."""
     stats = with_statistics(docs, F.col(text))
-    seen = stats.select("row", *COUNTS, base_failed().alias("base_failed"), *[c.alias(n) for n, c in FEATURES.items()])
+    seen = stats.select("row", *COUNTS, base_failed().alias("base_failed"), *[F.expr(e).alias(n) for n, e in FEATURES.items()])
     seen = seen.withColumn("rule", rules.verdict())
     return seen.select("row", *COUNTS, "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
 

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+#: Ranges that mid_rank() deals all values to.
+RANGES = 256
+
+
 def along(key: str, i: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(i)
 
@@ -27,9 +31,11 @@ def mid_rank(df: DataFrame, x: str, group: list[str] | None = None) -> DataFrame
         below = F.sum("__n").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
         ranked = values.withColumn("__lo", F.coalesce(below, F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
     else:
-        ranges = values.repartitionByRange(x).withColumn("__part", F.spark_partition_id())
+        cuts = values.agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)])).first()[0] or []  # RANGES - 1 numbers
+        edges = F.lit([float(c) for c in cuts]).cast("array<double>")
+        ranges = values.withColumn("__part", F.size(F.filter(edges, lambda c: c < F.col(x).cast("double"))))
         within = F.coalesce(F.sum("__n").over(Window.partitionBy("__part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        sums = ranges.groupBy("__part").agg(F.sum("__n").alias("__sum"))  # one row for each partition
+        sums = ranges.groupBy("__part").agg(F.sum("__n").alias("__sum"))  # RANGES rows at most
         before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__sum").over(Window.partitionBy()))
         ranked = ranges.withColumn("__in", within).join(F.broadcast(before.drop("__sum")), "__part").withColumn("__lo", F.col("__before") + F.col("__in"))
     rank = F.when(F.col("__all") <= 1, 0.5).otherwise((F.col("__lo") + (F.col("__n") - 1) / 2) / (F.col("__all") - 1))

@@ -35,6 +35,7 @@ CHUNK = 5
 #: Rows whose token counts are sampled to learn which tokens are frequent; they only choose the order of the prefix filter.
 ORDER_SAMPLE = 2000
 ORDER_SLOTS = 1 << 20
+PARITIES = 32
 MASK = np.uint64(0xFFFF)
 
 
@@ -194,18 +195,19 @@ def frequent_tokens(sets: DataFrame) -> bytes:
 
 
 def parities(tokens: np.ndarray, rows: int) -> np.ndarray:
-    """Eight longs of 64 parities each, repeated for so many rows."""
-    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1
+    """PARITIES longs of 64 parities each, repeated for so many rows."""
+    slots = 64 * PARITIES
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % slots, minlength=slots) & 1
     return np.repeat(np.packbits(odd.astype(np.uint8)).view(np.int64)[:, None], rows, axis=1)
 
 
 def prefixes(sets: DataFrame, percent: int, frequent: bytes) -> DataFrame:
     """(rep, label, tokens) to (token, rep, label, n, at): the first tokens in the order (frequent, hash), enough to meet any partner.
 
-    p0 to p7 are the parities of the tokens' counts in 512 slots: two sets differ in at least as many tokens as parities.
+    p0 to p31 are the parities of the tokens' counts in 2048 slots: two sets differ in at least as many tokens as parities.
     """
 
-    names = ["token", "rep", "label", "n", "at", *[f"p{i}" for i in range(8)]]
+    names = ["token", "rep", "label", "n", "at", *[f"p{i}" for i in range(PARITIES)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(np.uint64)
@@ -252,10 +254,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     left = located.join(open_, "bucket", "left_semi").select("rep", "label").distinct()
     left = tables.write(left.join(sets, "rep").select("rep", "label", "tokens"), "left")
     first = tables.write(prefixes(left, percent, frequent_tokens(left)), "prefixes")
-    mixed = tables.write(first.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token"), "mixed")
+    # Tokens that stand in the same prefixes lead to the same pairs: the first of them, in the order of all, is enough,
+    # as a pair's first common token is the first of those that stand in the same prefixes as it does.
+    held = first.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"), F.min_by("at", "rep").alias("at")
+    )
+    mixed = tables.write(held.filter("low < high").groupBy("n", "h1", "h2").agg(F.min_by("token", "at").alias("token")).select("token"), "mixed")
     first = tables.write(first.join(mixed, "token", "left_semi"), "candidates")
     x, y = first.alias("x"), first.alias("y")
-    differ = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(8))
+    differ = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITIES))
     may = F.expr(f"x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.n - x.at, y.n - y.at) >= {percent} * (x.n + y.n) and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n)")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & may).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = tables.write(confirmed(rest, sets, percent), "more")

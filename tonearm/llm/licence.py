@@ -71,43 +71,49 @@ def frequencies(docs: DataFrame, text: str = "text") -> dict[str, float]:
 
 
 def scan(docs: DataFrame, idf: dict[str, float], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_words, places (of base phrases: label, start), found (of templates: label, start, score)."""
-    spark = docs.sparkSession
+    """id, n_words, places (of base phrases: label, start), found (of templates: label, start, score); one pass, no shuffle."""
     step = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
-    step = step.select("id", F.xxhash64("whole").alias("digest"), words_of(F.col("whole")).alias("words"), "whole")
+    step = step.select("id", words_of(F.col("whole")).alias("words"), "whole")
     hint = "(?i)(" + "|".join(GAP.join(p.split()) for p in BASE) + ")"
     base = F.concat(*[_labelled(p, label) for p, label in BASE.items()])
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
     # Licence words by falling frequency: the first RARE of those in the text are its rarest.
     ordered = sorted((w for w in WORDS if idf[w] >= LEAST_IDF), key=lambda w: (-idf[w], w))
     rare = F.slice(F.array_intersect(F.lit(ordered).cast("array<string>"), F.col("words")), 1, RARE)
-    step = step.select("id", "digest", "words", F.size("words").cast("long").alias("n_words"), F.when(F.col("whole").rlike(hint), F.sort_array(base)).otherwise(none).alias("places"), rare.alias("rare"))
-    step = step.select("id", "digest", "n_words", "places", F.inline(F.array(F.struct("words", "rare"))))  # a fence, as the filter below would else work them out twice
-
+    step = step.select("id", "words", F.size("words").cast("long").alias("n_words"), F.when(F.col("whole").rlike(hint), F.sort_array(base)).otherwise(none).alias("places"), rare.alias("rare"))
     index = [(w, n, i) for n, (_, t, _) in enumerate(TEMPLATES) for i, w in enumerate(t.split())]
-    postings = spark.range(1).select(F.explode(F.from_json(F.lit(_json(index)), "array<struct<word:string,template:int,at:int>>")).alias("p")).select("p.*")
-    hits = step.filter(F.size("rare") >= LEAST).select("id", "digest", "words", "rare")
-    seen = hits.select("id", "digest", "rare", F.posexplode("words").alias("place", "word")).filter(F.array_contains("rare", F.col("word")))
-    agree = (
-        seen.join(F.broadcast(postings), "word")  # a fixed table of a few hundred rows
-        .groupBy("id", "digest", "template", (F.col("place") - F.col("at")).alias("begin"))
-        .agg(F.count_distinct("word").alias("agree"), F.first("rare").alias("rare"))
-    )
-    own = F.array(*[F.lit(sorted(set(t.split()))) for _, t, _ in TEMPLATES])
-    asked = F.size(F.array_intersect(F.col("rare"), F.get(own, F.col("template"))))
-    agree = agree.withColumn("score", F.col("agree") / asked).filter((F.col("agree") >= LEAST) & (F.col("score") >= SHARE)).drop("rare")
+    postings = F.from_json(F.lit(_json(index)), "array<struct<word:string,template:int,at:int>>")  # a few hundred, whatever the corpus
+    some = F.size("rare") >= LEAST
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda h: F.array_contains("rare", h["word"]))
+    step = step.select("id", "n_words", "places", F.when(some, F.col("words")).alias("words"), F.when(some, F.col("rare")).alias("rare"), F.when(some, hits).alias("hits"))
+    begins = F.flatten(F.transform("hits", lambda h: F.transform(F.filter(postings, lambda p: p["word"] == h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["place"] - p["at"]).alias("begin"), h["word"].alias("word")))))
+    step = step.select("id", "n_words", "places", "words", "rare", F.sort_array(begins).alias("begins"))
+    step = step.select("id", "n_words", "places", "words", "rare", _agreements(F.col("begins")).alias("agree"))
     # The mandatory phrase, at its own place from the beginning.
-    keys = F.array(*[F.lit(k.split()) for _, _, k in TEMPLATES])
-    shift = F.array(*[F.lit(_index(t.split(), k.split())) for _, t, k in TEMPLATES])
-    labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    phrase = F.get(keys, F.col("template"))
-    start = F.col("begin") + F.get(shift, F.col("template"))
-    inside = F.when(start >= 0, F.slice(F.col("words"), start + 1, F.size(phrase))).otherwise(F.array().cast("array<string>"))
-    checked = hits.select(F.col("id").alias("hit_id"), F.col("digest").alias("hit_digest"), "words").join(agree, F.col("hit_id").eqNullSafe(F.col("id")) & (F.col("hit_digest") == F.col("digest")))
-    checked = checked.filter(inside == phrase).select("id", "digest", F.struct(F.get(labels, F.col("template")).alias("label"), start.cast("int").alias("start"), "score").alias("found"))
-    found = checked.groupBy(F.col("id").alias("hit_id"), F.col("digest").alias("hit_digest")).agg(F.sort_array(F.collect_set("found")).alias("found"))
-    out = step.drop("words", "rare").join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left")
-    return out.select(F.col("id").alias(id), "n_words", "places", F.coalesce("found", F.expr("cast(array() as array<struct<label:string,start:int,score:double>>)")).alias("found"))
+    pick = lambda values, c: F.get(F.array(*map(F.lit, values)), c["template"])
+    own, keys = [sorted(set(t.split())) for _, t, _ in TEMPLATES], [k.split() for _, _, k in TEMPLATES]
+    start = lambda c: c["begin"] + pick([_index(t.split(), k.split()) for _, t, k in TEMPLATES], c)
+    score = lambda c: c["agree"] / F.size(F.array_intersect("rare", pick(own, c)))
+    phrase = lambda c: F.when(start(c) >= 0, F.slice("words", start(c) + 1, F.size(pick(keys, c))))
+    good = F.filter("agree", lambda c: (score(c) >= SHARE) & F.coalesce(phrase(c) == pick(keys, c), F.lit(False)))
+    found = F.sort_array(F.transform(good, lambda c: F.struct(pick([label for label, _, _ in TEMPLATES], c).alias("label"), start(c).cast("int").alias("start"), score(c).alias("score"))))
+    empty = F.expr("cast(array() as array<struct<label:string,start:int,score:double>>)")
+    return step.select(F.col("id").alias(id), "n_words", "places", F.coalesce(found, empty).alias("found"))
+
+
+def _agreements(begins: Column) -> Column:
+    """Sorted (template, begin, word) to (template, begin, agree): different words for each beginning, LEAST or more; one run along the array."""
+
+    def flushed(acc: Column) -> Column:
+        return F.when(acc["n"] >= LEAST, F.concat(acc["out"], F.array(F.struct(acc["template"].alias("template"), acc["begin"].alias("begin"), acc["n"].alias("agree"))))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        same = (acc["template"] == x["template"]) & (acc["begin"] == x["begin"])
+        n = F.when(same, acc["n"] + (acc["word"] != x["word"]).cast("int")).otherwise(1)
+        return F.struct(x["template"].alias("template"), x["begin"].alias("begin"), x["word"].alias("word"), n.alias("n"), F.when(same, acc["out"]).otherwise(flushed(acc)).alias("out"))
+
+    zero = F.expr("named_struct('template', -1, 'begin', 0, 'word', '', 'n', 0, 'out', cast(array() as array<struct<template:int,begin:int,agree:int>>))")
+    return F.aggregate(begins, zero, step, flushed)
 
 
 def _json(index: list[tuple[str, int, int]]) -> str:

@@ -15,6 +15,8 @@ an empty table; other columns, whatever their names, stay as they are. A type wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
     "name": rf"\p{{Lu}}(?:(?<=\b(?:{TITLES})\x20\p{{Lu}})|(?<=\b(?:{TITLES})\x20\p{{Lu}}\p{{L}}{{1,20}}\x20\p{{Lu}}))[\p{{L}}'-]++",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All kinds but mail addresses begin with a digit, a sign or a capital: most places fail at once.
+OTHERS = r"(?=[0-9+(\p{Lu}])(?:" + "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "email") + ")"
+ANY = f"(?:{PATTERNS['email']})|{OTHERS}"
 #: Letters that replace one another.
 CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäåéèêëíîïóòôöúùûü", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 ENDINGS = ("a", "а", "ов", "ова", "ев", "ева")
@@ -51,6 +55,11 @@ def canonical(kind: Column, found: Column) -> Column:
     return F.when(kind.isin("email", "name"), F.lower(found)).when(kind == "ip", found).when(kind == "phone", national).otherwise(F.lower(bare))
 
 
+def by_sign(text: Column, f: Callable[[str], Column]) -> Column:
+    """f of the pattern that a text needs: mail addresses are looked for only where there is an @."""
+    return F.when(F.contains(text, F.lit("@")), f(ANY)).otherwise(f(OTHERS))
+
+
 def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
@@ -140,9 +149,9 @@ def replace(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", o
     docs = docs.drop(out)
     whole = F.col("row")[text]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select("row", F.coalesce(whole.rlike(ANY), F.lit(False)).alias("some"))
+    rows = rows.select("row", F.coalesce(by_sign(whole, lambda p: whole.rlike(p)), F.lit(False)).alias("some"))
     held = rows.filter("some").select("row", F.col(f"row.{id}").alias("id"), F.xxhash64(whole).alias("digest"))
-    spans = held.select("id", "digest", F.posexplode(spans_of(whole, ANY)).alias("place", "span"))
+    spans = held.select("id", "digest", F.posexplode(by_sign(whole, lambda p: spans_of(whole, p))).alias("place", "span"))
     kind = kind_of(F.col("span.found"))
     mentions = spans.select("id", "digest", "place", "span", kind.alias("kind")).select("*", canonical(F.col("kind"), F.col("span.found")).alias("value"))
     mentions = tables.write(mentions.dropDuplicates(["id", "digest", "place"]), "mentions")
@@ -151,7 +160,7 @@ def replace(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", o
     parts = said.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", "kind", "new"))).alias("parts"))
     parts = parts.select(F.col("id").alias("part_id"), F.col("digest").alias("part_digest"), "parts")
     joined = held.join(parts, F.col("id").eqNullSafe(F.col("part_id")) & (F.col("digest") == F.col("part_digest")))
-    gaps = F.split(whole, ANY, -1)
+    gaps = by_sign(whole, lambda p: F.split(whole, p, -1))
     text_new = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("parts")), "parts", lambda g, p: F.concat(g, p["new"])), ""), F.element_at(gaps, -1))
     found = F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
     changed = joined.select(*[(text_new if c == text else F.col("row")[c]).alias(c) for c in docs.columns], found.alias(out))

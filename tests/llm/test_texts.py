@@ -124,6 +124,16 @@ def test_licences(spark, docs, odd):
     assert licence.scan(df.limit(0), licence.frequencies(df.limit(0))).count() == 0
 
 
+def test_licences_that_are_common(spark):
+    """A licence in most or all files keeps its label."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    for others in (0, 3):
+        rows = [(i, f"{mit} {i}") for i in range(6)] + [(10 + i, "plain words") for i in range(others)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: [f.label for f in r.found] for r in licence.scan(df, licence.frequencies(df)).collect()}
+        assert got == {i: ["mit"] if i < 10 else [] for i, _ in rows}
+
+
 def test_languages(spark, odd):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

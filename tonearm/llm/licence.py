@@ -2,7 +2,7 @@
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z in lower case. The index lists
 each template's words with their places. Of each text, the RARE licence words of highest inverse document frequency
-(counted over the whole corpus, LEAST_IDF or more) are looked up; places of a word in the text less its places in a template are where
+(counted over the whole corpus; it only orders words) are looked up; places of a word in the text less its places in a template are where
 the template would begin, and a template is a candidate where at least SHARE of its words that were looked up agree on one
 beginning. It is a label if its mandatory phrase stands at its own place from there.
 
@@ -43,8 +43,7 @@ TEMPLATES = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
-#: A word in over exp(-LEAST_IDF) of the documents is not rare.
-RARE, SHARE, LEAST, LEAST_IDF = 12, 0.6, 2, 1.0
+RARE, SHARE, LEAST = 12, 0.6, 2
 
 WORDS = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 
@@ -78,7 +77,7 @@ def scan(docs: DataFrame, idf: dict[str, float], id: str = "doc_id", text: str =
     base = F.concat(*[_labelled(p, label) for p, label in BASE.items()])
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
     # Licence words by falling frequency: the first RARE of those in the text are its rarest.
-    ordered = sorted((w for w in WORDS if idf[w] >= LEAST_IDF), key=lambda w: (-idf[w], w))
+    ordered = sorted(WORDS, key=lambda w: (-idf[w], w))
     rare = F.slice(F.array_intersect(F.lit(ordered).cast("array<string>"), F.col("words")), 1, RARE)
     step = step.select("id", "words", F.size("words").cast("long").alias("n_words"), F.when(F.col("whole").rlike(hint), F.sort_array(base)).otherwise(none).alias("places"), rare.alias("rare"))
     index = [(w, n, i) for n, (_, t, _) in enumerate(TEMPLATES) for i, w in enumerate(t.split())]

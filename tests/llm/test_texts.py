@@ -134,6 +134,19 @@ def test_licences_that_are_common(spark):
         assert got == {i: ["mit"] if i < 10 else [] for i, _ in rows}
 
 
+def test_licences_among_others(spark, docs):
+    """Every template is found in a text that holds all of them, and amid rarer licence words, once or many times."""
+    whole = ". ".join(f"Part {i}: {text}" for i, (_, text, _) in enumerate(licence.TEMPLATES))
+    amid = "fee charge person purpose subject domain binary forms copy conditions permitted provided unencumbered mozilla noncommercial foundation"
+    rows = [(1, whole), (2, f"{amid}. Released under the MIT License"), (3, f"{amid}, licensed under the GNU General Public License version 2"), (4, f"{amid} under the license"), (5, "x released under the MIT license " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for corpus in (df, df.unionByName(docs.select("doc_id", "text"))):
+        got = {r.doc_id: r.found for r in licence.scan(df, licence.frequencies(corpus)).collect()}
+        assert {f.label for f in got[1]} == {label for label, _, _ in licence.TEMPLATES}
+        assert [{f.label for f in got[i]} for i in (2, 3, 4)] == [{"mit"}, {"gpl-2.0"}, set()]
+        assert [f.start for f in got[5]] == list(range(3, 120_000, 6)) and {f.score for f in got[5]} == {1.0}
+
+
 def test_languages(spark, odd):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

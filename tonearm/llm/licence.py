@@ -1,10 +1,11 @@
 """Licence scans: exact base phrases, and a positional index of rare licence words.
 
 Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z in lower case. The index lists
-each template's words with their places. Of each text, the RARE licence words of highest inverse document frequency
-(counted over the whole corpus; it only orders words) are looked up; places of a word in the text less its places in a template are where
-the template would begin, and a template is a candidate where at least SHARE of its words that were looked up agree on one
-beginning. It is a label if its mandatory phrase stands at its own place from there.
+each template's words with their places. Of each text and for each template whose mandatory phrase's words it holds, the
+RARE words of the template with the highest inverse document frequency (counted over the whole corpus; it only orders
+words) are looked up; places of a word in the text less its places in a template are where the template would begin, and
+it is a candidate where its mandatory phrase stands at its own place from there. It is a label if at least SHARE of its
+words that were looked up agree on that beginning.
 
 Cases: a null text counts as empty; texts without words have no label and score 0; repeated rows share their result;
 an empty table gives an empty table; other columns, whatever their names, are left out of `scan`'s result.
@@ -76,49 +77,54 @@ def scan(docs: DataFrame, idf: dict[str, float], id: str = "doc_id", text: str =
     hint = "(?i)(" + "|".join(GAP.join(p.split()) for p in BASE) + ")"
     base = F.concat(*[_labelled(p, label) for p, label in BASE.items()])
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
-    # Licence words by falling frequency: the first RARE of those in the text are its rarest.
+    # Licence words by falling inverse frequency: of each template, the first RARE of those in the text are its rarest.
     ordered = sorted(WORDS, key=lambda w: (-idf[w], w))
-    rare = F.slice(F.array_intersect(F.lit(ordered).cast("array<string>"), F.col("words")), 1, RARE)
-    step = step.select("id", "words", F.size("words").cast("long").alias("n_words"), F.when(F.col("whole").rlike(hint), F.sort_array(base)).otherwise(none).alias("places"), rare.alias("rare"))
-    index = [(w, n, i) for n, (_, t, _) in enumerate(TEMPLATES) for i, w in enumerate(t.split())]
-    postings = F.from_json(F.lit(_json(index)), "array<struct<word:string,template:int,at:int>>")  # a few hundred, whatever the corpus
-    some = F.size("rare") >= LEAST
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda h: F.array_contains("rare", h["word"]))
-    step = step.select("id", "n_words", "places", F.when(some, F.col("words")).alias("words"), F.when(some, F.col("rare")).alias("rare"), F.when(some, hits).alias("hits"))
-    begins = F.flatten(F.transform("hits", lambda h: F.transform(F.filter(postings, lambda p: p["word"] == h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["place"] - p["at"]).alias("begin"), h["word"].alias("word")))))
-    step = step.select("id", "n_words", "places", "words", "rare", F.sort_array(begins).alias("begins"))
-    step = step.select("id", "n_words", "places", "words", "rare", _agreements(F.col("begins")).alias("agree"))
+    held = F.array_intersect(F.lit(ordered), F.col("words"))
+    step = step.select("id", "words", F.size("words").cast("long").alias("n_words"), F.when(F.col("whole").rlike(hint), F.sort_array(base)).otherwise(none).alias("places"), "whole", held.alias("held"))
+    own, keys = [sorted(set(t.split())) for _, t, _ in TEMPLATES], [k.split() for _, _, k in TEMPLATES]
+    # A label needs its mandatory phrase: texts that have none are left to the base phrases.
+    spoken = "(?i)(" + "|".join(sorted({GAP.join(k) for k in keys})) + ")"
+    whole_keys = reduce(Column.__or__, [F.size(F.array_intersect("held", F.lit(sorted(set(k))))) == len(set(k)) for k in keys])
+    some = F.when(whole_keys, F.col("whole").rlike(spoken)).otherwise(F.lit(False))
+    step = step.select("id", "n_words", "places", F.when(some, F.col("words")).alias("words"), F.when(some, F.col("held")).alias("held"))
+    rare = [F.when(F.size(F.array_intersect("held", F.lit(sorted(set(k))))) == len(set(k)), F.slice(F.array_intersect("held", F.lit(o)), 1, RARE)).otherwise(F.array().cast("array<string>")) for o, k in zip(own, keys, strict=True)]
+    step = step.select("id", "n_words", "places", "words", F.when(F.col("words").isNotNull(), F.array(*rare)).alias("rare"))
+    index = {w: [(n, i) for n, (_, t, _) in enumerate(TEMPLATES) for i, x in enumerate(t.split()) if x == w] for w in WORDS}
+    postings = F.from_json(F.lit(_json(index)), "map<string,array<struct<template:int,at:int>>>")  # a few hundred, whatever the corpus
+    # What is looked up, in one map: each word's places in the templates that it was chosen for.
+    chosen = F.map_filter(F.transform_values(postings, lambda w, ps: F.filter(ps, lambda p: F.array_contains(F.get("rare", p["template"]), w))), lambda _, ps: F.size(ps) > 0)
+    step = step.select("id", "n_words", "places", "words", "rare", F.when(F.col("words").isNotNull(), chosen).alias("chosen"))
     # The mandatory phrase, at its own place from the beginning.
     pick = lambda values, c: F.get(F.array(*map(F.lit, values)), c["template"])
-    own, keys = [sorted(set(t.split())) for _, t, _ in TEMPLATES], [k.split() for _, _, k in TEMPLATES]
     start = lambda c: c["begin"] + pick([_index(t.split(), k.split()) for _, t, k in TEMPLATES], c)
-    score = lambda c: c["agree"] / F.size(F.array_intersect("rare", pick(own, c)))
-    phrase = lambda c: F.when(start(c) >= 0, F.slice("words", start(c) + 1, F.size(pick(keys, c))))
-    good = F.filter("agree", lambda c: (score(c) >= SHARE) & F.coalesce(phrase(c) == pick(keys, c), F.lit(False)))
+    phrase = lambda c: F.when((start(c) >= 0) & (F.get("words", start(c)) == pick([k[0] for k in keys], c)), F.slice("words", start(c) + 1, F.size(pick(keys, c))))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda h: F.map_contains_key("chosen", h["word"]))
+    begins = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at("chosen", h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["place"] - p["at"]).alias("begin"), h["word"].alias("word")))))
+    spoken_at = F.filter(begins, lambda c: F.coalesce(phrase(c) == pick(keys, c), F.lit(False)))
+    step = step.select("id", "n_words", "places", "rare", F.sort_array(spoken_at).alias("begins"))
+    step = step.select("id", "n_words", "places", "rare", _agreements("begins").alias("agree"))
+    score = lambda c: c["agree"] / F.size(F.get("rare", c["template"]))
+    good = F.filter("agree", lambda c: score(c) >= SHARE)
     found = F.sort_array(F.transform(good, lambda c: F.struct(pick([label for label, _, _ in TEMPLATES], c).alias("label"), start(c).cast("int").alias("start"), score(c).alias("score"))))
     empty = F.expr("cast(array() as array<struct<label:string,start:int,score:double>>)")
     return step.select(F.col("id").alias(id), "n_words", "places", F.coalesce(found, empty).alias("found"))
 
 
-def _agreements(begins: Column) -> Column:
+def _agreements(name: str) -> Column:
     """Sorted (template, begin, word) to (template, begin, agree): different words for each beginning, LEAST or more; one run along the array."""
-
-    def flushed(acc: Column) -> Column:
-        return F.when(acc["n"] >= LEAST, F.concat(acc["out"], F.array(F.struct(acc["template"].alias("template"), acc["begin"].alias("begin"), acc["n"].alias("agree"))))).otherwise(acc["out"])
-
-    def step(acc: Column, x: Column) -> Column:
-        same = (acc["template"] == x["template"]) & (acc["begin"] == x["begin"])
-        n = F.when(same, acc["n"] + (acc["word"] != x["word"]).cast("int")).otherwise(1)
-        return F.struct(x["template"].alias("template"), x["begin"].alias("begin"), x["word"].alias("word"), n.alias("n"), F.when(same, acc["out"]).otherwise(flushed(acc)).alias("out"))
-
-    zero = F.expr("named_struct('template', -1, 'begin', 0, 'word', '', 'n', 0, 'out', cast(array() as array<struct<template:int,begin:int,agree:int>>))")
-    return F.aggregate(begins, zero, step, flushed)
+    longest = max(len(t.split()) for _, t, _ in TEMPLATES)  # no place of a template is met twice from one beginning
+    same = lambda x, y: (x["template"] == y["template"]) & (x["begin"] == y["begin"])
+    run = lambda x, i: F.filter(F.slice(name, i + 1, longest), lambda y: same(x, y))
+    first = lambda x, i: (i == 0) | ~same(x, F.get(name, i - 1))
+    agree = lambda x, i: F.size(F.array_distinct(F.transform(run(x, i), lambda y: y["word"])))
+    found = F.transform(name, lambda x, i: F.when(first(x, i), F.struct(x["template"].alias("template"), x["begin"].alias("begin"), agree(x, i).alias("agree"))))
+    return F.filter(found, lambda c: c["agree"] >= LEAST)
 
 
-def _json(index: list[tuple[str, int, int]]) -> str:
+def _json(index: dict[str, list[tuple[int, int]]]) -> str:
     import json
 
-    return json.dumps([{"word": w, "template": n, "at": i} for w, n, i in index])
+    return json.dumps({w: [{"template": n, "at": i} for n, i in found] for w, found in index.items()})
 
 
 def _index(words: list[str], phrase: list[str]) -> int:

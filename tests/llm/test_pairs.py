@@ -71,6 +71,22 @@ def test_hot_groups_and_edges(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_of_hot_groups(spark):
+    """Two variants whose buckets are all led by longer texts, which neither is linked with, keep their link where rows are repeated."""
+    rng, rows = random.Random(7), []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        texts = [base + [f"x{rng.randrange(10**6)}" for _ in range(16)] for _ in range(20)]
+        texts += [[*base[:at], "y", *base[at + 1 :]] for at in (20, 60)]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute_components(rows, 3, 85)
+    assert sum(c != i for i, (_, c) in want.items()) == 6
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df.union(df), shingle=3, percent=85).collect()
+    assert len(got) == 2 * len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert all(r.kept == (r.component_id == r.doc_id) for r in got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Tables(spark, "test"), "c").collect()}

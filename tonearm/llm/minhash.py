@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     sig_of = lambda c: classes.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
     pairs = tables.write(near_signatures(star.join(sig_of("b"), "b").join(sig_of("a"), "a"), most), "pairs")
     needed = shared.select("rep").distinct().join(classes.select("rep", "key"), "rep")
-    sets = tables.write(full_sets(texts.withColumnRenamed("id", "rep").join(needed, "rep"), shingle), "sets")
+    # Repeated rows give a set once: below, tokens are told apart by which sets hold them.
+    sets = tables.write(full_sets(texts.withColumnRenamed("id", "rep").join(needed, "rep"), shingle).dropDuplicates(["rep"]), "sets")
     labels = components(tables.write(confirmed(pairs, sets, percent), "links"), tables, "first")
 
     # Buckets with several components: search them without loss.

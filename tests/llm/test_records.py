@@ -126,3 +126,19 @@ def test_surrogate_formats(spark):
     crowd = spark.createDataFrame([(i, f"Mr. {a}{b} met") for i, (a, b) in enumerate((a, b) for a in "BCDFGHJKLM" for b in "aeiou")], "doc_id long, text string")
     names = [r.text.split()[1] for r in pii.replace(crowd, "key").collect()]
     assert len(set(names)) == 50 and pii.replace(df.limit(0), "key").count() == 0
+
+
+def test_later_mentions_and_international_numbers(spark):
+    """Names without their title are the same person's, and numbers of other countries are found in their grouping."""
+    phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+34 912 34 56 78", "+49 30 12345678", "+47 12 34 56 78", "+442079460958"]
+    texts = ["Herr Schmidt kam. Dann ging Schmidt, SCHMIDT und Schmidts Hund; Schmidtke blieb.", "Dr Anna Weber met Bo. Anna's car, Weber-Haus, Anna said", "Mr Weber's dog; Weber left", *phones, "Bo met Anna"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    m = re.fullmatch(r"Herr (\w+) kam\. Dann ging (\w+), (\w+) und (\w+)s Hund; Schmidtke blieb\.", got[0])
+    assert m and m[1] == m[2] == m[3].capitalize() == m[4] != "Schmidt" and m[3].isupper()
+    m = re.fullmatch(r"Dr (\w+) (\w+) met Bo\. (\w+)'s car, (\w+)-Haus, (\w+) said", got[1])
+    assert m and m[1] == m[3] == m[5] != "Anna" and m[2] == m[4] != "Weber"
+    assert got[2] == f"Mr {m[2]}'s dog; {m[2]} left" and got[9] == "Bo met Anna"
+    for i, old in enumerate(phones, 3):
+        assert got[i] != old and got[i][:3] == old[:3] and re.sub(r"\d", "0", got[i]) == re.sub(r"\d", "0", old)
+    assert got[3].replace(" ", "") == got[8]

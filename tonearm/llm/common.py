@@ -54,7 +54,7 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def spans_of(text: Column, pattern: str) -> Column:
+def spans_of(text: Column, pattern: Column | str) -> Column:
     """Leftmost non-overlapping matches of a Java pattern: array of (start, end, match), code points, end exclusive.
 
     split() gives the texts between the matches, regexp_extract_all() the matches; their lengths add up to places.

@@ -27,15 +27,19 @@ TITLES = r"Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?|Herrn?|Frau|Monsieur|Madame|Mme|Señora
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{3,4}|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+(?:1(?:[\x20().-]{0,3}[0-9]){10}(?![0-9])|[0-9](?:[\x20()./-]{0,3}[0-9]){6,14})|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
-    "name": rf"\p{{Lu}}(?:(?<=\b(?:{TITLES})\x20\p{{Lu}})|(?<=\b(?:{TITLES})\x20\p{{Lu}}\p{{L}}{{1,20}}\x20\p{{Lu}}))[\p{{L}}'-]++",
+    "name": rf"\p{{Lu}}(?:(?<=\b(?:{TITLES})\x20\p{{Lu}})|(?<=\b(?:{TITLES})\x20\p{{Lu}}\p{{L}}{{1,20}}\x20\p{{Lu}}))(?:\p{{L}}|['-](?![sS](?!\p{{L}}))(?=\p{{L}}))++",
 }
 #: All kinds but mail addresses begin with a digit, a sign or a capital: most places fail at once.
 OTHERS = r"(?=[0-9+(\p{Lu}])(?:" + "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "email") + ")"
 ANY = f"(?:{PATTERNS['email']})|{OTHERS}"
+#: A name of the same text without a title, in any case behind its capital, also with a genitive's s.
+UNTITLED = (r"|(?<![\p{L}\p{N}])(?=\p{Lu})(?iu:", r")(?=s?(?![\p{L}\p{N}]))")
+#: Country codes, which surrogates keep.
+COUNTRY = r"^\+(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Letters that replace one another.
 CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäåéèêëíîïóòôöúùûü", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 ENDINGS = ("a", "а", "ов", "ова", "ев", "ева")
@@ -51,7 +55,8 @@ def kind_of(found: Column) -> Column:
 
 def canonical(kind: Column, found: Column) -> Column:
     bare = F.regexp_replace(found, r"[^0-9A-Za-z]", "")
-    national = F.when((F.length(bare) == 11) & bare.startswith("1"), F.substring(bare, 2, 10)).otherwise(bare)
+    # North American numbers without their 1; all others with a + and their country code.
+    national = F.when((F.length(bare) == 11) & bare.startswith("1"), F.substring(bare, 2, 10)).when(found.startswith("+"), F.concat(F.lit("+"), bare)).otherwise(bare)
     return F.when(kind.isin("email", "name"), F.lower(found)).when(kind == "ip", found).when(kind == "phone", national).otherwise(F.lower(bare))
 
 
@@ -60,6 +65,15 @@ def by_sign(text: Column, f: Callable[[str], Column]) -> Column:
     return F.when(F.contains(text, F.lit("@")), f(ANY)).otherwise(f(OTHERS))
 
 
+def pattern_of(text: Column) -> Column:
+    """The pattern that a text needs, with the names found in it after a title: their other mentions are theirs too."""
+    titled = F.regexp_extract_all(text, F.lit(f"(?:{PATTERNS['name']})"), F.lit(0))
+    names = F.array_distinct(F.transform(F.filter(titled, lambda n: ~n.rlike(f"^(?:{TITLES})$")), F.lower))
+    longest = F.transform(F.sort_array(F.transform(names, lambda n: F.struct(F.length(n).alias("n"), n.alias("name"))), asc=False), lambda x: x["name"])
+    untitled = F.when(F.size(names) > 0, F.concat(F.lit(UNTITLED[0]), F.array_join(longest, "|"), F.lit(UNTITLED[1]))).otherwise(F.lit(""))
+    return F.concat(by_sign(text, F.lit), untitled)
+
+
 def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
@@ -93,7 +107,7 @@ def surrogate(kind: Column, value: Column, turn: Column, key: str) -> Column:
     card = F.concat(F.substring(value, 1, 1), redrawn(F.substring(value, F.lit(2), F.length(value)), seed))
     body = F.substring(card, F.lit(1), F.length(card) - 1)
     valid = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
-    country = F.when(F.length(value) > 10, F.length(value) - 10).otherwise(F.lit(0))
+    country = F.length(F.regexp_extract(value, COUNTRY, 0))
     phone = F.concat(F.substring(value, F.lit(1), country), redrawn(F.substring(value, country + 1, F.length(value)), seed))
     iban = F.concat(F.substring(value, 1, 2), redrawn(F.substring(value, F.lit(3), F.length(value)), seed))
     ending = F.regexp_extract(value, f"({'|'.join(sorted(ENDINGS, key=len, reverse=True))})$", 0)
@@ -110,8 +124,9 @@ def surrogate(kind: Column, value: Column, turn: Column, key: str) -> Column:
 def formatted(kind: Column, found: Column, new: Column) -> Column:
     """A surrogate in a mention's layout: its separators, and capitals where it has them."""
     bare = F.regexp_replace(found, "[^0-9A-Za-z]", "")
-    ahead = F.when(kind == "phone", F.substring(bare, F.lit(1), F.length(bare) - F.length(new))).otherwise(F.lit(""))
-    letters = chars(F.concat(ahead, new))
+    digits = F.when(kind == "phone", F.ltrim(new, F.lit("+"))).otherwise(new)
+    ahead = F.when(kind == "phone", F.substring(bare, F.lit(1), F.length(bare) - F.length(digits))).otherwise(F.lit(""))
+    letters = chars(F.concat(ahead, digits))
     place = F.aggregate(
         chars(found),
         F.struct(F.lit(0).alias("i"), F.lit("").alias("out")),
@@ -150,8 +165,8 @@ def replace(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", o
     whole = F.col("row")[text]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.coalesce(by_sign(whole, lambda p: whole.rlike(p)), F.lit(False)).alias("some"))
-    held = rows.filter("some").select("row", F.col(f"row.{id}").alias("id"), F.xxhash64(whole).alias("digest"))
-    spans = held.select("id", "digest", F.posexplode(by_sign(whole, lambda p: spans_of(whole, p))).alias("place", "span"))
+    held = rows.filter("some").select("row", F.col(f"row.{id}").alias("id"), F.xxhash64(whole).alias("digest"), pattern_of(whole).alias("pattern"))
+    spans = held.select("id", "digest", F.posexplode(spans_of(whole, F.col("pattern"))).alias("place", "span"))
     kind = kind_of(F.col("span.found"))
     mentions = spans.select("id", "digest", "place", "span", kind.alias("kind")).select("*", canonical(F.col("kind"), F.col("span.found")).alias("value"))
     mentions = tables.write(mentions.dropDuplicates(["id", "digest", "place"]), "mentions")
@@ -160,7 +175,7 @@ def replace(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", o
     parts = said.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", "kind", "new"))).alias("parts"))
     parts = parts.select(F.col("id").alias("part_id"), F.col("digest").alias("part_digest"), "parts")
     joined = held.join(parts, F.col("id").eqNullSafe(F.col("part_id")) & (F.col("digest") == F.col("part_digest")))
-    gaps = by_sign(whole, lambda p: F.split(whole, p, -1))
+    gaps = F.split(whole, F.col("pattern"), -1)
     text_new = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("parts")), "parts", lambda g, p: F.concat(g, p["new"])), ""), F.element_at(gaps, -1))
     found = F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
     changed = joined.select(*[(text_new if c == text else F.col("row")[c]).alias(c) for c in docs.columns], found.alias(out))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Rows a Python task takes from Arrow at once: texts may be long, so few.
 BATCH_ROWS = 256
+#: Elements that running() appends to one array, and characters of a block of text.
+RUN, BLOCK = 256, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, a single machine), one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset, one of our own, on a single machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tonearm-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -40,9 +44,18 @@ class Tables:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Takes the files of written tables away (an empty table takes their place); none may be read after that."""
+        for name in names:
+            self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that no other has, whatever their case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -54,20 +67,53 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative op along an array of whole numbers (0 or more), one for each element.
+
+    Arrays grow within chunks only, so the cost is in proportion to the length.
+    """
+    none = F.expr("cast(array() as array<int>)")
+    along = lambda xs: F.aggregate(xs, none, lambda acc, x: F.concat(acc, F.array(op(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)), x))))
+    chunk = lambda v: lambda i: along(F.slice(v, i * RUN + 1, F.lit(RUN)))
+    shifted = lambda ahead: lambda part, i: F.transform(part, lambda x: op(F.coalesce(F.get(ahead, i - 1), F.lit(0)), x))
+
+    def whole(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), chunk(v))
+        joined = let(parts, lambda p: let(along(F.transform(p, lambda x: F.element_at(x, -1))), lambda ahead: F.flatten(F.transform(p, shifted(ahead)))))
+        return F.when(F.size(v) <= RUN, along(v)).otherwise(joined)
+
+    return let(values, whole)
+
+
 def spans_of(text: Column, pattern: Column | str) -> Column:
     """Leftmost non-overlapping matches of a Java pattern: array of (start, end, match), code points, end exclusive.
 
     split() gives the texts between the matches, regexp_extract_all() the matches; their lengths add up to places.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("end"), x["found"].alias("found")))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)").alias("out"))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+    def placed(m: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda gap, x: F.length(gap) + F.length(x))
+        return F.zip_with(m, running(steps, lambda a, b: a + b), lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("found")))
+
+    return let(found, placed)
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks of BLOCK characters, for `cut`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (exclusive) of a text in blocks: only the blocks that hold them are gone through."""
+    first = F.floor(start / BLOCK).cast("int")
+    held = F.slice(blocks, first + 1, F.greatest(F.floor((end - 1) / BLOCK).cast("int") - first + 1, F.lit(0)))
+    return F.substring(F.array_join(held, ""), start - first * BLOCK + 1, F.greatest(end - start, F.lit(0)))
 
 
 def strings(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

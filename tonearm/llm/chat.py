@@ -3,8 +3,8 @@
 Prefix sums of the turns' token counts cut a conversation into windows of whole turns: with S tokens left by the
 budget after the system turn and the history, the turns that end within the same stretch of S tokens share a window,
 and a turn that crosses from one stretch to the next has a window of its own. So no window holds more than S new
-tokens, but for a turn that is longer itself; turns are never cut. Every later window begins with the system turn, and
-with up to HISTORY_TURNS turns before it, of HISTORY tokens at most. The loss mask covers each assistant text once,
+tokens, but for a turn that is longer itself; turns are never cut. Every later window begins with the conversation's
+first system turn, wherever that stood, and with up to HISTORY_TURNS turns before it, of HISTORY tokens at most. The loss mask covers each assistant text once,
 where it is new; repeated ones are masked.
 
 A turn is written as `<|role|>`, a line end, the text, `</s>`, a line end. Backslashes in roles and texts are doubled
@@ -12,7 +12,8 @@ and control strings get one inside, so texts hold no control string, and `unesca
 
 Cases: null texts and roles count as empty; turns of equal number are ordered by role and text, repeated rows are
 turns of their own; rows with a null conversation id form one conversation, null turn numbers come first; an empty
-table gives an empty table; other columns, whatever their names, are left out.
+table gives an empty table; other columns, whatever their names, are left out. A conversation is one task's sort, as
+its turns follow one another; a turn of any length is a window of its own where it must be.
 """
 
 from __future__ import annotations
@@ -56,15 +57,15 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     turn = F.struct("place", "start", "role", "text")
     placed = clean.select("*", F.row_number().over(order).alias("place"), F.sum("tokens").over(so_far).alias("end"))
     placed = placed.select("*", (F.col("end") - F.col("tokens")).alias("start"))
-    first = F.first(F.when(F.col("role") == "system", F.struct("place", "start", "role", "text", "tokens"))).over(so_far)
+    first = F.first(F.when(F.col("role") == "system", F.struct("place", "start", "role", "text", "tokens")), ignorenulls=True).over(so_far)
     placed = placed.select("*", first.alias("system"), F.collect_list(turn).over(order.rowsBetween(-HISTORY_TURNS, -1)).alias("before"))
     room = F.greatest(F.lit(1), budget - history - F.coalesce(F.col("system.tokens"), F.lit(0)))
     stretch = F.floor((F.col("end") - 1) / room).cast("long")
     alone = stretch != F.floor(F.col("start") / room).cast("long")
     cut = placed.select("*", (2 * stretch + F.when(alone, 0).otherwise(1)).alias("window"))
     opens = F.coalesce(F.lag("window").over(order) != F.col("window"), F.lit(True))
-    recent = F.filter("before", lambda t: (F.col("start") - t["start"] <= history) & (F.col("system").isNull() | (t["place"] > 1)))
-    kept = F.when(F.col("system").isNotNull() & (F.col("place") > 1), F.array(F.struct("system.place", "system.start", "system.role", "system.text"))).otherwise(F.array().cast("array<struct<place:int,start:long,role:string,text:string>>"))
+    recent = F.filter("before", lambda t: (F.col("start") - t["start"] <= history) & (F.col("system").isNull() | (t["place"] != F.col("system.place"))))
+    kept = F.when(F.col("system").isNotNull() & (F.col("place") > F.col("system.place")), F.array(F.struct("system.place", "system.start", "system.role", "system.text"))).otherwise(F.array().cast("array<struct<place:int,start:long,role:string,text:string>>"))
     cut = cut.select("conv_id", "window", "tokens", turn.alias("new"), F.when(opens, F.concat(kept, recent)).alias("head"))
     # A window is no longer than the budget or one turn, so its turns fit a task.
     held = cut.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list("new")).alias("new"), F.first("head", ignorenulls=True).alias("head"), F.sum("tokens").alias("n_tokens"))

@@ -9,7 +9,9 @@ largest share in any language; they are counted in Spark over a bounded, hashed
 
 Cases: a null text, or one without a letter, is `und` with score 0; a text without a known n-gram gets the language
 of most training texts with score 0; ties go to the first language by name; labels that are null teach nothing, and
-without labels all is `und`; repeated rows are judged each; empty tables give empty tables; other columns stay, but for the outputs.
+without labels all is `und`; repeated rows are judged each; empty tables give empty tables; other columns stay, but for columns
+of the outputs' names, which the outputs replace. A very long text costs its length, and all of it is read. Any number
+of languages: each 64 of them take one more mask for a slot.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ SAMPLE = 2000
 RARE, DISTINCT = 2e-5, 0.2
 #: Slots (one byte each for up to 8 languages) and slots per n-gram.
 SLOTS, HASHES = 1 << 20, 3
-MOST_LANGUAGES = 64
+#: Languages of one mask; parts that a language's hashes are ranked in before the least of all are taken.
+MASK, PARTS = 64, 256
 BREAK = np.uint32(32)
 
 
@@ -64,13 +67,25 @@ def slots_of(grams: np.ndarray) -> list[np.ndarray]:
 @dataclass(frozen=True)
 class Filter:
     languages: tuple[str, ...]
-    masks: bytes  # SLOTS masks
-    width: str  # their type
+    masks: tuple[bytes, ...]  # for each MASK languages, SLOTS masks
+    widths: tuple[str, ...]  # their types
     false: tuple[float, ...]  # chance of a false yes for each language
     usual: int  # the language of most training texts
 
+    def hits(self, grams: np.ndarray) -> np.ndarray:
+        """How many n-grams each language holds: popcounts by language, from how often each mask occurs."""
+        slots, out = slots_of(grams), []
+        for block, width in zip(self.masks, self.widths, strict=True):
+            masks = np.frombuffer(block, width)
+            found = masks[slots[0]]
+            for s in slots[1:]:
+                found = found & masks[s]
+            values, counts = np.unique(found, return_counts=True)
+            bits = (values[:, None] >> np.arange(8 * values.itemsize, dtype=width)[None, :]) & values.dtype.type(1)
+            out.append((bits * counts[:, None]).sum(axis=0)[:MASK])
+        return np.concatenate(out)[: len(self.languages)]
+
     def decide(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        masks = np.frombuffer(self.masks, self.width)
         names, scores = [], []
         false = np.array(self.false)
         for text in texts:
@@ -80,13 +95,7 @@ class Filter:
                 scores.append(0.0)
                 continue
             grams = grams_of(codes)
-            found = masks[(slots := slots_of(grams))[0]]
-            for s in slots[1:]:
-                found = found & masks[s]
-            # popcounts by language: how often each mask occurs, then its bits
-            values, counts = np.unique(found, return_counts=True)
-            bits = (values[:, None] >> np.arange(len(self.languages), dtype=self.width)[None, :]) & values.dtype.type(1)
-            hits = (bits * counts[:, None]).sum(axis=0)
+            hits = self.hits(grams)
             true = np.maximum(0.0, (hits - len(grams) * false) / (1 - false))
             best = int(np.argmax(true))
             if true[best] <= 0:
@@ -103,17 +112,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"a mask holds {MOST_LANGUAGES} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = tuple(sorted(counts))
-    width = next(w for w, n in (("u1", 8), ("u2", 16), ("u4", 32), ("u8", 64)) if len(languages) <= n)
+    widths = tuple(next(w for w, n in (("u1", 8), ("u2", 16), ("u4", 32), ("u8", 64)) if len(languages) - at <= n or n == MASK) for at in range(0, len(languages), MASK))
     if not languages:
-        return Filter((), np.zeros(SLOTS, width).tobytes(), width, (), 0)
-    # Only hashes are ranked, and texts fetched for the few chosen; copies of a text count once.
+        return Filter((), (), (), (), 0)
+    # Only hashes are ranked, first in parts of each language, so that no task ranks a whole one; copies of a text count once.
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    ranked = hashed.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = ranked.filter(F.col("place") <= SAMPLE).drop("place")  # at most MOST_LANGUAGES times SAMPLE rows
+    ranked = hashed.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):  # at most PARTS times SAMPLE hashes of a language are left for the second
+        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("place") <= SAMPLE).drop("place")
+    chosen = ranked.select("lang", "h")  # at most SAMPLE rows for each language
     sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,20 +134,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     grams = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    shares = grams.groupBy("gram").pivot("lang", list(languages)).agg(F.sum("n"))
-    totals = grams.groupBy("lang").agg(F.sum("n").alias("total")).collect()  # a row for each language
-    total = {r["lang"]: r["total"] for r in totals}
-    share = [F.coalesce(F.col(f"`{x}`"), F.lit(0)) / float(total.get(x) or 1) for x in languages]
-    top = F.greatest(*share, F.lit(0.0))
-    mask = sum([F.when((s >= RARE) & (s >= DISTINCT * top), F.lit(1 << i)).otherwise(F.lit(0)).cast("decimal(20,0)") for i, s in enumerate(share)], F.lit(0))
-    kept = shares.select("gram", mask.alias("mask")).filter("mask > 0")
-    masks = np.zeros(SLOTS, width)
-    for r in kept.collect():  # at most 1 / RARE n-grams for each language, whatever the corpus
-        for s in slots_of(np.array([r["gram"]], np.int64).view(np.uint64)):
-            masks[s] |= masks.dtype.type(int(r["mask"]))
-    fill = [float(((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).mean()) for i in range(len(languages))]
+    totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
+    shares = grams.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share"))
+    of_gram = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("held"))  # an entry for each language
+    good = F.filter("held", lambda x: (x["share"] >= RARE) & (x["share"] >= DISTINCT * F.col("top")))
+    kept = of_gram.select("gram", F.explode(good).alias("x")).select("gram", "x.lang").toArrow()  # at most 1 / RARE n-grams for each language, whatever the corpus
+    at = np.searchsorted(np.array(languages, object), np.array(kept["lang"].to_pylist(), object)) if len(kept) else np.zeros(0, np.int64)
+    slots = slots_of(kept["gram"].to_numpy().view(np.uint64))
+    blocks, fill = [], []
+    for k, width in enumerate(widths):
+        masks = np.zeros(SLOTS, width)
+        own = at // MASK == k
+        for s in slots:
+            np.bitwise_or.at(masks, s[own], np.left_shift(masks.dtype.type(1), (at[own] % MASK).astype(width)))
+        blocks.append(masks.tobytes())
+        fill += [float(((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).mean()) for i in range(min(MASK, len(languages) - k * MASK))]
     usual = max(range(len(languages)), key=lambda i: (counts[languages[i]], -i))
-    return Filter(languages, masks.tobytes(), width, tuple(f**HASHES for f in fill), usual)
+    return Filter(languages, tuple(blocks), widths, tuple(f**HASHES for f in fill), usual)
 
 
 def identify(docs: DataFrame, model: Filter, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

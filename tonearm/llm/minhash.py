@@ -1,9 +1,10 @@
 """Near-duplicate documents: b-bit MinHash signatures and a multi-index Hamming join, links confirmed on full sets.
 
-A signature has slots of 16 bits. It is split into chunks of five slots; with m chunks, two signatures that differ in
-fewer than 2 m slots have, by pigeonhole, a chunk with at most one differing slot, so enumerating each chunk's five
-one-slot errors (keys of the other four slots) meets every pair under that distance. m is chosen so that a pair at the
-similarity threshold is missed with a chance below one in a million.
+A signature has slots of 16 bits. It is split into chunks of four slots; with m chunks, two signatures that differ in
+fewer than 2 m slots have, by pigeonhole, a chunk with at most one differing slot, so enumerating each chunk's four
+one-slot errors (keys of the other three slots) meets every pair under that distance. The distance threshold is
+2 m - 1 slots, so all pairs under it meet, without exception; m is the least for which two sets at the similarity
+threshold are over it with a chance of at most MISS.
 
 Groups of copies stay small work: equal sets are one class from the start; within a key's bucket every class is
 compared with the bucket's least class only, and links are confirmed on the full shingle sets and joined to
@@ -11,16 +12,20 @@ components. Buckets that still hold several components are then searched without
 over the threshold share a token among their first ones in any fixed order, so only classes of different components
 that share such a token, at places where the threshold can still be met, and whose parity bitmaps allow it, are
 compared. These filters are exact: they only leave out pairs that cannot meet the threshold. No cap, no all-pairs bucket.
+This completion is beside the index, for the pairs within a bucket that its least class is not linked with; `links`
+gives the links of either.
 
 Cases: a null or wordless text has no shingles and is linked with nothing; fewer words than a shingle count as one
 shingle; rows with a null id are linked with nothing and kept; repeated rows share their component, and all of them
-are kept or none; empty tables give empty tables; other columns are not looked at.
+are kept or none; empty tables give empty tables; other columns are not looked at. Ids are whole numbers. Ties between
+copies go to the least id. A very long text costs its length, and its set (eight bytes a shingle) must fit a task.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 from tonearm.llm.common import Tables, small_batches, table
 from tonearm.llm.components import components
 
-CHUNK = 5
+CHUNK = 4
+#: Chance that two sets at the similarity threshold differ in more slots than the index allows.
+MISS = 1e-6
 #: Rows whose token counts are sampled to learn which tokens are frequent; they only choose the order of the prefix filter.
 ORDER_SAMPLE = 2000
 ORDER_SLOTS = 1 << 20
@@ -69,12 +76,15 @@ def shingles(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
 
 
 def plan_of(percent: int) -> tuple[int, int]:
-    """Chunks, and the slots in which a pair at the threshold may differ (six deviations over the mean)."""
-    j = percent / 100
-    found = j**CHUNK + CHUNK * (1 - j) * j ** (CHUNK - 1)
-    chunks = max(4, math.ceil(math.log(1e-6) / math.log(1 - found)))
-    slots = chunks * CHUNK
-    return chunks, math.ceil(slots * (1 - j) + 6 * math.sqrt(slots * j * (1 - j)))
+    """Chunks m, and the slots 2 m - 1 in which signatures may differ: the fewest that a pair at the threshold keeps to but for MISS."""
+    differ, chunks = 1 - percent / 100, 2
+
+    def over(m: int) -> float:
+        return sum(math.comb(m * CHUNK, k) * differ**k * (1 - differ) ** (m * CHUNK - k) for k in range(2 * m, m * CHUNK + 1))
+
+    while over(chunks) > MISS:
+        chunks += 1
+    return chunks, 2 * chunks - 1
 
 
 def signature(tokens: np.ndarray, slots: int) -> bytes:
@@ -104,7 +114,10 @@ def signatures(docs: DataFrame, size: int, slots: int) -> DataFrame:
 
 
 def index_keys(classes: DataFrame, chunks: int) -> DataFrame:
-    """(rep, sig) to (bucket, rep): for every chunk and every slot that may be wrong, the key of the other slots."""
+    """(rep, sig) to (bucket, rep): for every chunk and every slot that may be wrong, the key of the other slots.
+
+    A key is 48 bits of one chunk and slot, so that it says which signatures agree on it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,8 +239,21 @@ def prefixes(sets: DataFrame, percent: int, frequent: bytes) -> DataFrame:
     return sets.select("rep", "label", "tokens").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id (the least id that links reach), kept (id = component_id)."""
+class Links(NamedTuple):
+    """Written tables: signatures (id, n, key, sig), classes of equal sets (key, rep, sig), confirmed links (a, b) that the
+    index met, those that the completion of open buckets added, and components (label, least) by representatives."""
+
+    tables: Tables
+    signatures: DataFrame
+    classes: DataFrame
+    indexed: DataFrame
+    completed: DataFrame
+    own: DataFrame
+    joined: DataFrame
+
+
+def links(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> Links:
+    """The links of near-duplicates between class representatives, and what they join."""
     spark = docs.sparkSession
     small_batches(spark)
     tables = Tables(spark, "minhash")
@@ -246,7 +272,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     needed = shared.select("rep").distinct().join(classes.select("rep", "key"), "rep")
     # Repeated rows give a set once: below, tokens are told apart by which sets hold them.
     sets = tables.write(full_sets(texts.withColumnRenamed("id", "rep").join(needed, "rep"), shingle).dropDuplicates(["rep"]), "sets")
-    labels = components(tables.write(confirmed(pairs, sets, percent), "links"), tables, "first")
+    indexed = tables.write(confirmed(pairs, sets, percent), "links")
+    labels = components(indexed, tables, "first")
 
     # Buckets with several components: search them without loss.
     own = labels.select(F.col("node").alias("rep"), "label")
@@ -270,9 +297,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     ends = more.join(own.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a", "left").join(own.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b", "left")
     joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), tables, "second")
 
-    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return Links(tables, sigs, classes, indexed, more, own, joined.select(F.col("node").alias("label"), F.col("label").alias("least")))
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id (the least id that links reach), kept (id = component_id)."""
+    tables, sigs, classes, _, _, own, joined = links(docs, id, text, shingle, percent)
     reached = classes.select("key", "rep").join(own, "rep", "left").select("key", F.coalesce("label", "rep").alias("label")).join(joined, "label", "left")
     reached = tables.write(reached.select("key", F.coalesce("least", "label").alias("component_id")), "reached")
+    tables.drop("shared", "located", "sets", "left", "prefixes", "candidates")  # the large ones; none is read from here on
     linked = sigs.select("id", "n", "key").join(reached, "key", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return linked.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

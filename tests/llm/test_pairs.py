@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -87,6 +88,35 @@ def test_repeated_rows_of_hot_groups(spark):
     assert all(r.kept == (r.component_id == r.doc_id) for r in got)
 
 
+def test_index_meets_all_under_its_distance():
+    """By pigeonhole: signatures that differ in no more slots than allowed agree on a key, wherever they differ."""
+    for percent in (80, 85, 90):
+        chunks, most = minhash.plan_of(percent)
+        assert most == 2 * chunks - 1
+        rng = np.random.default_rng(percent)
+        for differ in range(most + 1):
+            one = rng.integers(0, 2**16, chunks * minhash.CHUNK, dtype=np.uint16)
+            other = one.copy()
+            at = rng.permutation(len(one))[:differ]
+            other[at] ^= 1
+            keys = []
+            for sig in (one, other):
+                parts = sig.reshape(chunks, minhash.CHUNK)
+                keys.append({(c, w, tuple(np.delete(parts[c], w))) for c in range(chunks) for w in range(minhash.CHUNK)})
+            assert keys[0] & keys[1]
+
+
+def test_links_by_index_and_completion(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    df = spark.createDataFrame([*rows, (-1, "very long text " * 100_000)], "doc_id long, text string")
+    found = minhash.links(df, shingle=3, percent=85)
+    assert found.indexed.count() > 0
+    sets = {r.rep for r in found.classes.collect()}
+    assert {x for r in found.indexed.union(found.completed).collect() for x in (r.a, r.b)} <= sets
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, shingle=3, percent=85).collect()}
+    assert got == {-1: -1, **{i: c for i, (_, c) in brute_components(rows, 3, 85).items()}}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Tables(spark, "test"), "c").collect()}

@@ -60,6 +60,42 @@ def test_windows(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def brute_windows(turns, budget, history):
+    """(role, text, tokens) of one conversation to its windows: (repeated turns, new turns), by places."""
+    out, system, end = {}, None, 0
+    starts, last = [], None
+    for i, (role, _, tokens) in enumerate(turns):
+        start, end = end, end + tokens
+        starts.append(start)
+        if system is None and role == "system":
+            system = i
+        room = max(1, budget - history - (turns[system][2] if system is not None else 0))
+        stretch = (end - 1) // room
+        key = 2 * stretch + (0 if stretch != start // room else 1)
+        if key != last:
+            head = [system] if system is not None and i > system else []
+            head += [j for j in range(max(0, i - chat.HISTORY_TURNS), i) if start - starts[j] <= history and j != system]
+            out[key] = (head, [])
+        out[key][1].append(i)
+        last = key
+    return list(out.values())
+
+
+def test_windows_against_brute_force(spark):
+    """Also with system turns that are not first, or several of them."""
+    rng, rows = random.Random(4), []
+    for conv in range(40):
+        rows += [(conv, i, rng.choice(["user", "assistant", "user", "assistant", "system"]) if i else "user", f"t{conv}x{i} " + "w " * rng.randrange(60)) for i in range(rng.randrange(1, 40))]
+    got = defaultdict(list)
+    for r in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 200, 80).orderBy("conv_id", "window").collect():
+        parts = [p.split(">\n", 1)[1] for p in r.text.split("</s>\n")[:-1]]
+        got[r.conv_id].append((parts[: r.n_repeated], parts[r.n_repeated :], [r.text[s.start : s.end] for s in r.loss]))
+    for conv in range(40):
+        turns = [(role, text, len(re.findall(r"[^\W\d_]+|\d{1,3}", text)) + chat.OVERHEAD) for c, _, role, text in rows if c == conv]
+        want = [([turns[i][1] for i in head], [turns[i][1] for i in new], [turns[i][1] for i in new if turns[i][0] == "assistant"]) for head, new in brute_windows(turns, 200, 80)]
+        assert got[conv] == want
+
+
 def test_warc_twin_and_links(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -62,10 +63,29 @@ def test_secret_edges(spark, docs, odd):
     words = [w for r in docs.limit(50).collect() for w in re.findall("[a-z]{5,}", r.text or "")]
     plain = ["Bundesausbildungsfoerderungsgesetz", *["_".join(words[i : i + 4]) for i in range(0, 400, 4)], *["".join(words[i : i + 4]) for i in range(0, 400, 4)]]
     assert secret.find(spark.createDataFrame([(w,) for w in plain], "text string"), model).filter("size(spans) > 0").count() <= 0.02 * len(plain)
+    labelled = {
+        False: ["getUserAccountBalanceFromDatabase", "src/main/java/org/example/Handler", "https://www.example.com/path/to/page", "LoremIpsumDolorSitAmetConsectetur", "config_option_value_default_name"],
+        True: ["a3JzZGxma2pzZGxrZmpzbGRrZmo0", "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "xK9mQ2vR7tLp4WzN"],
+    }
+    for random_, names in labelled.items():
+        assert secret.find(spark.createDataFrame([(n,) for n in names], "text string"), model).filter("size(spans) > 0").count() == (len(names) if random_ else 0)
     empty = secret.train(docs.limit(0))
     assert secret.find(docs.limit(0), empty).count() == 0 and set(empty.ratios) == {0.0}
 
 
+def test_secrets_of_very_long_texts(spark):
+    """A run of a million characters and a text of 100,000 spans take seconds: time grows with the length."""
+    model = secret.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(1)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1_000_000))
+    many = " ".join(f"token={i:08d} x é" for i in range(100_000))
+    df = spark.createDataFrame([(1, run), (2, many), (3, "🎉" * 9000 + many[:5000])], "doc_id long, text string")
+    began = time.monotonic()
+    out = {r.doc_id: r.text for r in secret.redact(df, model).collect()}
+    assert time.monotonic() - began < 60
+    assert out == {1: "[SECRET]", 2: " ".join(["[SECRET] x é"] * 100_000), 3: "🎉" * 9000 + re.sub("token=[0-9]{6,}", "[SECRET]", many[:5000])}
+
+
 def statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
@@ -163,6 +183,44 @@ def test_languages(spark, odd):
     assert [r.lang_pred for r in language.identify(odd, none).collect()] == ["und"] * odd.count()
 
 
+def test_many_languages_ties_and_clashes(spark):
+    """More languages than one mask holds, each of its own letters; ties go to the first by name; output names replace columns."""
+    letters = [chr(0x4E00 + i) for i in range(150)]
+    model = language.train(spark.createDataFrame([(f"{c}{c} {c}", f"l{i:03d}") for i, c in enumerate(letters)], "text string, lang string"))
+    assert len(model.languages) == 150 and model.widths == ("u8", "u8", "u4")
+    df = spark.createDataFrame([(c, "x", 1) for c in letters] + [(letters[90] + letters[20], "x", 1), (letters[0] * 200_000, "x", 1)], "text string, lang_pred string, score int")
+    got = language.identify(df, model)
+    assert got.columns == ["text", "lang_pred", "score"]
+    assert [r.lang_pred for r in got.collect()] == [f"l{i:03d}" for i in range(150)] + ["l020", "l000"]
+
+
+def brute_languages(labelled, texts):
+    """The same n-grams and shares in sets instead of a filter: what the filter should say but for its false yeses."""
+    grams = {}
+    for lang, text in labelled:
+        grams.setdefault(lang, Counter()).update(language.grams_of(language.codes_of(text)).tolist())
+    totals = {lang: sum(c.values()) for lang, c in grams.items()}
+    shares = {lang: {g: n / totals[lang] for g, n in c.items()} for lang, c in grams.items()}
+    top = Counter()
+    for c in shares.values():
+        for g, x in c.items():
+            top[g] = max(top[g], x)
+    held = {lang: {g for g, x in c.items() if x >= language.RARE and x >= language.DISTINCT * top[g]} for lang, c in shares.items()}
+    out = []
+    for text in texts:
+        found = language.grams_of(language.codes_of(text)).tolist()
+        out.append(max(sorted(held), key=lambda lang: sum(g in held[lang] for g in found)))
+    return out
+
+
+def test_languages_against_sets(spark, docs):
+    labelled = [(r.lang, r.text) for r in docs.filter("lang is not null and doc_id % 2 = 0").select("lang", "text").distinct().collect()]
+    texts = [r.text for r in docs.filter("doc_id % 2 = 1 and text rlike '\\\\p{L}'").collect()]
+    model = language.train(docs.filter("doc_id % 2 = 0"))
+    got = [r.lang_pred for r in language.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()]
+    assert sum(a == b for a, b in zip(got, brute_languages(labelled, texts), strict=True)) >= 0.99 * len(texts)
+
+
 def test_byte_pairs(spark, docs, odd):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,11 +1,13 @@
 """Chat windows, WARC derivatives and surrogates: round trips and edge cases."""
 
+import gzip
 import hashlib
 import random
 import re
 from collections import defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tonearm.llm import chat, pii, warc
 
@@ -113,16 +115,88 @@ def test_warc_twin_and_links(spark):
         assert r.block_digest == f"sha256:{sha(r.block)}"
 
 
-def test_warc_text_and_files(spark, tmp_path):
-    html = "<html lang='x'><title> A &amp;\n b</title><p>a &amp;lt; b<br/>c <b>d</b> <script>x<y</script>e\n f<!-- <p> --> g</p><p> </p>h"
-    pages = spark.createDataFrame([(1, None, None, "q"), (2, "u", "", "q"), (3, "u", html, "q"), (3, "u", html, "q"), (4, "v", "<p>" + "x " * 50_000, "q")], "page_id long, url string, html string, block string")
+PAGE = """<html lang='x'><title> A &amp;
+ b&#8217;</title><p>a &amp;lt; b<br/>c <b>d</b> <script>x<y</script>e
+ f<!-- <p> --> g</p><p> </p>h &#x27;&eacute;&nope; &#150; &#0; &nbsp; z & y &#xD800; &NotEqualTilde; <pre>q</pre>x<header >y</header><p-x>w"""
+
+
+def test_warc_text_twin_on_odd_pages(spark):
+    text = "A & b’\na &lt; b\nc d e f g\nh 'é&nope; – � z & y � ≂̸\nq\nx\ny\nw"
+    rows = [(1, None, None), (2, "u\r\nEvil: x", ""), (3, "u", PAGE), (4, "v", "<p>" + "x " * 50_000), (5, "u", PAGE)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    result = con.execute(warc.ORACLE_SQL)
+    names = [d[0] for d in result.description]
+    df = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    got = sorted(map(tuple, df.select(*names).collect()))
+    assert got == sorted(result.fetchall())
+    blocks = {(r[0], r[1]): r[-1] for r in got}
+    assert blocks[3, "conversion"] == text and len(blocks[4, "conversion"]) == 99_999 and blocks[1, "conversion"] == ""
+    assert "title: A & b’\r\nlanguage: x\r\n" in blocks[3, "metadata"]
+
+
+def parsed(data):
+    """Records of WARC 1.1 bytes, told apart by their lengths alone."""
+    out = []
+    while data:
+        head, data = data.split(b"\r\n\r\n", 1)
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        n = int(fields["Content-Length"])
+        assert data[n : n + 4] == b"\r\n\r\n"
+        out.append((fields, data[:n]))
+        data = data[n + 4 :]
+    return out
+
+
+def test_warc_files(spark, tmp_path):
+    """Every record of plain and of compressed files read back, by its lengths and by the library; ids are unique."""
+    pages = spark.createDataFrame([(1, None, None, "q"), (2, "u\r\nEvil: x", "", "q"), (3, "u", PAGE, "q"), (4, "u", PAGE, "q"), (None, "u", PAGE, "q")], "page_id long, url string, html string, block string")
     derived = warc.derive(warc.responses(pages))
-    text = {r.page_id: r.block for r in derived.filter("warc_type = 'conversion'").collect()}
-    assert text[1] == text[2] == "" and text[3] == "A & b\na &lt; b\nc d e f g\nh" and len(text[4]) == 99_999
     assert derived.count() == 10 and warc.derive(warc.responses(pages.limit(0))).count() == 0
-    warc.write(derived, str(tmp_path / "w"))
-    whole = spark.read.option("lineSep", "\x00").text(str(tmp_path / "w")).collect()
-    assert sum(r.value.count("WARC/1.1\r\n") for r in whole) == 10
+    same = pages.filter("page_id = 3").union(pages.filter("page_id = 3")).withColumn("n", F.monotonically_increasing_id())
+    assert warc.derive(warc.responses(same)).select("record_id").distinct().count() == 2
+    assert warc.derive(warc.responses(same, number="n")).select("record_id").distinct().count() == 4
+    want = sorted((r.record_id, r.refers_to, r.concurrent_to, r.target_uri, r.block_digest, r.block.encode()) for r in derived.collect())
+    assert len({w[0] for w in want}) == 10
+    for compress in (False, True):
+        folder = tmp_path / f"w{compress}"
+        warc.write(derived, str(folder), compress)
+        found = []
+        for f in folder.glob("part-*"):
+            data = f.read_bytes()
+            found += parsed(gzip.decompress(data) if compress else data)
+            if compress:
+                assert data.count(bytes.fromhex("1f8b08")) == 2 * len(parsed(gzip.decompress(data)))
+                f.rename(f.with_suffix(".gz"))
+        names = ("WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To", "WARC-Target-URI", "WARC-Block-Digest")
+        assert sorted((*[x[n] for n in names], block) for x, block in found) == want
+        assert {"sha256:" + hashlib.sha256(b).hexdigest() for _, b in found} == {x["WARC-Block-Digest"] for x, _ in found}
+        back = warc.read(spark, f"{folder}/*.gz" if compress else str(folder)).collect()
+        assert all(r.whole for r in back)
+        assert sorted((*[r.fields[n.lower()] for n in names], bytes(r.block)) for r in back) == want
+
+
+def test_warc_responses_keep_their_source(spark, tmp_path):
+    """Response records of a file: their ids, dates and HTTP headers stay with what is derived."""
+    def record(n, body, length=None):
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nServer: s{n}\r\nX-A: b: c\r\n\r\n{body}".encode()
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{n}>\r\nWARC-Date: 2020-01-0{n}T00:00:00Z\r\nWARC-Target-URI: http://x/{n}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {length or len(http)}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"
+    records = [info, record(1, "<p>é one</p>\r\n\r\nx"), record(2, ""), record(3, "cut", 999)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    got = warc.read_responses(spark, str(tmp_path), "1.0")
+    rows = {r.record_id: r for r in got.collect()}
+    assert rows.keys() == {"<urn:uuid:1>", "<urn:uuid:2>"} and rows["<urn:uuid:2>"].payload == ""
+    one = rows["<urn:uuid:1>"]
+    assert (one.target_uri, one.date, one.content_type, one.headers[1:]) == ("http://x/1", "2020-01-01T00:00:00Z", "text/html; charset=UTF-8", ["Server: s1", "X-A: b: c"])
+    made = {(r.refers_to, r.warc_type): r for r in warc.derive(got).collect()}
+    assert made["<urn:uuid:1>", "conversion"].block == "é one\nx" and made["<urn:uuid:1>", "conversion"].date == one.date
+    assert "source-header: Server: s1\r\nsource-header: X-A: b: c\r\n" in made["<urn:uuid:1>", "metadata"].block
 
 
 SEEN = re.compile("|".join((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\w", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\b\d{13,19}\b")))

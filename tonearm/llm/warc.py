@@ -1,93 +1,132 @@
 """WARC derivatives: web responses to linked metadata and plain-text conversion records.
 
-`responses` makes response records of pages (url, html); `derive` gives, for every response, a metadata record (title,
-language, lengths, digests) and a conversion record (plain text), both with WARC-Refers-To and WARC-Concurrent-To
-identifiers, the source's target address and date, and digests of what they hold; `records` writes a record as WARC
-1.1 text. Record ids are name-based, from kind, address and payload digest: the same input gives the same ids, on any
-executor and after any retry.
+`responses` makes response records of pages (url, html), `read_responses` reads them from WARC files with the headers
+of their source; `derive` gives, for every response, a metadata record (title, language, lengths, digests, the
+source's headers) and a conversion record (plain text), both with WARC-Refers-To and WARC-Concurrent-To identifiers,
+the source's target address and date, and digests of what they hold; `write` writes them as WARC 1.1 files, `read`
+reads such files. Record ids are name-based, from kind, page id, address and payload digest: the same input gives the
+same ids, on any executor and after any retry.
 
-The text of a page: comments, scripts and styles go, block elements end a line, all other tags go, the named entities
-of HTML's basic set are decoded, white space is one space, empty lines go.
+The text of a page: comments, scripts and styles go, block elements end a line, all other tags go, entities (those of
+HTML 5 by name, and numbers) are decoded, white space is one space, empty lines go.
 
 Cases: a null or empty page is a response with an empty payload and has an empty conversion; a null address is
-written empty; equal pages of equal address get equal ids, one record each; an empty table gives none; other columns
-are left out.
+written empty, line ends in an address are written %0D and %0A; rows equal in page id, address and payload are one
+capture and have one id (`number` tells them apart where they are to be records of their own); a null page id is an
+id of its own; an empty table gives none; other columns are left out; a very long page costs its length.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import html.entities as entities
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tonearm.llm.common import table
+from tonearm.llm.common import small_batches, table
 
 DATE = "2024-01-01T00:00:00Z"
-#: Named entities; the ampersand comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
+HTML = "text/html; charset=utf-8"
+#: Elements that end a line.
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-HIDDEN = (r"(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>")
+HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+TITLE, LANG = r"(?is)<title[^>]*>([^<]*)</title", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)"
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: Entities by name, from Python's own table.
+NAMED = {name[:-1]: text for name, text in sorted(entities.html5.items()) if name.endswith(";")}
+HEADERS = "array<string>"
+
+_hidden, _title, _lang, _entity, _tag = re.compile(HIDDEN), re.compile(TITLE), re.compile(LANG), re.compile(ENTITY), re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)?[^>]*>")
+_block = re.compile(f"(?:{BLOCKS})", re.IGNORECASE)
+
+
+def char_of(number: int) -> str:
+    """The character of a numeric entity: numbers of C1 controls stand for their Windows-1252 characters, as browsers read them."""
+    if 0x80 <= number <= 0x9F:
+        return bytes([number]).decode("cp1252", "replace")
+    return chr(number) if 0 < number < 0xD800 or 0xDFFF < number < 0x110000 else "�"
+
+
+def decoded(text: str) -> str:
+    if "&" not in text:
+        return text
 
+    def one(m: re.Match) -> str:
+        name = m[1]
+        if name[0] != "#":
+            return NAMED.get(name, m[0])
+        return char_of(int(name[2:], 16) if name[1] in "xX" else int(name[1:]))
 
-def decoded(text: Column) -> Column:
-    for name, sign in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+    return _entity.sub(one, text)
 
 
-def plain_text(html: Column) -> Column:
-    for pattern in HIDDEN:
-        html = F.regexp_replace(html, pattern, " ")
-    html = F.regexp_replace(html, r"[\n\r]", " ")
-    html = F.regexp_replace(html, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
-    html = decoded(F.regexp_replace(html, r"<[^>]*>", ""))
-    html = F.regexp_replace(html, r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(html, r" *\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+def plain_text(html: str) -> str:
+    text = _hidden.sub(" ", html).replace("\n", " ").replace("\r", " ")
+    text = decoded(_tag.sub(lambda m: "\n" if m[1] and _block.fullmatch(m[1]) else "", text))
+    return "\n".join(line for line in (" ".join(line.split()) for line in text.split("\n")) if line)
 
 
-def digest(text: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+def sha(data: str | bytes) -> str:
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 
 
-def record_id(kind: str, uri: Column, payload: Column) -> Column:
-    h = F.sha2(F.concat_ws("\n", F.lit(kind), uri, payload), 256)
-    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4))]
-    return F.concat(F.lit("<urn:uuid:"), parts[0], F.lit("-"), parts[1], F.lit("-5"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
+def urn(h: str) -> str:
+    """A name-based identifier from a digest."""
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-a{h[17:20]}-{h[20:32]}>"
 
 
-def responses(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", date: str = DATE) -> DataFrame:
-    """Response records: page_id, record_id, target_uri, date, content_type, payload, payload_digest."""
-    uri, payload = F.coalesce(F.col(url), F.lit("")), F.coalesce(F.col(html), F.lit(""))
-    out = pages.select(F.col(id).alias("page_id"), uri.alias("target_uri"), payload.alias("payload"), digest(payload).alias("payload_digest"))
-    return out.select("page_id", record_id("response", F.col("target_uri"), F.col("payload_digest")).alias("record_id"), "target_uri", F.lit(date).alias("date"), F.lit("text/html; charset=utf-8").alias("content_type"), "payload", "payload_digest")
+def responses(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", date: str = DATE, number: str | None = None) -> DataFrame:
+    """Response records: page_id, record_id, target_uri, date, content_type, headers, payload, payload_digest."""
+    uri = F.replace(F.replace(F.coalesce(F.col(url), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    own = F.concat(F.col(id).cast("string"), F.lit("/"), F.col(number).cast("string")) if number else F.col(id).cast("string")
+    out = pages.select(F.col(id).alias("page_id"), F.coalesce(own, F.lit("")).alias("own"), uri.alias("target_uri"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
+    out = out.select("*", F.concat(F.lit("sha256:"), F.sha2("payload", 256)).alias("payload_digest"))
+    h = F.sha2(F.concat_ws("\n", F.lit("response"), "own", "target_uri", "payload_digest"), 256)
+    part = lambda a, n: F.substring("h", a, n)
+    record_id = F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-a"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
+    out = out.select("*", h.alias("h"))
+    return out.select("page_id", record_id.alias("record_id"), "target_uri", F.lit(date).alias("date"), F.lit(HTML).alias("content_type"), F.expr(f"cast(array() as {HEADERS})").alias("headers"), "payload", "payload_digest")
 
 
 def derive(found: DataFrame) -> DataFrame:
-    """For every response a metadata and a conversion record; one row each, made in one pass without a shuffle."""
-    title = F.regexp_replace(decoded(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)</title", 1)), r"\s+", " ")
-    lang = F.lower(F.regexp_extract("payload", r'(?i)<html[^>]*\blang="([A-Za-z-]+)"', 1))
-    step = found.select("*", plain_text(F.col("payload")).alias("text"), F.trim(title).alias("title"), lang.alias("lang"))
-    step = step.select("*", digest(F.col("text")).alias("text_digest"))
-    step = step.select("*", record_id("conversion", F.col("target_uri"), F.concat("payload_digest", "text_digest")).alias("conversion_id"))
-    length = lambda c: F.octet_length(c).cast("string")
-    fields = F.concat_ws(
-        "\r\n",
-        F.concat(F.lit("title: "), "title"), F.concat(F.lit("language: "), "lang"), F.concat(F.lit("source-content-type: "), "content_type"),
-        F.concat(F.lit("source-length: "), length("payload")), F.concat(F.lit("source-payload-digest: "), "payload_digest"),
-        F.concat(F.lit("text-length: "), length("text")), F.concat(F.lit("text-digest: "), "text_digest"), F.lit(""),
-    )
-    step = step.select("*", fields.alias("fields"))
-    step = step.select("*", record_id("metadata", F.col("target_uri"), F.concat("payload_digest", digest(F.col("fields")))).alias("metadata_id"))
-    made = lambda kind, own, other, mime, block: F.struct(F.lit(kind).alias("warc_type"), F.col(own).alias("record_id"), F.col(other).alias("concurrent_to"), F.lit(mime).alias("content_type"), F.col(block).alias("block"))
-    both = F.inline(F.array(made("metadata", "metadata_id", "conversion_id", "application/warc-fields", "fields"), made("conversion", "conversion_id", "metadata_id", "text/plain; charset=utf-8", "text")))
-    out = step.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", F.col("content_type").alias("source_content_type"), F.col("payload_digest").alias("source_digest"), both)
-    return out.select(
-        "page_id", "warc_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "source_content_type", "source_digest",
-        F.octet_length("block").cast("long").alias("content_length"), digest(F.col("block")).alias("block_digest"), "block",
-    )
+    """For every response a metadata and a conversion record; one row each, made in one pass without a shuffle.
+
+    The name of a derived record is made of its kind, the response's id and its own digest.
+    """
+    small_batches(found.sparkSession)
+    names = ("page_id", "record_id", "target_uri", "date", "content_type", "headers", "payload", "payload_digest")
+    text = ("warc_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "source_content_type", "source_digest")
+    out = ("page_id", *text, "content_length", "block_digest", "block")
+    schema = T.StructType([T.StructField("page_id", found.schema["page_id"].dataType), *[T.StructField(n, T.StringType()) for n in text], T.StructField("content_length", T.LongType()), T.StructField("block_digest", T.StringType()), T.StructField("block", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for page, record, uri, date, kind, headers, payload, digest in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
+                plain = plain_text(payload)
+                title, lang = _title.search(payload), _lang.search(payload)
+                whole = plain.encode()
+                fields = [f"title: {' '.join(decoded(title[1]).split()) if title else ''}", f"language: {lang[1].lower() if lang else ''}", f"source-content-type: {kind}", f"source-length: {len(payload.encode())}"]
+                fields += [f"source-payload-digest: {digest}", f"text-length: {len(whole)}", f"text-digest: sha256:{sha(whole)}", *[f"source-header: {x}" for x in headers], ""]
+                notes = "\r\n".join(fields).encode()
+                made = [(t, urn(sha(f"{t}\n{record}\nsha256:{sha(block)}")), mime, block) for t, mime, block in (("metadata", "application/warc-fields", notes), ("conversion", "text/plain; charset=utf-8", whole))]
+                for (t, own, mime, block), other in zip(made, made[::-1], strict=True):
+                    rows.append((page, t, own, record, other[1], uri, date, mime, kind, digest, len(block), f"sha256:{sha(block)}", block.decode()))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(out)
+            types = [batch.schema.field("page_id").type, *[pa.string()] * len(text), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(out))
+
+    return found.select(*names).mapInArrow(run, schema)
 
 
 def records(derived: DataFrame) -> DataFrame:
-    """(page_id, record): each record as WARC 1.1 text, to be written with `write`."""
+    """(page_id, record): each record as WARC 1.1 text, with the two line ends that close it."""
     header = F.concat_ws(
         "\r\n",
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), "warc_type"), F.concat(F.lit("WARC-Record-ID: "), "record_id"), F.concat(F.lit("WARC-Refers-To: "), "refers_to"),
@@ -97,9 +136,60 @@ def records(derived: DataFrame) -> DataFrame:
     return derived.select("page_id", F.concat(header, "block", F.lit("\r\n\r\n")).alias("record"))
 
 
-def write(derived: DataFrame, path: str) -> None:
-    """WARC files, one for each task, gzip-compressed."""
-    records(derived).select("record").write.mode("overwrite").option("lineSep", "\r\n").option("compression", "gzip").text(path)
+def members(derived: DataFrame) -> DataFrame:
+    """(page_id, member): each record as a gzip member of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [gzip.compress(x.encode(), mtime=0) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["page_id", "member"])
+
+    rows = records(derived)
+    return rows.mapInArrow(run, T.StructType([rows.schema["page_id"], T.StructField("member", T.BinaryType())]))
+
+
+def write(derived: DataFrame, path: str, compress: bool = False) -> None:
+    """WARC files, one for each task; compressed, every record is a gzip member, with an empty member after it, the sink's separator."""
+    if compress:
+        raw = members(derived).select(F.col("member").cast("string"))  # bytes as they are
+        raw.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", gzip.compress(b"", mtime=0).decode("latin-1")).text(path)
+    else:
+        records(derived).select(F.substring("record", F.lit(1), F.length("record") - 2)).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def read(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
+    """The records of WARC files, compressed or not (gzip files end in .gz): fields (map of lower-case names), block (bytes), whole.
+
+    Records are told apart by the line ends that close one and the version that begins the next, so that Spark streams
+    through a file; `whole` is false where a block is not as long as its header says.
+    """
+    begins = f"WARC/{version}\r\n"
+    rows = spark.read.option("lineSep", "\r\n\r\n" + begins).text(path).select(F.regexp_replace("value", f"^{begins}", "").alias("value"))
+    ends = F.call_function("instr", F.col("value"), F.lit("\r\n\r\n"))
+    lines = F.split(F.substring(F.col("value"), F.lit(1), ends - 1), "\r\n")
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))  # a field that comes twice counts as it came first
+    fields = F.map_from_arrays(names, F.transform(names, lambda n: F.filter(pairs, lambda p: p["name"] == n)[0]["value"]))
+    block = F.substring(F.col("value"), ends + 4, F.length("value"))
+    out = rows.filter(ends > 0).select(fields.alias("fields"), block.cast("binary").alias("raw"))
+    size = F.col("fields")["content-length"].cast("int")
+    cut = F.when(F.length("raw") >= size, F.substring(F.col("raw"), F.lit(1), size)).otherwise(F.col("raw"))  # the last record has its line ends still
+    return out.select("fields", cut.alias("block"), F.coalesce(F.length(cut) == size, F.lit(False)).alias("whole"))
+
+
+def read_responses(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
+    """The response records of WARC files as `responses` gives them: identifiers and date of the source, its HTTP headers, its payload.
+
+    page_id is the record's identifier. Payloads are read as UTF-8; records that are cut short are left out.
+    """
+    found = read(spark, path, version).filter("whole and fields['warc-type'] = 'response'").select("fields", F.col("block").cast("string").alias("block"))
+    ends = F.call_function("instr", F.col("block"), F.lit("\r\n\r\n"))
+    found = found.select("fields", F.split(F.substring(F.col("block"), F.lit(1), ends - 1), "\r\n").alias("head"), F.substring(F.col("block"), ends + 4, F.length("block")).alias("payload"))
+    headers = F.slice("head", F.lit(2), F.greatest(F.size("head") - 1, F.lit(0)))  # the first line is the status
+    kind = F.regexp_extract(F.array_join("head", "\n"), r"(?im)^content-type:[ \t]*([^\n]*?)[ \t]*$", 1)
+    digest = F.concat(F.lit("sha256:"), F.sha2("payload", 256))
+    field = lambda n: F.coalesce(F.col("fields")[n], F.lit(""))
+    return found.select(field("warc-record-id").alias("page_id"), field("warc-record-id").alias("record_id"), field("warc-target-uri").alias("target_uri"), field("warc-date").alias("date"), kind.alias("content_type"), headers.alias("headers"), "payload", digest.alias("payload_digest"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,37 +201,35 @@ def _sql() -> str:
     """The same records in DuckDB's SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     swap = lambda c, pattern, to: f"regexp_replace({c}, {q(pattern)}, {to}, 'g')"
-
-    def entities(c: str) -> str:
-        for name, sign in ENTITIES:
-            c = f"replace({c}, {q(name)}, {q(sign)})"
-        return c
-
-    text = "payload"
-    for pattern in HIDDEN:
-        text = swap(text, pattern, "' '")
-    text = swap(swap(text, r"[\n\r]", "' '"), rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "chr(10)")
-    text = swap(entities(swap(text, r"<[^>]*>", "''")), r"[ \t]+", "' '")
-    text = swap(swap(text, r" *\n[ \n]*", "chr(10)"), r"^[ \n]+|[ \n]+$", "''")
-    title = swap(entities(f"regexp_extract(payload, {q('(?is)<title[^>]*>([^<]*)</title')}, 1)"), r"\s+", "' '")
-    lang = f"""lower(regexp_extract(payload, '(?i)<html[^>]*\\blang="([A-Za-z-]+)"', 1))"""
-
-    def uuid(kind: str, payload: str) -> str:
-        h = f"sha256('{kind}' || chr(10) || target_uri || chr(10) || {payload})"
-        return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-a' || {h}[18:20] || '-' || {h}[21:32] || '>'"
-
+    space = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    c1 = "[" + ", ".join(q(char_of(i)) for i in range(0x80, 0xA0)) + "]"
+    by_number = lambda n: f"CASE WHEN {n} BETWEEN 128 AND 159 THEN {c1}[{n} - 127] WHEN {n} = 0 OR {n} BETWEEN 55296 AND 57343 OR {n} > 1114111 THEN chr(65533) ELSE chr({n}::INTEGER) END"
+    named = "MAP {" + ", ".join(f"{q(n)}: {q(t)}" for n, t in NAMED.items()) + "}"
+
+    def entity(c: str) -> str:
+        name = f"regexp_extract('&' || x, {q('^' + ENTITY)}, 1)"
+        one = f"CASE WHEN {name} = '' THEN '&' || x WHEN {name}[1:2] IN ('#x', '#X') THEN ({by_number(f'''('0x' || {name}[3:])::BIGINT''')}) || x[len({name}) + 2:] WHEN {name}[1] = '#' THEN ({by_number(f'{name}[2:]::BIGINT')}) || x[len({name}) + 2:] ELSE coalesce(m[{name}] || x[len({name}) + 2:], '&' || x) END"
+        return f"CASE WHEN contains({c}, '&') THEN string_split({c}, '&')[1] || array_to_string(list_transform(string_split({c}, '&')[2:], lambda x: {one}), '') ELSE {c} END"
+
+    text = swap(swap(swap("payload", HIDDEN, "' '"), r"[\n\r]", "' '"), rf"(?i)</?(?:{BLOCKS})(?:[^a-z0-9>][^>]*)?>", "chr(10)")
+    text = swap(text, r"<[^>]*>", "''")
+    lines = f"array_to_string(list_filter(list_transform(string_split(entities, chr(10)), lambda x: trim({swap('x', space + '+', chr(39) + ' ' + chr(39))})), lambda x: x <> ''), chr(10))"
+    urn_of = lambda h: f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-a' || {h}[18:20] || '-' || {h}[21:32] || '>'"
+    own = lambda kind, block: urn_of(f"sha256('{kind}' || chr(10) || refers_to || chr(10) || 'sha256:' || sha256({block}))")
     crlf = "chr(13) || chr(10)"
-    fields = f" || {crlf} || ".join(["'title: ' || title", "'language: ' || lang", "'source-content-type: text/html; charset=utf-8'", "'source-length: ' || strlen(payload)", "'source-payload-digest: ' || payload_digest", "'text-length: ' || strlen(text)", "'text-digest: ' || text_digest", "''"])
+    fields = f" || {crlf} || ".join(["'title: ' || title", "'language: ' || lang", f"'source-content-type: {HTML}'", "'source-length: ' || strlen(payload)", "'source-payload-digest: ' || payload_digest", "'text-length: ' || strlen(text)", "'text-digest: sha256:' || sha256(text)", "''"])
     return f"""
-WITH a AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest FROM pages),
-b AS (SELECT *, {uuid('response', 'payload_digest')} AS refers_to, {text} AS text, trim({title}) AS title, {lang} AS lang FROM a),
-c AS (SELECT *, 'sha256:' || sha256(text) AS text_digest FROM b),
-d AS (SELECT *, {uuid('conversion', 'payload_digest || text_digest')} AS conversion_id, {fields} AS fields FROM c),
-e AS (SELECT *, {uuid('metadata', "payload_digest || 'sha256:' || sha256(fields)")} AS metadata_id FROM d),
-f AS (SELECT *, 'metadata' AS warc_type, metadata_id AS record_id, conversion_id AS concurrent_to, 'application/warc-fields' AS content_type, fields AS block FROM e
-UNION ALL SELECT *, 'conversion', conversion_id, metadata_id, 'text/plain; charset=utf-8', text FROM e)
-SELECT page_id, warc_type, record_id, refers_to, concurrent_to, target_uri, '{DATE}' AS date, content_type, 'text/html; charset=utf-8' AS source_content_type,
-payload_digest AS source_digest, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM f"""
+WITH named AS MATERIALIZED (SELECT {named} AS m),
+a AS (SELECT page_id, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS target_uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest FROM pages),
+b AS (SELECT *, {urn_of("sha256('response' || chr(10) || coalesce(page_id::VARCHAR, '') || chr(10) || target_uri || chr(10) || payload_digest)")} AS refers_to, {text} AS stripped, regexp_extract(payload, {q(TITLE)}, 1) AS raw_title, lower(regexp_extract(payload, {q(LANG)}, 1)) AS lang FROM a),
+c AS (SELECT *, {entity('stripped')} AS entities, trim({swap('(' + entity('raw_title') + ')', space + '+', chr(39) + ' ' + chr(39))}) AS title FROM b, named),
+d AS (SELECT *, {lines} AS text FROM c),
+e AS (SELECT *, {fields} AS fields FROM d),
+f AS (SELECT *, {own('metadata', 'fields')} AS metadata_id, {own('conversion', 'text')} AS conversion_id FROM e),
+g AS (SELECT *, 'metadata' AS warc_type, metadata_id AS record_id, conversion_id AS concurrent_to, 'application/warc-fields' AS content_type, fields AS block FROM f
+UNION ALL SELECT *, 'conversion', conversion_id, metadata_id, 'text/plain; charset=utf-8', text FROM f)
+SELECT page_id, warc_type, record_id, refers_to, concurrent_to, target_uri, '{DATE}' AS date, content_type, '{HTML}' AS source_content_type,
+payload_digest AS source_digest, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, block FROM g"""
 
 
 ORACLE_SQL = _sql()

@@ -6,11 +6,17 @@ their check digit's validity, phone numbers their country code, mail addresses t
 and a gender ending. The canonical value (letters in lower case, numbers without separators) decides alone, so all
 mentions of an entity, in whatever layout, in all documents, get the same surrogate.
 
+Names are found after a title, with any number of parts that begin with a capital, and then wherever the same text says
+one of those parts. Numbers of bank accounts keep their country and get valid check digits.
+
 Distinctness is checked over the whole corpus: values whose surrogate another value has too, or is itself a value of
-the corpus, draw again with the next turn, until there is none. The table of entities is read and joined, never collected.
+the corpus, draw again with the next turn, until there is none; of several values with one surrogate the least keeps
+it. Later turns make names longer, and after TURNS a digest's end is added, so that values never run out of surrogates.
+The table of entities is written once, the few that draw again turn by turn; it is joined, never collected.
 
 Cases: null and empty texts stay as they are and have no entity; repeated rows get the same text; an empty table gives
-an empty table; other columns, whatever their names, stay as they are. A type whose surrogates run out raises an error.
+an empty table; other columns, whatever their names, stay as they are, but for a column of the output's name; a very
+long text costs its length and its mentions.
 """
 
 from __future__ import annotations
@@ -25,17 +31,23 @@ from tonearm.llm.common import Tables, spans_of, table
 TITLES = r"Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?\.|Господин|Госпожа"
 #: In this order where several begin at one place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+(?:1(?:[\x20().-]{0,3}[0-9]){10}(?![0-9])|[0-9](?:[\x20()./-]{0,3}[0-9]){6,14})|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
-    "name": rf"\p{{Lu}}(?:(?<=\b(?:{TITLES})\x20\p{{Lu}})|(?<=\b(?:{TITLES})\x20\p{{Lu}}\p{{L}}{{1,20}}\x20\p{{Lu}}))(?:\p{{L}}|['-](?![sS](?!\p{{L}}))(?=\p{{L}}))++",
+    "name": rf"\p{{Lu}}(?:(?<=\b(?:{TITLES})\x20(?:\p{{Lu}}\.\x20){{0,4}}\p{{Lu}})|(?<=\b(?:{TITLES})\x20\p{{Lu}}\p{{L}}{{1,20}}\x20\p{{Lu}}))(?:\p{{L}}|['-](?![sS](?!\p{{L}}))(?=\p{{L}}))++",
 }
 #: All kinds but mail addresses begin with a digit, a sign or a capital: most places fail at once.
 OTHERS = r"(?=[0-9+(\p{Lu}])(?:" + "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "email") + ")"
 ANY = f"(?:{PATTERNS['email']})|{OTHERS}"
+#: A whole name after a title: any number of parts and initials, with the particles between them, up to a word of ENDS.
+PART = r"\p{Lu}(?:\p{L}|['-](?![sS](?!\p{L}))(?=\p{L}))*+"
+PARTICLES = "von|van|der|den|zu|zur|de|del|della|di|da|dos|du|la|le|las|los|el|y|bin|ibn|al"
+#: Words that begin with a capital after a name without being part of it.
+ENDS = "The|A|An|And|Or|But|He|She|It|They|We|You|I|In|On|At|For|Der|Die|Das|Und|Er|Sie|Es|Wir|Ich|Im|Am|Ein|Eine|Le|Les|Il|Elle|Ils|Et|Un|Une|El|Los|Las|Y|Un|Una"
+WHOLE_NAME = rf"(?<=\b(?:{TITLES})\x20){PART}(?:(?:(?<=(?<!\p{{L}})\p{{Lu}})\.)?\x20(?:(?:{PARTICLES})\x20)*+(?!(?:{ENDS})(?!\p{{L}})){PART})*+"
 #: A name of the same text without a title, in any case behind its capital, also with a genitive's s.
 UNTITLED = (r"|(?<![\p{L}\p{N}])(?=\p{Lu})(?iu:", r")(?=s?(?![\p{L}\p{N}]))")
 #: Country codes, which surrogates keep.
@@ -43,7 +55,7 @@ COUNTRY = r"^\+(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{
 #: Letters that replace one another.
 CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäåéèêëíîïóòôöúùûü", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 ENDINGS = ("a", "а", "ов", "ова", "ев", "ева")
-TURNS = 32
+TURNS = 8
 
 
 def kind_of(found: Column) -> Column:
@@ -67,8 +79,9 @@ def by_sign(text: Column, f: Callable[[str], Column]) -> Column:
 
 def pattern_of(text: Column) -> Column:
     """The pattern that a text needs, with the names found in it after a title: their other mentions are theirs too."""
-    titled = F.regexp_extract_all(text, F.lit(f"(?:{PATTERNS['name']})"), F.lit(0))
-    names = F.array_distinct(F.transform(F.filter(titled, lambda n: ~n.rlike(f"^(?:{TITLES})$")), F.lower))
+    titled = F.regexp_extract_all(text, F.lit(WHOLE_NAME), F.lit(0))
+    parts = F.flatten(F.transform(titled, lambda n: F.regexp_extract_all(n, F.lit(rf"(?<![\p{{L}}'-]){PART}"), F.lit(0))))
+    names = F.array_distinct(F.transform(F.filter(parts, lambda n: (F.length(n) > 1) & ~n.rlike(f"^(?:{TITLES})$")), F.lower))
     longest = F.transform(F.sort_array(F.transform(names, lambda n: F.struct(F.length(n).alias("n"), n.alias("name"))), asc=False), lambda x: x["name"])
     untitled = F.when(F.size(names) > 0, F.concat(F.lit(UNTITLED[0]), F.array_join(longest, "|"), F.lit(UNTITLED[1]))).otherwise(F.lit(""))
     return F.concat(by_sign(text, F.lit), untitled)
@@ -98,6 +111,13 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(from_right, F.lit(0), lambda acc, x: acc + x) % 10
 
 
+def check_digits(country: Column, body: Column) -> Column:
+    """The two check digits of an account number, from the remainder by 97 of its digits, letters counting 10 to 35."""
+    digits = F.array_join(F.transform(chars(F.concat(body, country, F.lit("00"))), lambda c: F.when(c.rlike("[a-z]"), (F.ascii(c) - 87).cast("string")).otherwise(c)), "")
+    rest = F.aggregate(chars(digits), F.lit(0), lambda acc, c: (acc * 10 + c.cast("int")) % 97)
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
 def surrogate(kind: Column, value: Column, turn: Column, key: str) -> Column:
     """The surrogate of a canonical value, drawn for a turn."""
     seed = F.sha2(F.concat_ws("\u001f", F.lit(key), kind, value, turn.cast("string")), 256)
@@ -105,20 +125,22 @@ def surrogate(kind: Column, value: Column, turn: Column, key: str) -> Column:
     at = F.length(value) - F.length(F.regexp_extract(value, r"[^.]*$", 0))
     mail = F.concat(redrawn(F.substring(value, F.lit(1), at), seed), F.substring(value, at + 1, F.length(value)))
     card = F.concat(F.substring(value, 1, 1), redrawn(F.substring(value, F.lit(2), F.length(value)), seed))
-    body = F.substring(card, F.lit(1), F.length(card) - 1)
-    valid = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
+    front = F.substring(card, F.lit(1), F.length(card) - 1)
+    valid = F.concat(front, ((10 - luhn(F.concat(front, F.lit("0")))) % 10).cast("string"))
     country = F.length(F.regexp_extract(value, COUNTRY, 0))
     phone = F.concat(F.substring(value, F.lit(1), country), redrawn(F.substring(value, country + 1, F.length(value)), seed))
-    iban = F.concat(F.substring(value, 1, 2), redrawn(F.substring(value, F.lit(3), F.length(value)), seed))
+    body = redrawn(F.substring(value, F.lit(5), F.length(value)), seed)
+    iban = F.concat(F.substring(value, 1, 2), check_digits(F.substring(value, 1, 2), body), body)
     ending = F.regexp_extract(value, f"({'|'.join(sorted(ENDINGS, key=len, reverse=True))})$", 0)
     stem = F.length(value) - F.length(ending)
     # Short names have few surrogates: later turns are longer.
     longer = F.when(turn > 2, F.substring(F.lit("ranelisomu"), F.lit(1), turn - 2)).otherwise(F.lit(""))
     name = F.concat(redrawn(F.concat(F.substring(value, F.lit(1), stem), longer), seed), ending)
-    return (
+    new = (
         F.when(kind == "email", mail).when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)])).when(kind == "card", F.when(luhn(value) == 0, valid).otherwise(card))
         .when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "name", name).otherwise(redrawn(value, seed))
     )
+    return F.when(turn > TURNS, F.concat(new, F.translate(F.substring(seed, 1, 12), "0123456789", "ghijklmnop"))).otherwise(new)
 
 
 def formatted(kind: Column, found: Column, new: Column) -> Column:
@@ -141,21 +163,21 @@ def formatted(kind: Column, found: Column, new: Column) -> Column:
 
 
 def entities(mentions: DataFrame, key: str, tables: Tables) -> DataFrame:
-    """(kind, value) of all mentions with distinct surrogates; the few that clash draw again, turn by turn."""
-    drawn = mentions.select("kind", "value").distinct().withColumn("turn", F.lit(0))
-    drawn = tables.write(drawn.withColumn("new", surrogate(F.col("kind"), F.col("value"), F.col("turn"), key)), "drawn-0")
-    for turn in range(1, TURNS + 1):
-        twice = drawn.groupBy("kind", "new").agg(F.min("value").alias("first"), F.count("*").alias("n")).filter("n > 1")
-        clash = drawn.join(twice, ["kind", "new"]).filter("value <> first").select("kind", "value")
-        real = drawn.join(drawn.select("kind", F.col("value").alias("new")), ["kind", "new"], "left_semi").select("kind", "value")
-        again = tables.write(clash.union(real).distinct().withColumn("again", F.lit(True)), f"again-{turn}")
-        if again.isEmpty():
-            return drawn
-        next_turn = F.col("turn") + F.coalesce(F.col("again").cast("int"), F.lit(0))
-        moved = drawn.join(again, ["kind", "value"], "left").select("kind", "value", next_turn.alias("turn"), "new", "again")
-        new = F.when(F.col("again"), surrogate(F.col("kind"), F.col("value"), F.col("turn"), key)).otherwise(F.col("new"))
-        drawn = tables.write(moved.select("kind", "value", "turn", new.alias("new")), f"drawn-{turn}")
-    raise ValueError(f"no distinct surrogates after {TURNS} turns")
+    """(kind, value, new) of all mentions with distinct surrogates; only the few that clash are drawn again and written, turn by turn."""
+    draw = lambda rows, turn: rows.withColumn("new", surrogate(F.col("kind"), F.col("value"), F.lit(turn), key))
+    least = lambda rows: rows.groupBy("kind", "new").agg(F.min("value").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = lambda rows: rows.join(least(rows), ["kind", "new"]).filter("value <> least").select("kind", "value")
+    first = tables.write(draw(mentions.select("kind", "value").distinct(), 0), "drawn-0")
+    values = first.select("kind", F.col("value").alias("new"))
+    again = tables.write(later(first).union(first.join(values, ["kind", "new"], "left_semi").select("kind", "value")).distinct(), "again-0")
+    settled, turn = first.join(again, ["kind", "value"], "left_anti"), 0
+    while not again.isEmpty():
+        turn += 1
+        drawn = tables.write(draw(again, turn), f"drawn-{turn}")
+        taken = drawn.join(settled.select("kind", "new"), ["kind", "new"], "left_semi").union(drawn.join(values, ["kind", "new"], "left_semi"))
+        again = tables.write(later(drawn).union(taken.select("kind", "value")).distinct(), f"again-{turn}")
+        settled = settled.union(drawn.join(again, ["kind", "value"], "left_anti").select(*settled.columns))
+    return settled
 
 
 def replace(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", out: str = "entities") -> DataFrame:

@@ -7,28 +7,37 @@ of a text that occur in any passage are found first, stretches with too few of t
 counted in overlapping bands of 2 (k + 1) diagonals, and bands that meet the bound are aligned in full.
 Letters count in lower case and white-space characters as spaces; places are those of the text.
 
-Cases: a null or short text holds nothing; passages shorter than a q-gram or null can't be judged and are left out; an
-empty benchmark marks nothing; repeated rows are marked each; other columns stay as they are, but for the named output.
-The benchmark is sent to the tasks in blocks of at most BLOCK_CHARS characters, so its size never matters to them.
+Passages go to the tasks in blocks of at most BLOCK_CHARS characters. A benchmark of one block is one pass over the
+documents; a larger one is searched block by block, each block's finds written by text digest before the next block is
+read, and all finds joined to the documents at the end: no more than one block is in the driver or a task at a time.
+
+Cases: a null or short text holds nothing; passages shorter than LEAST or null can't be judged and are left out, and
+those under 16 characters are found as they are only (their edit budget is 0), so such an item marks every text that
+holds it (raise `least` where items are that short); an empty benchmark marks nothing; repeated rows are marked each,
+repeated passages once for each item; a very long text costs its length; ties between regions are all given, in order;
+other columns stay as they are, but for the named output, which replaces a column of that name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonearm.llm.common import small_batches, table
+from tonearm.llm.common import Tables, fresh, small_batches, table
 
 Q = 8
 WINDOW = 128
 BUDGET = 0.08
 BLOCK_CHARS = 2_000_000
 SLOTS = 1 << 20
+#: Characters that a passage must have.
+LEAST = Q
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 REGION = T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "start", "end", "edits")])
 REGION_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "start", "end", "edits")]))
@@ -156,44 +165,68 @@ class Passages:
         return least.min(axis=1)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "regions", item: str = "item_id", passage: str = "text") -> DataFrame:
-    """docs with an array of (item_id, start, end, edits): the benchmark passages that a text holds, region by region."""
-    small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(passage).alias("passage")).filter("item is not null and passage is not null")
-    chars = items.agg(F.sum(F.length("passage"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS)
-    docs = docs.drop(out)
-    if not blocks:
-        return docs.withColumn(out, F.array().cast(T.ArrayType(REGION)))
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(REGION))])
+def passages_of(benchmark: DataFrame, item: str = "item_id", passage: str = "text", least: int = LEAST) -> DataFrame:
+    """(item, passage): the distinct texts of a benchmark, or their overlapping windows where they are long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, t[at : at + WINDOW]) for i, t in zip(*[c.to_pylist() for c in batch.columns], strict=True) for at in ([0] if len(t) <= WINDOW else sorted({*range(0, len(t) - WINDOW, WINDOW // 2), len(t) - WINDOW}))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["item", "passage"])
+
+    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(passage).alias("passage")).filter(F.col("item").isNotNull() & (F.length("passage") >= max(Q, least)))
+    return items.mapInArrow(run, "item long, passage string").distinct()
 
-    def step(rows: list) -> object:
-        sent = spark.sparkContext.broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            passages = Passages(sent.value)
-            for batch in batches:
-                found = passages.find([x or "" for x in batch.column(text).to_pylist()])
-                names, columns = list(batch.schema.names), list(batch.columns)
-                if out in names:
-                    found = [a + b for a, b in zip([[tuple(r.values()) for r in x] for x in columns.pop().to_pylist()], found, strict=True)]
-                    names.pop()
-                regions = pa.array([[dict(zip(("item_id", "start", "end", "edits"), r, strict=True)) for r in x] for x in found], REGION_ARROW)
-                yield pa.RecordBatch.from_arrays([*columns, regions], names=[*names, out])
+def finder(rows: list[tuple[int, str]], spark: SparkSession, text: str, names: list[str], added: str, hits_only: bool) -> tuple[Broadcast, Callable]:
+    """A function over batches that adds the regions of one block's passages to the named columns; the block is broadcast."""
+    sent = spark.sparkContext.broadcast(rows)
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages(sent.value)
+        for batch in batches:
+            found = passages.find([x or "" for x in batch.column(text).to_pylist()])
+            regions = pa.array([[dict(zip(("item_id", "start", "end", "edits"), r, strict=True)) for r in x] for x in found], REGION_ARROW)
+            out = pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], regions], names=[*names, added])
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_())) if hits_only else out
 
+    return sent, run
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "regions", item: str = "item_id", passage: str = "text", least: int = LEAST) -> DataFrame:
+    """docs with an array of (item_id, start, end, edits): the benchmark passages that a text holds, region by region."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    passages = passages_of(benchmark, item, passage, least)
+    chars = passages.agg(F.sum(F.length("passage"))).first()[0] or 0
+    docs = docs.drop(out)
+    if not chars:
+        return docs.withColumn(out, F.array().cast(T.ArrayType(REGION)))
+    name = fresh("regions", docs.columns)
+    added = T.StructField(name, T.ArrayType(REGION))
+    if chars <= BLOCK_CHARS:
+        _, run = finder([tuple(r) for r in passages.collect()], spark, text, docs.columns, name, False)
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, added])).withColumnRenamed(name, out)
+    tables, blocks = Tables(spark, "decontaminate"), -(-chars // BLOCK_CHARS)
+    passages = tables.write(passages, "passages")
+    part = lambda: F.pmod(F.xxhash64("item", "passage"), F.lit(blocks))
+    while passages.groupBy(part().alias("block")).agg(F.sum(F.length("passage")).alias("n")).agg(F.max("n")).first()[0] > max(BLOCK_CHARS, WINDOW):
+        blocks *= 2
+    texts = docs.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("whole")).filter("whole is not null")
     for block in range(blocks):
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == block).collect()]
-        docs = docs.mapInArrow(step(rows), schema)
-    return docs
+        rows = [tuple(r) for r in passages.filter(part() == block).collect()]  # at most BLOCK_CHARS characters
+        sent, run = finder(rows, spark, "whole", ["digest"], name, True)
+        marks = tables.write(texts.mapInArrow(run, T.StructType([T.StructField("digest", T.StringType()), added])), "marks", "append")
+        sent.destroy()
+    found = marks.select("digest", F.explode(name).alias("region")).groupBy("digest").agg(F.array_sort(F.collect_set("region")).alias(name))
+    key = fresh("digest", docs.columns)
+    joined = docs.withColumn(key, F.sha2(text, 256)).join(found.withColumnRenamed("digest", key), key, "left")
+    return joined.select(*[joined[f"`{c}`"] for c in docs.columns], F.coalesce(name, F.array().cast(T.ArrayType(REGION))).alias(out))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no benchmark passage, with their own columns."""
-    out = "benchmark_regions_found"
-    return mark(docs, benchmark, text, out).filter(F.size(out) == 0).select([F.col(f"`{c}`") for c in docs.columns])
+    out = fresh("regions", docs.columns)
+    return mark(docs, benchmark, text, out).filter(F.size(out) == 0).drop(out)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

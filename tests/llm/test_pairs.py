@@ -171,8 +171,37 @@ def test_passage_edges(spark, monkeypatch):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 2, 4, 5]
     assert decontaminate.clean(docs, bench).columns == docs.columns
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows) and decontaminate.clean(docs.limit(0), bench).count() == 0
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 20)  # several blocks, several passes
+    clash = docs.withColumnsRenamed({"regions": "digest", "item_id": "whole"})
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 20)  # several blocks, one after another
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 2, 4, 5]
+    assert decontaminate.mark(clash, bench, out="found").columns == [*clash.columns, "found"]
+    assert sorted(r.doc_id for r in decontaminate.clean(clash, bench).collect()) == [1, 2, 4, 5]
+
+
+def test_large_benchmarks_in_blocks(spark, monkeypatch):
+    """A benchmark over the bound gives the same regions for all documents as one block does."""
+    docs, bench = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    rows = lambda: sorted((r.doc_id, [tuple(x) for x in r.regions]) for r in decontaminate.mark(docs.select("doc_id", "text"), bench).collect())
+    want = rows()
+    assert any(x for _, x in want)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 4000)
+    assert rows() == want
+
+
+def test_whole_table_against_full_alignment(spark):
+    """Every document of the smallest table against every passage, with the plain edit distance."""
+    items = [(r.item, r.passage) for r in decontaminate.passages_of(spark.read.parquet(f"{SF}/benchmark.parquet")).collect()]
+    passages = decontaminate.Passages(items)
+    got = {r.doc_id: r for r in decontaminate.op2_decontaminate(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 1500").limit(60).collect():
+        low = "".join(map(chr, decontaminate.codes_of(r.text or "")))
+        grams = {low[i : i + 4] for i in range(len(low) - 3)}
+        want = set()
+        for (item, passage), k in zip(items, passages.k, strict=True):
+            p = "".join(map(chr, decontaminate.codes_of(passage)))
+            if sum(p[i : i + 4] in grams for i in range(len(p) - 3)) >= len(p) - 3 - 4 * k and edit_distance(p, low) <= k:
+                want.add(item)
+        assert set(got[r.doc_id].item_ids) == want
 
 
 def test_pipeline_stages(spark):

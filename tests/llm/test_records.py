@@ -7,9 +7,11 @@ import re
 from collections import defaultdict
 
 import duckdb
+import regex
 from pyspark.sql import functions as F
 
 from tonearm.llm import chat, pii, warc
+from tonearm.llm.common import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -252,3 +254,70 @@ def test_later_mentions_and_international_numbers(spark):
     for i, old in enumerate(phones, 3):
         assert got[i] != old and got[i][:3] == old[:3] and re.sub(r"\d", "0", got[i]) == re.sub(r"\d", "0", old)
     assert got[3].replace(" ", "") == got[8]
+
+
+def brute_entities(text):
+    """(kind, start, end) of a text by a plain scan: the kinds' patterns, and names word by word after titles and then anywhere."""
+    title, part = regex.compile(rf"\b(?:{pii.TITLES})\x20"), regex.compile(pii.PART)
+    names = set()
+    for m in title.finditer(text):
+        at = m.end()
+        while found := part.match(text, at):
+            word = found[0]
+            if len(word) > 1 and not regex.fullmatch(pii.TITLES, word):
+                names.add(word.lower())
+            at = found.end() + (len(word) == 1 and text[found.end() : found.end() + 1] == ".")
+            if text[at : at + 1] != " ":
+                break
+            at += 1
+            while p := regex.compile(rf"(?:{pii.PARTICLES})\x20").match(text, at):
+                at = p.end()
+            if regex.compile(rf"(?:{pii.ENDS})(?!\p{{L}})").match(text, at):
+                break
+    kinds = [(k, regex.compile(pii.PATTERNS[k])) for k in pii.PATTERNS if k != "name"]
+    known = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?i:{'|'.join(sorted(names, key=lambda n: (-len(n), n)))})(?=s?(?![\p{{L}}\p{{N}}]))") if names else None
+    direct, out, at = regex.compile(pii.PATTERNS["name"]), [], 0
+    while at < len(text):
+        found = next(((k, m) for k, pattern in kinds if (m := pattern.match(text, at))), None) or next((("name", m) for pattern in (direct, known) if pattern and (m := pattern.match(text, at))), None)
+        if found:
+            out.append((found[0], at, found[1].end()))
+        at = found[1].end() if found else at + 1
+    return out
+
+
+def test_entities_against_a_plain_scan(spark):
+    """All documents of the smallest table and odd ones: spans as a scan finds them, all else untouched, surrogates one to one."""
+    odd = ["Mr. Jean-Luc Picard came. Yesterday Picard left", "Mr. John Quincy Adams; Adams. The End", "Mme A. B. Dupont de la Tour, Tour", "müller@example.de x", "Señora Ana María López de la Cruz. López", "Herr Dr. Schmidt Die Tür", "GB82WEST12345698765432 and DE89 3704 0044 0532 0130 00", None, ""]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r.text or "") < 5000] + [(10**6 + i, t) for i, t in enumerate(odd)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, entities string")
+    texts, values = dict(rows), {}
+    for r in pii.replace(df, "key").collect():
+        text = texts[r.doc_id] or ""
+        want = brute_entities(text)
+        assert [tuple(e) for e in r.entities] == want
+        rest, at = r.text or "", 0
+        gaps = [text[a:b] for a, b in zip([0] + [e for _, _, e in want], [s for _, s, _ in want] + [len(text)], strict=True)]
+        for (kind, start, end), before, after in zip(want, gaps, gaps[1:], strict=False):
+            assert rest.startswith(before, at)
+            at += len(before)
+            stop = at + end - start if kind not in ("name", "ip") else (rest.index(after, at) if after else len(rest))
+            old = text[start:end].lower() if kind in ("name", "email") else regex.sub("[^0-9A-Za-z+]", "", text[start:end]) if kind != "ip" else text[start:end]
+            new = rest[at:stop].lower() if kind in ("name", "email") else regex.sub("[^0-9A-Za-z+]", "", rest[at:stop]) if kind != "ip" else rest[at:stop]
+            if kind == "phone":
+                old, new = old.removeprefix("+1"), new.removeprefix("+1")
+            assert values.setdefault((kind, old), new) == new != old
+            at = stop
+        assert rest[at:] == gaps[-1]
+    for kind in pii.PATTERNS:
+        pairs = {old: new for (k, old), new in values.items() if k == kind}
+        assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
+    ibans = [new.upper() for (k, _), new in values.items() if k == "iban"]
+    assert ibans and all(int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 for x in ibans)
+
+
+def test_surrogates_never_run_out(spark):
+    """More values than there are surrogates of their form: later turns lengthen them, and all stay distinct."""
+    rows = [(i, "name", c) for i, c in enumerate("bcdfghjklmnpqrstvwxyz")] + [(100 + i, "ssn", f"{i}") for i in range(10)]
+    mentions = spark.createDataFrame(rows, "id long, kind string, value string")
+    got = pii.entities(mentions, "key", Tables(spark, "crowd")).collect()
+    assert len(got) == len(rows) and len({(r.kind, r.new) for r in got} | {(r.kind, r.value) for r in got}) == 2 * len(rows)

@@ -6,7 +6,9 @@ documents, near-duplicate removal keeps one document of each group, the secret s
 sets n_chars to the new length), encoding gives the token ids of every text that is left.
 
 Cases: null and empty texts fail the quality base and go with the first stage, and pass the others unchanged; repeated
-rows (equal in all columns) count once from the second stage on; empty tables pass through; other columns are kept.
+rows (equal in all columns) count once from the second stage on; of near-duplicates that tie, the least doc_id stays; an
+empty table passes through all stages; other columns, whatever their names, are kept (but by the last stage, whose
+columns are its own); very long texts are worked on as wholes, and cost their length.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.llm import bpe, decontaminate, minhash, quality, secret
-from tonearm.llm.common import Tables, table
+from tonearm.llm.common import Tables, fresh, table
 
 #: The rules below have no SQL form (a fitted model, a byte-pair vocabulary); tests compare with brute force.
 ORACLE_SQL = None
@@ -28,9 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates()
-    return named.union(docs.filter("doc_id is null").dropDuplicates())
+    names, key = docs.columns, fresh("kept_id", docs.columns)
+    kept = minhash.near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select(F.col("doc_id").alias(key))
+    named = docs.join(kept, docs["doc_id"] == kept[key], "left_semi")
+    # Repeated rows are told by a digest of the whole row, so that no text is a sort's key.
+    digest = fresh("digest", names)
+    row = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), {"ignoreNullFields": "false"})
+    return named.unionByName(docs.filter("doc_id is null")).withColumn(digest, F.sha2(row, 256)).dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,13 +28,13 @@ from pyspark.sql import types as T
 from tonearm.llm.common import small_batches, table
 
 SIZES = (1, 2, 3, 4)
-#: Labelled texts of each language that the filter is fitted on at most, chosen by hash.
-SAMPLE = 2000
+#: Parts that a language's texts are dealt to by hash, and the texts of each part that the filter is fitted on at most.
+PARTS, PART_TEXTS = 256, 8
 RARE, DISTINCT = 2e-5, 0.2
 #: Slots (one byte each for up to 8 languages) and slots per n-gram.
 SLOTS, HASHES = 1 << 20, 3
-#: Languages of one mask; parts that a language's hashes are ranked in before the least of all are taken.
-MASK, PARTS = 64, 256
+#: Languages of one mask.
+MASK = 64
 BREAK = np.uint32(32)
 
 
@@ -117,12 +117,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
     widths = tuple(next(w for w, n in (("u1", 8), ("u2", 16), ("u4", 32), ("u8", 64)) if len(languages) - at <= n or n == MASK) for at in range(0, len(languages), MASK))
     if not languages:
         return Filter((), (), (), (), 0)
-    # Only hashes are ranked, first in parts of each language, so that no task ranks a whole one; copies of a text count once.
+    # Only hashes are ranked, in parts of each language, so that no task ranks a whole one; copies of a text count once.
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    ranked = hashed.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
-    for keys in (["lang", "part"], ["lang"]):  # at most PARTS times SAMPLE hashes of a language are left for the second
-        ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("place") <= SAMPLE).drop("place")
-    chosen = ranked.select("lang", "h")  # at most SAMPLE rows for each language
+    order = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h")
+    ranked = hashed.select("lang", "h").distinct().withColumn("place", F.row_number().over(order))
+    chosen = ranked.filter(F.col("place") <= PART_TEXTS).select("lang", "h")  # at most PARTS times PART_TEXTS for each language
     sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,8 +88,55 @@ def render_key(*parts: Column) -> Column:
 
 
 def stable_id(name: Column) -> Column:
-    """A non-negative 63-bit id of a trimmed name, whatever its case."""
-    return F.xxhash64(F.lower(F.trim(name))).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    """31 h + code over the trimmed lower-case name, masked to 63 bits.
+
+    In two halves of 32 and 31 bits, so that nothing overflows: the low 63 bits of each step depend on those before alone.
+    """
+    codes = F.transform(F.filter(F.split(F.lower(F.trim(name)), ""), lambda c: c != ""), F.ascii)
+
+    def step(acc: Column, code: Column) -> Column:
+        low = acc["low"] * 31 + code
+        return F.struct(F.shiftright(low, 32).alias("carry"), low.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), (acc["high"] * 31 + F.shiftright(low, 32)).bitwiseAND(F.lit(0x7FFFFFFF)).alias("high"))
+
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("carry", "low", "high")])
+    return F.aggregate(codes, zero, step, lambda acc: F.shiftleft(acc["high"], 32) + acc["low"])
+
+
+def alignment_distance(a: Column, b: Column) -> Column:
+    """Edits between two short names, a swap of neighbours counting one: rows of the table as arrays, in one expression."""
+    x, y = (F.filter(F.split(c, ""), lambda z: z != "") for c in (a, b))
+    first = F.sequence(F.lit(0), F.size(y))
+
+    def row(acc: Column, i: Column) -> Column:
+        here, before = F.get(x, i), F.get(x, i - 1)
+
+        def cell(left: Column, j: Column) -> Column:
+            same = here == F.get(y, j)
+            best = F.least(F.element_at(left, -1) + 1, F.get(acc["last"], j + 1) + 1, F.get(acc["last"], j) + F.when(same, 0).otherwise(1))
+            swap = (i > 0) & (j > 0) & (here == F.get(y, j - 1)) & (before == F.get(y, j))
+            return F.concat(left, F.array(F.when(F.coalesce(swap, F.lit(False)), F.least(best, F.get(acc["older"], j - 1) + 1)).otherwise(best)))
+
+        places = F.when(F.size(y) > 0, F.sequence(F.lit(0), F.size(y) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.struct(acc["last"].alias("older"), F.aggregate(places, F.array(i + 1), cell).alias("last"))
+
+    steps = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.struct(first.alias("older"), first.alias("last")), row, lambda acc: F.element_at(acc["last"], -1))
+
+
+def number_text(x: Column, decimals: int = 3) -> Column:
+    """A number as a report shows it: so many decimals at most, no trailing zeros; a dash where it is none."""
+    shown = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{decimals}f", x.cast("double")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(x.isNull() | F.isnan(x.cast("double")), F.lit("—")).when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(shown)
+
+
+def percent_text(x: Column, decimals: int = 1) -> Column:
+    """A share as a percentage."""
+    return F.concat(F.format_string(f"%.{decimals}f", 100 * x.cast("double")), F.lit(" %"))
+
+
+def csv_text(x: Column) -> Column:
+    """A CSV field, quoted where it must be."""
+    return F.when(x.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(x, F.lit("")))
 
 
 def suggestion_limit(c: Column) -> Column:

@@ -5,8 +5,9 @@ Every window is partitioned by the series' key, so one series is one task's sort
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -24,9 +25,10 @@ def mid_rank(df: DataFrame, x: str, group: list[str] | None = None) -> DataFrame
     """Quantile of each value among all, ties at their middle; .5 for a single row.
 
     Values are counted first, so that only distinct values are ranked, range by range, and no window spans all rows.
+    A null value has no quantile and counts for none; null group keys are a group of their own.
     """
     keys = group or []
-    values = df.groupBy(*keys, x).agg(F.count("*").alias("__n"))
+    values = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("__n"))
     if keys:
         below = F.sum("__n").over(Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
         ranked = values.withColumn("__lo", F.coalesce(below, F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
@@ -39,7 +41,9 @@ def mid_rank(df: DataFrame, x: str, group: list[str] | None = None) -> DataFrame
         before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__sum").over(Window.partitionBy()))
         ranked = ranges.withColumn("__in", within).join(F.broadcast(before.drop("__sum")), "__part").withColumn("__lo", F.col("__before") + F.col("__in"))
     rank = F.when(F.col("__all") <= 1, 0.5).otherwise((F.col("__lo") + (F.col("__n") - 1) / 2) / (F.col("__all") - 1))
-    return df.join(ranked.select(*keys, x, rank.alias("quantile")), [*keys, x])
+    found = ranked.select(*[F.col(c).alias(f"__{c}") for c in (*keys, x)], rank.alias("quantile"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys] + [F.col(x) == F.col(f"__{x}")]
+    return df.join(found, reduce(Column.__and__, same), "left").drop(*[f"__{c}" for c in (*keys, x)])
 
 
 def block_rms(df: DataFrame, key: str, i: str, x: str, width: int) -> DataFrame:
@@ -150,9 +154,13 @@ def smoothed(df: DataFrame, key: str, i: str, x: str) -> DataFrame:
 
 
 def without_outliers(df: DataFrame, key: str, x: str, k: float = 3.0) -> DataFrame:
-    """Rows within k median absolute deviations of their series' median."""
-    middle = df.join(df.groupBy(key).agg(F.percentile(x, 0.5).alias("__m")), key)
-    spread = middle.join(middle.groupBy(key).agg(F.percentile(F.abs(F.col(x) - F.col("__m")), 0.5).alias("__d")), key)
+    """Rows within k median absolute deviations of their series' median; rows of a null key are a series too, null values go."""
+
+    def beside(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        found = rows.groupBy(F.col(key).alias("__key")).agg(F.percentile(value, 0.5).alias(name))
+        return rows.join(found, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+
+    spread = beside(beside(df, F.col(x), "__m"), F.abs(F.col(x) - F.col("__m")), "__d")
     return spread.filter(F.abs(F.col(x) - F.col("__m")) <= k * 1.4826 * F.col("__d")).drop("__m", "__d")
 
 
@@ -211,12 +219,15 @@ def matched_within(truth: DataFrame, found: DataFrame, key: str, at: str, tolera
     both = truth.select(key, at, F.lit(True).alias("true")).unionByName(found.select(key, at, F.lit(False).alias("true")))
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        free = sorted(rows.loc[~rows["true"], at])
-        hits = 0
-        for t in sorted(rows.loc[rows["true"], at]):
-            near = [f for f in free if abs(f - t) <= tolerance]
-            if near:
-                free.remove(min(near, key=lambda f: (abs(f - t), f)))
+        free = np.sort(rows.loc[~rows["true"], at].to_numpy(float))
+        taken, hits, low = np.zeros(len(free), bool), 0, 0
+        for t in np.sort(rows.loc[rows["true"], at].to_numpy(float)):
+            while low < len(free) and (taken[low] or free[low] < t - tolerance):  # never near a later event either
+                low += 1
+            end = int(np.searchsorted(free, t + tolerance, "right"))
+            near = np.flatnonzero(~taken[low:end]) + low
+            if len(near):
+                taken[near[int(np.argmin(np.abs(free[near] - t)))]] = True  # of equal distances the earlier one
                 hits += 1
         n_true, n_found = int(rows["true"].sum()), int((~rows["true"]).sum())
         p, r = (hits / n if n else 0.0 for n in (n_found, n_true))
@@ -275,17 +286,23 @@ def z_scored(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def novelty(df: DataFrame, key: str, i: str, features: list[str], kernel: int) -> DataFrame:
-    """Checkerboard novelty along the diagonal of the self-similarity matrix; only the band of the kernel is joined."""
-    vector = df.select(key, F.col(i).alias("i"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"))
-    a = vector.select(key, "i", "v")
-    b = vector.select(key, F.col("i").alias("__j"), F.col("v").alias("u")).withColumn("i", F.explode(F.sequence(F.col("__j") - 2 * kernel, F.col("__j") + 2 * kernel)))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t)
-    norm = F.sqrt(dot("v", "v") * dot("u", "u"))
-    near = a.join(b, [key, "i"]).select(key, "i", "__j", F.when(norm > 0, dot("v", "u") / norm).otherwise(0.0).alias("s"))
-    centre = near.select(key, F.col("i").alias("p"), F.col("__j").alias("q"), "s").withColumn("i", F.explode(F.sequence(F.greatest("p", "q") - kernel + 1, F.least("p", "q") + kernel)))
-    inside = centre.filter((F.col("p") >= F.col("i") - kernel) & (F.col("p") < F.col("i") + kernel) & (F.col("q") >= F.col("i") - kernel) & (F.col("q") < F.col("i") + kernel))
-    sign = F.when((F.col("p") < F.col("i")) == (F.col("q") < F.col("i")), 1).otherwise(-1)
-    return inside.groupBy(key, "i").agg((F.sum(sign * F.col("s")) / (4 * kernel * kernel)).alias("novelty"))
+    """Checkerboard novelty along the diagonal of the self-similarity matrix.
+
+    Each row sees the 2 kernel vectors around it through one window; unit vectors make the kernel's sum the difference
+    of two sums, |before|^2 + |after|^2 - 2 before . after, so nothing is joined and no pair is built.
+    """
+    v = F.array(*[F.col(c).cast("double") for c in features])
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+    norm = F.sqrt(total(v, lambda x: x * x))
+    unit = df.select(key, F.col(i).alias("i"), F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("u"))
+    order = along(key, "i")
+    side = {}
+    for name, lo, hi in (("before", -kernel, -1), ("after", 0, kernel - 1)):
+        side[name] = F.array(*[F.coalesce(F.sum(F.col("u")[d]).over(order.rowsBetween(lo, hi)), F.lit(0.0)) for d in range(len(features))])
+    summed = unit.select(key, "i", side["before"].alias("before"), side["after"].alias("after"))
+    product = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y), lambda z: z)
+    score = product("before", "before") + product("after", "after") - 2 * product("before", "after")
+    return summed.select(key, "i", (score / (4 * kernel * kernel)).alias("novelty"))
 
 
 def autocorrelation(df: DataFrame, key: str, i: str, x: str, lags: list[int]) -> DataFrame:
@@ -298,8 +315,6 @@ def autocorrelation(df: DataFrame, key: str, i: str, x: str, lags: list[int]) ->
 
 def tracked_beats(df: DataFrame, key: str, i: str, x: str, period: float, tightness: float = 100.0) -> DataFrame:
     """Beats by dynamic programming over onset strengths; a running rule, so one series is one group."""
-    import numpy as np
-
     def track(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(i)
         v = rows[x].to_numpy(float)
@@ -354,8 +369,3 @@ def key_estimate(chroma_: DataFrame, key: str) -> DataFrame:
     ranked = r.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("n"), "tonic", "minor"))).alias("__k"))
     first, second = F.get("__k", 0), F.get("__k", 1)
     return ranked.select(key, first["tonic"].alias("tonic"), first["minor"].alias("minor"), ((1 - first["n"]) / 2).alias("strength"), (second["n"] - first["n"]).alias("margin"))
-
-
-def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The shape that an analyser given to mapInPandas has: batches in, batches out."""
-    yield from rows

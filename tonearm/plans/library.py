@@ -95,10 +95,11 @@ def artist_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return L.artist_aggregate(table(spark, sf, "part"), "p_brand", "p_type")
 
 
-@PLANS.query("SELECT DISTINCT trim(p_type) AS name FROM part WHERE trim(p_type) <> ''")
+@PLANS.query("""SELECT name, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(lower(name), ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (31 * h + c) % 9223372036854775808)::BIGINT AS id
+FROM (SELECT DISTINCT trim(p_type) AS name FROM part WHERE trim(p_type) <> '')""")
 def genre_names(spark: SparkSession, sf: str) -> DataFrame:
-    """D3, G3; the id is a hash that SQL twins lack."""
-    return L.genres(table(spark, sf, "part"), "p_type").select("name")
+    """D3, G3, H21."""
+    return L.genres(table(spark, sf, "part"), "p_type")
 
 
 @PLANS.query("""SELECT * FROM (SELECT 'song' AS kind, p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'bo') ORDER BY lower(p_name), p_partkey LIMIT 50)

@@ -215,7 +215,8 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return near.withColumn("place", F.row_number().over(order)).filter("place <= 5").select("a", "b", "place", F.round("c", 6).alias("cosine"))
 
 
-@PLANS.query()
+@PLANS.query(f"""WITH e AS {ENTRIES}, q AS (SELECT l_orderkey, position, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY position) AS b FROM e),
+h AS (SELECT *, sha256(concat(a, chr(0), b, chr(0), 1, chr(0), 'bassSwap')) AS h FROM q WHERE b IS NOT NULL) SELECT l_orderkey, position, round(1 + 0.05 * (2 * ((('0x' || h[1:14])::BIGINT >> 3) / 9007199254740992.0) - 1), 9)::DOUBLE AS jitter FROM h""")
 def jittered(spark: SparkSession, sf: str) -> DataFrame:
     """The reproducible jitter of every transition."""
     t = transitions(spark, sf)

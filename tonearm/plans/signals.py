@@ -202,33 +202,56 @@ def live_counts(spark: SparkSession, sf: str) -> DataFrame:
     return live.live_counts(table(spark, sf, "events"), ["event_type"])
 
 
-@PLANS.query()
+RUNS = "SELECT user_id, min(i) AS a, max(i) AS b, count(*) AS n FROM (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM s WHERE {}) GROUP BY user_id, g"
+
+
+@PLANS.query(f"""WITH {S}, m AS (SELECT user_id, i, min(x) OVER a AS amin, max(x) OVER a AS amax, count(*) OVER a AS an, min(x) OVER b AS bmin, max(x) OVER b AS bmax, count(*) OVER b AS bn FROM s
+WINDOW a AS ({W} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS ({W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), j AS (SELECT user_id, i, greatest(0, amin - bmax, bmin - amax) AS v FROM m WHERE an = 3 AND bn = 3),
+e AS (SELECT user_id, max(i) AS e FROM s GROUP BY 1)
+SELECT user_id, 'level_jump' AS kind, i AS start, 1::BIGINT AS length, v AS value FROM j WHERE v > 30 UNION ALL SELECT user_id, 'clip', a, n, 150.0::DOUBLE FROM ({RUNS.format('x >= 150')})
+UNION ALL SELECT user_id, 'silence', a, n, 5.0::DOUBLE FROM ({RUNS.format('x <= 5')}) JOIN e USING (user_id) WHERE a > 0 AND b < e""")
 def artifact_events(spark: SparkSession, sf: str) -> DataFrame:
     """Jumps, clipped runs and silent gaps with their places."""
     return R.artifact_events(series(spark, sf), "user_id", "i", "x", 30.0, 5.0, 150.0)
 
 
-@PLANS.query()
+@PLANS.query(f"""WITH RECURSIVE {S}, t AS (SELECT user_id, i, x, coalesce(lag(x) OVER w, -1e300) AS a, coalesce(lead(x) OVER w, -1e300) AS b, avg(x) OVER n AS m, coalesce(stddev_pop(x) OVER n, 0) AS d FROM s
+WINDOW w AS ({W}), n AS ({W} ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING)), c AS (SELECT user_id, i, x, row_number() OVER (PARTITION BY user_id ORDER BY x DESC, i) AS n FROM t WHERE x >= a AND x > b AND x > m + d),
+r AS (SELECT user_id, 1::BIGINT AS n, [i] AS taken FROM c WHERE n = 1 UNION ALL
+SELECT c.user_id, c.n, CASE WHEN len(list_filter(taken, lambda t: abs(t - c.i) < 3)) = 0 THEN list_append(taken, c.i) ELSE taken END FROM r JOIN c ON c.user_id = r.user_id AND c.n = r.n + 1),
+l AS (SELECT user_id, unnest(last(taken ORDER BY n)) AS i FROM r GROUP BY user_id) SELECT s.user_id, s.i, s.x FROM l JOIN s ON s.user_id = l.user_id AND s.i = l.i""")
 def onset_peaks(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks at least three places apart."""
     return R.peaks(series(spark, sf).select("user_id", "i", "x"), "user_id", "i", "x", 8, 1.0, 3)
 
 
-@PLANS.query()
+@PLANS.query(f"""WITH RECURSIVE {S}, v AS (SELECT user_id, list(x ORDER BY i) AS x FROM s GROUP BY 1),
+r AS (SELECT user_id, x, 0 AS t, [x[1]] AS score, [-1] AS back FROM v UNION ALL
+SELECT user_id, x, t + 1, list_append(score, x[t + 2] + CASE WHEN b.v > 0 THEN b.v ELSE 0 END), list_append(back, CASE WHEN b.v > 0 THEN b.p ELSE -1 END)
+FROM (SELECT *, list_sort(list_transform(range(greatest(0, t - 7), greatest(0, t)), lambda p: {{'n': -(score[p + 1] - 100 * ln((t + 1 - p) / 4.0) ^ 2), 'p': p}}))[1] AS f FROM r WHERE t + 1 < len(x)), LATERAL (SELECT coalesce(-f.n, 0) AS v, f.p::INT AS p) b),
+d AS (SELECT user_id, score, back FROM r WHERE t + 1 = len(x)), e AS (SELECT user_id, back, list_position(score, list_max(score)) - 1 AS t, 0 AS k FROM d UNION ALL SELECT user_id, back, back[t + 1], k + 1 FROM e WHERE back[t + 1] >= 0)
+SELECT user_id, max(k) OVER (PARTITION BY user_id) - k AS beat, t::BIGINT AS i FROM e""")
 def tracked_beats(spark: SparkSession, sf: str) -> DataFrame:
     """L20."""
     return R.tracked_beats(series(spark, sf).select("user_id", "i", "x"), "user_id", "i", "x", 4.0)
 
 
-@PLANS.query()
+@PLANS.query("""WITH RECURSIVE c AS (SELECT user_id, list(epoch_us(ts) / 1e6 ORDER BY ts) AS c FROM events WHERE event_type = 'click' GROUP BY 1), e AS (SELECT user_id, list(epoch_us(ts) / 1e6 ORDER BY ts) AS e FROM events WHERE event_type = 'error' GROUP BY 1),
+b AS (SELECT user_id, coalesce(c, []) AS c, coalesce(e, []) AS e FROM c FULL JOIN e USING (user_id)), r AS (SELECT user_id, c, e, 0 AS k, e AS free FROM b UNION ALL
+SELECT user_id, c, e, k + 1, CASE WHEN f IS NULL THEN free ELSE free[:f.p - 1] || free[f.p + 1:] END FROM (SELECT *, list_sort(list_filter(list_transform(range(1, len(free) + 1), lambda p: {'d': abs(free[p] - c[k + 1]), 'p': p}), lambda x: x.d <= 36000))[1] AS f FROM r WHERE k < len(c))),
+h AS (SELECT user_id, len(e) - len(free) AS hits, len(c) AS n, len(e) AS m FROM r WHERE k = len(c)), q AS (SELECT user_id, hits, CASE WHEN m > 0 THEN hits / m ELSE 0 END AS p, CASE WHEN n > 0 THEN hits / n ELSE 0 END AS r FROM h)
+SELECT user_id, hits, p::DOUBLE AS precision, r::DOUBLE AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END::DOUBLE AS f FROM q""")
 def matched_onsets(spark: SparkSession, sf: str) -> DataFrame:
     """Clicks matched one-to-one with errors within ten hours, user by user."""
     events = table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp_ltz")) / 1e6)
     return R.matched_within(events.filter("event_type = 'click'"), events.filter("event_type = 'error'"), "user_id", "t", 36000.0)
 
 
-@PLANS.query()
+@PLANS.query(f"""WITH {S}, d AS (SELECT user_id, i, x, coalesce(x - lag(x) OVER ({W}), 0) AS d FROM s), z AS (SELECT user_id, i, (x - avg(x) OVER p) / stddev_pop(x) OVER p AS a, (d - avg(d) OVER p) / stddev_pop(d) OVER p AS b FROM d WINDOW p AS (PARTITION BY user_id)),
+u AS (SELECT user_id, i, coalesce(a / nullif(sqrt(a * a + b * b), 0), 0) AS a, coalesce(b / nullif(sqrt(a * a + b * b), 0), 0) AS b FROM z),
+k AS (SELECT c.user_id, c.i, CASE WHEN (p.i < c.i) = (q.i < c.i) THEN 1 ELSE -1 END * (p.a * q.a + p.b * q.b) AS v FROM u c JOIN u p ON p.user_id = c.user_id AND p.i >= c.i - 4 AND p.i < c.i + 4 JOIN u q ON q.user_id = c.user_id AND q.i >= c.i - 4 AND q.i < c.i + 4)
+SELECT user_id, i, round(sum(v) / 64, 6) AS novelty FROM k GROUP BY 1, 2""")
 def structure_novelty(spark: SparkSession, sf: str) -> DataFrame:
-    """Only the kernel's band of the self-similarity matrix is joined."""
+    """From the sums on either side; the twin builds the kernel pair by pair."""
     wide = R.z_scored(R.differences(series(spark, sf), "user_id", "i", "x").na.fill(0.0, ["d1"]), "user_id", ["x", "d1"])
-    return R.novelty(wide, "user_id", "i", ["x_z", "d1_z"], 4)
+    return R.novelty(wide, "user_id", "i", ["x_z", "d1_z"], 4).withColumn("novelty", F.round("novelty", 6))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 HEAD, TAIL = 1 << 20, 1 << 16
 
@@ -44,11 +44,13 @@ def analysed(sources: DataFrame, cache: DataFrame, keys: list[str], analyse: Cal
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
-    """JSON documents, one per line; corrupt ones are misses, and so are those whose key is not in their file's name."""
-    raw = spark.read.text(path).select("value", F.input_file_name().alias("file"))
-    parsed = raw.select("file", F.from_json("value", schema.add("_corrupt", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
-    good = parsed.filter(F.col("d._corrupt").isNull() & F.col(f"d.{key}").isNotNull() & F.contains("file", F.col(f"d.{key}").cast("string")))
-    return good.select("d.*").drop("_corrupt")
+    """JSON documents, one file each, gzip or plain; corrupt ones are misses, and so are those whose key is not their file's name (without endings)."""
+    raw = spark.read.option("wholetext", "true").text(path).select("value", F.input_file_name().alias("file"))
+    whole = StructType([*schema.fields, StructField("_corrupt", StringType())])
+    parsed = raw.select("file", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    stem = F.url_decode(F.regexp_extract("file", r"([^/]*?)(?:\.json)?(?:\.gz)?$", 1))
+    good = parsed.filter(F.col("d._corrupt").isNull() & (F.col(f"d.{key}").cast("string") == stem))
+    return good.select(*[F.col(f"d.{f.name}") for f in schema.fields])
 
 
 def report_rows(values: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

@@ -24,6 +24,37 @@ PRIORS = {
     "bridge": ((0.60, 0.90, 0.80, 0.50, 0.80, 0.70), (0.60, 0.80, 0.70, 0.50, 0.70, 0.70), (0.50, 0.70, 0.60, 0.40, 0.60, 0.60), (0.70, 0.90, 0.80, 0.50, 0.80, 0.70), (0.60, 0.80, 0.70, 0.50, 0.70, 0.70), (0.60, 0.80, 0.70, 0.50, 0.70, 0.70)),
     "fade": ((0.50, 0.60, 0.60, 0.40, 0.60, 0.60), (0.60, 0.80, 0.70, 0.40, 0.70, 0.60), (0.40, 0.60, 0.50, 0.40, 0.60, 0.60), (0.60, 0.80, 0.70, 0.40, 0.70, 0.60), (0.50, 0.70, 0.50, 0.40, 0.60, 0.60), (0.60, 0.60, 0.60, 0.40, 0.60, 0.60)),
 }
+#: How well each kind of outro and of intro suits a strategy, by strategies that share them.
+OUTRO_FIT = {
+    "blend": {"BEAT_OUTRO": 1.0, "UNKNOWN": 0.8, "AMBIENT_OUTRO": 0.7, "VOCAL_OUTRO": 0.6, "FADE_OUT": 0.6, "HARD_STOP": 0.5},
+    "stems": {"BEAT_OUTRO": 1.0, "AMBIENT_OUTRO": 0.7, "VOCAL_OUTRO": 0.7, "UNKNOWN": 0.6, "HARD_STOP": 0.5, "FADE_OUT": 0.4},
+    "break": {"BEAT_OUTRO": 1.0, "UNKNOWN": 0.6, "AMBIENT_OUTRO": 0.5, "VOCAL_OUTRO": 0.5, "HARD_STOP": 0.5, "FADE_OUT": 0.3},
+    "cut": {"HARD_STOP": 1.0, "BEAT_OUTRO": 0.95, "UNKNOWN": 0.75, "VOCAL_OUTRO": 0.7, "AMBIENT_OUTRO": 0.7, "FADE_OUT": 0.55},
+    "minimal": {"FADE_OUT": 1.0, "AMBIENT_OUTRO": 0.95, "VOCAL_OUTRO": 0.7, "BEAT_OUTRO": 0.4, "UNKNOWN": 0.5, "HARD_STOP": 0.0},
+    "freeze": {"AMBIENT_OUTRO": 1.0, "VOCAL_OUTRO": 0.8, "HARD_STOP": 0.7, "UNKNOWN": 0.5, "FADE_OUT": 0.4, "BEAT_OUTRO": 0.2},
+    "bridge": {"HARD_STOP": 1.0, "AMBIENT_OUTRO": 0.7, "VOCAL_OUTRO": 0.7, "FADE_OUT": 0.6, "UNKNOWN": 0.4, "BEAT_OUTRO": 0.2},
+}
+INTRO_FIT = {
+    "blend": {"BEAT_INTRO": 1.0, "UNKNOWN": 0.8, "AMBIENT_INTRO": 0.7, "VOCAL_INTRO": 0.5, "COLD_START": 0.45, "SILENCE": 0.3},
+    "stems": {"BEAT_INTRO": 1.0, "AMBIENT_INTRO": 0.7, "VOCAL_INTRO": 0.7, "UNKNOWN": 0.6, "COLD_START": 0.5, "SILENCE": 0.3},
+    "break": {"BEAT_INTRO": 1.0, "COLD_START": 0.7, "UNKNOWN": 0.6, "AMBIENT_INTRO": 0.5, "VOCAL_INTRO": 0.5, "SILENCE": 0.3},
+    "cut": {"COLD_START": 1.0, "BEAT_INTRO": 0.95, "VOCAL_INTRO": 0.7, "UNKNOWN": 0.6, "AMBIENT_INTRO": 0.5, "SILENCE": 0.35},
+    "minimal": {"AMBIENT_INTRO": 1.0, "SILENCE": 0.95, "VOCAL_INTRO": 0.85, "BEAT_INTRO": 0.45, "UNKNOWN": 0.5, "COLD_START": 0.0},
+    "freeze": {"AMBIENT_INTRO": 1.0, "VOCAL_INTRO": 0.8, "BEAT_INTRO": 0.7, "COLD_START": 0.6, "UNKNOWN": 0.6, "SILENCE": 0.4},
+    "bridge": {"AMBIENT_INTRO": 0.9, "SILENCE": 0.8, "VOCAL_INTRO": 0.6, "COLD_START": 0.5, "UNKNOWN": 0.4, "BEAT_INTRO": 0.2},
+    "echo": {"BEAT_INTRO": 1.0, "COLD_START": 0.9, "AMBIENT_INTRO": 0.8, "VOCAL_INTRO": 0.6, "UNKNOWN": 0.6, "SILENCE": 0.5},
+    "drop": {"BEAT_INTRO": 1.0, "COLD_START": 1.0, "VOCAL_INTRO": 0.6, "UNKNOWN": 0.5, "AMBIENT_INTRO": 0.4, "SILENCE": 0.0},
+}
+#: How showy a strategy is; those that are never used twice running; what a modifier adds.
+AMBITION = {
+    "crossfade": 0.1, "outroIntroMinimal": 0.2, "ambientBridge": 0.3, "beatMatchedBlend": 0.4, "phraseCut": 0.5, "bassSwap": 0.5, "harmonicBlend": 0.5,
+    "stemSwap": 0.6, "filterSweep": 0.6, "echoOut": 0.6, "spectralFreezeBridge": 0.6, "drumBreakBridge": 0.7, "loopRollRiser": 0.9, "brakeStop": 0.9,
+}
+COOLDOWN = ("brakeStop", "loopRollRiser")
+MODIFIER_BONUS = {"tempoGlide": 0.15, "textureCarry": 0.10}
+MODIFIER_FROM = 0.3
+#: What a track is taken to have where its table lacks the column.
+TRACK_DEFAULTS = {"grid_beats": 64, "mix_in_beat": 0, "drop_beat": -1, "seconds": 180.0, "has_curve": True, "head_percussive": None, "onset_density": None, "texture_db": None}
 NEEDED_BARS = {"beat": 8, "cut": 8, "structural": 4, "bridge": 2, "fade": 2}
 
 
@@ -47,20 +78,24 @@ def prior(family: str, outro: Column, intro: Column) -> Column:
     return F.get(flat, (place(OUTROS, outro) * 6 + place(INTROS, intro)).cast("int"))
 
 
-def all_pairs(tracks: DataFrame, most: int = 2000) -> DataFrame:
-    """Every ordered pair of a set of at most `most` tracks; larger sets go to candidate_pairs()."""
-    n = tracks.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} tracks: use candidate_pairs()")
-    a = tracks.select(F.struct("*").alias("a"))
-    b = tracks.select(F.struct("*").alias("b"))
-    return a.join(F.broadcast(b), F.col("a.track_id") != F.col("b.track_id"))
+def all_pairs(tracks: DataFrame, block: int = 2000) -> DataFrame:
+    """Every ordered pair of a set of tracks, in blocks: only ids are dealt to blocks, and each pair of blocks is a join key.
+
+    The result has the square of the set's rows, which is what is asked for; no side is broadcast, and no task holds more
+    than two blocks of about `block` tracks. Where the best few partners are wanted, candidate_pairs() is the way.
+    """
+    blocks = max(1, -(-tracks.count() // block))
+    own = F.pmod(F.xxhash64("track_id"), F.lit(blocks))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = tracks.select(F.struct("*").alias("a"), own.alias("__x"), others.alias("__y"))
+    b = tracks.select(F.struct("*").alias("b"), own.alias("__y"), others.alias("__x"))
+    return a.join(b, ["__x", "__y"]).filter("a.track_id <> b.track_id").select("a", "b")
 
 
 def candidate_pairs(tracks: DataFrame, key: str, value: str, width: float, near: Column | None = None) -> DataFrame:
     """Pairs whose values lie within `width`, by equal buckets of that width and their neighbours: an equi-join, no cross join.
 
-    The value's ordering may be skewed: AQE splits a hot bucket, as both sides are shuffled for this join alone.
+    A value may be skewed: AQE splits a hot bucket, as both sides are shuffled for this join alone.
     """
     bucket = F.floor(F.col(value) / width)
     a = tracks.select(F.struct("*").alias("a"), bucket.alias("__b"))
@@ -93,7 +128,9 @@ def layered(*params: Column) -> Column:
 
 
 def features(pairs: DataFrame, prefs: Prefs) -> DataFrame:
-    """A pair (structs a, b of the track schema) to its features."""
+    """A pair (structs a, b of the track schema, its rooms worked out by structure.rooms) to its features."""
+    has = {side: set(pairs.schema[side].dataType.names) for side in ("a", "b")}
+    own = lambda side, n: (F.col(f"{side}.{n}") if n in has[side] else F.lit(TRACK_DEFAULTS[n])).alias(f"{n}_{side}")
     a, b = (lambda n: F.col(f"a.{n}")), (lambda n: F.col(f"b.{n}"))
     known = (a("bpm") > 0) & (b("bpm") > 0)
     tempo = F.when(known, tempo_relation(a("bpm"), b("bpm"))).otherwise(F.struct(F.lit("SAME").alias("relation"), F.lit(1.0).alias("ratio")))
@@ -110,11 +147,13 @@ def features(pairs: DataFrame, prefs: Prefs) -> DataFrame:
         F.when(audible(a("lufs")) & audible(b("lufs")), b("lufs") - a("lufs")).otherwise(0.0).alias("loudness_delta"),
         F.coalesce(coerce(b("head_energy") - a("tail_energy"), -1.0, 1.0), F.lit(0.0)).alias("energy_delta"),
         F.coalesce(coerce(a("tail_vocal") * b("head_vocal"), 0.0, 1.0), F.lit(0.0)).alias("vocal_clash"),
-        cosine(a("outro_spectrum"), b("intro_spectrum")).alias("similarity"),
+        (cosine(a("outro_spectrum"), b("intro_spectrum")) if "outro_spectrum" in has["a"] else F.lit(1.0)).alias("similarity"),
         a("outro").alias("outro"), b("intro").alias("intro"), a("outro_beats").alias("outro_beats"), b("intro_beats").alias("intro_beats"),
         coerce(a("grid_confidence"), 0.0, 1.0).alias("grid_a"), coerce(b("grid_confidence"), 0.0, 1.0).alias("grid_b"),
         coerce(a("key_strength"), 0.0, 1.0).alias("key_a"), coerce(b("key_strength"), 0.0, 1.0).alias("key_b"),
         a("tail_low").alias("low_a"), b("head_low").alias("low_b"), a("tail_percussive").alias("percussive"), a("bpm").alias("bpm_a"),
+        own("a", "grid_beats"), own("b", "grid_beats"), own("b", "mix_in_beat"), own("b", "drop_beat"), own("a", "seconds"), own("a", "has_curve"),
+        own("b", "head_percussive"), own("a", "onset_density"), own("a", "texture_db"),
     )
 
 
@@ -155,9 +194,28 @@ class Strategy:
 
 
 c = F.col
-BEAT_GATES: tuple[Blocker, ...] = (("not beat-matchable", lambda p: ~c("matchable")), ("stretch over the limit", lambda p: c("stretch") > p.max_stretch), ("no room", lambda p: c("room_beat") < 0.5))
-GRID_A: Blocker = ("no beat grid in a", lambda p: c("grid_a") <= 0)
-GRID_B: Blocker = ("no beat grid in b", lambda p: c("grid_b") <= 0)
+
+
+def edge(table: dict[str, float], kind: Column) -> Column:
+    out = F.lit(table["UNKNOWN"])
+    for name, x in table.items():
+        out = F.when(kind == name, x).otherwise(out)
+    return out
+
+
+def with_edges(scored: DataFrame) -> DataFrame:
+    """What several strategies share, worked out once for each pair: how well the edges suit them, and their room."""
+    o = {n: edge(t, c("outro")) for n, t in OUTRO_FIT.items()}
+    i = {n: edge(t, c("intro")) for n, t in INTRO_FIT.items()}
+    share = lambda x: F.least(F.lit(1.0), F.greatest(x, F.lit(0)) / 32.0)
+    after_mix_in = F.when(c("grid_beats_b") > 0, F.greatest(c("grid_beats_b") - F.greatest(c("mix_in_beat_b"), F.lit(0)), F.lit(0))).otherwise(0)
+    step = scored.withColumns({**{f"o_{n}": x for n, x in o.items()}, **{f"i_{n}": x for n, x in i.items()}, "near_room": share(c("outro_beats")) * share(c("intro_beats")), "deck_room": share(c("outro_beats")) * share(after_mix_in)})
+    return step.withColumns({
+        **{f"e_{n}": c(f"o_{n}") * c(f"i_{n}") for n in ("blend", "cut", "minimal", "bridge")},
+        "e_stems": F.least("o_stems", "i_stems") * 0.5 + c("o_stems") * c("i_stems") * 0.5,
+        "e_break": F.greatest("o_break", "i_break") * 0.6 + F.least("o_break", "i_break") * 0.4,
+        "e_freeze": c("o_freeze") * 0.7 + c("i_freeze") * 0.3,
+    })
 
 
 def unless_far(x: float) -> Column:
@@ -169,54 +227,152 @@ def rising() -> Column:
     return coerce(0.5 + 0.5 * ((c("energy_delta") + 1) / 2), 0.0, 1.0)
 
 
-def percussive(low: float) -> Column:
-    return coerce((c("percussive") - low) / (1 - low), 0.0, 1.0)
-
-
 def low_end() -> Column:
     return F.least(F.lit(1.0), F.least("low_a", "low_b") / 0.3)
 
 
-#: Registry order decides ties.
+def drums() -> Column:
+    """Percussiveness of both edges, .6 where it is not known."""
+    known = lambda n: F.coalesce(coerce(c(n).cast("double"), 0.0, 1.0), F.lit(0.6))
+    return known("percussive") * 0.7 + known("head_percussive_b") * 0.3
+
+
+def too_far(p: Prefs) -> Column:
+    over = coerce((c("stretch") - p.max_stretch) / max(0.5, 12.0 - p.max_stretch), 0.0, 1.0)
+    return F.when(~c("matchable"), 1.0).when(c("stretch") > p.max_stretch, over).otherwise(0.0)
+
+
+def harmonic() -> Column:
+    return F.coalesce(1 - c("percussive"), F.lit(0.7))
+
+
+MATCH: tuple[Blocker, ...] = (("not beat-matchable", lambda p: ~c("matchable")), ("stretch over the limit", lambda p: c("stretch") > p.max_stretch))
+BEAT_GATES: tuple[Blocker, ...] = (*MATCH, ("no room", lambda p: c("near_room") < 0.5))
+DECK_GATES: tuple[Blocker, ...] = (("no grid", lambda p: (c("grid_beats_a") < 2) | (c("grid_beats_b") < 2)), *MATCH, ("no room", lambda p: c("deck_room") < 0.5))
+GRID_A: Blocker = ("no usable grid in a", lambda p: (c("grid_beats_a") <= 0) | (c("grid_a") < 0.5))
+GRID_B: Blocker = ("no grid in b", lambda p: c("grid_beats_b") <= 0)
+LANDING: Blocker = ("nothing to land on in b", lambda p: (c("grid_beats_b") <= 0) & (c("mix_in_beat_b") < 0))
+
+#: Registry order decides ties. The weights, gates and limits.
 STRATEGIES = (
     Strategy("crossfade", "fade", lambda p: F.when(c("far") | (c("distance") > 2), 0.3).otherwise(0.05)),
-    Strategy("outroIntroMinimal", "structural", lambda p: 0.5 * c("struct_structural") + 0.2 * c("s_energy") + 0.15 * c("s_vocal") + 0.15 * F.least(F.lit(1.0), c("intro_beats") / 4.0), (("a stops hard", lambda p: c("outro") == "HARD_STOP"), ("b starts cold", lambda p: c("intro") == "COLD_START"))),
-    Strategy("phraseCut", "cut", lambda p: 0.4 * c("struct_cut") + 0.25 * unless_far(0.55) + 0.2 * c("grid_a") + 0.15 * c("s_vocal"), (("no usable grid in a", lambda p: c("grid_a") < 0.5),)),
-    Strategy("beatMatchedBlend", "beat", lambda p: 0.3 * c("s_tempo_beat") + 0.15 * c("s_key") + 0.15 * c("s_energy") + 0.1 * (c("s_vocal") + c("s_grid") + c("struct_beat") + c("room_beat")), BEAT_GATES),
-    Strategy("bassSwap", "beat", lambda p: 0.3 * c("s_tempo_beat") + 0.15 * low_end() + 0.1 * (c("s_key") + c("s_energy") + c("s_vocal") + c("s_grid") + c("room_beat")) + 0.05 * c("struct_beat"), BEAT_GATES),
-    Strategy("stemSwap", "beat", lambda p: 0.25 * c("s_tempo_beat") + 0.15 * c("s_key") + 0.1 * (c("s_energy") + c("s_vocal") + c("struct_beat")) + 0.15 * c("s_grid") + 0.05 * c("room_beat") + 0.1 * 0.8, BEAT_GATES),
-    Strategy("drumBreakBridge", "beat", lambda p: 0.2 * c("s_tempo_beat") + 0.1 * (c("s_key") + c("s_energy")) + 0.05 * (c("s_vocal") + c("room_beat")) + 0.15 * (c("s_grid") + c("struct_beat")) + 0.2 * percussive(0.5), (*BEAT_GATES, ("tail not percussive", lambda p: c("percussive") <= 0.5))),
-    Strategy("filterSweep", "cut", lambda p: 0.28 * unless_far(0.7) + 0.22 * c("room_cut") + 0.18 * c("grid_a") + 0.14 * (1 - 0.4 * c("similarity")) + 0.1 * (1 - 0.5 * F.greatest(F.lit(0.0), c("low_a") + c("low_b") - 1)) + 0.08 * (1 - 0.5 * c("vocal_clash")), (GRID_A, GRID_B, ("less than a bar left", lambda p: c("outro_beats") < 4))),
-    Strategy("echoOut", "cut", lambda p: (0.3 * unless_far(0.75) + 0.25 * c("struct_cut") + 0.2 * c("grid_a") + 0.15 * (1 - 0.4 * F.greatest(F.lit(0.0), c("energy_delta"))) + 0.1 * (1 - 0.5 * c("vocal_clash"))) * F.when(c("bpm_a") < 80, 0.8).otherwise(1.0), (GRID_A, ("no tempo in a", lambda p: ~(c("bpm_a") > 0)))),
-    Strategy("loopRollRiser", "cut", lambda p: 0.32 * c("struct_cut") + 0.22 * rising() + 0.18 * c("grid_a") + 0.14 * unless_far(0.8) + 0.14 * (1 - abs(p.energy - 0.8)), (GRID_A, ("energy wanted is low", lambda p: F.lit(p.energy < 0.4)), ("b starts silent", lambda p: c("intro") == "SILENCE"))),
-    Strategy("harmonicBlend", "beat", lambda p: (0.25 * c("s_tempo_beat") + 0.3 * c("s_key") + 0.1 * (c("s_energy") + c("s_vocal") + c("s_grid") + c("room_beat")) + 0.05 * c("struct_beat")) * (1 - 0.05 * F.abs(c("shift"))), (*BEAT_GATES, ("shift over the limit", lambda p: F.abs(c("shift")) > p.max_shift), ("keys too far", lambda p: c("distance") > 1), ("keys too weak", lambda p: F.least("key_a", "key_b") < 0.6))),
-    Strategy("spectralFreezeBridge", "structural", lambda p: 0.35 * c("struct_structural") + 0.2 * (1 - c("percussive")) + 0.15 * 0.7 + 0.15 * c("s_key") + 0.15 * F.exp(-F.pow(c("loudness_delta") / 6.0, 2)), (("tail too percussive", lambda p: c("percussive") > 0.7),)),
-    Strategy("ambientBridge", "bridge", lambda p: 0.15 + 0.45 * F.greatest(F.when(c("far"), 1.0).otherwise(0.0), F.when(c("distance") <= 1, 0.0).when(c("distance") == 2, 0.5).otherwise(1.0), coerce((c("struct_bridge") - 0.7) / 0.3, 0.0, 1.0))),
-    Strategy("brakeStop", "cut", lambda p: 0.3 * F.when(c("intro") == "COLD_START", 1.0).otherwise(0.85) + 0.22 * percussive(0.4) + 0.18 * rising() + 0.15 * (1 - abs(p.energy - 0.8)) + 0.1 * (0.5 + 0.5 * c("grid_a")) + 0.05, (("b neither starts cold nor on a beat", lambda p: ~c("intro").isin("COLD_START", "BEAT_INTRO")), ("energy wanted is low", lambda p: F.lit(p.energy < 0.5)), ("tail not percussive", lambda p: c("percussive") <= 0.4))),
+    Strategy("outroIntroMinimal", "structural", lambda p: (0.5 * c("e_minimal") + 0.2 * c("s_energy") + 0.15 * c("s_vocal") + 0.15 * F.least(F.lit(1.0), F.greatest(c("intro_beats"), F.lit(0)) / 4.0)) * F.when(c("has_curve_a"), 1.0).otherwise(0.8),
+             (("a stops hard", lambda p: c("outro") == "HARD_STOP"), ("b starts cold", lambda p: c("intro") == "COLD_START"), ("a is shorter than the overlap", lambda p: c("seconds_a") < 4.0))),
+    Strategy("phraseCut", "cut", lambda p: 0.4 * c("e_cut") + 0.25 * unless_far(0.55) + 0.2 * c("grid_a") + 0.15 * c("s_vocal"), (GRID_A, LANDING)),
+    Strategy("beatMatchedBlend", "beat", lambda p: 0.3 * c("s_tempo_beat") + 0.15 * c("s_key") + 0.15 * c("s_energy") + 0.1 * (c("s_vocal") + c("s_grid") + c("e_blend") + c("near_room")), BEAT_GATES),
+    Strategy("bassSwap", "beat", lambda p: 0.3 * c("s_tempo_beat") + 0.15 * low_end() + 0.1 * (c("s_key") + c("s_energy") + c("s_vocal") + c("s_grid") + c("near_room")) + 0.05 * c("e_blend"), BEAT_GATES),
+    Strategy("stemSwap", "beat", lambda p: 0.25 * c("s_tempo") + 0.15 * c("s_key") + 0.1 * (c("s_energy") + c("s_vocal") + c("e_stems")) + 0.15 * c("s_grid") + 0.05 * c("deck_room") + 0.1 * 0.8, DECK_GATES),
+    Strategy("drumBreakBridge", "beat", lambda p: 0.2 * c("s_tempo") + 0.1 * (c("s_key") + c("s_energy")) + 0.05 * (c("s_vocal") + c("deck_room")) + 0.15 * (c("s_grid") + c("e_break")) + 0.2 * drums(),
+             (*DECK_GATES, ("tail not percussive", lambda p: c("percussive") <= 0.5))),
+    Strategy("filterSweep", "cut", lambda p: 0.28 * unless_far(0.7) + 0.22 * c("near_room") + 0.18 * c("grid_a") + 0.14 * (1 - 0.4 * c("similarity")) + 0.1 * (1 - 0.5 * F.greatest(F.lit(0.0), c("low_a") + c("low_b") - 1)) + 0.08 * (1 - 0.5 * c("vocal_clash")),
+             (GRID_A, GRID_B, ("less than a bar left", lambda p: c("outro_beats").between(0, 3)))),
+    Strategy("echoOut", "cut", lambda p: (0.3 * unless_far(0.75) + 0.25 * c("i_echo") + 0.2 * c("grid_a") + 0.15 * (1 - 0.4 * F.greatest(F.lit(0.0), c("energy_delta"))) + 0.1 * (1 - 0.5 * c("vocal_clash"))) * F.when(c("bpm_a") < 80, 0.8).otherwise(1.0),
+             (GRID_A, ("no tempo in a", lambda p: ~(c("bpm_a") > 0)))),
+    Strategy("loopRollRiser", "cut", lambda p: 0.32 * c("i_drop") * F.when(c("drop_beat_b") >= 0, 1.0).otherwise(0.85) + 0.22 * rising() + 0.18 * c("grid_a") + 0.14 * unless_far(0.8) + 0.14 * (1 - abs(p.energy - 0.9)),
+             (GRID_A, LANDING, ("energy wanted is low", lambda p: F.lit(p.energy < 0.4)), ("b starts silent", lambda p: c("intro") == "SILENCE"))),
+    Strategy("harmonicBlend", "beat", lambda p: (0.25 * c("s_tempo_beat") + 0.3 * c("s_key") + 0.1 * (c("s_energy") + c("s_vocal") + c("s_grid") + c("near_room")) + 0.05 * c("e_blend")) * (1 - 0.05 * F.abs(c("shift"))),
+             (*BEAT_GATES, ("shift over the limit", lambda p: F.abs(c("shift")) > p.max_shift), ("keys too far", lambda p: c("distance") > 1), ("keys too weak", lambda p: F.least("key_a", "key_b") < 0.6))),
+    Strategy("spectralFreezeBridge", "structural", lambda p: 0.35 * c("e_freeze") + 0.2 * coerce(harmonic(), 0.0, 1.0) + 0.15 * F.coalesce(coerce(1 - c("onset_density_a").cast("double") / 2, 0.0, 1.0), F.lit(0.7)) + 0.15 * c("s_key") + 0.15 * F.exp(-F.pow(c("loudness_delta") / 6.0, 2)),
+             (("tail too percussive", lambda p: harmonic() <= 0.6),)),
+    Strategy("ambientBridge", "bridge", lambda p: 0.15 + 0.45 * F.greatest(too_far(p), F.when(c("distance") <= 1, 0.0).when(c("distance") == 2, 0.5).otherwise(1.0), coerce((c("e_bridge") - 0.7) / 0.3, 0.0, 1.0))),
+    Strategy("brakeStop", "cut", lambda p: 0.3 * F.when(c("intro") == "COLD_START", 1.0).otherwise(0.85) + 0.22 * coerce((c("percussive") - 0.4) / 0.6, 0.0, 1.0) + 0.18 * rising() + 0.15 * (1 - abs(p.energy - 0.9)) + 0.1 * (0.5 + 0.5 * c("grid_a")) + 0.05,
+             (("b neither starts cold nor on a beat", lambda p: ~c("intro").isin("COLD_START", "BEAT_INTRO")), ("energy wanted is low", lambda p: F.lit(p.energy < 0.5)), ("tail not percussive", lambda p: c("percussive") <= 0.4), ("a is too short to brake", lambda p: c("seconds_a") < 2.5))),
 )
+BLENDS = ("beatMatchedBlend", "bassSwap", "stemSwap", "drumBreakBridge", "harmonicBlend")
 
 
-def candidates(scored: DataFrame, prefs: Prefs, keys: list[str], strategies: tuple[Strategy, ...] = STRATEGIES) -> DataFrame:
-    """Pair x strategy in long form, with fit and blockers; one explode, no join."""
-    rows = []
-    for ordinal, s in enumerate(strategies):
+@dataclass(frozen=True)
+class Modifier:
+    """A modifier plug-in: how well it goes with a strategy (a column `strategy`) on a scored pair."""
+
+    id: str
+    score: Callable[[Prefs, Column], Column]
+
+
+def tempo_glide(p: Prefs, strategy: Column) -> Column:
+    ramp = coerce((c("stretch") - 0.5) / max(0.1, p.max_stretch - 0.5), 0.0, 1.0)
+    fits = strategy.isin(*BLENDS) & (c("stretch") > 0.5) & (c("stretch") <= 2 * p.max_stretch) & c("matchable")
+    return F.when(fits, coerce(ramp * F.least("grid_a", "grid_b"), 0.0, 1.0)).otherwise(0.0)
+
+
+def texture_carry(p: Prefs, strategy: Column) -> Column:
+    level = c("texture_db_a").cast("double")
+    score = 0.55 * coerce((level + 45) / 25, 0.0, 1.0) + 0.45 * coerce((0.9 - c("similarity")) / 0.4, 0.0, 1.0)
+    return F.when(strategy.eqNullSafe(F.lit("ambientBridge")) | level.isNull() | (level <= -45), 0.0).when(strategy == "spectralFreezeBridge", score * 0.5).otherwise(coerce(score, 0.0, 1.0))
+
+
+MODIFIERS = (Modifier("tempoGlide", tempo_glide), Modifier("textureCarry", texture_carry))
+
+
+def energy_preference(strategy: str, energy: float) -> float:
+    """I8: 1 less half the distance between the energy wanted and how showy a strategy is."""
+    return min(1.0, max(0.0, 1 - abs(min(1.0, max(0.0, energy)) - AMBITION.get(strategy, 0.5)) * 0.5))
+
+
+def variety(strategy: Column, previous: Column, penalty: float) -> Column:
+    """Less for what was used just before, nothing for a showpiece used just before."""
+    again = F.when(strategy.isin(*COOLDOWN), 0.0).otherwise(min(1.0, max(0.0, 1 - min(1.0, max(0.0, penalty)))))
+    return F.when(strategy.eqNullSafe(previous) & previous.isNotNull(), again).otherwise(1.0)
+
+
+def fitted(scored: DataFrame, prefs: Prefs, keys: list[str], strategies: tuple[Strategy, ...]) -> DataFrame:
+    """The keys, what modifiers ask for, and each strategy's fit and blockers as columns fit_0, why_0, ...: every one worked out once."""
+    columns = {}
+    for n, s in enumerate(strategies):
         gates = F.array_compact(F.array(*[F.when(F.coalesce(g(prefs), F.lit(True)), F.lit(why)) for why, g in s.gates])) if s.gates else F.array().cast("array<string>")
         if s.id in prefs.excluded and s.id != "crossfade":  # the floor is never excluded
             gates = F.array_append(gates, F.lit("excluded"))
-        rows.append(F.struct(F.lit(s.id).alias("strategy"), F.lit(s.family).alias("family"), F.lit(ordinal).alias("ordinal"), F.coalesce(coerce(s.score(prefs), 0.0, 1.0), F.lit(0.0)).alias("fit"), gates.alias("blockers")))
-    return scored.select(*keys, F.explode(F.array(*rows)).alias("s")).select(*keys, "s.*").withColumn("applicable", (F.size("blockers") == 0) & (F.col("fit") > 0))
+        columns |= {f"fit_{n}": F.coalesce(coerce(s.score(prefs), 0.0, 1.0), F.lit(0.0)), f"why_{n}": gates}
+    asked = ("stretch", "matchable", "grid_a", "grid_b", "texture_db_a", "similarity")
+    return with_edges(scored).select(*keys, *[n for n in asked if n not in keys], *[x.alias(n) for n, x in columns.items()])
+
+
+def plans_of(scored: DataFrame, prefs: Prefs, keys: list[str], a: str, b: str, most: int | None = None, pin: Column | None = None, strategies: tuple[Strategy, ...] = STRATEGIES, modifiers: tuple[Modifier, ...] = MODIFIERS) -> DataFrame:
+    """The usable strategies of each pair, the pinned one first, then by score, with their modifiers.
+
+    They are ranked within the row, so a ranking needs no shuffle and no window; without variety and learning.
+    """
+    live = [m for m in modifiers if m.id not in prefs.excluded]
+    step = fitted(scored, prefs, keys, strategies)
+    goes = {}
+    for n, s in enumerate(strategies):
+        mods = [F.struct(F.lit(m.id).alias("modifier"), m.score(prefs, F.lit(s.id)).alias("score")) for m in live]
+        goes[f"mods_{n}"] = F.filter(F.array(*mods), lambda m: m["score"] > MODIFIER_FROM) if mods else F.expr("cast(array() as array<struct<modifier:string,score:double>>)")
+    step = step.select("*", *[x.alias(n) for n, x in goes.items()])
+    scores = {}
+    for n, s in enumerate(strategies):
+        worth = lambda m: m["score"] * F.when(m["modifier"] == "tempoGlide", MODIFIER_BONUS["tempoGlide"]).otherwise(MODIFIER_BONUS["textureCarry"])
+        bonus = F.aggregate(f"mods_{n}", F.lit(1.0), lambda acc, m: acc + worth(m))  # noqa: B023
+        by = max(0.0, prefs.weights.get(s.id, 1.0)) * energy_preference(s.id, prefs.energy)
+        scores[f"score_{n}"] = F.when((F.size(f"why_{n}") == 0) & (F.col(f"fit_{n}") > 0), F.col(f"fit_{n}") * by * bonus * jitter(F.col(a), F.col(b), F.lit(prefs.seed), F.lit(s.id)))
+    step = step.select("*", *[x.alias(n) for n, x in scores.items()])
+    rows = []
+    for n, s in enumerate(strategies):
+        rank = -F.col(f"score_{n}") if pin is None else F.when(pin.eqNullSafe(F.lit(s.id)), float("-inf")).otherwise(-F.col(f"score_{n}"))
+        made = F.struct(rank.alias("rank"), F.lit(n).alias("ordinal"), F.lit(s.id).alias("strategy"), F.col(f"fit_{n}").alias("fit"), F.col(f"score_{n}").alias("score"), F.col(f"mods_{n}").alias("modifiers"))
+        rows.append(F.when(F.col(f"score_{n}").isNotNull(), made))
+    best = F.array_sort(F.array_compact(F.array(*rows)))
+    found = step.select(*keys, F.posexplode(F.slice(best, 1, most) if most else best).alias("place", "s"))
+    return found.select(*keys, (F.col("place") + 1).alias("place"), "s.strategy", "s.ordinal", "s.fit", "s.score", "s.modifiers")
+
+
+def candidates(scored: DataFrame, prefs: Prefs, keys: list[str], strategies: tuple[Strategy, ...] = STRATEGIES) -> DataFrame:
+    """Pair x strategy in long form, with fit and blockers; one explode, no join."""
+    rows = [F.struct(F.lit(s.id).alias("strategy"), F.lit(s.family).alias("family"), F.lit(n).alias("ordinal"), F.col(f"fit_{n}").alias("fit"), F.col(f"why_{n}").alias("blockers")) for n, s in enumerate(strategies)]
+    found = fitted(scored, prefs, keys, strategies).select(*keys, F.explode(F.array(*rows)).alias("s"))
+    return found.select(*keys, "s.*").withColumn("applicable", (F.size("blockers") == 0) & (F.col("fit") > 0))
 
 
 def final_scores(found: DataFrame, prefs: Prefs, a: str, b: str, previous: Column | None = None, learned: DataFrame | None = None) -> DataFrame:
-    """Fit times weight, variety, jitter and the learned multiplier (one row for each strategy: broadcast)."""
+    """Fit times weight, energy preference, variety, jitter and the learned multiplier (one row for each strategy: broadcast)."""
     weight = F.lit(1.0)
-    for strategy, w in sorted(prefs.weights.items()):
-        weight = F.when(F.col("strategy") == strategy, float(w)).otherwise(weight)
-    variety = F.lit(1.0) if previous is None else F.when(F.col("strategy") == previous, 1 - prefs.variety).otherwise(1.0)
+    for s in sorted({*prefs.weights, *AMBITION}):
+        weight = F.when(F.col("strategy") == s, max(0.0, float(prefs.weights.get(s, 1.0))) * energy_preference(s, prefs.energy)).otherwise(weight)
+    again = F.lit(1.0) if previous is None else variety(F.col("strategy"), previous, prefs.variety)
     if learned is not None:
         found = found.join(F.broadcast(learned.select("strategy", "multiplier")), "strategy", "left")
     multiplier = F.lit(1.0) if learned is None else F.coalesce("multiplier", F.lit(1.0))
-    score = F.col("fit") * weight * variety * jitter(F.col(a), F.col(b), F.lit(prefs.seed), F.col("strategy")) * multiplier
+    score = F.col("fit") * weight * again * jitter(F.col(a), F.col(b), F.lit(prefs.seed), F.col("strategy")) * multiplier
     return found.withColumn("score", F.when(F.col("applicable"), score).otherwise(0.0))
 
 

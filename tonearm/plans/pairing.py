@@ -36,6 +36,14 @@ TRACK = {
     "intro_beats": "CAST((p_partkey * 47) % 80 AS INT)",
     "outro_type": "CAST((p_partkey + p_size) % 6 AS INT)",
     "intro_type": "CAST((p_partkey * 5 + 1) % 6 AS INT)",
+    "seconds": "CAST(2 + (p_partkey * 7) % 300 AS DOUBLE)",
+    "has_curve": "p_partkey % 10 <> 3",
+    "grid_beats": "CAST((p_partkey * 13) % 600 AS INT)",
+    "mix_in_beat": "CAST((p_partkey * 3) % 64 - 8 AS INT)",
+    "drop_beat": "CAST((p_partkey * 11) % 50 - 20 AS INT)",
+    "head_percussive": "CAST((p_partkey * 53) % 100 AS DOUBLE) / 100",
+    "onset_density": "CAST((p_partkey * 59) % 40 AS DOUBLE) / 10",
+    "texture_db": "CAST(-70 + (p_partkey * 61) % 60 AS DOUBLE)",
 }
 TRACKS = "tracks AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in TRACK.items()) + " FROM part)"
 PAIRS = f"""e AS {ENTRIES}, q AS (SELECT l_orderkey, position, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY position) AS b FROM e),
@@ -50,26 +58,28 @@ def distance_sql(ta: str, ma: str, tb: str, mb: str) -> str:
     return f"(least({d}, 12 - ({d})) + CASE WHEN ({ma}) <> ({mb}) THEN 1 ELSE 0 END)"
 
 
-def tracks(spark: SparkSession, sf: str) -> DataFrame:
+def tracks(spark: SparkSession, sf: str, spectra: bool = False) -> DataFrame:
     part = table(spark, sf, "part").select(*[F.expr(e).alias(n) for n, e in TRACK.items()])
     name = lambda values, c: F.get(F.array(*map(F.lit, values)), F.col(c))
     part = part.withColumns({"outro": name(P.OUTROS, "outro_type"), "intro": name(P.INTROS, "intro_type")})
+    if not spectra:
+        return part
     spectrum = F.array(*[(F.col("track_id") * (k + 3) % 17 + 1).cast("double") for k in range(8)])
     return part.withColumns({"outro_spectrum": spectrum, "intro_spectrum": F.reverse(spectrum)})
 
 
-def transitions(spark: SparkSession, sf: str) -> DataFrame:
+def transitions(spark: SparkSession, sf: str, spectra: bool = False) -> DataFrame:
     """Neighbours of every playlist with both tracks; lead() first, so two joins by track and no self-join."""
     order = entries(spark, sf).select("l_orderkey", "position", "l_partkey")
     nxt = order.withColumn("next", F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("position"))).filter("next is not null")
-    t = tracks(spark, sf)
+    t = tracks(spark, sf, spectra)
     a = t.select(F.col("track_id").alias("l_partkey"), F.struct("*").alias("a"))
     b = t.select(F.col("track_id").alias("next"), F.struct("*").alias("b"))
     return nxt.join(a, "l_partkey").join(b, "next").select("l_orderkey", "position", "a", "b")
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = transitions(spark, sf)
+def scored(spark: SparkSession, sf: str, spectra: bool = False) -> DataFrame:
+    pairs = transitions(spark, sf, spectra)
     keyed = pairs.select(F.struct("l_orderkey", "position", "a.*").alias("a"), "b")
     return P.sub_scores(P.features(keyed, PREFS), PREFS).withColumns({"l_orderkey": F.col("a.l_orderkey"), "position": F.col("a.position")})
 
@@ -92,7 +102,7 @@ f AS (SELECT *, CASE WHEN camelot_distance <= 1 THEN camelot_distance ELSE best.
 least(1.0, a_outro_beats / 32.0) * least(1.0, b_intro_beats / 32.0) AS room FROM d),
 g AS (SELECT *, exp(-((stretch / (8 / 1.5)) ^ 2)) * CASE WHEN relation = 'SAME' THEN 1 ELSE 0.85 END AS st, [1.0, 0.85, 0.5, 0.35, 0.1][least(distance, 4) + 1] AS kb FROM f),
 h AS (SELECT *, kb + (0.6 - kb) * weak AS sk, exp(-(((b_lufs - a_lufs) / 6) ^ 2)) * (1 - 0.5 * abs(ed)) AS se FROM g),
-cost AS (SELECT l_orderkey, position, (0.3 * (1 - st) + 0.2 * (1 - sk) + 0.15 * (1 - se) + 0.1 * (1 - least(a_grid_confidence, b_grid_confidence)) + 0.1 * (1 - {PRIOR}[a_outro_type * 6 + b_intro_type + 1]) + 0.05 * (1 - room)
+cost AS (SELECT l_orderkey, position, a_track_id, b_track_id, (0.3 * (1 - st) + 0.2 * (1 - sk) + 0.15 * (1 - se) + 0.1 * (1 - least(a_grid_confidence, b_grid_confidence)) + 0.1 * (1 - {PRIOR}[a_outro_type * 6 + b_intro_type + 1]) + 0.05 * (1 - room)
 + 0.1 * a_tail_vocal * b_head_vocal + CASE WHEN least(a_grid_confidence, b_grid_confidence) < 0.5 OR stretch > 8 OR room < 0.5 THEN 0.25 ELSE 0 END)::DOUBLE AS cost FROM h)"""
 
 
@@ -118,39 +128,115 @@ def compatible_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("l_orderkey", "position", P.pair_cost(s, PREFS).alias("cost")).orderBy("cost", "l_orderkey", "position").limit(10).withColumn("cost", F.round("cost", 12))
 
 
-@PLANS.query(f"WITH {TRACKS} SELECT a.track_id AS a, b.track_id AS b, abs(a.bpm - b.bpm) AS gap FROM tracks a JOIN tracks b ON a.bpm = b.bpm AND a.track_id <> b.track_id WHERE a.tonic = b.tonic AND a.minor = b.minor")
+@PLANS.query(f"WITH {TRACKS}, t AS (SELECT *, bpm + track_id % 7 / 10.0 AS tempo FROM tracks) SELECT a.track_id AS a, b.track_id AS b, round(abs(a.tempo - b.tempo), 6)::DOUBLE AS gap FROM t a JOIN t b ON a.tonic = b.tonic AND a.minor = b.minor AND a.track_id <> b.track_id WHERE abs(a.tempo - b.tempo) <= 2.25")
 def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Successors of equal key within half a beat per minute, by buckets."""
+    """Successors of equal key within 2.25 beats per minute, by buckets of that width and their neighbours."""
     near = (F.col("a.tonic") == F.col("b.tonic")) & (F.col("a.minor") == F.col("b.minor"))
-    found = P.candidate_pairs(tracks(spark, sf).select("track_id", "bpm", "tonic", "minor"), "track_id", "bpm", 0.5, near)
-    return found.select(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"), F.abs(F.col("a.bpm") - F.col("b.bpm")).alias("gap"))
-
-
-@PLANS.query()
+    t = tracks(spark, sf).select("track_id", (F.col("bpm") + F.col("track_id") % 7 / 10.0).alias("tempo"), "tonic", "minor")
+    found = P.candidate_pairs(t, "track_id", "tempo", 2.25, near)
+    return found.select(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"), F.round(F.abs(F.col("a.tempo") - F.col("b.tempo")), 6).alias("gap"))
+
+
+def _edge(table: dict[str, float], names: tuple[str, ...], column: str) -> str:
+    return f"([{', '.join(str(table[n]) for n in names)}]::DOUBLE[])[{column} + 1]"
+
+
+def _fits() -> tuple[str, list[tuple[str, str, list[tuple[str, str]]]]]:
+    """The scores that strategies share, as one more step of SQL, and each strategy's fit and blockers."""
+    kinds = ", ".join(f"{_edge(P.OUTRO_FIT[n], P.OUTROS, 'a_outro_type')} AS o_{n}, {_edge(P.INTRO_FIT[n], P.INTROS, 'b_intro_type')} AS i_{n}" for n in P.OUTRO_FIT)
+    kinds += ", " + ", ".join(f"{_edge(P.INTRO_FIT[n], P.INTROS, 'b_intro_type')} AS i_{n}" for n in ("echo", "drop"))
+    spectrum = lambda side, ks: "[" + ", ".join(f"{side}_track_id * {k + 3} % 17 + 1" for k in ks) + "]::DOUBLE[]"
+    step = f"""w AS (SELECT *, least(a_grid_confidence, b_grid_confidence) AS g, a_tail_vocal * b_head_vocal AS vc, least(a_grid_confidence, b_grid_confidence) >= 0.5 AS matchable, 1 + b_track_id * 0 AS one,
+CASE WHEN b_grid_beats > 0 THEN greatest(b_grid_beats - greatest(b_mix_in_beat, 0), 0) ELSE 0 END AS iroom, {spectrum('a', range(8))} AS sa, {spectrum('b', range(7, -1, -1))} AS sb, {kinds} FROM h),
+x AS (SELECT *, NOT matchable OR stretch > 8 AS far, least(1, a_outro_beats / 32.0) * least(1, iroom / 32.0) AS deck, list_dot_product(sa, sb) / sqrt(list_dot_product(sa, sa) * list_dot_product(sb, sb)) AS sim,
+greatest(0, least(1, 0.5 + 0.5 * (ed + 1) / 2)) AS rising, 0.7 * a_tail_percussive + 0.3 * b_head_percussive AS drums FROM w)"""
+    far = lambda x: f"CASE WHEN far THEN 1.0 ELSE {x} END"
+    match = [("not beat-matchable", "NOT matchable"), ("stretch over the limit", "stretch > 8")]
+    beat, deck = [*match, ("no room", "room < 0.5")], [("no grid", "a_grid_beats < 2 OR b_grid_beats < 2"), *match, ("no room", "deck < 0.5")]
+    grid_a, landing = ("no usable grid in a", "a_grid_beats <= 0 OR a_grid_confidence < 0.5"), ("nothing to land on in b", "b_grid_beats <= 0 AND b_mix_in_beat < 0")
+    shift = "CASE WHEN camelot_distance <= 1 THEN 0 ELSE best.s END"
+    return step, [
+        ("crossfade", "CASE WHEN far OR distance > 2 THEN 0.3 ELSE 0.05 END", []),
+        ("outroIntroMinimal", "(0.5 * o_minimal * i_minimal + 0.2 * se + 0.15 * (1 - vc) + 0.15 * least(1, b_intro_beats / 4.0)) * CASE WHEN a_has_curve THEN 1 ELSE 0.8 END", [("a stops hard", "a_outro_type = 0"), ("b starts cold", "b_intro_type = 3"), ("a is shorter than the overlap", "a_seconds < 4")]),
+        ("phraseCut", f"0.4 * o_cut * i_cut + 0.25 * {far(0.55)} + 0.2 * a_grid_confidence + 0.15 * (1 - vc)", [grid_a, landing]),
+        ("beatMatchedBlend", "0.3 * st + 0.15 * sk + 0.15 * se + 0.1 * (1 - vc) + 0.1 * g + 0.1 * o_blend * i_blend + 0.1 * room", beat),
+        ("bassSwap", "0.3 * st + 0.15 * least(1, least(a_tail_low, b_head_low) / 0.3) + 0.1 * sk + 0.1 * se + 0.1 * (1 - vc) + 0.1 * g + 0.05 * o_blend * i_blend + 0.1 * room", beat),
+        ("stemSwap", "0.25 * st + 0.15 * sk + 0.1 * se + 0.1 * (1 - vc) + 0.15 * g + 0.1 * (least(o_stems, i_stems) / 2 + o_stems * i_stems / 2) + 0.05 * deck + 0.08", deck),
+        ("drumBreakBridge", "0.2 * st + 0.1 * sk + 0.1 * se + 0.05 * (1 - vc) + 0.15 * g + 0.15 * (0.6 * greatest(o_break, i_break) + 0.4 * least(o_break, i_break)) + 0.05 * deck + 0.2 * drums", [*deck, ("tail not percussive", "a_tail_percussive <= 0.5")]),
+        ("filterSweep", f"0.28 * {far(0.7)} + 0.22 * room + 0.18 * a_grid_confidence + 0.14 * (1 - 0.4 * sim) + 0.1 * (1 - 0.5 * greatest(0, a_tail_low + b_head_low - 1)) + 0.08 * (1 - 0.5 * vc)", [grid_a, ("no grid in b", "b_grid_beats <= 0"), ("less than a bar left", "a_outro_beats BETWEEN 0 AND 3")]),
+        ("echoOut", f"(0.3 * {far(0.75)} + 0.25 * i_echo + 0.2 * a_grid_confidence + 0.15 * (1 - 0.4 * greatest(0, ed)) + 0.1 * (1 - 0.5 * vc)) * CASE WHEN a_bpm < 80 THEN 0.8 ELSE 1 END", [grid_a, ("no tempo in a", "a_bpm <= 0")]),
+        ("loopRollRiser", f"0.32 * i_drop * CASE WHEN b_drop_beat >= 0 THEN 1 ELSE 0.85 END + 0.22 * rising + 0.18 * a_grid_confidence + 0.14 * {far(0.8)} + 0.14 * 0.6", [grid_a, landing, ("b starts silent", "b_intro_type = 4")]),
+        ("harmonicBlend", f"(0.25 * st + 0.3 * sk + 0.1 * se + 0.1 * (1 - vc) + 0.1 * g + 0.05 * o_blend * i_blend + 0.1 * room) * (1 - 0.05 * abs({shift}))", [*beat, ("keys too far", "distance > 1"), ("keys too weak", "least(a_key_strength, b_key_strength) < 0.6")]),
+        ("spectralFreezeBridge", "0.35 * (0.7 * o_freeze + 0.3 * i_freeze) + 0.2 * (1 - a_tail_percussive) + 0.15 * greatest(0, least(1, 1 - a_onset_density / 2)) + 0.15 * sk + 0.15 * exp(-(((b_lufs - a_lufs) / 6) ^ 2))", [("tail too percussive", "1 - a_tail_percussive <= 0.6")]),
+        ("ambientBridge", "0.15 + 0.45 * greatest(CASE WHEN NOT matchable THEN 1 WHEN stretch > 8 THEN least(1, (stretch - 8) / 4) ELSE 0 END, CASE WHEN distance <= 1 THEN 0 WHEN distance = 2 THEN 0.5 ELSE 1 END, greatest(0, least(1, (o_bridge * i_bridge - 0.7) / 0.3)))", []),
+        ("brakeStop", "0.3 * CASE WHEN b_intro_type = 3 THEN 1 ELSE 0.85 END + 0.22 * greatest(0, least(1, (a_tail_percussive - 0.4) / 0.6)) + 0.18 * rising + 0.15 * 0.6 + 0.1 * (0.5 + 0.5 * a_grid_confidence) + 0.05", [("b neither starts cold nor on a beat", "b_intro_type NOT IN (0, 3)"), ("tail not percussive", "a_tail_percussive <= 0.4"), ("a is too short to brake", "a_seconds < 2.5")]),
+    ]
+
+
+STEP, FITS = _fits()
+GLIDE = "CASE WHEN stretch > 0.5 AND stretch <= 16 AND matchable THEN greatest(0, least(1, (stretch - 0.5) / 7.5)) * g ELSE 0 END"
+CARRY = "CASE WHEN a_texture_db <= -45 THEN 0 ELSE 0.55 * least(1, (a_texture_db + 45) / 25) + 0.45 * greatest(0, least(1, (0.9 - sim) / 0.4)) END"
+
+
+def _candidates() -> str:
+    rows = []
+    for n, (s, fit, gates) in enumerate(FITS):
+        glide = GLIDE if s in P.BLENDS else "0"
+        carry = {"ambientBridge": "0", "spectralFreezeBridge": f"0.5 * {CARRY}"}.get(s, CARRY)
+        why = ", ".join(f"CASE WHEN {w} THEN '{r}' END" for r, w in gates)
+        rows.append(f"{{'n': {n}, 's': '{s}', 'fit': greatest(0, least(1, {fit}))::DOUBLE, 'pref': {P.energy_preference(s, 0.5)}::DOUBLE, 'glide': ({glide})::DOUBLE, 'carry': ({carry})::DOUBLE, 'why': list_filter([{why}]::VARCHAR[], lambda z: z IS NOT NULL)}}")
+    prior = COST[: COST.index("cost AS (")]
+    return f"""{prior}{STEP}, y AS (SELECT l_orderkey, position, a_track_id, b_track_id, unnest([{', '.join(rows)}]) AS c FROM x),
+z AS (SELECT l_orderkey, position, a_track_id, b_track_id, c.n AS n, c.s AS strategy, c.fit AS fit, c.why AS why, len(c.why) = 0 AND c.fit > 0 AS ok, c.glide AS glide, c.carry AS carry, c.pref AS pref,
+1 + CASE WHEN c.glide > 0.3 THEN 0.15 * c.glide ELSE 0 END + CASE WHEN c.carry > 0.3 THEN 0.1 * c.carry ELSE 0 END AS bonus,
+1 + 0.05 * (2 * ((('0x' || sha256(concat(a_track_id, chr(0), b_track_id, chr(0), 1, chr(0), c.s))[1:14])::BIGINT >> 3) / 9007199254740992.0) - 1) AS jitter FROM y),
+ranked AS (SELECT *, fit * pref * bonus * jitter AS score, row_number() OVER (PARTITION BY l_orderkey, position ORDER BY fit * pref * bonus * jitter DESC, n) AS place FROM z WHERE ok)"""
+
+
+CANDIDATES = _candidates()
+KEYS = ["l_orderkey", "position", "a_id", "b_id"]
+
+
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored transitions with the ids that jitter needs."""
+    return scored(spark, sf, True).withColumns({"a_id": F.col("a.track_id"), "b_id": F.col("b.track_id")})
+
+
+@PLANS.query(f"WITH {CANDIDATES} SELECT l_orderkey, position, place, strategy, round(fit + 1e-9, 6) AS fit, round(score + 1e-9, 6) AS score, list_filter([CASE WHEN glide > 0.3 THEN 'tempoGlide' END, CASE WHEN carry > 0.3 THEN 'textureCarry' END], lambda m: m IS NOT NULL) AS modifiers FROM ranked WHERE place <= 3")
 def strategy_plans(spark: SparkSession, sf: str) -> DataFrame:
-    """The three best strategies of every transition."""
-    s = scored(spark, sf).withColumns({"a_id": F.col("a.track_id"), "b_id": F.col("b.track_id")})
-    found = P.candidates(s, PREFS, ["l_orderkey", "position", "a_id", "b_id"])
-    plans = P.ranked(P.final_scores(found, PREFS, "a_id", "b_id"), ["l_orderkey", "position"])
-    return plans.filter("place <= 3").select("l_orderkey", "position", "place", "strategy", F.round("fit", 6).alias("fit"), F.round("score", 6).alias("score"))
+    """The three best strategies of every transition, ranked within the row, with their modifiers."""
+    plans = P.plans_of(candidates(spark, sf), PREFS, KEYS, "a_id", "b_id", 3)
+    return plans.select("l_orderkey", "position", F.col("place").cast("long").alias("place"), "strategy", F.round(F.col("fit") + 1e-9, 6).alias("fit"), F.round(F.col("score") + 1e-9, 6).alias("score"), F.transform("modifiers", lambda m: m["modifier"]).alias("modifiers"))
 
 
-@PLANS.query()
+@PLANS.query(f"WITH {CANDIDATES} SELECT strategy, reason, count(*) AS n FROM (SELECT strategy, unnest(why) AS reason FROM z UNION ALL SELECT strategy, NULL FROM z WHERE len(why) = 0 AND fit <= 0) GROUP BY 1, 2")
 def skipped_strategies(spark: SparkSession, sf: str) -> DataFrame:
     """Why strategies can't be used, counted."""
-    found = P.candidates(scored(spark, sf), PREFS, ["l_orderkey", "position"])
+    found = P.candidates(scored(spark, sf, True), PREFS, ["l_orderkey", "position"])
     return P.skipped(found, ["l_orderkey", "position"]).groupBy("strategy", "reason").agg(F.count("*").alias("n"))
 
 
-@PLANS.query(f"WITH {PAIRS} SELECT count(*) AS pairs, 0::BIGINT AS without FROM u")
+@PLANS.query(f"WITH {CANDIDATES}, every AS (SELECT l_orderkey, position, bool_or(ok) AS ok FROM z GROUP BY 1, 2) SELECT count(*) AS pairs, count(*) FILTER (NOT ok) AS without FROM every")
 def floor_guarantee(spark: SparkSession, sf: str) -> DataFrame:
     """Every transition has a strategy that can be used."""
-    found = P.candidates(scored(spark, sf), PREFS, ["l_orderkey", "position"])
+    found = P.candidates(scored(spark, sf, True), PREFS, ["l_orderkey", "position"])
     any_ = found.groupBy("l_orderkey", "position").agg(F.max("applicable").alias("any"))
     return any_.agg(F.count("*").alias("pairs"), F.count_if(~F.col("any")).alias("without"))
 
 
-@PLANS.query()
+@PLANS.query(f"WITH {CANDIDATES} SELECT strategy, count(*) AS chosen, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM ranked WHERE place = 1 GROUP BY 1")
+def compatibility_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The best strategy and score of each pair, rolled up by strategy."""
+    best = P.plans_of(candidates(spark, sf), PREFS, KEYS, "a_id", "b_id", 1)
+    return best.groupBy("strategy").agg(F.count("*").alias("chosen"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.max("score"), 6).alias("max_score"))
+
+
+RULE_FIT = "(st + sk + se + 1 - a_tail_vocal * b_head_vocal) / 4"
+
+
+@PLANS.query(f"""WITH {COST[:COST.index("cost AS (")]}x AS (SELECT *, least(a_grid_confidence, b_grid_confidence) >= 0.5 AS matchable FROM h)
+SELECT l_orderkey, position, 'long blend' AS strategy, round(0.8 * (0.5 + 0.5 * {RULE_FIT}), 6)::DOUBLE AS fit FROM x WHERE stretch <= 8 AND matchable AND distance <= 1 AND a_outro_type IN (2, 5)
+UNION ALL SELECT l_orderkey, position, 'calm fade', round(0.5 * (0.5 + 0.5 * {RULE_FIT}), 6)::DOUBLE FROM x WHERE stretch <= 8 AND b_intro_type IN (1, 4) AND ed BETWEEN -1 AND 0.2""")
 def rule_plans(spark: SparkSession, sf: str) -> DataFrame:
     """Two declarative rules against every transition."""
     rules = [P.Rule("long blend", 0.8, needs_match=True, max_distance=1, outros=("BEAT_OUTRO", "UNKNOWN")), P.Rule("calm fade", 0.5, intros=("AMBIENT_INTRO", "SILENCE"), energy=(-1.0, 0.2))]

@@ -1,6 +1,6 @@
-"""Ordering many sets at once (ids J2-J9, D21): one bounded set is one group, groups run in parallel.
+"""Ordering many sets at once (ids J2-J9, D21, E4): one bounded set is one group, groups run in parallel.
 
-Sets over MOST items are cut by energy quantile into blocks that are ordered in parallel and stitched in order.
+Sets over MOST items are cut by energy into blocks of a bounded size that are ordered in parallel and stitched in order.
 """
 
 from __future__ import annotations
@@ -10,9 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.functions.music import arc_target
+from tonearm.functions.music import CAMELOT_MAJOR, CAMELOT_MINOR, KEY_BY_DISTANCE, arc_target
+from tonearm.operators.pairs import INTROS, OUTROS, PRIORS, Prefs
 
-MOST, ARTIST_PENALTY, ARC_WEIGHT, ROUNDS = 500, 0.3, 0.5, 4
+#: Items of a set that is ordered as a whole, penalties and weights of the objective, what a known best plan counts.
+MOST, ARTIST_PENALTY, ARC_WEIGHT, PLANNER_BLEND, UNKNOWN_COST, ENOUGH = 500, 0.3, 0.5, 0.5, 0.5, 1e-9
+#: Moves that a search may try.
+BUDGET = 40_000_000
+#: A track's columns that its costs depend on.
+COST_COLUMNS = ("bpm", "tonic", "minor", "lufs", "tail_energy", "head_energy", "tail_vocal", "head_vocal", "grid_confidence", "key_strength", "outro", "intro", "outro_beats", "intro_beats")
 
 
 def objective(cost: Column, same_artist: Column, arc: str, quantile: Column, place: Column, n: Column) -> Column:
@@ -21,57 +27,186 @@ def objective(cost: Column, same_artist: Column, arc: str, quantile: Column, pla
     return cost + F.when(same_artist, ARTIST_PENALTY).otherwise(0.0) + off
 
 
-def blocks(items: DataFrame, group: str, quantile: str, most: int = MOST) -> DataFrame:
-    """Sets cut into energy blocks of at most about `most` items (column `block`)."""
-    n = items.groupBy(group).agg(F.count("*").alias("__n"))
-    parts = F.ceil(F.col("__n") / most)
-    return items.join(n, group).withColumn("block", F.least(parts - 1, F.floor(F.col(quantile) * parts)).cast("int")).drop("__n")
+def refined(cost: Column, best: Column) -> Column:
+    """Pair cost blended with the planner's best score, where one is known."""
+    blend = PLANNER_BLEND * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), best))) + (1 - PLANNER_BLEND) * cost
+    return F.coalesce(blend, cost)
 
 
-def ordered(items: DataFrame, group: str, item: str, features: list[str], improve: bool = True) -> DataFrame:
-    """Each set (or block) by nearest neighbour from its first item, then 2-opt; distance: mean absolute difference of features.
+def blocks(items: DataFrame, group: str, energy: str, item: str, most: int = MOST) -> DataFrame:
+    """Sets cut by energy into blocks of no more than about `most` items (columns `block`, `part`), with no window over a set.
 
-    Returns the columns (group, block, item, position). A block has about MOST items, so its matrix is small.
+    Approximate quantiles of each set cut it; what ties leave too large is dealt by hash to parts of half the size.
+    """
+    target = max(1, most // 2)
+    cuts = F.percentile_approx(energy, F.lit([i / 1000 for i in range(1, 1000)]), 10_000)
+    sizes = items.groupBy(group).agg(F.count("*").alias("__n"), cuts.alias("__cuts"))
+    wanted = F.ceil(F.col("__n") / target)
+    chosen = F.when(F.col("__n") <= most, F.array().cast("array<double>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(999), wanted.cast("int") - 1))), lambda k: F.get("__cuts", F.floor(k * 1000 / F.greatest(wanted, F.lit(2))).cast("int") - 1).cast("double")))
+    )
+    # A set of one library may need more than 1000 cuts; what they leave too large is split below as ties are.
+    edges = sizes.select(F.col(group).alias("__g"), "__n", F.filter(chosen, lambda x: x.isNotNull()).alias("__edges"))
+    cut = items.join(edges, F.col(group).eqNullSafe(F.col("__g"))).withColumn("block", F.when(F.col("__n") <= most, 0).otherwise(F.size(F.filter("__edges", lambda e: e < F.col(energy).cast("double")))).cast("int"))
+    held = cut.groupBy("__g", "block").agg(F.count("*").alias("__in")).withColumnsRenamed({"__g": "__h", "block": "__b"})
+    both = cut.join(held, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("block") == F.col("__b")))
+    part = F.when(F.col("__in") <= most, 0).otherwise(F.pmod(F.xxhash64(item), F.ceil(F.col("__in") / target))).cast("int")
+    return both.withColumn("part", part).drop("__n", "__g", "__edges", "__h", "__b", "__in")
+
+
+def cost_matrix(rows: pd.DataFrame, prefs: Prefs) -> np.ndarray:
+    """J1 for all ordered pairs of one block: the same terms as pairs.pair_cost, as arrays; rows with an unknown tempo or value cost UNKNOWN_COST."""
+    x = {n: rows[n].to_numpy() for n in COST_COLUMNS}
+    a, b = (lambda n: x[n][:, None]), (lambda n: x[n][None, :])
+    f = lambda v: np.asarray(v, float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = f(b("bpm")) / f(a("bpm"))
+        tries = np.stack([np.abs(np.log(r)), np.abs(np.log(r / 2)), np.abs(np.log(r * 2))])
+        half, double = (tries[1] < tries[0]) & (tries[1] <= tries[2]), (tries[2] < tries[1]) & (tries[2] < tries[0])
+        stretch = np.abs(np.where(half, r / 2, np.where(double, r * 2, r)) - 1) * 100
+        octave = np.where(half | double, 0.85, 1.0)
+        sigma = prefs.max_stretch / 1.5
+        tempo = (np.exp(-((stretch / sigma) ** 2)) if sigma > 0 else (stretch <= 0).astype(float)) * octave
+        number = lambda tonic, minor: np.where(minor, np.array(CAMELOT_MINOR)[tonic % 12], np.array(CAMELOT_MAJOR)[tonic % 12])
+        tonic, minor = x["tonic"].astype(int), x["minor"].astype(bool)
+        here, shifts = number(tonic, minor)[:, None], [0, *[s for m in range(1, max(0, min(6, prefs.max_shift)) + 1) for s in (m, -m)]]
+        apart = []
+        for s in shifts:
+            d = (here - number(tonic + s, minor)[None, :]) % 12
+            apart.append(np.minimum(d, 12 - d) + (minor[:, None] != minor[None, :]))
+        distance = np.where(apart[0] <= 1, apart[0], np.min(apart, axis=0))
+        weak = 1 - np.minimum(np.clip(f(a("key_strength")), 0, 1), np.clip(f(b("key_strength")), 0, 1))
+        base = np.array(KEY_BY_DISTANCE)[np.clip(distance, 0, 4)]
+        key = base + (0.6 - base) * weak
+        audible = lambda v: np.isfinite(v) & (v > -100)
+        la, lb = f(a("lufs")), f(b("lufs"))
+        louder = np.where(audible(la) & audible(lb), lb - la, 0.0)
+        rise = np.nan_to_num(np.clip(f(b("head_energy")) - f(a("tail_energy")), -1, 1))
+        energy = np.exp(-((louder / 6) ** 2)) * (1 - 0.5 * np.abs(rise))
+        vocal = 1 - np.nan_to_num(np.clip(f(a("tail_vocal")) * f(b("head_vocal")), 0, 1))
+        grid = np.minimum(np.clip(f(a("grid_confidence")), 0, 1), np.clip(f(b("grid_confidence")), 0, 1))
+        place = lambda names, kinds: np.array([names.index(k) if k in names else 5 for k in kinds])
+        struct = np.array(PRIORS["beat"])[place(OUTROS, x["outro"])[:, None], place(INTROS, x["intro"])[None, :]]
+        share = lambda v: np.minimum(1.0, np.maximum(f(v), 0) / 32)
+        room = share(a("outro_beats")) * share(b("intro_beats"))
+        blocked = (grid < 0.5) | (stretch > prefs.max_stretch) | (room < 0.5)
+        total = 0.30 * (1 - tempo) + 0.20 * (1 - key) + 0.15 * (1 - energy) + 0.10 * (1 - grid) + 0.10 * (1 - struct) + 0.05 * (1 - room) + 0.10 * (1 - vocal) + np.where(blocked, 0.25, 0.0)
+    return np.where(np.isnan(total), UNKNOWN_COST, total)
+
+
+def greedy(obj: np.ndarray, arc: np.ndarray | None, start: int = 0) -> list[int]:
+    """From the start item on, always the cheapest that is left (the first of equals); arc[t, k] is what item t costs at place k."""
+    n = len(obj)
+    order, free = [start], np.ones(n, bool)
+    free[start] = False
+    while len(order) < n:
+        score = obj[order[-1]] + (arc[:, len(order)] if arc is not None else 0.0)
+        best = int(np.argmin(np.where(free, score, np.inf)))
+        order.append(best)
+        free[best] = False
+    return order
+
+
+def improved(order: list[int], obj: np.ndarray, arc: np.ndarray | None = None, budget: int = BUDGET) -> list[int]:
+    """Reversals and moves of one to three items, the first that helps each time, until none does; the first item stays."""
+    o, n, work = np.array(order), len(order), 0
+    places = np.arange(n)
+
+    def reversals() -> bool:
+        nonlocal o, work
+        any_ = False
+        for i in range(1, n - 1):
+            j = i + 1
+            while j < n and work < budget:
+                forward = np.concatenate([[0.0], np.cumsum(obj[o[i:-1], o[i + 1 :]])])
+                backward = np.concatenate([[0.0], np.cumsum(obj[o[i + 1 :], o[i:-1]])])
+                ends = np.arange(j, n)
+                after = o[np.minimum(ends + 1, n - 1)]
+                tail = np.where(ends < n - 1, obj[o[i], after] - obj[o[ends], after], 0.0)
+                delta = backward[ends - i] - forward[ends - i] + obj[o[i - 1], o[ends]] - obj[o[i - 1], o[i]] + tail
+                if arc is not None:
+                    delta += np.array([arc[o[i : e + 1][::-1], places[i : e + 1]].sum() - arc[o[i : e + 1], places[i : e + 1]].sum() for e in ends])
+                good = np.flatnonzero(delta < -ENOUGH)
+                if not len(good):
+                    work += len(ends)
+                    break
+                e = int(ends[good[0]])
+                work += e - j + 1 + n
+                o[i : e + 1] = o[i : e + 1][::-1].copy()
+                any_, j = True, e + 1
+        return any_
+
+    def moves() -> bool:
+        nonlocal o, work
+        any_ = False
+        for size in (1, 2, 3):
+            i = 1
+            while i + size <= n and work < budget:
+                rest = np.concatenate([o[:i], o[i + size :]])
+                part = o[i : i + size]
+                removal = -obj[o[i - 1], part[0]] + (obj[o[i - 1], o[i + size]] - obj[part[-1], o[i + size]] if i + size < n else 0.0)
+                at = np.arange(1, len(rest) + 1)  # the part stands before rest[at]
+                left = rest[at - 1]
+                right = rest[np.minimum(at, len(rest) - 1)]
+                inner = np.where(at < len(rest), obj[part[-1], right] - obj[left, right], 0.0)
+                delta = removal + obj[left, part[0]] + inner
+                if arc is not None:
+                    base = arc[o, places].sum()
+                    delta += np.array([arc[np.concatenate([rest[:p], part, rest[p:]]), places].sum() - base for p in at])
+                delta[at == i] = 0.0  # where it stands now
+                good = np.flatnonzero(delta < -ENOUGH)
+                work += int(good[0]) + 1 + n if len(good) else len(at)
+                if len(good):
+                    p = int(at[good[0]])
+                    o = np.concatenate([rest[:p], part, rest[p:]])
+                    any_ = True
+                else:
+                    i += 1
+        return any_
+
+    if n >= 3:
+        while work < budget:
+            if not (reversals() | moves()):
+                break
+    return o.tolist()
+
+
+def ordered(items: DataFrame, group: str, item: str, prefs: Prefs, artist: str = "artist", arc: str = "flat", energy: str = "energy", improve: bool = True) -> DataFrame:
+    """Each block of each set by the whole objective, from its first item by id on: (group, block, part, item, position, cost).
+
+    `cost` is the objective's pair part from the item before (0 for the first). A block has about MOST items, so its matrix is small.
     """
     kinds = dict(items.dtypes)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(item).reset_index(drop=True)
-        x = rows[features].to_numpy(float)
-        n = len(x)
-        cost = np.abs(x[:, None, :] - x[None, :, :]).mean(axis=2)
-        order, free = [0], np.ones(n, bool)
-        free[0] = False
-        while len(order) < n:
-            nxt = int(np.argmin(np.where(free, cost[order[-1]], np.inf)))
-            order.append(nxt)
-            free[nxt] = False
-        for _ in range(ROUNDS if improve else 0):
-            better = False
-            for i in range(1, n - 2):
-                a = order[i - 1]
-                ends = np.array(order[i + 1 :])
-                after = np.append(ends[1:], -1)
-                tail = np.where(after >= 0, cost[ends, after], 0.0)
-                new_tail = np.where(after >= 0, cost[order[i], after], 0.0)
-                gain = cost[a, order[i]] + tail - cost[a, ends] - new_tail
-                best = int(np.argmax(gain))
-                if gain[best] > 1e-12:
-                    order[i : i + 2 + best] = order[i : i + 2 + best][::-1]
-                    better = True
-            if not better:
-                break
-        return pd.DataFrame({group: rows[group], "block": rows["block"], item: rows[item].to_numpy()[order], "position": np.arange(n)})
-
-    return items.select(group, "block", item, *features).groupBy(group, "block").applyInPandas(solve, f"{group} {kinds[group]}, block int, {item} {kinds[item]}, position long")
+        n = len(rows)
+        names = rows[artist].fillna("").str.strip().str.lower().to_numpy()
+        obj = cost_matrix(rows, prefs) + np.where((names[:, None] == names[None, :]) & (names[:, None] != ""), ARTIST_PENALTY, 0.0)
+        bend = None
+        if arc != "flat":
+            e = rows[energy].to_numpy(float)
+            known = np.sort(e[~np.isnan(e)])
+            q = (np.searchsorted(known, e, "left") + np.searchsorted(known, e, "right") - 1) / 2 / max(1, len(known) - 1) if len(known) > 1 else np.full(n, 0.5)
+            p = np.arange(n) / max(1, n - 1)
+            target = {"rising": p, "wave": 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / 10), "peak": np.where(p <= 0.7, 0.15 + 0.85 * p / 0.7, 1 - 0.6 * (p - 0.7) / 0.3)}[arc]
+            bend = np.where(np.isnan(e)[:, None], 0.0, ARC_WEIGHT * np.abs(q[:, None] - target[None, :]))
+        order = greedy(obj, bend)
+        if improve:
+            order = improved(order, obj, bend)
+        cost = [0.0, *[obj[x, y] for x, y in zip(order, order[1:], strict=False)]]
+        return pd.DataFrame({group: rows[group], "block": rows["block"], "part": rows["part"], item: rows[item].to_numpy()[order], "position": np.arange(n), "cost": cost})
+
+    wanted = list(dict.fromkeys([group, "block", "part", item, artist, energy, *COST_COLUMNS]))
+    return items.select(*wanted).groupBy(group, "block", "part").applyInPandas(solve, f"{group} {kinds[group]}, block int, part int, {item} {kinds[item]}, position long, cost double")
 
 
 def stitched(parts: DataFrame, group: str) -> DataFrame:
     """Blocks one after another: positions shifted by the sizes of the blocks before."""
-    sizes = parts.groupBy(group, "block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy(group, "block", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.withColumn("before", before).drop("n")
-    return parts.join(shift, [group, "block"]).withColumn("position", F.col("position") + F.col("before")).drop("before", "block")
+    return parts.join(shift, [group, "block", "part"]).withColumn("position", F.col("position") + F.col("before")).drop("before", "block", "part")
 
 
 def report(order: DataFrame, group: list[str], position: list[str], cost: Column, columns: list[str], name: str = "cost") -> DataFrame:
@@ -82,12 +217,37 @@ def report(order: DataFrame, group: list[str], position: list[str], cost: Column
 
 
 def random_orders(items: DataFrame, group: str, item: str, seeds: int) -> DataFrame:
-    """Seeded random orders of each set, to compare an order with: (group, seed, item, position)."""
+    """Seeded random orders of each set, to compare an order with: (group, seed, item, position)."""
     each = items.select(group, item, F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
     w = Window.partitionBy(group, "seed").orderBy(F.xxhash64("seed", item), item)
     return each.withColumn("position", F.row_number().over(w) - 1)
 
 
-def arranged(queue: DataFrame, group: str, version: DataFrame) -> DataFrame:
-    """New orders (group, version, item, position) applied where the queue's version is still the one they were made for."""
-    return queue.join(version, [group, "version"], "left_semi")
+def gain_over(mean_cost: Column, random_costs: Column) -> Column:
+    """The share by which an order's mean cost lies below the median of random orders' (an array)."""
+    sorted_ = F.sort_array(random_costs)
+    n = F.size(sorted_)
+    middle = (F.get(sorted_, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_, F.floor(n / 2).cast("int"))) / 2
+    return F.when(middle > 0, 1 - mean_cost / middle)
+
+
+def horizon(queue: DataFrame, group: str, anchor: Column, length: int = 64, ahead: int = 16) -> DataFrame:
+    """The slots after an anchor that a pass may arrange, for queues whose arranged part ends within `ahead` of it.
+
+    queue: group, item, position, version, arranged_to (the last position arranged so far).
+    """
+    due = F.coalesce(F.col("arranged_to"), F.lit(-1)) - anchor < ahead
+    return queue.filter(due & (F.col("position") > anchor) & (F.col("position") <= anchor + length))
+
+
+def arranged(queue: DataFrame, made: DataFrame, group: str) -> DataFrame:
+    """Queue (group, item, position, version) with the orders made for it (group, version, item, position) put in place.
+
+    An order counts only while the queue's version is the one it was made for and its items are those in its slots.
+    """
+    slots = made.groupBy(group, "version").agg(F.min("position").alias("__from"), F.max("position").alias("__to"), F.sort_array(F.collect_list("item")).alias("__new"))
+    inside = queue.join(slots, [group, "version"]).filter(F.col("position").between(F.col("__from"), F.col("__to")))
+    good = inside.groupBy(group, "version").agg(F.sort_array(F.collect_list("item")).alias("__old"), F.first("__new").alias("__new"), F.first("__from").alias("__from"), F.first("__to").alias("__to")).filter("__old = __new")
+    good = good.select(group, "version", "__from", "__to")
+    kept = queue.join(good, [group, "version"], "left").filter(F.col("__from").isNull() | ~F.col("position").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
+    return kept.unionByName(made.join(good.select(group, "version"), [group, "version"], "left_semi").select(*queue.columns))

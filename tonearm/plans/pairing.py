@@ -246,10 +246,10 @@ def rule_plans(spark: SparkSession, sf: str) -> DataFrame:
 
 @PLANS.query()
 def ordered_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Every artist's tracks in energy blocks, each ordered by nearest neighbour and 2-opt, then stitched."""
+    """Seven sets of tracks by pair cost and artist penalty in energy blocks, each improved by reversals and moves, then stitched; tests order in plain Python."""
     t = tracks(spark, sf).withColumn("energy", M.energy_proxy(F.col("lufs"), F.col("bpm"), F.col("tail_percussive")))
-    parts = Q.ordered(Q.blocks(t, "artist", "energy"), "artist", "track_id", ["energy", "tail_energy", "grid_confidence"])
-    return Q.stitched(parts, "artist")
+    parts = Q.ordered(Q.blocks(t.withColumn("set", F.col("track_id") % 7), "set", "energy", "track_id"), "set", "track_id", PREFS)
+    return Q.stitched(parts, "set").withColumn("cost", F.round("cost", 9))
 
 
 @PLANS.query(f"WITH {TRACKS} SELECT track_id, round(0.4 * greatest(0, least(1, (lufs + 20) / 14)) + 0.3 * greatest(0, least(1, (bpm - 70) / 100)) + 0.3 * tail_percussive, 6)::DOUBLE AS energy FROM tracks")

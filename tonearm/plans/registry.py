@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tonearm.plans import analytics, library, pairing, signals
+from tonearm.plans import analytics, library, pairing, playing, signals
 from tonearm.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (library, analytics, signals, pairing):
+for module in (library, analytics, signals, pairing, playing):
     QUERIES |= module.PLANS.queries
     ORACLE_SQL |= module.PLANS.oracle_sql

@@ -240,5 +240,8 @@ def test_byte_pairs(spark, docs, odd):
     for r in bpe.decode(broken, content).collect():
         assert r.decoded == library.decode(r.ids or [], skip_special_tokens=False)
     assert bpe.encode(docs.limit(0), content).count() == 0
+    clash = odd.withColumnsRenamed({"spans": "ids", "row": "decoded"})
+    both = bpe.encode(clash, content, decoded="decoded")
+    assert both.columns == ["doc_id", "text", "ids", "decoded"] and both.filter("decoded <> coalesce(text, '')").count() == 0 and both.count() == odd.count()
     got = bpe.op7_bpe(spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.filter(F.col("n_tokens") < 1).count() == 0

@@ -6,7 +6,8 @@ token before it (the pair-compatibility table), else a shorter entry, else it go
 applying the merges by rank gives. Decoding gathers bytes from one blob by the tokens' offsets.
 
 Cases: a null text is empty and has no token; an empty text too; repeated rows are encoded each; an empty table gives
-an empty table; other columns stay as they are, but for the named outputs, which replace columns of those names.
+an empty table; other columns stay as they are, but for the named outputs, which replace columns of those names; a
+very long text costs its length, and so does a piece without a break.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from tonearm.llm.common import small_batches, table
 
 #: Fixed value: the public pattern that cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces remembered by a worker; beyond it the memory starts anew.
-MEMORY = 200_000
+#: Short pieces, and answers of the pair table, that a worker remembers; beyond either that memory starts anew. A worker stays small by them.
+MEMORY, PAIRS = 150_000, 300_000
 
 
 def byte_chars() -> list[str]:
@@ -39,11 +40,34 @@ def byte_chars() -> list[str]:
     return [chars[b] for b in range(256)]
 
 
+class Offsets:
+    """All tokens' bytes in one blob, with each one's offset and width: all that decoding needs."""
+
+    def __init__(self, model: dict):
+        vocab, special = model["model"]["vocab"], {x["content"]: x["id"] for x in model["added_tokens"]}
+        back = {c: b for b, c in enumerate(byte_chars())}
+        parts = [b""] * (1 + max([*vocab.values(), *special.values()]))
+        for name, t in vocab.items():
+            parts[t] = bytes(back[c] for c in name)
+        for name, t in special.items():
+            parts[t] = name.encode()
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+        self.widths = np.array([len(p) for p in parts], np.int64)
+        self.offsets = np.cumsum(self.widths) - self.widths
+
+    def decode(self, ids: np.ndarray) -> str:
+        widths = self.widths[ids]
+        ends = np.cumsum(widths)
+        if not len(ids) or not ends[-1]:
+            return ""
+        places = np.arange(ends[-1]) + np.repeat(self.offsets[ids] - ends + widths, widths)
+        return self.blob[places].tobytes().decode("utf-8", "replace")
+
+
 class BytePairs:
-    """Vocabulary, merges and the two tables of one tokenizer file."""
+    """Vocabulary, merges and the pair-compatibility table of one tokenizer file."""
 
-    def __init__(self, content: str):
-        model = json.loads(content)
+    def __init__(self, model: dict):
         self.vocab: dict[str, int] = model["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         self.chars = byte_chars()
@@ -55,11 +79,10 @@ class BytePairs:
             if t not in self.halves:
                 self.halves[t], self.rank[t] = (a, b), rank
         size = 1 + max([*self.vocab.values(), *self.special.values()])
-        names = [""] * size
         self.shorter: list[int] = [-1] * size
         self.length = [0] * size
         for name, t in self.vocab.items():
-            names[t], self.length[t] = name, len(name)
+            self.length[t] = len(name)
         self.automaton = ahocorasick.Automaton()
         reachable = [name for name, t in self.vocab.items() if t in self.halves or len(name) == 1]
         known = set(reachable)
@@ -67,13 +90,6 @@ class BytePairs:
             self.automaton.add_word(name, self.vocab[name])
             self.shorter[self.vocab[name]] = next((self.vocab[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in known), -1)
         self.automaton.make_automaton()
-        back = {c: b for b, c in enumerate(self.chars)}
-        parts = [bytes(back[c] for c in name) for name in names]
-        for name, t in self.special.items():
-            parts[t] = name.encode()
-        self.blob = np.frombuffer(b"".join(parts), np.uint8)
-        self.widths = np.array([len(p) for p in parts], np.int64)
-        self.offsets = np.cumsum(self.widths) - self.widths
         self.cut = regex.compile(PATTERN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.compatible_memory: dict[tuple[int, int], bool] = {}
@@ -98,7 +114,7 @@ class BytePairs:
                 limit, a = ra, self.halves[a][1]
             else:
                 limit, b = rb + 1, self.halves[b][0]
-        if len(self.compatible_memory) > 10 * MEMORY:
+        if len(self.compatible_memory) >= PAIRS:
             self.compatible_memory.clear()
         self.compatible_memory[left, right] = ok
         return ok
@@ -142,25 +158,22 @@ class BytePairs:
                 known = memory.get(piece)
                 if known is None:
                     known = self.encode_piece(piece)
-                    if len(memory) >= MEMORY:
-                        memory.clear()
                     if len(piece) < 64:
+                        if len(memory) >= MEMORY:
+                            memory.clear()
                         memory[piece] = known
                 ids += known
         return ids
 
-    def decode(self, ids: np.ndarray) -> str:
-        widths = self.widths[ids]
-        ends = np.cumsum(widths)
-        if not len(ids) or not ends[-1]:
-            return ""
-        places = np.arange(ends[-1]) + np.repeat(self.offsets[ids] - ends + widths, widths)
-        return self.blob[places].tobytes().decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=2)
 def byte_pairs(content: str) -> BytePairs:
-    return BytePairs(content)
+    return BytePairs(json.loads(content))
+
+
+@lru_cache(maxsize=2)
+def offsets(content: str) -> Offsets:
+    return Offsets(json.loads(content))
 
 
 def read_tokenizer(path: str) -> str:
@@ -169,21 +182,26 @@ def read_tokenizer(path: str) -> str:
         return file.read()
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the token ids of a text column as array<int>; tokenizer is the file's content."""
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the token ids of a text column as array<int>; tokenizer is the file's content.
+
+    With `decoded`, the text that the ids stand for as well, decoded by the same worker, so that no ids travel back.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     content = spark.sparkContext.broadcast(tokenizer)
-    docs = docs.drop(ids)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    docs = docs.drop(ids, *([decoded] if decoded else []))
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = byte_pairs(content.value)
+        pairs, back = byte_pairs(content.value), offsets(content.value) if decoded else None
         for batch in batches:
             out = [np.array(pairs.encode(x or ""), np.int32) for x in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
             array = pa.ListArray.from_arrays(ends, np.concatenate(out) if out else np.array([], np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, array], names=[*batch.schema.names, ids])
+            texts = [pa.array([back.decode(x) for x in out], pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, array, *texts], names=[*batch.schema.names, ids, *([decoded] if decoded else [])])
 
     return docs.mapInArrow(run, schema)
 
@@ -197,10 +215,10 @@ def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", text: str = "dec
     schema = T.StructType([*tokens.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = byte_pairs(content.value)
+        table_ = offsets(content.value)
         for batch in batches:
             column = batch.column(ids)
-            out = [pairs.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in column]
+            out = [table_.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
 
     return tokens.mapInArrow(run, schema)
@@ -212,8 +230,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
     content = read_tokenizer(path or public_tokenizers.path("byte_bpe_50k.json"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = encode(docs, content).select("doc_id", "ids")
-    return decode(tokens, content).select(
+    return encode(docs, content, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

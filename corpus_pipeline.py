@@ -55,7 +55,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     content = bpe.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), content), content)
+    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), content, decoded="decoded")
     return tokens.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -8,7 +8,8 @@ third, takes the rows it covers away and goes on. All candidate conditions are c
 Cases: a null text counts as empty; without words all counts are 0 and the base rule fails the text; labels that are
 null, or whose document is missing, teach nothing; without labels of both kinds the list is empty and keeps all that
 the base keeps; repeated rows are judged each; an empty table gives an empty table; other columns, whatever their
-names, are kept by `keep` and left out by `judge`.
+names, are kept by `keep` and left out by `judge`; of conditions that gain alike the one last by name is taken; a very
+long text costs its length (and its windows' sort, where some repeat).
 """
 
 from __future__ import annotations
@@ -151,11 +152,14 @@ def holds(conditions: list[Condition] | tuple[Condition, ...]) -> Column:
 
 
 def learn(rows: DataFrame) -> RuleList:
-    """rows (bad 0/1, fold, features) to rules for bad; `fold` deals a third of them to pruning."""
+    """rows (bad 0/1, fold, features) to rules for bad; `fold` deals a third of them to pruning.
+
+    Thresholds are exact quantiles of the rows, which are LABELLED at most: the same rows give the same rules.
+    """
     names = list(FEATURES)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     shares = [i / (THRESHOLDS + 1) for i in range(1, THRESHOLDS + 1)]
-    quantiles = rows.groupBy("bad").agg(*[F.percentile_approx(n, shares, 1000).alias(n) for n in names]).collect()
+    quantiles = rows.groupBy("bad").agg(*[F.percentile(n, F.array(*map(F.lit, shares))).alias(n) for n in names]).collect()
     cuts = {n: sorted({float(t) for row in quantiles for t in row[n] or ()}) for n in names}
     bin_of = lambda n: F.size(F.filter(F.lit(cuts[n]), lambda t: t < F.col(n))).alias(f"bin_{n}")
     binned = rows.select("*", *[bin_of(n) for n in names if cuts[n]])

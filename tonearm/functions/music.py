@@ -138,3 +138,54 @@ def multiplier(n: Column, total: Column, implicit_n: Column, implicit_sum: Colum
     w = F.least(0.25 * implicit_n, F.lit(2.0))
     mass = F.when(implicit_n == 0, 0.0).otherwise(implicit_sum * (w / implicit_n))
     return coerce(0.5 + (2.0 + total + mass) / (4.0 + n + w), 0.5, 1.5)
+
+
+def bar_of_beat(beat: Column, phase: Column, per_bar: int = 4) -> Column:
+    """The bar of a beat, negative before the first downbeat."""
+    return F.floor((beat - phase) / per_bar).cast("long")
+
+
+def beat_of_bar(bar: Column, phase: Column, per_bar: int = 4) -> Column:
+    """A bar's first beat."""
+    return (bar * per_bar + phase).cast("long")
+
+
+def starts_at(beat: Column, phase: Column, every: int = 4) -> Column:
+    """Is a beat the first of a bar (or, with `every` beats, of a phrase)?"""
+    return F.pmod(beat - phase, F.lit(every)) == 0
+
+
+def next_start(beat: Column, phase: Column, every: int = 4) -> Column:
+    """The first start at or after a (fractional) beat."""
+    return (F.ceil((beat - phase) / every) * every + phase).cast("long")
+
+
+def previous_start(beat: Column, phase: Column, every: int = 4) -> Column:
+    """The last start at or before a (fractional) beat."""
+    return (F.floor((beat - phase) / every) * every + phase).cast("long")
+
+
+def nearest_start(beat: Column, phase: Column, every: int = 4) -> Column:
+    """The nearest start; the earlier one on ties."""
+    before, after = previous_start(beat, phase, every), next_start(beat, phase, every)
+    return F.when(beat - before <= after - beat, before).otherwise(after)
+
+
+def parabolic(before: Column, here: Column, after: Column) -> Column:
+    """How far a peak lies from its middle point, -.5 to .5, by the parabola through three points; 0 where they curve upwards."""
+    curve = before - 2 * here + after
+    return F.when(curve < 0, coerce(0.5 * (before - after) / F.when(curve < 0, curve), -0.5, 0.5)).otherwise(0.0)
+
+
+def slice_mean(values: Column, start: Column, end: Column) -> Column:
+    """The mean of an array's elements from start to end (exclusive, from 0); null where there are none."""
+    part = F.slice(values, F.greatest(start, F.lit(0)) + 1, F.greatest(F.lit(0), F.least(end, F.size(values)) - F.greatest(start, F.lit(0))))
+    return F.when(F.size(part) > 0, F.aggregate(part, F.lit(0.0), lambda s, x: s + x) / F.size(part))
+
+
+def sorted_quantile(values: Column, q: float) -> Column:
+    """The interpolated quantile of a sorted array; 0 where it is empty."""
+    at = q * (F.size(values) - 1)
+    low = F.floor(at).cast("int")
+    x, y = F.get(values, low), F.coalesce(F.get(values, low + 1), F.get(values, low))
+    return F.when(F.size(values) > 0, x + (at - low) * (y - x)).otherwise(0.0)

@@ -360,12 +360,17 @@ MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
 MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
 
 
-def key_estimate(chroma_: DataFrame, key: str) -> DataFrame:
-    """The best of 24 rotated profiles by correlation; strength (r + 1) / 2, and the margin over the runner-up."""
+def key_correlations(chroma_: DataFrame, key: str) -> DataFrame:
+    """(key, tonic, minor, r): correlation of each chroma with the 24 rotated profiles."""
     spark = chroma_.sparkSession
     rows = [(t, m, pc, float(p[(pc - t) % 12])) for m, p in ((False, MAJOR), (True, MINOR)) for t in range(12) for pc in range(12)]
     profiles = spark.createDataFrame(rows, "tonic int, minor boolean, pc int, weight double")  # 288 fixed rows
-    r = chroma_.join(F.broadcast(profiles), "pc").groupBy(key, "tonic", "minor").agg(F.corr("energy", "weight").alias("r"))
+    return chroma_.join(F.broadcast(profiles), "pc").groupBy(key, "tonic", "minor").agg(F.corr("energy", "weight").alias("r"))
+
+
+def key_estimate(chroma_: DataFrame, key: str) -> DataFrame:
+    """The best of 24 rotated profiles by correlation; strength (r + 1) / 2, and the margin over the runner-up."""
+    r = key_correlations(chroma_, key)
     ranked = r.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("n"), "tonic", "minor"))).alias("__k"))
     first, second = F.get("__k", 0), F.get("__k", 1)
     return ranked.select(key, first["tonic"].alias("tonic"), first["minor"].alias("minor"), ((1 - first["n"]) / 2).alias("strength"), (second["n"] - first["n"]).alias("margin"))

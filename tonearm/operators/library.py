@@ -228,3 +228,79 @@ def replaced_tail(queue: DataFrame, group: str, anchor: int, wanted: DataFrame)
     moved_ = wanted.join(good, group, "left_semi").withColumn("position", (order + anchor).cast("int"))
     kept = queue.filter(F.col("position") <= anchor).unionByName(queue.filter(F.col("position") > anchor).join(good, group, "left_anti"))
     return kept.unionByName(moved_.select(queue.columns))
+
+
+# -- everyday reads and edits
+
+
+def by_id(df: DataFrame, key: str, *ids: object) -> DataFrame:
+    """B1, B2: rows of one or a few ids; the predicate reaches the source. Long lists go through in_order_of(), a join."""
+    return df.filter(F.col(key) == F.lit(ids[0]) if len(ids) == 1 else F.col(key).isin(*ids))
+
+
+def of_album(songs: DataFrame, album: object) -> DataFrame:
+    """An album's songs by disc, track, title."""
+    return songs.filter(F.col("album_id") == F.lit(album)).orderBy("disc", "track", nocase(F.col("title")), "id")
+
+
+def of_artist(songs: DataFrame, artist: object) -> DataFrame:
+    """An artist's songs by album, disc, track."""
+    return songs.filter(F.col("artist_id") == F.lit(artist)).orderBy(nocase(F.col("album")), "disc", "track", "id")
+
+
+def of_genre(songs: DataFrame, genres_: DataFrame, genre_id: Column) -> DataFrame:
+    """A genre's songs, found by the genre's id and joined by its name."""
+    return songs.join(genres_.filter(genre_id).select(F.col("name").alias("genre")), "genre").orderBy(nocase(F.col("artist")), nocase(F.col("album")), "disc", "track", "id")
+
+
+def live_search(df: DataFrame, needle: str, columns: list[str], limit: int) -> DataFrame:
+    """Rows that hold the trimmed, lower-case needle in any column, in the table's own order by its first column; nothing for fewer than two letters."""
+    wanted = needle.strip().lower()
+    if len(wanted) < 2:
+        return df.limit(0)
+    hit = reduce(Column.__or__, [F.coalesce(F.contains(F.lower(F.col(c)), F.lit(wanted)), F.lit(False)) for c in columns])
+    return df.filter(hit).orderBy(nocase(F.col(columns[0])), *df.columns).limit(limit)
+
+
+def backlog(songs: DataFrame, limit: int) -> DataFrame:
+    """The newest songs without an analysis, a batch of them; the limit is the batch."""
+    return songs.filter("not has_analysis").orderBy(F.desc("date_added"), "id").limit(limit)
+
+
+def updated(df: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """The table with some columns of the rows that match set anew."""
+    hit = F.coalesce(where, F.lit(False))
+    return df.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+
+
+SORTS = {
+    "title": lambda: [nocase(F.col("title"))],
+    "artist": lambda: [nocase(F.col("artist")), nocase(F.col("album")), "disc", "track"],
+    "album": lambda: [nocase(F.col("album")), "disc", "track"],
+    "date_added": lambda: [F.desc("date_added"), nocase(F.col("title"))],
+    "duration": lambda: [F.desc("duration_ms"), nocase(F.col("title"))],
+    "year": lambda: [F.desc("year"), F.lower("album"), "track"],
+}
+
+
+def sorted_songs(songs: DataFrame, sort: str) -> DataFrame:
+    """the songs in one of the library's orders; ids break ties."""
+    return songs.orderBy(*SORTS[sort](), "id")
+
+
+def by_name(df: DataFrame, name: str, key: str) -> DataFrame:
+    """artists, genres, playlists, presets by name."""
+    return df.orderBy(nocase(F.col(name)), key)
+
+
+def sorted_albums(albums: DataFrame, sort: str) -> DataFrame:
+    """albums by title, by year (newest first), or an artist's by year (oldest first)."""
+    order = {"title": [nocase(F.col("title"))], "year": [F.desc("year"), nocase(F.col("title"))], "artist": ["artist", "year", nocase(F.col("title"))]}
+    return albums.orderBy(*order[sort], "id")
+
+
+def recent_logs(logs: DataFrame, limit: int, a: object = None, b: object = None) -> DataFrame:
+    """F8: the newest log rows, of one pair where it is given."""
+    if a is not None:
+        logs = logs.filter((F.col("a") == F.lit(a)) & (F.col("b") == F.lit(b)))
+    return logs.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)

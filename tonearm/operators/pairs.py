@@ -1,7 +1,7 @@
 """What follows what: pair features, sub-scores, strategies, rules, ranked plans (ids C7, C8, C10-C12, J8, I of the survey).
 
 Per-track parts are columns of the track table, so a pair is one join and one projection. Candidate pairs at scale
-come from `candidate_pairs`, a band join; `all_pairs` is for small sets of a checked size.
+come from `candidate_pairs`, a band join; `all_pairs` gives them all where all are wanted, block by block.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.music import multiplier, verdict
@@ -164,3 +164,73 @@ def adjacent_same(df: DataFrame, group: list[str], order: list[str], who: str) -
     name = F.lower(F.trim(F.col(who)))
     same = (name != "") & (name == F.lead(name).over(w))
     return df.select(*group, same.alias("same")).groupBy(*group).agg(F.count_if(F.col("same")).alias("adjacent"))
+
+
+def grid(spark: SparkSession, axes: dict[str, list[float]]) -> DataFrame:
+    """Every combination of a few axes' values, one exploded literal after another; as many rows as the lists' product."""
+    out = spark.range(1).drop("id")
+    for name, values in axes.items():
+        out = out.select("*", F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name))
+    return out
+
+
+def sweep(runs: DataFrame, axes: list[str], metric: str) -> DataFrame:
+    """K8: one metric's points over the grid, in the order of its axes, with the metrics' ids that each run had.
+
+    runs: axes, metric, value, verdict. Points that have no finite value are left out.
+    """
+    fine = (F.col("metric") == metric) & ~F.isnan("value") & (F.abs("value") != float("inf"))
+    points = runs.groupBy(*axes).agg(F.max(F.when(fine, F.col("value"))).alias("value"), F.max(severity(F.col("verdict"))).alias("s"), F.sort_array(F.collect_set("metric")).alias("metrics"))
+    return points.filter("value is not null").select(*axes, "value", verdict_of(F.col("s")).alias("worst"), "metrics").orderBy(*axes)
+
+
+def metric_ids(reports: DataFrame, group: list[str], metric: str, order: list[str]) -> DataFrame:
+    """The metric ids of each group as first seen, and how many there are; ids are reduced to their first place before they are gathered."""
+    seen = reports.groupBy(*group, metric).agg(F.min(F.struct(*order)).alias("at"))
+    held = seen.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("at", F.col(metric).alias("m")))).alias("h"))
+    return held.select(*group, F.transform("h", lambda x: x["m"]).alias("metrics"), F.size("h").alias("n"))
+
+
+def by_strategy(rows: DataFrame, strategy: str, name: str) -> DataFrame:
+    """Names grouped by strategy for display, sorted."""
+    return rows.groupBy(strategy).agg(F.sort_array(F.collect_set(name)).alias("names"))
+
+
+def pair_pool(tracks: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """A pool of ordered pairs of different tracks: all of them where there are `most` at most, else about `most` drawn at random.
+
+    The pool's size is the feature. Each track draws its share of partners by rank, so no pair that isn't drawn is made.
+    """
+    n = tracks.count()
+    ranked = tracks.select(F.col(key).alias("k"), F.xxhash64(F.lit(seed), key).alias("h"))
+    if n * (n - 1) <= most:
+        return ranked.select(F.col("k").alias("a")).join(ranked.select(F.col("k").alias("b")), F.col("a") != F.col("b"))
+    slots = 1 << 20
+    own = ranked.select("k", F.pmod("h", F.lit(slots)).alias("slot"))
+    share = F.lit(most / n)
+    draws = F.floor(share).cast("int") + (F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.lit(1_000_000)) / 1e6 < share - F.floor(share)).cast("int")
+    drawn = own.withColumn("d", draws).filter("d > 0").select("k", F.explode(F.sequence(F.lit(1), F.col("d"))).alias("i"))
+    drawn = drawn.select(F.col("k").alias("a"), F.pmod(F.xxhash64(F.lit(seed), "k", "i"), F.lit(slots)).alias("want"))
+    # The partner is the first track at or after the slot drawn: one sort by slot range, the next slot carried back.
+    marks = own.groupBy("slot").agg(F.min("k").alias("b"))
+    ranges = 64
+    cut = lambda c: F.floor(F.col(c) / (slots // ranges)).cast("int")
+    both = drawn.select(cut("want").alias("r"), F.col("want").alias("s"), F.lit(0).alias("kind"), "a", F.lit(None).cast(marks.schema["b"].dataType).alias("b"))
+    both = both.unionByName(marks.select(cut("slot").alias("r"), F.col("slot").alias("s"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["b"].dataType).alias("a"), "b"))
+    firsts = marks.groupBy(cut("slot").alias("r")).agg(F.min_by("b", "slot").alias("first"))  # 64 rows at most
+    ahead = Window.partitionBy("r").orderBy("s", "kind").rowsBetween(0, Window.unboundedFollowing)
+    near = both.withColumn("b", F.first("b", ignorenulls=True).over(ahead)).filter("kind = 0")
+    later = firsts.select((F.col("r") - 1).alias("r"), F.col("first"))
+    found = near.join(F.broadcast(later), "r", "left").select("a", F.coalesce("b", "first").alias("b"))
+    return found.filter("b is not null and a <> b").distinct()
+
+
+def evaluation(rows: DataFrame, strategy: str, limit: float) -> DataFrame:
+    """K6: an evaluation's last step: verdicts over all pairs, rates, the strategies chosen, and whether the gate holds.
+
+    rows: strategy, verdict, error. A pair whose rendering failed counts as a FAIL.
+    """
+    bad = F.col("error").isNotNull() | (F.col("verdict") == "FAIL")
+    out = rows.agg(F.count("*").alias("pairs"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(bad).alias("fails"), F.count_if(~bad & (F.col("verdict") == "WARN")).alias("warns"), F.count_distinct(strategy).alias("strategies"))
+    rate = lambda n: F.when(F.col("pairs") > 0, F.col(n) / F.col("pairs")).otherwise(0.0)
+    return out.select("*", rate("fails").alias("fail_rate"), rate("warns").alias("warn_rate"), (rate("fails") <= limit).alias("passes"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tonearm.plans import analytics, audio, form, library, pairing, playing, signals
+from tonearm.plans import analytics, audio, browse, form, library, pairing, playing, signals
 from tonearm.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (library, analytics, signals, audio, form, pairing, playing):
+for module in (library, browse, analytics, signals, audio, form, pairing, playing):
     QUERIES |= module.PLANS.queries
     ORACLE_SQL |= module.PLANS.oracle_sql

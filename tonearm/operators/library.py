@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.text import blank_to_null, disc_of, nocase, parent_dir, path_prefixes, stable_id, track_of
+from tonearm.functions.frames import together
 
 # -- scans and ingest
 
@@ -44,7 +45,7 @@ def last_membership(members: DataFrame, key: str, value: str, ordinal: str) -> D
 
 def merge_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new replace those of old with the same key; one shuffle by key."""
-    both = old.withColumn("__turn", F.lit(0)).unionByName(new.withColumn("__turn", F.lit(1)))
+    both = together(old.withColumn("__turn", F.lit(0)), new.withColumn("__turn", F.lit(1)))
     own = Window.partitionBy(*keys).orderBy(F.desc("__turn"))
     return both.withColumn("__place", F.row_number().over(own)).filter("__place = 1").drop("__turn", "__place")
 
@@ -71,7 +72,7 @@ def known_by_either(df: DataFrame, found: DataFrame, uri: str, path: str, by: st
     marks = found.select(F.col(by).alias("__mark")).filter("__mark is not null").distinct()
     by_uri = df.join(marks, F.col(uri) == F.col("__mark"), "left_semi")
     rest = df.join(marks, F.col(uri) == F.col("__mark"), "left_anti")
-    return by_uri.unionByName(rest.join(marks, F.col(path) == F.col("__mark"), "left_semi"))
+    return together(by_uri, rest.join(marks, F.col(path) == F.col("__mark"), "left_semi"))
 
 
 def stale(df: DataFrame, found: DataFrame, uri: str, path: str, by: str) -> DataFrame:
@@ -102,7 +103,7 @@ def in_order_of(df: DataFrame, ids: DataFrame, key: str, position: str) -> DataF
 def shadowed(built_in: DataFrame, own: DataFrame, key: str, valid: Column | None = None) -> DataFrame:
     """Named items; a built-in shadows a user's item, or, where `valid` is given, a valid user's item shadows it."""
     rank = F.lit(1) if valid is None else F.when(valid, -1).otherwise(1)
-    both = built_in.withColumn("__rank", F.lit(0)).unionByName(own.withColumn("__rank", rank))
+    both = together(built_in.withColumn("__rank", F.lit(0)), own.withColumn("__rank", rank))
     return both.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy("__rank"))).filter("__place = 1").drop("__rank", "__place")
 
 
@@ -153,7 +154,7 @@ def appended(entries: DataFrame, more: DataFrame, group: str, order: list[str])
     last = entries.groupBy(group).agg(F.max("position").alias("__last"))
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     placed = more.join(last, group, "left").withColumn("position", (F.coalesce("__last", F.lit(-1)) + place).cast("int")).drop("__last")
-    return entries.unionByName(placed.select(entries.columns))
+    return together(entries, placed.select(entries.columns))
 
 
 def moved(entries: DataFrame, group: str, old: int, new: int) -> DataFrame:
@@ -219,6 +220,26 @@ def shuffled(queue: DataFrame, group: str, seed: int, current: Column) -> DataFr
     return numbered(queue, [group], [F.when(current, 0).otherwise(1), F.xxhash64(F.lit(seed), F.col("item"), F.col("position")), F.col("position")])
 
 
+def played_next(queue: DataFrame, more: DataFrame, group: str, current: str) -> DataFrame:
+    """More (group, item, ordinal) right after each queue's current position; queue: group, item, position, with column `current`."""
+    here = queue.groupBy(group).agg(F.max(current).alias("__at"))
+    n = more.groupBy(group).agg(F.count("*").alias("__n"))
+    shifted = queue.join(here.join(n, group), group, "left").withColumn("position", F.when(F.col("position") > F.col("__at"), F.col("position") + F.col("__n")).otherwise(F.col("position")).cast("int"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("ordinal"))
+    added = more.join(here, group).withColumns({"position": (F.col("__at") + place).cast("int"), current: F.col("__at")})
+    return together(shifted.select(queue.columns), added.select(queue.columns))
+
+
+def removed(queue: DataFrame, group: str, gone: Column) -> DataFrame:
+    """A queue without some entries, positions closed up."""
+    return numbered(queue.filter(~F.coalesce(gone, F.lit(False))), [group], [F.col("position")])
+
+
+def restored(queue: DataFrame, group: str, original: str) -> DataFrame:
+    """A shuffled queue in the order it had before."""
+    return numbered(queue, [group], [F.col(original)])
+
+
 def replaced_tail(queue: DataFrame, group: str, anchor: int, wanted: DataFrame) -> DataFrame:
     """The items after an anchor in a new order, where it is a permutation of them; else the queue stays."""
     tail = queue.filter(F.col("position") > anchor).groupBy(group).agg(F.sort_array(F.collect_list("item")).alias("__have"))
@@ -226,8 +247,8 @@ def replaced_tail(queue: DataFrame, group: str, anchor: int, wanted: DataFrame)
     good = tail.join(new, group).filter("__have = __want").select(group)
     order = F.row_number().over(Window.partitionBy(group).orderBy("position"))
     moved_ = wanted.join(good, group, "left_semi").withColumn("position", (order + anchor).cast("int"))
-    kept = queue.filter(F.col("position") <= anchor).unionByName(queue.filter(F.col("position") > anchor).join(good, group, "left_anti"))
-    return kept.unionByName(moved_.select(queue.columns))
+    kept = together(queue.filter(F.col("position") <= anchor), queue.filter(F.col("position") > anchor).join(good, group, "left_anti"))
+    return together(kept, moved_.select(queue.columns))
 
 
 # -- everyday reads and edits

@@ -6,13 +6,17 @@ come from `candidate_pairs`, a band join; `all_pairs` gives them all where all a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.music import KEY_BY_DISTANCE, best_shift, camelot, camelot_distance, coerce, cosine, jitter, tempo_relation
+from tonearm.functions.frames import together
 
 OUTROS = ("HARD_STOP", "FADE_OUT", "BEAT_OUTRO", "AMBIENT_OUTRO", "VOCAL_OUTRO", "UNKNOWN")
 INTROS = ("BEAT_INTRO", "AMBIENT_INTRO", "VOCAL_INTRO", "COLD_START", "SILENCE", "UNKNOWN")
@@ -105,6 +109,48 @@ def candidate_pairs(tracks: DataFrame, key: str, value: str, width: float, near:
     return pairs.select("a", "b")
 
 
+#: Query vectors that are sent to all tasks at once.
+QUERY_BLOCK = 4096
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: str, most: int) -> DataFrame:
+    """(a, b, place, cosine): the `most` nearest vectors of every query, by exact search against all of them.
+
+    Queries go out in blocks of QUERY_BLOCK, so what is broadcast is bounded. Each batch of vectors is multiplied with a
+    block at once and keeps its best few for each query, so no table of all pairs is made; the few are ranked at the end.
+    """
+    spark = vectors.sparkSession
+    q = queries.select(F.col(key).alias("a"), F.col(vector).alias("v"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    kind = vectors.schema[key].dataType.simpleString()
+    out = None
+    for block in range(blocks):
+        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("a"), F.lit(blocks)) == block)
+        rows = [(r["a"], list(r["v"])) for r in part.collect()]  # about QUERY_BLOCK rows
+        sent = spark.sparkContext.broadcast(rows)
+
+        def search(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            ids = np.array([a for a, _ in sent.value])
+            unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+            wanted = unit(np.array([v for _, v in sent.value], float).reshape(len(ids), -1))
+            for batch in batches:
+                if not (batch.num_rows and len(ids)):
+                    continue
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                c = wanted @ unit(np.array(batch.column(1).to_pylist(), float)).T
+                c[ids[:, None] == own[None, :]] = -np.inf
+                few = min(most, c.shape[1])
+                near = np.argsort(np.stack([-np.round(c, 9), np.broadcast_to(own, c.shape)], axis=-1).view([("c", float), ("b", float)])[..., 0], axis=1, order=("c", "b"))[:, :few]
+                a, b, s = np.repeat(ids, few), own[near].ravel(), np.take_along_axis(c, near, axis=1).ravel()
+                fine = np.isfinite(s)
+                yield pa.RecordBatch.from_arrays([pa.array(a[fine]), pa.array(b[fine]), pa.array(s[fine])], names=["a", "b", "cosine"])
+
+        found = vectors.select(key, vector).mapInArrow(search, f"a {kind}, b {kind}, cosine double")
+        out = found if out is None else together(out, found)
+    order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
+    return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("a", "b", "place", "cosine")
+
+
 def consecutive(order: DataFrame, group: list[str], position: list[str], columns: list[str]) -> DataFrame:
     """Each row with the one that follows it, by lead(), not by a self-join."""
     nxt = F.lead(F.struct(*columns)).over(Window.partitionBy(*group).orderBy(*position))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.music import CAMELOT_MAJOR, CAMELOT_MINOR, KEY_BY_DISTANCE, arc_target
 from tonearm.operators.pairs import INTROS, OUTROS, PRIORS, Prefs
+from tonearm.functions.frames import together
 
 #: Items of a set that is ordered as a whole, penalties and weights of the objective, what a known best plan counts.
 MOST, ARTIST_PENALTY, ARC_WEIGHT, PLANNER_BLEND, UNKNOWN_COST, ENOUGH = 500, 0.3, 0.5, 0.5, 0.5, 1e-9
@@ -219,7 +220,7 @@ def report(order: DataFrame, group: list[str], position: list[str], cost: Column
 def random_orders(items: DataFrame, group: str, item: str, seeds: int) -> DataFrame:
     """Seeded random orders of each set, to compare an order with: (group, seed, item, position)."""
     each = items.select(group, item, F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
-    w = Window.partitionBy(group, "seed").orderBy(F.xxhash64("seed", item), item)
+    w = Window.partitionBy(group, "seed").orderBy(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col(item).cast("string"))), item)
     return each.withColumn("position", F.row_number().over(w) - 1)
 
 
@@ -250,4 +251,4 @@ def arranged(queue: DataFrame, made: DataFrame, group: str) -> DataFrame:
     good = inside.groupBy(group, "version").agg(F.sort_array(F.collect_list("item")).alias("__old"), F.first("__new").alias("__new"), F.first("__from").alias("__from"), F.first("__to").alias("__to")).filter("__old = __new")
     good = good.select(group, "version", "__from", "__to")
     kept = queue.join(good, [group, "version"], "left").filter(F.col("__from").isNull() | ~F.col("position").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
-    return kept.unionByName(made.join(good.select(group, "version"), [group, "version"], "left_semi").select(*queue.columns))
+    return together(kept, made.join(good.select(group, "version"), [group, "version"], "left_semi").select(*queue.columns))

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from tonearm.functions.frames import together
 
 
 #: Ranges that mid_rank() deals all values to.
@@ -182,7 +183,7 @@ def as_of(points: DataFrame, grid: DataFrame, key: str, at: str, frame: str, bea
     """
     a = points.select(key, F.col(at).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("b"), F.struct(*points.columns).alias("row"))
     g = grid.select(key, F.col(frame).alias("t"), F.lit(0).alias("kind"), F.col(beat).cast("double").alias("b"), F.lit(None).cast(a.schema["row"].dataType).alias("row"))
-    whole = a.unionByName(g)
+    whole = together(a, g)
     order = Window.partitionBy(key).orderBy("t", "kind")
     back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
     mark = F.when(F.col("kind") == 0, F.struct("t", "b"))
@@ -216,7 +217,7 @@ def away_from(points: DataFrame, marks: DataFrame, key: str, at: str, mark: str,
 
 def matched_within(truth: DataFrame, found: DataFrame, key: str, at: str, tolerance: float) -> DataFrame:
     """One-to-one matches: each true event, in order, takes the nearest free estimate within the tolerance; series by series."""
-    both = truth.select(key, at, F.lit(True).alias("true")).unionByName(found.select(key, at, F.lit(False).alias("true")))
+    both = together(truth.select(key, at, F.lit(True).alias("true")), found.select(key, at, F.lit(False).alias("true")))
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         free = np.sort(rows.loc[~rows["true"], at].to_numpy(float))
@@ -343,7 +344,7 @@ def artifact_events(df: DataFrame, key: str, i: str, x: str, jump: float, silent
     steps = hold_step(df, key, i, x).filter(F.col("step") > jump).select(key, F.lit("level_jump").alias("kind"), F.col(i).cast("long").alias("start"), F.lit(1).cast("long").alias("length"), F.col("step").alias("value"))
     clipped = islands(df, key, i, F.col(x) >= clip).select(key, F.lit("clip").alias("kind"), F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.lit(clip).alias("value"))
     gaps = islands(df, key, i, F.col(x) <= silent).filter("not at_end").select(key, F.lit("silence").alias("kind"), F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.lit(silent).alias("value"))
-    return steps.unionByName(clipped).unionByName(gaps)
+    return together(steps, clipped, gaps)
 
 
 def chroma(peaks_: DataFrame, key: str, hertz: str, power: str, harmonics: int = 4) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.music import multiplier, verdict
+from tonearm.functions.frames import together
 
 SEVERITY = ("PASS", "WARN", "FAIL")
 
@@ -87,7 +88,7 @@ def first_report_wins(reports: list[DataFrame], keys: list[str]) -> DataFrame:
     """Metrics of several reports, the first one wins for each key."""
     both = reports[0].withColumn("__turn", F.lit(0))
     for turn, more in enumerate(reports[1:], 1):
-        both = both.unionByName(more.withColumn("__turn", F.lit(turn)))
+        both = together(both, more.withColumn("__turn", F.lit(turn)))
     rest = [c for c in reports[0].columns if c not in keys]
     return both.groupBy(*keys).agg(F.min_by(F.struct(*rest), "__turn").alias("__row")).select(*keys, "__row.*")
 
@@ -116,6 +117,50 @@ def series_gap(golden: DataFrame, actual: DataFrame, keys: list[str], i: str, x:
     return out.withColumn("same", (F.coalesce("rmse", F.lit(0.0)) <= limit) & (F.col("n_golden") == F.col("n_actual")))
 
 
+def rmse(a: Column, b: Column) -> Column:
+    """K3: root mean square difference of two arrays over their common length; places that are no number are left out."""
+    n = F.least(F.size(a), F.size(b))
+    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))
+    fine = F.filter(pairs, lambda d: d.isNotNull() & ~F.isnan(d) & (d != float("inf")))
+    return F.when(F.size(fine) > 0, F.sqrt(F.aggregate(fine, F.lit(0.0), lambda s, d: s + d) / F.size(fine)))
+
+
+def golden_cells(golden: DataFrame, actual: DataFrame, keys: list[str], envelope_limit: float = 0.5, spectrum_limit: float = 1.0, strict: bool = False) -> DataFrame:
+    """Cells (plan, envelope, spectrum, hash) against their golden ones: what differs, cell by cell; an outer join, so missing cells show."""
+    parts = ("plan", "envelope", "spectrum", "hash")
+    g = golden.select(*keys, F.lit(True).alias("__g"), *[F.col(p).alias(f"g_{p}") for p in parts])
+    a = actual.select(*keys, F.lit(True).alias("__a"), *[F.col(p).alias(f"a_{p}") for p in parts])
+    both = g.join(a, keys, "full_outer").withColumns({"envelope_rmse": rmse(F.col("g_envelope"), F.col("a_envelope")), "spectrum_rmse": rmse(F.col("g_spectrum"), F.col("a_spectrum"))})
+    over = lambda n, limit: (F.coalesce(n, F.lit(0.0)) > limit)
+    why = [
+        ("not rendered", F.col("__a").isNull()), ("no golden", F.col("__g").isNull()), ("plan", ~F.col("g_plan").eqNullSafe(F.col("a_plan"))),
+        ("envelope", over("envelope_rmse", envelope_limit)), ("spectrum", over("spectrum_rmse", spectrum_limit)), ("length", F.size("g_envelope") != F.size("a_envelope")),
+    ]
+    if strict:
+        why.append(("hash", ~F.col("g_hash").eqNullSafe(F.col("a_hash"))))
+    missing = F.col("__a").isNull() | F.col("__g").isNull()
+    texts = [F.when(F.coalesce(x, F.lit(False)) & (F.lit(True) if n in ("not rendered", "no golden") else ~missing), F.lit(n)) for n, x in why]
+    return both.select(*keys, "envelope_rmse", "spectrum_rmse", F.array_compact(F.array(*texts)).alias("differs"))
+
+
+def accuracy(cases: DataFrame) -> DataFrame:
+    """K7: an accuracy bench over all cases: tempo, octave errors, beats, downbeats, keys (and relative ones), trims, tuning.
+
+    cases: bpm, true_bpm, f, phase, true_phase, tonic, minor, true_tonic, true_minor, trim, true_trim (seconds), cents, true_cents.
+    """
+    err = F.abs(F.col("bpm") / F.col("true_bpm") - 1)
+    octave = F.least(*[F.abs(F.col("bpm") / (F.col("true_bpm") * k) - 1) for k in (0.5, 2.0)]) <= 0.01
+    exact = (F.col("tonic") == F.col("true_tonic")) & (F.col("minor") == F.col("true_minor"))
+    shift = F.when(F.col("true_minor"), 3).otherwise(-3)
+    relative = (F.col("minor") != F.col("true_minor")) & (F.pmod(F.col("true_tonic") + shift, F.lit(12)) == F.col("tonic"))
+    trim, cents = F.abs(F.col("trim") - F.col("true_trim")), F.abs(F.col("cents") - F.col("true_cents"))
+    return cases.agg(
+        F.count("*").alias("cases"), F.count_if(err <= 0.01).alias("tempo_ok"), F.count_if((err > 0.01) & octave).alias("octave_errors"), F.avg("f").alias("mean_f"),
+        F.count_if(F.col("phase") == F.col("true_phase")).alias("phase_ok"), F.count_if(exact).alias("key_ok"), F.count_if(relative).alias("key_relative"),
+        F.count_if(trim <= 0.05).alias("trim_ok"), F.max(trim).alias("worst_trim"), F.avg(cents).alias("mean_cents"),
+    )
+
+
 def coverage(golden: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """K5: cells on one or both sides: added, removed, or their states."""
     g, a = golden.select(*keys, F.col("state").alias("before")), actual.select(*keys, F.col("state").alias("after"))
@@ -149,7 +194,7 @@ def quota_sample(pairs: DataFrame, sources: list[tuple[str, Column, int]], total
     for turn, (name, order, quota) in enumerate(sources):
         pool = pairs if taken is None else pairs.join(taken.select("pair"), "pair", "left_anti")
         best = pool.orderBy(order, "pair").limit(quota).withColumn("source", F.lit(name)).withColumn("turn", F.lit(turn))
-        taken = best if taken is None else taken.unionByName(best)
+        taken = best if taken is None else together(taken, best)
     return taken.orderBy("turn", "pair").limit(total)
 
 
@@ -216,7 +261,7 @@ def pair_pool(tracks: DataFrame, key: str, most: int, seed: int) -> DataFrame:
     ranges = 64
     cut = lambda c: F.floor(F.col(c) / (slots // ranges)).cast("int")
     both = drawn.select(cut("want").alias("r"), F.col("want").alias("s"), F.lit(0).alias("kind"), "a", F.lit(None).cast(marks.schema["b"].dataType).alias("b"))
-    both = both.unionByName(marks.select(cut("slot").alias("r"), F.col("slot").alias("s"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["b"].dataType).alias("a"), "b"))
+    both = together(both, marks.select(cut("slot").alias("r"), F.col("slot").alias("s"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["b"].dataType).alias("a"), "b"))
     firsts = marks.groupBy(cut("slot").alias("r")).agg(F.min_by("b", "slot").alias("first"))  # 64 rows at most
     ahead = Window.partitionBy("r").orderBy("s", "kind").rowsBetween(0, Window.unboundedFollowing)
     near = both.withColumn("b", F.first("b", ignorenulls=True).over(ahead)).filter("kind = 0")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.music import bar_of_beat, coerce, nearest_start, parabolic, slice_mean, sorted_quantile
+from tonearm.functions.frames import together
 
 #: What counts as drums there or absent, as voices, and the shares of the section rules.
 DRUMS_PRESENT, DRUMS_ABSENT, VOCALS_PRESENT = 0.5, 0.35, 0.5
@@ -70,7 +71,7 @@ def sections(beats: DataFrame, bounds: DataFrame, key: str, beat: str, start: st
     marks = bounds.select(key, F.col(start).alias("b"), F.lit(0).alias("kind"), *[F.lit(None).cast("double").alias(v) for v in ("e", "d", "v")])
     rows = beats.select(key, F.col(beat).alias("b"), F.lit(1).alias("kind"), F.col(energy).cast("double").alias("e"), F.col(drums).cast("double").alias("d"), F.col(vocals).cast("double").alias("v"))
     w = Window.partitionBy(key).orderBy("b", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = marks.unionByName(rows).withColumn("start", F.last(F.when(F.col("kind") == 0, F.col("b")), True).over(w)).filter("kind = 1 and start is not null")
+    dealt = together(marks, rows).withColumn("start", F.last(F.when(F.col("kind") == 0, F.col("b")), True).over(w)).filter("kind = 1 and start is not null")
     held = dealt.groupBy(key, "start").agg(F.avg("e").alias("energy"), F.avg("d").alias("drums"), F.avg("v").alias("vocals"), (F.max("b") + 1).alias("end"), F.sort_array(F.collect_list(F.struct("b", "e"))).alias("es"))
     whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("start")
     es = F.transform("es", lambda x: x["e"])
@@ -98,7 +99,7 @@ def sections(beats: DataFrame, bounds: DataFrame, key: str, beat: str, start: st
 def boundaries(peaks: DataFrame, key: str, beat: str, beats: Column, phase: Column, per_bar: int = 4) -> DataFrame:
     """(key, start): 0 and the peaks of novelty snapped to their nearest downbeat, inside the track, each once."""
     snapped = peaks.select(key, nearest_start(F.col(beat), phase, per_bar).alias("start"), beats.alias("__n")).filter((F.col("start") > 0) & (F.col("start") < F.col("__n"))).select(key, "start")
-    return snapped.unionByName(peaks.select(key, F.lit(0).cast("long").alias("start"))).distinct()
+    return together(snapped, peaks.select(key, F.lit(0).cast("long").alias("start"))).distinct()
 
 
 def intro_type(first: Column, body: Column, head_energy: Column, head_drums: Column, trim_seconds: Column, has_vocals: Column) -> Column:

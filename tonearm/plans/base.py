@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tonearm.functions.frames import plain_unions
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,7 +19,12 @@ class Plans:
 
     def query(self, sql: str | None = None) -> Callable[[Query], Query]:
         def add(f: Query) -> Query:
-            self.queries[f.__name__] = f
+            @wraps(f)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                plain_unions(spark)
+                return f(spark, sf_dir)
+
+            self.queries[f.__name__] = run
             if sql:
                 self.oracle_sql[f.__name__] = sql
             return f

@@ -9,12 +9,12 @@ from tonearm.functions import music as M
 from tonearm.functions.exprs import expression
 from tonearm.operators import pairs as P
 from tonearm.operators import sequence as Q
+from tonearm.operators.pairs import nearest_vectors
 from tonearm.plans.base import Plans, table
 from tonearm.plans.library import ENTRIES, entries
 
 PLANS = Plans()
 PREFS = P.Prefs()
-NAMES = "'{}'"
 #: A track's columns from part, in words that both engines read alike.
 TRACK = {
     "track_id": "p_partkey",
@@ -295,10 +295,7 @@ SELECT a, b, place, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PAR
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The five nearest of every query vector (ids divisible by 50), by exact search against all vectors."""
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"))
-    near = v.join(queries, F.col("vec_id") != F.col("a")).select("a", F.col("vec_id").alias("b"), M.cosine(F.col("q"), F.col("embedding")).alias("c"))
-    order = Window.partitionBy("a").orderBy(F.desc(F.round("c", 9)), "b")
-    return near.withColumn("place", F.row_number().over(order)).filter("place <= 5").select("a", "b", "place", F.round("c", 6).alias("cosine"))
+    return nearest_vectors(v.filter("vec_id % 50 = 0"), v, "vec_id", "embedding", 5).withColumn("cosine", F.round("cosine", 6))
 
 
 @PLANS.query(f"""WITH e AS {ENTRIES}, q AS (SELECT l_orderkey, position, l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY position) AS b FROM e),

@@ -159,3 +159,95 @@ def playlist_durations(spark: SparkSession, sf: str) -> DataFrame:
     songs = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size").cast("long") * 100).alias("s"))
     sums = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(songs, "l_partkey").groupBy("l_orderkey").agg(F.sum("s").alias("seconds"))
     return sums.select("l_orderkey", "seconds", F.floor(F.col("seconds") / 60).alias("minutes"), format_duration(F.col("seconds") * 1000).alias("duration"))
+
+
+@PLANS.query(f"""WITH e AS {ENTRIES}, c AS (SELECT l_orderkey, max(position) // 2 AS cur, max(position) AS last FROM e GROUP BY 1), n AS (SELECT e.l_orderkey, l_partkey AS item, CASE WHEN position > cur THEN position + 2 ELSE position END AS p FROM e JOIN c USING (l_orderkey) UNION ALL SELECT l_orderkey, l_orderkey % 100, cur + 1 FROM c UNION ALL SELECT l_orderkey, l_orderkey % 100 + 1, cur + 2 FROM c),
+r AS (SELECT 'next' AS edit, l_orderkey, item, p::INT AS position FROM n UNION ALL SELECT 'removed', l_orderkey, item, (row_number() OVER (PARTITION BY l_orderkey ORDER BY p) - 1)::INT FROM n WHERE item % 4 <> 1) SELECT * FROM r""")
+def queue_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Two items played next in every queue, then some removed."""
+    from tonearm.operators import library as L
+
+    rows = entries(spark, sf).select("l_orderkey", F.col("l_partkey").alias("item"), "position")
+    cur = rows.groupBy("l_orderkey").agg(F.floor(F.max("position") / 2).cast("int").alias("current"))
+    more = cur.select("l_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal")).select("l_orderkey", (F.col("l_orderkey") % 100 + F.col("ordinal")).alias("item"), "ordinal")
+    nxt = L.played_next(rows.join(cur, "l_orderkey"), more, "l_orderkey", "current").select("l_orderkey", "item", "position")
+    gone = L.removed(nxt, "l_orderkey", F.col("item") % 4 == 1)
+    return nxt.select(F.lit("next").alias("edit"), "l_orderkey", "item", "position").union(gone.select(F.lit("removed"), "l_orderkey", "item", "position"))
+
+
+@PLANS.query(f"""WITH e AS {ENTRIES}, i AS (SELECT l_orderkey, position, l_partkey, CAST((l_partkey * 17) % 100 AS DOUBLE) / 100 AS x FROM e), o AS (SELECT l_orderkey, abs(lead(x) OVER (PARTITION BY l_orderkey ORDER BY position) - x) AS c FROM i), m AS (SELECT l_orderkey, avg(c) AS m FROM o WHERE c IS NOT NULL GROUP BY 1),
+r AS (SELECT l_orderkey, s AS seed, abs(lead(x) OVER (PARTITION BY l_orderkey, s ORDER BY md5(s || ':' || position), position) - x) AS c FROM i, range(1, 6) t(s)), a AS (SELECT l_orderkey, seed, avg(c) AS c FROM r WHERE c IS NOT NULL GROUP BY 1, 2), g AS (SELECT l_orderkey, quantile_cont(c, 0.5) AS q FROM a GROUP BY 1)
+SELECT l_orderkey, round(m, 6) AS mean_cost, round(CASE WHEN q > 0 THEN 1 - m / q END, 6) + 0.0 AS gain FROM m JOIN g USING (l_orderkey)""")
+def order_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """What every playlist's order gains over five random ones."""
+    from tonearm.operators import sequence as Q
+
+    items = entries(spark, sf).select("l_orderkey", F.col("position").alias("place"), ((F.col("l_partkey") * 17) % 100 / 100).alias("x"))
+    cost = F.abs(F.col("b.x") - F.col("a.x"))
+    own = Q.report(items, ["l_orderkey"], ["place"], cost, ["x"]).select("l_orderkey", F.col("mean_cost").alias("m"))
+    drawn = Q.random_orders(items, "l_orderkey", "place", 5).join(items, ["l_orderkey", "place"])
+    random = Q.report(drawn, ["l_orderkey", "seed"], ["position"], cost, ["x"]).groupBy("l_orderkey").agg(F.collect_list("mean_cost").alias("r"))
+    both = own.join(random, "l_orderkey")
+    return both.select("l_orderkey", F.round("m", 6).alias("mean_cost"), (F.round(Q.gain_over(F.col("m"), F.col("r")), 6) + 0.0).alias("gain"))
+
+
+@PLANS.query("""WITH g AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 9 <> 4), a AS (SELECT vec_id, label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END AS label, CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: x + 2) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE vec_id % 9 <> 5),
+b AS (SELECT coalesce(g.vec_id, a.vec_id) AS vec_id, g.vec_id IS NULL AS ng, a.vec_id IS NULL AS na, g.label AS gl, a.label AS al, sqrt(list_avg(list_transform(range(1, len(g.e) + 1), lambda i: (g.e[i] - a.e[i]) ^ 2))) AS r FROM g FULL JOIN a USING (vec_id))
+SELECT vec_id, round(r, 6) AS spectrum_rmse, CASE WHEN na THEN ['not rendered'] WHEN ng THEN ['no golden'] ELSE list_filter([CASE WHEN gl <> al THEN 'plan' END, CASE WHEN r > 1 THEN 'spectrum' END], lambda x: x IS NOT NULL) END AS differs FROM b""")
+def golden_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Plans and spectra against golden ones."""
+    from tonearm.operators import stats as S
+
+    v = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    cell = lambda df, plan, spectrum: df.select("vec_id", plan.alias("plan"), F.array().cast("array<double>").alias("envelope"), spectrum.alias("spectrum"), F.lit("").alias("hash"))
+    golden = cell(v.filter("vec_id % 9 <> 4"), F.col("label"), F.col("embedding").cast("array<double>"))
+    moved = F.when(F.col("vec_id") % 5 == 0, F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 2)).otherwise(F.col("embedding").cast("array<double>"))
+    actual = cell(v.filter("vec_id % 9 <> 5"), F.col("label") + (F.col("vec_id") % 7 == 0).cast("int"), moved)
+    return S.golden_cells(golden, actual, ["vec_id"]).select("vec_id", F.round("spectrum_rmse", 6).alias("spectrum_rmse"), "differs")
+
+
+CASE_COLUMNS = {
+    "true_bpm": "60.0 + p_partkey % 100", "bpm": "(60.0 + p_partkey % 100) * CASE p_partkey % 5 WHEN 0 THEN 2.0 WHEN 1 THEN 1.02 ELSE 1.005 END", "f": "p_size / 60.0", "phase": "p_partkey % 4", "true_phase": "p_size % 4",
+    "tonic": "p_partkey % 12", "minor": "p_partkey % 2 = 0", "true_tonic": "(p_partkey + CASE WHEN p_size % 3 = 0 THEN 0 WHEN p_size % 3 = 1 THEN 3 ELSE 9 END) % 12", "true_minor": "(p_partkey + CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END) % 2 = 0",
+    "trim": "p_size / 500.0", "true_trim": "0.0", "cents": "p_partkey % 30 - 15", "true_cents": "0",
+}
+
+
+@PLANS.query("WITH c AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in CASE_COLUMNS.items()) + """ FROM part), e AS (SELECT *, abs(bpm / true_bpm - 1) AS err, least(abs(bpm / (true_bpm / 2) - 1), abs(bpm / (true_bpm * 2) - 1)) <= 0.01 AS octave FROM c)
+SELECT count(*) AS cases, count(*) FILTER (err <= 0.01) AS tempo_ok, count(*) FILTER (err > 0.01 AND octave) AS octave_errors, round(avg(f), 6)::DOUBLE AS mean_f, count(*) FILTER (phase = true_phase) AS phase_ok, count(*) FILTER (tonic = true_tonic AND minor = true_minor) AS key_ok,
+count(*) FILTER (minor <> true_minor AND (true_tonic + CASE WHEN true_minor THEN 3 ELSE 9 END) % 12 = tonic) AS key_relative, count(*) FILTER (abs(trim - true_trim) <= 0.05) AS trim_ok, round(max(abs(trim - true_trim)), 6)::DOUBLE AS worst_trim, round(avg(abs(cents - true_cents)), 6)::DOUBLE AS mean_cents FROM e""")
+def accuracy_bench(spark: SparkSession, sf: str) -> DataFrame:
+    """K7: all measures of the accuracy bench."""
+    from tonearm.operators import stats as S
+
+    out = S.accuracy(table(spark, sf, "part").select(*[F.expr(e).alias(n) for n, e in CASE_COLUMNS.items()]))
+    return out.withColumns({n: F.round(n, 6).cast("double") for n in ("mean_f", "worst_trim", "mean_cents")})
+
+
+@PLANS.query(f"""WITH {CANDIDATES}, k AS (SELECT l_orderkey, position, strategy, ok, CASE WHEN ok THEN fit * pref * bonus * jitter ELSE 0 END AS score, -20.0 - n % 5 - position % 3 AS level FROM z) SELECT strategy, count(*) AS rows, count(*) FILTER (ok) AS applicable, round(avg(score), 5) AS mean_score, round(avg(greatest(-12, low - level)), 5)::DOUBLE AS mean_gain
+FROM (SELECT *, min(level) OVER (PARTITION BY l_orderkey, position) AS low FROM k WHERE ok) GROUP BY 1""")
+def ab_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair's applicable strategies with score and level-matched gain, rolled up by strategy."""
+    from tonearm.operators import stats as S
+
+    plans = P.plans_of(candidates(spark, sf), PREFS, KEYS, "a_id", "b_id").withColumn("level", -20.0 - F.col("ordinal") % 5 - F.col("position") % 3)
+    matched = S.level_matched(plans, ["l_orderkey", "position"], "level")
+    out = matched.groupBy("strategy").agg(F.count("*").alias("rows"), F.count("*").alias("applicable"), F.round(F.avg("score"), 5).alias("mean_score"), F.round(F.avg("gain"), 5).alias("mean_gain"))
+    return out
+
+
+@PLANS.query("WITH v AS (SELECT p_partkey, greatest(1, least(8, floor(p_size / 4.0 + 0.5))) AS bars FROM part), w AS (SELECT *, greatest(0, least(60, bars * 4 - 2)) AS beats FROM v) SELECT p_partkey, bars::DOUBLE AS bars, beats::DOUBLE AS beats, greatest(0, least(1, beats / greatest(bars, 4)))::DOUBLE AS share FROM w")
+def rule_variables(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule's variables, each over those before it, clamped to their ranges."""
+    from tonearm.functions.exprs import resolved
+
+    found = resolved({"bars": ("round(size / 4)", 1, 8), "beats": ("bars * 4 - 2", 0, 60), "share": ("beats / max(bars, 4)", 0, 1)}, {"size": F.col("p_size")})
+    return table(spark, sf, "part").select("p_partkey", *[found[n].alias(n) for n in ("bars", "beats", "share")])
+
+
+@PLANS.query()
+def pair_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """About 20,000 ordered pairs of tracks, drawn at random; the pool's size is the feature, tests check its draw."""
+    from tonearm.operators import stats as S
+
+    return S.pair_pool(table(spark, sf, "part").select("p_partkey"), "p_partkey", 20_000, 1)

@@ -202,6 +202,23 @@ def live_counts(spark: SparkSession, sf: str) -> DataFrame:
     return live.live_counts(table(spark, sf, "events"), ["event_type"])
 
 
+@PLANS.query("SELECT 'error' AS view, first(event_id::VARCHAR ORDER BY ts DESC, event_id::VARCHAR DESC) AS value, max(ts) AS ts FROM events WHERE event_type = 'error' UNION ALL SELECT 'user', first(user_id::VARCHAR ORDER BY ts DESC, user_id::VARCHAR DESC), max(ts) FROM events")
+def combined_views(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: the latest of two live views; the stream runs the same function."""
+    events = table(spark, sf, "events")
+    return live.combined({"error": (events.filter("event_type = 'error'"), "event_id", "ts"), "user": (events, "user_id", "ts")})
+
+
+@PLANS.query("""WITH r AS (SELECT user_id, max(ts) AS last FROM events WHERE event_type = 'signup' GROUP BY 1), k AS (SELECT e.*, event_type = 'click' AS soft FROM events e LEFT JOIN r USING (user_id) WHERE event_type <> 'signup' AND (last IS NULL OR ts > last)),
+t AS (SELECT user_id, count(*) FILTER (NOT soft) AS n, coalesce(sum(value / 200) FILTER (NOT soft), 0) AS s, count(*) FILTER (soft) AS m, coalesce(sum(value / 200) FILTER (soft), 0) AS q FROM k GROUP BY 1)
+SELECT user_id, n, m AS implicit_n, round(greatest(0.5, least(1.5, 0.5 + (2 + s + CASE WHEN m = 0 THEN 0 ELSE q * least(0.25 * m, 2) / m END) / (4 + n + least(0.25 * m, 2)))), 6)::DOUBLE AS multiplier FROM t""")
+def reset_multipliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Multipliers since each user's last reset; the stream keeps tallies that a reset clears."""
+    rows = table(spark, sf, "events").select("user_id", "ts", (F.col("value") / 200).alias("rating"), (F.col("event_type") == "click").alias("implicit"), (F.col("event_type") == "signup").alias("reset"))
+    out = live.running_multipliers(rows, ["user_id"], "rating", "implicit", F.col("reset"), "ts")
+    return out.select("user_id", "n", "implicit_n", F.round("multiplier", 6).alias("multiplier"))
+
+
 RUNS = "SELECT user_id, min(i) AS a, max(i) AS b, count(*) AS n FROM (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM s WHERE {}) GROUP BY user_id, g"
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from tonearm.functions.frames import together
 
 HEAD, TAIL = 1 << 20, 1 << 16
 
@@ -40,7 +41,7 @@ def analysed(sources: DataFrame, cache: DataFrame, keys: list[str], analyse: Cal
     """Cached analyses by key, the misses analysed by the function given, both together."""
     hits = sources.select(*keys).join(cache, keys)
     misses = sources.join(cache.select(*keys), keys, "left_anti")
-    return hits.unionByName(misses.mapInPandas(analyse, hits.schema))
+    return together(hits, misses.mapInPandas(analyse, hits.schema))
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:

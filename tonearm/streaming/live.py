@@ -7,9 +7,11 @@ code; only sinks and triggers differ.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tonearm.functions.music import multiplier
 from tonearm.operators.library import merge_by_key
+from tonearm.functions.frames import together
 
 LATE = "1 hour"
 
@@ -102,10 +105,20 @@ def once_lru(reports: DataFrame, group: str, key: str, ts: str, most: int = 256)
     return reports.select(group, key, ts).groupBy(group).applyInPandasWithState(step, out, f"seen array<{kinds[key]}>", "append", GroupStateTimeout.NoTimeout)
 
 
-def running_multipliers(ratings: DataFrame, keys: list[str], rating: str, implicit: str, reset: Column | None = None) -> DataFrame:
-    """Tallies and multipliers as ratings come; rows for which `reset` holds count no more."""
-    rows = ratings if reset is None else ratings.filter(~reset)
+def running_multipliers(ratings: DataFrame, keys: list[str], rating: str, implicit: str, reset: Column | None = None, ts: str | None = None) -> DataFrame:
+    """Tallies and multipliers as ratings come. With `reset` (rows that clear what their key has learned) and `ts`, only what came after the last reset counts.
+
+    A stream without resets is one running aggregation; with them each key's tallies are state that a reset clears.
+    """
     soft = F.coalesce(F.col(implicit), F.lit(False))
+    if reset is not None and ratings.isStreaming:
+        return _with_resets(ratings.withColumns({"__soft": soft, "__reset": F.coalesce(reset, F.lit(False))}), keys, rating, ts)
+    rows = ratings
+    if reset is not None:
+        last = ratings.filter(reset).groupBy(*keys).agg(F.max(ts).alias("__last"))
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        renamed = last.withColumnsRenamed({k: f"__{k}" for k in keys})
+        rows = ratings.join(renamed, same, "left").filter(~F.coalesce(reset, F.lit(False)) & (F.col("__last").isNull() | (F.col(ts) > F.col("__last")))).drop("__last", *[f"__{k}" for k in keys])
     sums = rows.groupBy(*keys).agg(
         F.count_if(~soft).alias("n"), F.coalesce(F.sum(F.when(~soft, F.col(rating))), F.lit(0.0)).alias("sum"),
         F.count_if(soft).alias("implicit_n"), F.coalesce(F.sum(F.when(soft, F.col(rating))), F.lit(0.0)).alias("implicit_sum"),
@@ -113,25 +126,88 @@ def running_multipliers(ratings: DataFrame, keys: list[str], rating: str, implic
     return sums.withColumn("multiplier", multiplier(F.col("n"), F.col("sum"), F.col("implicit_n"), F.col("implicit_sum")))
 
 
+def _with_resets(rows: DataFrame, keys: list[str], rating: str, ts: str) -> DataFrame:
+    kinds = dict(rows.dtypes)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total, soft_n, soft_total = state.get if state.exists else (0, 0.0, 0, 0.0)
+        for batch in batches:
+            for soft, reset, value in batch.sort_values(ts)[["__soft", "__reset", rating]].itertuples(index=False):
+                if reset:
+                    n, total, soft_n, soft_total = 0, 0.0, 0, 0.0
+                elif soft:
+                    soft_n, soft_total = soft_n + 1, soft_total + value
+                else:
+                    n, total = n + 1, total + value
+        state.update((n, total, soft_n, soft_total))
+        yield pd.DataFrame([(*k, n, total, soft_n, soft_total)], columns=[*keys, "n", "sum", "implicit_n", "implicit_sum"])
+
+    tally = "n long, sum double, implicit_n long, implicit_sum double"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + tally
+    sums = rows.select(*keys, ts, rating, "__soft", "__reset").groupBy(*keys).applyInPandasWithState(step, schema, tally, "update", GroupStateTimeout.NoTimeout)
+    return sums.withColumn("multiplier", multiplier(F.col("n"), F.col("sum"), F.col("implicit_n"), F.col("implicit_sum")))
+
+
+def combined(views: dict[str, tuple[DataFrame, str, str]], ts: str = "ts") -> DataFrame:
+    """M2: the latest value of several live views side by side: (view, value, ts); views: name to (rows, value column, time column)."""
+    rows = [df.select(F.lit(name).alias("view"), F.col(value).cast("string").alias("value"), F.col(at).alias(ts)) for name, (df, value, at) in views.items()]
+    both = together(*rows)
+    return both.groupBy("view").agg(F.max_by("value", F.struct(ts, "value")).alias("value"), F.max(ts).alias(ts))
+
+
 def last_used(log: DataFrame, keys: list[str], value: str, ts: str) -> DataFrame:
     """The latest value of each key."""
     return log.groupBy(*keys).agg(F.max_by(value, F.struct(ts, value)).alias(value), F.max(ts).alias(ts))
 
 
-def merging(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """M2, M3: a foreachBatch function that merges each batch into a table, version by version; a repeated batch changes nothing."""
+def merging(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """M2, M3: a foreachBatch function that merges each batch into a table (column `bucket` is its own); a repeated batch changes nothing.
+
+    The table is partitioned by a hash of the keys. A batch reads and replaces the partitions that it touches alone,
+    by way of a staged copy, so that a stopped batch can be run again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        new.write.mode("overwrite").parquet(f"{path}/_batch")  # folders with an underscore are not part of the table
+        new = spark.read.parquet(f"{path}/_batch")
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # `buckets` at most
+        try:
+            old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
+            merged = merge_by_key(old, new, keys)
+        except AnalysisException:  # the first batch: no table yet
+            merged = new
+        merged.write.mode("overwrite").parquet(f"{path}/_merged")
+        done = spark.read.parquet(f"{path}/_merged")
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    return write
+
+
+def working(analyse: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, done: str, failed: str, most: int | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that analyses a backlog: results to `done`, rows with an error to `failed`, by batch number, so that a repeated batch changes nothing.
+
+    analyse gives its rows with a string column `error`, null for good ones. `most` is the worker's own limit for a batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        older = [n for n in range(number - 1, -1, -1) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))][:1]
-        new = batch.dropDuplicates(keys)
-        merged = merge_by_key(spark.read.parquet(f"{path}/v{older[0]}"), new, keys) if older else new
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
+        rows = batch.limit(most) if most else batch
+        rows.mapInPandas(analyse, schema).write.mode("overwrite").parquet(f"{done}/_batch")
+        out = spark.read.parquet(f"{done}/_batch")
+        out.filter("error is null").drop("error").write.mode("overwrite").parquet(f"{done}/batch={number}")
+        out.filter("error is not null").write.mode("overwrite").parquet(f"{failed}/batch={number}")
 
     return write
 
 
+def progress(spark: SparkSession, done: str, failed: str) -> DataFrame:
+    """(batch, done, failed) of a worker so far."""
+    count = lambda path, name: spark.read.option("basePath", path).parquet(path).groupBy("batch").agg(F.count("*").alias(name))
+    return count(done, "done").join(count(failed, "failed"), "batch", "full_outer").na.fill(0)
+
+
 def pruned(rows: DataFrame, ts: str, keep: str) -> DataFrame:
     """Rows no older than `keep` before the newest."""
     newest = rows.agg(F.max(ts).alias("__newest"))

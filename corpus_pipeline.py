@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.functions.frames import together
 from tonearm.llm import bpe, decontaminate, minhash, quality, secret
 from tonearm.llm.common import Tables, fresh, table
 
@@ -33,10 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     names, key = docs.columns, fresh("kept_id", docs.columns)
     kept = minhash.near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select(F.col("doc_id").alias(key))
     named = docs.join(kept, docs["doc_id"] == kept[key], "left_semi")
-    # Repeated rows are told by a digest of the whole row, so that no text is a sort's key.
+    # Repeated rows are told by a digest of the whole row, so that no text is a sort's key; the join has dealt rows by
+    # doc_id already, so those of one id need no second shuffle.
     digest = fresh("digest", names)
-    row = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), {"ignoreNullFields": "false"})
-    return named.unionByName(docs.filter("doc_id is null")).withColumn(digest, F.sha2(row, 256)).dropDuplicates(["doc_id", digest]).drop(digest)
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), {"ignoreNullFields": "false"}), 256)
+    once = lambda rows: rows.withColumn(digest, row).dropDuplicates(["doc_id", digest]).drop(digest)
+    return together(once(named), once(docs.filter("doc_id is null")))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonearm.functions.frames import together
 from tonearm.llm.common import table
 
 BUDGET, HISTORY, HISTORY_TURNS, OVERHEAD = 2048, 512, 2, 4
@@ -95,7 +96,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that holds control strings, formatted and read back."""
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(TARGET).alias("role"), F.lit(tricky).alias("text"))
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    turns = together(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), extra)
     back = read_back(windows(turns))
     written = F.array_join(F.transform("new", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     parts = back.select("conv_id", F.struct("window", written.alias("turns"), F.array_join("lost", "").alias("lost")).alias("part"), F.size("new").alias("n"), "chars")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonearm.functions.frames import together
 from tonearm.llm.common import Tables
 
 
@@ -13,7 +14,7 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
 
     Sides are read from written tables, so that Spark can split the rows of a node with very many edges.
     """
-    both = tables.write(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both")
+    both = tables.write(together(edges.select("a", "b"), edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both")
     labels = tables.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
     turn, changed = 0, True
     while changed:

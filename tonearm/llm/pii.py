@@ -26,6 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.functions.frames import together
 from tonearm.llm.common import Tables, spans_of, table
 
 TITLES = r"Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?|Herrn?|Frau|Monsieur|Madame|Mme|Señora?|Sra?\.|Господин|Госпожа"
@@ -169,14 +170,14 @@ def entities(mentions: DataFrame, key: str, tables: Tables) -> DataFrame:
     later = lambda rows: rows.join(least(rows), ["kind", "new"]).filter("value <> least").select("kind", "value")
     first = tables.write(draw(mentions.select("kind", "value").distinct(), 0), "drawn-0")
     values = first.select("kind", F.col("value").alias("new"))
-    again = tables.write(later(first).union(first.join(values, ["kind", "new"], "left_semi").select("kind", "value")).distinct(), "again-0")
+    again = tables.write(together(later(first), first.join(values, ["kind", "new"], "left_semi").select("kind", "value")).distinct(), "again-0")
     settled, turn = first.join(again, ["kind", "value"], "left_anti"), 0
     while not again.isEmpty():
         turn += 1
         drawn = tables.write(draw(again, turn), f"drawn-{turn}")
-        taken = drawn.join(settled.select("kind", "new"), ["kind", "new"], "left_semi").union(drawn.join(values, ["kind", "new"], "left_semi"))
-        again = tables.write(later(drawn).union(taken.select("kind", "value")).distinct(), f"again-{turn}")
-        settled = settled.union(drawn.join(again, ["kind", "value"], "left_anti").select(*settled.columns))
+        taken = together(drawn.join(settled.select("kind", "new"), ["kind", "new"], "left_semi"), drawn.join(values, ["kind", "new"], "left_semi"))
+        again = tables.write(together(later(drawn), taken.select("kind", "value")).distinct(), f"again-{turn}")
+        settled = together(settled, drawn.join(again, ["kind", "value"], "left_anti"))
     return settled
 
 
@@ -202,7 +203,7 @@ def replace(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", o
     found = F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
     changed = joined.select(*[(text_new if c == text else F.col("row")[c]).alias(c) for c in docs.columns], found.alias(out))
     kept = rows.filter("not some").select("row.*", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)").alias(out))
-    return kept.unionByName(changed)
+    return together(kept, changed)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str, key: str = "a key of the owner's") -> DataFrame:

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.functions.frames import together
 from tonearm.llm.common import blocks_of, cut, let, running, spans_of, table
 
 #: The base patterns (kind, pattern, characters that its last group must have).
@@ -99,7 +100,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Markov:
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("whole", ASSIGN, " "), LONG_ACCESS, " "), LONG_HEX, " ")
     held = sample.select(F.regexp_extract_all(plain, F.lit(ORDINARY), F.lit(0)).alias("plain"), F.regexp_extract_all(plain, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("words"))
     negative = held.select(F.explode(F.concat("plain", joined(F.col("words")))).alias("word")).select(F.lit(False).alias("random"), "word")
-    words = positive.union(negative).groupBy("random", "word").agg(F.count("*").alias("n"))
+    words = together(positive, negative).groupBy("random", "word").agg(F.count("*").alias("n"))
     counts = {(r["random"], r["pair"]): r["n"] for r in transitions(words).collect()}  # two tables of 68 x 68 at most
     if {r for r, _ in counts} != {True, False}:
         return Markov(tuple([0.0] * len(ALPHABET) ** 2))

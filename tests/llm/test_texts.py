@@ -167,6 +167,46 @@ def test_licences_among_others(spark, docs):
         assert [f.start for f in got[5]] == list(range(3, 120_000, 6)) and {f.score for f in got[5]} == {1.0}
 
 
+def brute_labels(text, idf):
+    """(label, start of the mandatory phrase) by the definition: of each template whose phrase's words the text holds, its rarest words must agree on a beginning."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    held, out = set(words), set()
+    for label, wording, key in licence.TEMPLATES:
+        own, phrase = wording.split(), key.split()
+        if not set(phrase) <= held:
+            continue
+        rare = sorted(set(own) & held, key=lambda w: (-idf[w], w))[: licence.RARE]
+        agree = {}
+        for place, w in enumerate(words):
+            if w in rare:
+                for at, x in enumerate(own):
+                    if x == w:
+                        agree.setdefault(place - at, set()).add(w)
+        offset = next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
+        for begin, found in agree.items():
+            start = begin + offset
+            if start >= 0 and words[start : start + len(phrase)] == phrase and len(found) >= licence.LEAST and len(found) / len(rare) >= licence.SHARE:
+                out.add((label, start))
+    return out
+
+
+def test_labels_against_brute_force(spark, docs):
+    rng = random.Random(8)
+    texts = [r.text or "" for r in docs.collect()]
+    for _ in range(150):  # templates whole, cut, with words changed, amid each other and ordinary text
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            words = rng.choice(licence.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice(["the", "licence", "x", "software"])
+            parts += [" ".join(words[: rng.choice([len(words), rng.randrange(1, len(words) + 1)])]), " ".join(rng.choice(texts).split()[: rng.randrange(30)])]
+        texts.append(". ".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = licence.frequencies(df)
+    got = {r.doc_id: {(f.label, f.start) for f in r.found} for r in licence.scan(df, idf).collect()}
+    assert got == {i: brute_labels(t, idf) for i, t in enumerate(texts)} and sum(map(bool, got.values())) > 80
+
+
 def test_languages(spark, odd):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -3,9 +3,12 @@
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tonearm.operators import artifacts as A
 from tonearm.operators import library as L
 from tonearm.operators import pairs as P
+from tonearm.operators import planning as G
 from tonearm.operators import sequence as Q
 from tonearm.operators import series as R
 from tonearm.operators import stats as S
@@ -107,7 +110,7 @@ def test_strategies_match_plain_python(spark):
         key = (1.0, 0.85, 0.5, 0.35, 0.1)[min(r.distance, 4)] * (1 - w) + 0.6 * w
         energy = math.exp(-((r.loudness_delta / 6) ** 2)) * (1 - 0.5 * abs(r.energy_delta))
         room = min(1, r.outro_beats / 32) * min(1, r.intro_beats / 32)
-        prior = P.PRIORS["beat"][P.OUTROS.index(r.outro)][P.INTROS.index(r.intro)]
+        prior = P.OUTRO_FIT["blend"][r.outro] * P.INTRO_FIT["blend"][r.intro]
         low = min(1.0, min(r.low_a, r.low_b) / 0.3)
         want = 0.3 * tempo + 0.15 * low + 0.1 * (key + energy + 1 - r.vocal_clash + min(r.grid_a, r.grid_b) + room) + 0.05 * prior
         blocked = min(r.grid_a, r.grid_b) < 0.5 or r.stretch > p.max_stretch or room < 0.5
@@ -121,10 +124,8 @@ def test_pins_layers_orders(spark):
     assert rows(P.pinned(pairs, pins).select("a", "b", "pin")) == [("1", "2", "x"), ("1", "3", "y"), ("4", "2", "z"), ("5", "6", None)]
     lay = P.layered(F.create_map(F.lit("k"), F.lit("1"), F.lit("l"), F.lit("2")), F.create_map(F.lit("k"), F.lit("9")), F.lit(None).cast("map<string,string>"))
     assert spark.range(1).select(lay.alias("m")).first().m == {"k": "9", "l": "2"}
-    items = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate([0, 9, 1, 8, 2])], "g string, id long, e double").withColumn("block", F.lit(0))
-    order = Q.stitched(Q.ordered(items, "g", "id", ["e"]), "g").orderBy("position")
-    assert [r.id for r in order.collect()] == [0, 2, 4, 3, 1]
-    assert P.all_pairs(spark.range(4).withColumnRenamed("id", "track_id")).count() == 12
+    pairs = P.all_pairs(spark.range(40).withColumnRenamed("id", "track_id"), 7).select("a.track_id", "b.track_id").collect()
+    assert len(pairs) == len(set(map(tuple, pairs))) == 40 * 39
 
 
 def test_candidate_pairs_lose_none(spark):
@@ -154,3 +155,133 @@ def test_cached_analysis(spark):
             yield b.assign(bpm=b["size"] * 10.0)[["fingerprint", "bpm"]]
 
     assert rows(files.analysed(src, cache, ["fingerprint"], analyse)) == [("a", 7.0), ("b", 20.0)]
+
+
+def plain_order(obj, n):
+    """Nearest neighbour from item 0, then reversals and moves, the first that helps, written out loop by loop."""
+    order = [0]
+    while len(order) < n:
+        order.append(min((j for j in range(n) if j not in order), key=lambda j: (obj[order[-1]][j], j)))
+    cost = lambda o: sum(obj[x][y] for x, y in zip(o, o[1:], strict=False))
+    better = True
+    while better:
+        better = False
+        for i in range(1, n - 1):
+            for j in range(i + 1, n):
+                new = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+                if cost(new) < cost(order) - 1e-9:
+                    order, better = new, True
+        for size in (1, 2, 3):
+            i = 1
+            while i + size <= n:
+                rest, part = order[:i] + order[i + size :], order[i : i + size]
+                for p in range(1, len(rest) + 1):
+                    new = rest[:p] + part + rest[p:]
+                    if p != i and cost(new) < cost(order) - 1e-9:
+                        order, better = new, True
+                        break
+                else:
+                    i += 1
+    return order
+
+
+def test_orders_against_plain_loops(spark):
+    """The arrays' costs are the columns' costs, and each block is ordered as plain loops order it."""
+    t = pairing.tracks(spark, SF).withColumns({"energy": F.col("tail_energy"), "set": F.col("track_id") % 9})
+    got = Q.ordered(Q.blocks(t, "set", "energy", "track_id"), "set", "track_id", pairing.PREFS).collect()
+    pairs = t.select(F.struct("*").alias("a")).join(t.select(F.struct("*").alias("b")), (F.col("a.set") == F.col("b.set")) & (F.col("a.track_id") != F.col("b.track_id")))
+    s = P.sub_scores(P.features(pairs, pairing.PREFS), pairing.PREFS)
+    costs = {(r.a, r.b): r.c for r in s.select("a.track_id", "b.track_id", (P.pair_cost(s, pairing.PREFS) + F.when(F.col("a.artist") == F.col("b.artist"), Q.ARTIST_PENALTY).otherwise(0.0)).alias("c")).toDF("a", "b", "c").collect()}
+    for g in range(9):
+        mine = [r.track_id for r in sorted((r for r in got if r.set == g), key=lambda r: r.position)]
+        ids = sorted(mine)
+        obj = [[costs.get((x, y), 0.0) for y in ids] for x in ids]
+        assert mine == [ids[k] for k in plain_order(obj, len(ids))]
+
+
+def test_blocks_are_bounded(spark):
+    """Equal energies, null sets and large sets: no block is much larger than asked for, no item is lost, arcs bend orders."""
+    rows = [(g, i, e) for g, e in ((1, 0.5), (None, None)) for i in range(1000)] + [(2, i, i / 1000) for i in range(1000)]
+    cut = Q.blocks(spark.createDataFrame(rows, "g int, id long, e double"), "g", "e", "id", 100)
+    sizes = [r["count"] for r in cut.groupBy("g", "block", "part").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 100
+    t = pairing.tracks(spark, SF).withColumns({"energy": F.col("tail_energy"), "set": F.lit(1), "block": F.lit(0), "part": F.lit(0)})
+    rising = [r.energy for r in Q.ordered(t, "set", "track_id", pairing.PREFS, arc="rising").join(t.select("track_id", "energy"), "track_id").orderBy("position").collect()]
+    assert sum(rising[:50]) < sum(rising[-50:])
+
+
+def test_queue_passes(spark):
+    queue = spark.createDataFrame([("q", x, i, 3, 4) for i, x in enumerate("abcdefgh")] + [("r", x, i, 3, 40) for i, x in enumerate("abc")], "g string, item string, position int, version int, arranged_to int")
+    assert rows(Q.horizon(queue, "g", F.lit(1), 3, 16).select("g", "item")) == [("q", "c"), ("q", "d"), ("q", "e")]
+    base = queue.select("g", "item", "position", "version")
+    made = spark.createDataFrame([("q", 3, "e", 2), ("q", 3, "c", 3), ("q", 3, "d", 4)], "g string, version int, item string, position int")
+    done = Q.arranged(base, made, "g").filter("g = 'q'").orderBy("position")
+    assert "".join(r.item for r in done.collect()) == "abecdfgh"
+    for stale in (made.withColumn("version", F.lit(2)), made.withColumn("item", F.lit("x"))):
+        assert "".join(r.item for r in Q.arranged(base, stale, "g").filter("g = 'q'").orderBy("position").collect()) == "abcdefgh"
+
+
+def test_styles():
+    prefs = P.Prefs(weights={"bassSwap": 2.0}, excluded=("x",))
+    club = G.STYLES["club"].apply(prefs)
+    assert club.weights == {"bassSwap": 2.0 * 1.3, "stemSwap": 1.3, "drumBreakBridge": 1.3, "crossfade": 0.7, "ambientBridge": 0.7} and club.energy == 0.7 and club.max_stretch == prefs.max_stretch
+    assert G.STYLES["chill"].apply(prefs).excluded == ("x", "brakeStop", "loopRollRiser")
+    assert all(s.problem() is None for s in G.STYLES.values())
+    assert G.Style("s", energy=1.5).problem() and G.Style("s", weights=(("a", -1.0),)).problem() and G.Style("s", max_stretch=17.0).problem()
+
+
+def test_pair_pool(spark):
+    t = spark.range(3000).withColumnRenamed("id", "k")
+    few = S.pair_pool(t.limit(30), "k", 10_000, 1)
+    assert few.count() == 30 * 29
+    got = S.pair_pool(t, "k", 9000, 1).collect()
+    assert len(got) == len({tuple(r) for r in got}) and 8000 <= len(got) <= 9200 and all(r.a != r.b for r in got)
+    assert len({r.a for r in got}) == 3000 and len({r.b for r in got}) > 1500
+    assert S.pair_pool(t, "k", 9000, 1).count() == len(got)
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [math.sin(i * k + 1) for k in range(1, 5)]) for i in range(60)] + [(60, [0.0] * 4)], "id long, e array<double>")
+    want = rows(P.nearest_vectors(v.filter("id < 20"), v, "id", "e", 3).select("a", "place", "b"))
+    vec = {r.id: r.e for r in v.collect()}
+    cos = lambda p, q: round(sum(x * y for x, y in zip(p, q, strict=True)) / max(math.sqrt(sum(x * x for x in p)) * math.sqrt(sum(x * x for x in q)), 1e-300), 9)
+    assert want == sorted(((a, n + 1, b) for a in range(20) for n, b in enumerate(sorted((b for b in vec if b != a), key=lambda b: (-cos(vec[a], vec[b]), b))[:3])), key=repr)
+    monkeypatch.setattr(P, "QUERY_BLOCK", 6)
+    assert rows(P.nearest_vectors(v.filter("id < 20"), v, "id", "e", 3).select("a", "place", "b")) == want
+
+
+def test_signals_with_odd_values(spark):
+    """Samples that are no number, constant series, single rows, null keys and empty tables."""
+    bad = spark.createDataFrame([(1, 0.5, float("nan")), (1, float("inf"), -1.0), (2, 0.0, 0.0)], "k int, a double, b double")
+    assert rows(A.health(bad, "k", ["a", "b"]).select("k", "clipped", "not_finite")) == [(1, 2, 2), (2, 0, 0)]
+    s = spark.createDataFrame([(1, i, 0.0) for i in range(40)] + [(2, i, 0.5 if 10 <= i < 30 else 0.0) for i in range(40)] + [(3, 0, 1.0)], "k int, i long, x double")
+    t = A.trimmed(s, "k", "i", "x", 2, 3)
+    assert rows(t) == [(1, 0, 0, True), (2, 10, 30, False), (3, 0, 0, True)]
+    assert A.hard_stops(s, t, "k", "i", "x", 4, 12).filter("hard_stop").count() == 1
+    assert A.fade_outs(s, t, "k", "i", "x", 10, 20, 8, 2).filter("fade_out").count() == 0
+    for f in (A.trimmed(s.limit(0), "k", "i", "x", 2), A.clicks(s.limit(0), "k", "i", "x", 2, 2, 2.0, 0.1), A.stereo_minimum(s.limit(0).withColumn("y", F.col("x")), "k", "i", "x", "y", 4)):
+        assert f.count() == 0
+    ranked = R.mid_rank(spark.createDataFrame([(1, 2.0), (1, None), (None, 3.0)], "g int, x double"), "x", ["g"])
+    assert rows(ranked) == [(None, 3.0, 0.5), (1, None, None), (1, 2.0, 0.5)]
+    kept = R.without_outliers(spark.createDataFrame([(None, 1.0), (None, 1.0), (None, 9.0), (1, None)], "g int, x double"), "g", "x")
+    assert rows(kept) == [(None, 1.0), (None, 1.0)]
+
+
+def test_documents_by_file_name(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.LongType())])
+    for name, text in (("1.json", '{"id": "1",\n "v": 5}'), ("10.json", '{"id": "1", "v": 6}'), ("2.json", "{broken"), ("a b.json", '{"id": "a b", "v": 7}')):
+        (tmp_path / name).write_text(text)
+    for _ in range(2):  # the schema given stays as it is
+        assert rows(files.read_documents(spark, str(tmp_path), schema, "id")) == [("1", 5), ("a b", 7)]
+
+
+def test_wide_unions_keep_their_rows(spark):
+    """A window after a union of frames that are dealt by its key, in different ways."""
+    e = pairing.entries(spark, SF).select("l_orderkey", F.col("l_partkey").alias("item"), "position")
+    cur = e.groupBy("l_orderkey").agg(F.max("position").alias("current"))
+    more = cur.select("l_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal")).withColumn("item", F.lit(1).cast("long"))
+    q = L.removed(L.played_next(e.join(cur, "l_orderkey"), more, "l_orderkey", "current"), "l_orderkey", F.lit(False))
+    assert q.groupBy("l_orderkey", "position").count().filter("count > 1").count() == 0
+    assert q.count() == e.count() + 2 * cur.count()
+    back = L.restored(L.shuffled(e.withColumn("was", F.col("position")), "l_orderkey", 3, F.lit(False)), "l_orderkey", "was")
+    assert back.filter("position <> was").count() == 0

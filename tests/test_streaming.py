@@ -60,5 +60,41 @@ def test_merge_batches(spark, tmp_path):
     two = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
     source(spark, tmp_path, one, "m")
     stream = source(spark, tmp_path, two, "m")
-    live.drained(stream, "append", str(tmp_path / "cp-m"), live.merging(str(tmp_path / "t"), ["id"])).awaitTermination(120)
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t" / "v1")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    sink = live.merging(str(tmp_path / "t"), ["id"], 4)
+    live.drained(stream, "append", str(tmp_path / "cp-m"), sink).awaitTermination(120)
+    held = lambda: sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    assert held() == [(1, "a"), (2, "c"), (3, "d")]
+    sink(two, 1)  # a batch that is run again
+    assert held() == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_resets_clear_what_was_learned(spark, tmp_path):
+    rows = [("u", 1, 1.0, False, False), ("u", 2, 1.0, True, False), ("u", 3, 0.0, False, True), ("u", 4, 0.5, False, False), ("w", 1, 1.0, False, False)]
+    df = spark.createDataFrame(rows, "k string, at long, rating double, soft boolean, reset boolean")
+    want = {("u", 1, 0.5, 0), ("w", 1, 1.0, 0)}
+    batch = live.running_multipliers(df, ["k"], "rating", "soft", F.col("reset"), "at")
+    assert {(r.k, r.n, r["sum"], r.implicit_n) for r in batch.collect()} == want
+    got = drain(live.running_multipliers(source(spark, tmp_path, df, "r"), ["k"], "rating", "soft", F.col("reset"), "at"), "update", tmp_path, "r")
+    assert {(r.k, r.n, r["sum"], r.implicit_n) for r in got} == want
+
+
+def test_backlog_worker(spark, tmp_path):
+    def analyse(batches):
+        for b in batches:
+            yield b.assign(bpm=b["id"] * 10.0, error=[None if i % 3 else "bad" for i in b["id"]])[["id", "bpm", "error"]]
+
+    source(spark, tmp_path, spark.range(5), "b")
+    stream = source(spark, tmp_path, spark.range(5, 9), "b")
+    done, failed = str(tmp_path / "done"), str(tmp_path / "failed")
+    sink = live.working(analyse, "id long, bpm double, error string", done, failed)
+    live.drained(stream, "append", str(tmp_path / "cp-b"), sink).awaitTermination(120)
+    sink(spark.range(5, 9), 1)
+    assert sorted(r.id for r in spark.read.parquet(done).collect()) == [1, 2, 4, 5, 7, 8]
+    assert sorted((r.batch, r.done, r.failed) for r in live.progress(spark, done, failed).collect()) == [(0, 3, 2), (1, 3, 1)]
+
+
+def test_combined_views(spark, tmp_path):
+    a = spark.createDataFrame([(1, 5), (3, 6)], "at long, n long")
+    b = spark.createDataFrame([(2, "x")], "at long, v string")
+    got = drain(live.combined({"a": (source(spark, tmp_path, a, "va"), "n", "at"), "b": (source(spark, tmp_path, b, "vb"), "v", "at")}), "complete", tmp_path, "v")
+    assert {(r.view, r.value) for r in got} >= {("a", "6"), ("b", "x")}

@@ -99,7 +99,7 @@ def trimmed(df: DataFrame, key: str, i: str, x: str, width: int, least: int = 5,
     ends = runs.groupBy(key).agg(F.min("start").alias("a"), F.max("end").alias("b"))
     sizes = blocks.groupBy(key).agg(F.sum("n").alias("n"))
     out = sizes.join(ends, key, "left")
-    return out.select(key, F.coalesce(F.col("a") * width, F.lit(0)).alias("trim_start"), F.coalesce(F.least((F.col("b") + 1) * width, F.col("n")), F.lit(0)).alias("trim_end"), F.col("a").isNull().alias("silent"))
+    return out.select(key, F.coalesce(F.col("a") * width, F.lit(0)).alias("trim_start"), F.when(F.col("a").isNull(), 0).otherwise(F.least((F.col("b") + 1) * width, F.col("n"))).cast("long").alias("trim_end"), F.col("a").isNull().alias("silent"))
 
 
 def hard_stops(df: DataFrame, trims: DataFrame, key: str, i: str, x: str, last: int, reference: int, tolerance: float = 8.0) -> DataFrame:
@@ -120,17 +120,17 @@ def fade_outs(df: DataFrame, trims: DataFrame, key: str, i: str, x: str, rate: i
     The curve has a point each `hop` samples over `window` (a whole number of hops), from sums by hop: no sample is copied.
     """
     wide = window // hop
-    both = df.join(trims.filter("not silent").select(key, "trim_start", "trim_end"), key).withColumn("from", F.greatest("trim_start", F.col("trim_end") - span))
-    held = both.filter((F.col(i) >= F.col("from")) & (F.col(i) < F.col("trim_end")))
-    sums = held.groupBy(key, "from", F.floor((F.col(i) - F.col("from")) / hop).alias("k")).agg(F.sum(F.col(x) * F.col(x)).alias("s"), F.count("*").alias("n"))
-    w = along(key, "k").rowsBetween(0, wide - 1)
-    curve = sums.select(key, "from", "k", F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n"), F.count("*").over(w).alias("c")).filter(F.col("n") == window).filter(F.col("c") == wide)
-    curve = curve.select(key, "from", "k", F.greatest(level(F.col("s") / window), F.lit(FLOOR)).alias("l"))
-    fit = curve.groupBy(key).agg(F.count("*").alias("points"), F.regr_slope("l", F.col("k") * (hop / rate)).alias("slope"), F.max("l").alias("top"), F.min("l").alias("low"), F.min_by("k", F.struct((-F.col("l")).alias("l"), "k")).alias("peak"), F.first("from").alias("from"))
-    near = curve.join(fit.select(key, "top", "peak"), key).filter((F.col("k") >= F.col("peak")) & (F.col("l") >= F.col("top") - 3)).groupBy(key).agg(F.max("k").alias("last"))
-    fading = F.coalesce((F.col("points") >= 5) & (F.col("slope") < slope) & (F.col("top") - F.col("low") > drop), F.lit(False))
-    enough = F.col("points") >= 5
+    both = df.join(trims.filter("not silent").select(key, "trim_start", "trim_end"), key).withColumn("__from", F.greatest("trim_start", F.col("trim_end") - span))
+    held = both.filter((F.col(i) >= F.col("__from")) & (F.col(i) < F.col("trim_end")))
+    sums = held.groupBy(key, "__from", F.floor((F.col(i) - F.col("__from")) / hop).alias("__k")).agg(F.sum(F.col(x) * F.col(x)).alias("__s"), F.count("*").alias("__n"))
+    w = along(key, "__k").rowsBetween(0, wide - 1)
+    curve = sums.select(key, "__from", "__k", F.sum("__s").over(w).alias("__s"), F.sum("__n").over(w).alias("__n"), F.count("*").over(w).alias("__c")).filter(F.col("__n") == window).filter(F.col("__c") == wide)
+    curve = curve.select(key, "__from", "__k", F.greatest(level(F.col("__s") / window), F.lit(FLOOR)).alias("__l"))
+    fit = curve.groupBy(key).agg(F.count("*").alias("__points"), F.regr_slope("__l", F.col("__k") * (hop / rate)).alias("slope"), F.max("__l").alias("__top"), F.min("__l").alias("__low"), F.min_by("__k", F.struct((-F.col("__l")).alias("__l"), "__k")).alias("__peak"), F.first("__from").alias("__from"))
+    near = curve.join(fit.select(key, "__top", "__peak"), key).filter((F.col("__k") >= F.col("__peak")) & (F.col("__l") >= F.col("__top") - 3)).groupBy(key).agg(F.max("__k").alias("__last"))
+    fading = F.coalesce((F.col("__points") >= 5) & (F.col("slope") < slope) & (F.col("__top") - F.col("__low") > drop), F.lit(False))
+    enough = F.col("__points") >= 5
     return fit.join(near, key).select(
-        key, F.when(enough, F.coalesce("slope", F.lit(0.0))).otherwise(0.0).alias("slope"), F.when(enough, F.col("top") - F.col("low")).otherwise(0.0).alias("range"), fading.alias("fade_out"),
-        F.when(fading, F.col("from") + F.col("last") * hop + window // 2).otherwise(-1).cast("long").alias("fade_start"),
+        key, F.when(enough, F.coalesce("slope", F.lit(0.0))).otherwise(0.0).alias("slope"), F.when(enough, F.col("__top") - F.col("__low")).otherwise(0.0).alias("range"), fading.alias("fade_out"),
+        F.when(fading, F.col("__from") + F.col("__last") * hop + window // 2).otherwise(-1).cast("long").alias("fade_start"),
     )

@@ -27,7 +27,7 @@ BLOCKS = "b AS (SELECT user_id, i // 2 AS block, avg(y * y) AS p, count(*) AS n
 TRIMS = f"""{BLOCKS}, f AS (SELECT *, min(block) FILTER (l >= -60) OVER (PARTITION BY user_id) AS first FROM l), g AS (SELECT *, min(block) FILTER (block > first AND l < -60) OVER (PARTITION BY user_id) AS fall FROM f),
 o AS (SELECT *, coalesce(CASE WHEN fall IS NULL OR block < fall THEN block >= first ELSE last_value(CASE WHEN l >= -54 THEN true WHEN l < -60 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY block ROWS UNBOUNDED PRECEDING) END, false) AS sound FROM g),
 u AS (SELECT user_id, block, block - row_number() OVER (PARTITION BY user_id ORDER BY block) AS island FROM o WHERE sound), r AS (SELECT user_id, min(block) AS a, max(block) AS b FROM u GROUP BY user_id, island HAVING count(*) >= 2),
-e AS (SELECT user_id, min(a) AS a, max(b) AS b FROM r GROUP BY 1), t AS (SELECT user_id, coalesce(a * 2, 0) AS trim_start, coalesce(least((b + 1) * 2, n), 0)::BIGINT AS trim_end, a IS NULL AS silent FROM (SELECT user_id, sum(n) AS n FROM l GROUP BY 1) LEFT JOIN e USING (user_id))"""
+e AS (SELECT user_id, min(a) AS a, max(b) AS b FROM r GROUP BY 1), t AS (SELECT user_id, coalesce(a * 2, 0) AS trim_start, CASE WHEN a IS NULL THEN 0 ELSE least((b + 1) * 2, n) END::BIGINT AS trim_end, a IS NULL AS silent FROM (SELECT user_id, sum(n) AS n FROM l GROUP BY 1) LEFT JOIN e USING (user_id))"""
 
 
 def trims(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,7 +46,7 @@ def analysed(sources: DataFrame, cache: DataFrame, keys: list[str], analyse: Cal
 
 def read_documents(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
     """JSON documents, one file each, gzip or plain; corrupt ones are misses, and so are those whose key is not their file's name (without endings)."""
-    raw = spark.read.option("wholetext", "true").text(path).select("value", F.input_file_name().alias("file"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     whole = StructType([*schema.fields, StructField("_corrupt", StringType())])
     parsed = raw.select("file", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
     stem = F.url_decode(F.regexp_extract("file", r"([^/]*?)(?:\.json)?(?:\.gz)?$", 1))

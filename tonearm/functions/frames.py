@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +22,42 @@ def together(*frames: DataFrame) -> DataFrame:
     """The rows of all frames, columns by name, safe for windows and groupings that follow."""
     plain_unions(frames[0].sparkSession)
     return reduce(DataFrame.unionByName, frames)
+
+
+def by_runs(df: DataFrame, keys: list[str], order: list[str], work: Callable[[dict[str, list]], list[tuple]], schema: str) -> DataFrame:
+    """Groups worked on one after another in the tasks that hold them: one shuffle by key, one sort, batches streamed.
+
+    For rules that are sequential within a group where groups are many and small: no call and no frame for each of them.
+    `work` gets a group's columns as lists, in order, and gives rows.
+    """
+    names = df.columns
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def solved(rows: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+            columns = {n: rows[n].tolist() for n in names}
+            out, start = [], 0
+            for end in ends:
+                out += work({n: c[start:end] for n, c in columns.items()})
+                start = end
+            return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            new = np.zeros(len(rows), bool)
+            for k in keys:
+                a, b = rows[k], rows[k].shift()
+                new |= ((a != b) & ~(a.isna() & b.isna())).to_numpy()
+            new[0] = False
+            ends = np.flatnonzero(new)
+            if len(ends):
+                yield solved(rows.iloc[: ends[-1]], ends)
+            held = rows.iloc[ends[-1] if len(ends) else 0 :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield solved(held, np.array([len(held)]))
+
+    return dealt.mapInPandas(stream, schema)

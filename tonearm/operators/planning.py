@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonearm.functions.frames import by_runs
 from tonearm.operators.pairs import COOLDOWN, Prefs
 
 PREFER_BOOST = 1.3
@@ -110,23 +110,29 @@ def learned_line(multiplier: Column, ratings: Column, skips: Column, label: Colu
 def chained(plans: DataFrame, chain: list[str], place: list[str], variety: float) -> DataFrame:
     """Along each chain the best plan of every pair, what was used just before counting less.
 
-    plans: chain, place, strategy, ordinal, score. A choice depends on the one before, so a chain is one group; chains run in parallel.
+    plans: chain, place, strategy, ordinal, score. A choice depends on the one before, so a chain is walked in order; chains run in parallel.
     """
     kinds = dict(plans.dtypes)
     keep = min(1.0, max(0.0, 1 - variety))
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for _, pair in rows.sort_values([*place, "ordinal"]).groupby(place, sort=False):
-            factor = [1.0 if s != last else 0.0 if s in COOLDOWN else keep for s in pair["strategy"]]
-            score = pair["score"].to_numpy() * factor
-            best = pair.iloc[int(score.argmax())]
-            out.append((*best[chain], *best[place], best["strategy"], float(score.max()), last))
-            last = best["strategy"]
-        return pd.DataFrame(out, columns=[*chain, *place, "strategy", "score", "previous"])
+    def walk(rows: dict[str, list]) -> list[tuple]:
+        out, last, at, n = [], None, 0, len(rows["strategy"])
+        spot = list(zip(*[rows[c] for c in place], strict=True))
+        head = tuple(rows[c][0] for c in chain)
+        while at < n:
+            best, score, end = at, -1.0, at
+            while end < n and spot[end] == spot[at]:
+                s = rows["strategy"][end]
+                worth = rows["score"][end] * (1.0 if s != last else 0.0 if s in COOLDOWN else keep)
+                if worth > score:
+                    best, score = end, worth
+                end += 1
+            out.append((*head, *spot[at], rows["strategy"][best], score, last))
+            last, at = rows["strategy"][best], end
+        return out
 
     schema = ", ".join(f"{n} {kinds[n]}" for n in (*chain, *place)) + ", strategy string, score double, previous string"
-    return plans.select(*chain, *place, "strategy", "ordinal", "score").groupBy(*chain).applyInPandas(walk, schema)
+    return by_runs(plans.select(*chain, *place, "strategy", "ordinal", "score"), chain, [*place, "ordinal"], walk, schema)
 
 
 def bounds(start: Column, end: Column, entry: Column, leave: Column) -> Column:
@@ -169,15 +175,15 @@ def program(queue: DataFrame, group: str) -> DataFrame:
 
     queue: group, position, start, end (of the track), least_body, leave (frame at which the transition into the next
     track leaves this one, null for none), enter (frame at which it enters the next one), length (of the transition).
-    Transitions are dropped until every track keeps its least body, the one out of a track first; a queue is one group.
+    Transitions are dropped until every track keeps its least body, the one out of a track first; a queue is walked in order, queues run in parallel.
     """
     kind = dict(queue.dtypes)[group]
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position")
-        start, end, least = (rows[c].to_numpy() for c in ("start", "end", "least_body"))
-        leave, enter = rows["leave"].tolist(), rows["enter"].tolist()
-        stays = [not pd.isna(x) for x in leave[:-1]] + [False]
+    def build(rows: dict[str, list]) -> list[tuple]:
+        known = lambda x: x is not None and x == x
+        start, end, least, leave, enter = (rows[c] for c in ("start", "end", "least_body", "leave", "enter"))
+        n = len(start)
+        stays = [known(x) for x in leave[:-1]] + [False]
 
         def body(i: int) -> tuple[int, int]:
             begin = max(int(enter[i - 1]) if i and stays[i - 1] else int(start[i]), 0)
@@ -186,7 +192,7 @@ def program(queue: DataFrame, group: str) -> DataFrame:
         repaired = True
         while repaired:
             repaired = False
-            for i in range(len(rows)):
+            for i in range(n):
                 into = i > 0 and stays[i - 1]
                 if not (into or stays[i]):
                     continue
@@ -196,12 +202,13 @@ def program(queue: DataFrame, group: str) -> DataFrame:
                     repaired = True
         out = []
         for i, position in enumerate(rows["position"]):
-            out.append((rows[group].iloc[0], position, "body", *body(i)))
+            out.append((rows[group][0], position, "body", *body(i)))
             if stays[i]:
-                out.append((rows[group].iloc[0], position, "transition", 0, int(rows["length"].iloc[i])))
-        return pd.DataFrame(out, columns=[group, "position", "kind", "start", "end"])
+                out.append((rows[group][0], position, "transition", 0, int(rows["length"][i])))
+        return out
 
-    return queue.groupBy(group).applyInPandas(build, f"{group} {kind}, position long, kind string, start long, end long")
+    wanted = (group, "position", "start", "end", "least_body", "leave", "enter", "length")
+    return by_runs(queue.select(*wanted), [group], ["position"], build, f"{group} {kind}, position long, kind string, start long, end long")
 
 
 def program_totals(segments: DataFrame, group: str) -> DataFrame:

@@ -52,14 +52,14 @@ EDGES = """n AS (SELECT user_id, max(i) + 1 AS n FROM b GROUP BY 1), t AS (SELEC
 u AS (SELECT user_id, CASE WHEN e <= 0 THEN 0 ELSE greatest(0, e - 8) END AS t0, CASE WHEN e <= 0 THEN least(n, 8) ELSE e END AS t1, CASE WHEN h > n - 8 THEN greatest(0, n - 8) ELSE h END AS h0, n FROM t)"""
 
 
-@PLANS.query(f"WITH {B}, {EDGES} SELECT user_id, " + ", ".join(f"round(avg({v}) FILTER (i >= {a} AND i < {z}), 6) AS {p}_{v}" for p, a, z in (("tail", "t0", "t1"), ("head", "h0", "least(n, h0 + 8)")) for v in ("energy", "vocals")) + " FROM b JOIN u USING (user_id) GROUP BY 1")
+@PLANS.query(f"WITH {B}, {EDGES} SELECT user_id, " + ", ".join(f"round(avg({v}) FILTER (i >= {a} AND i < {z}) + 1e-9, 6) AS {p}_{v}" for p, a, z in (("tail", "t0", "t1"), ("head", "h0", "least(n, h0 + 8)")) for v in ("energy", "vocals")) + " FROM b JOIN u USING (user_id) GROUP BY 1")
 def edge_means(spark: SparkSession, sf: str) -> DataFrame:
     """Means of the eight bars before a track's mix-out and from its mix-in on."""
     b = beats(spark, sf)
     cues = b.groupBy("user_id").agg((F.max("i") + 1).alias("n"))
     cues = cues.select("user_id", F.when(F.col("user_id") % 5 == 1, 0).when(F.col("user_id") % 5 > 1, F.col("n") - F.col("user_id") % 7).alias("out_bar"), F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 11).alias("in_bar"))
     out = T.edge_means(b, cues, "user_id", "i", ["energy", "vocals"])
-    return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("tail_energy", "tail_vocals", "head_energy", "head_vocals")])
+    return out.select("user_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("tail_energy", "tail_vocals", "head_energy", "head_vocals")])
 
 
 CUES = "(p_partkey * 13) % 600 AS beats, (p_partkey * 7) % 500 - 30 AS last, (p_partkey * 3) % 20 - 4 AS first, (p_partkey * 11) % 520 - 60 AS mix_out, (p_partkey * 5) % 90 - 30 AS mix_in, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS section_end"

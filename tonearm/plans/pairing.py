@@ -235,13 +235,13 @@ RULE_FIT = "(st + sk + se + 1 - a_tail_vocal * b_head_vocal) / 4"
 
 
 @PLANS.query(f"""WITH {COST[:COST.index("cost AS (")]}x AS (SELECT *, least(a_grid_confidence, b_grid_confidence) >= 0.5 AS matchable FROM h)
-SELECT l_orderkey, position, 'long blend' AS strategy, round(0.8 * (0.5 + 0.5 * {RULE_FIT}), 6)::DOUBLE AS fit FROM x WHERE stretch <= 8 AND matchable AND distance <= 1 AND a_outro_type IN (2, 5)
-UNION ALL SELECT l_orderkey, position, 'calm fade', round(0.5 * (0.5 + 0.5 * {RULE_FIT}), 6)::DOUBLE FROM x WHERE stretch <= 8 AND b_intro_type IN (1, 4) AND ed BETWEEN -1 AND 0.2""")
+SELECT l_orderkey, position, 'long blend' AS strategy, round(0.8 * (0.5 + 0.5 * {RULE_FIT}) + 1e-9, 6)::DOUBLE AS fit FROM x WHERE stretch <= 8 AND matchable AND distance <= 1 AND a_outro_type IN (2, 5)
+UNION ALL SELECT l_orderkey, position, 'calm fade', round(0.5 * (0.5 + 0.5 * {RULE_FIT}) + 1e-9, 6)::DOUBLE FROM x WHERE stretch <= 8 AND b_intro_type IN (1, 4) AND ed BETWEEN -1 AND 0.2""")
 def rule_plans(spark: SparkSession, sf: str) -> DataFrame:
     """Two declarative rules against every transition."""
     rules = [P.Rule("long blend", 0.8, needs_match=True, max_distance=1, outros=("BEAT_OUTRO", "UNKNOWN")), P.Rule("calm fade", 0.5, intros=("AMBIENT_INTRO", "SILENCE"), energy=(-1.0, 0.2))]
     found = P.by_rules(scored(spark, sf), rules, ["l_orderkey", "position"], PREFS)
-    return found.filter(F.size("blockers") == 0).select("l_orderkey", "position", "strategy", F.round("fit", 6).alias("fit"))
+    return found.filter(F.size("blockers") == 0).select("l_orderkey", "position", "strategy", F.round(F.col("fit") + 1e-9, 6).alias("fit"))
 
 
 @PLANS.query()

@@ -65,10 +65,10 @@ def prefix_energy(spark: SparkSession, sf: str) -> DataFrame:
     return R.prefix_energy(series(spark, sf), "user_id", "i", "x").select("user_id", "i", F.round("energy", 6).alias("energy"))
 
 
-@PLANS.query(f"WITH {S}, a AS (SELECT user_id, x, avg(x) OVER (PARTITION BY user_id) AS m FROM s WHERE x > 10) SELECT user_id, round(avg(x), 6) AS loudness, count(*) AS blocks FROM a WHERE x > m * 0.1 GROUP BY 1")
+@PLANS.query(f"WITH {S}, a AS (SELECT user_id, x, avg(x) OVER (PARTITION BY user_id) AS m FROM s WHERE x > 10) SELECT user_id, round(avg(x) + 1e-9, 6) AS loudness, count(*) AS blocks FROM a WHERE x > m * 0.1 GROUP BY 1")
 def loudness_gated(spark: SparkSession, sf: str) -> DataFrame:
     """Two gates, two passes."""
-    return R.gated_loudness(series(spark, sf), "user_id", "x", 10.0, 0.1).withColumn("loudness", F.round("loudness", 6))
+    return R.gated_loudness(series(spark, sf), "user_id", "x", 10.0, 0.1).withColumn("loudness", F.round(F.col("loudness") + 1e-9, 6))
 
 
 @PLANS.query(f"""WITH {S}, a AS (SELECT user_id, x, avg(x) OVER (PARTITION BY user_id) AS m FROM s), v AS (SELECT user_id, list(x ORDER BY x) AS v FROM a WHERE x >= m - 20 GROUP BY 1)

@@ -223,3 +223,27 @@ def test_pipeline_stages(spark):
         before = after
     assert before.filter("n_tokens = size(ids)").count() == before.count() > 0
     assert corpus_pipeline.run(spark, SF).columns == before.columns
+
+
+def test_pipeline_on_empty_and_clashing_tables(spark):
+    """Empty tables pass all stages; columns named like those used inside, and a very long text, are kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = docs.limit(0)
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, before, SF)
+        assert after.count() == 0
+        if number < 4:
+            assert after.columns == docs.columns
+            before = after
+    long = " ".join(f"word{i % 977} and {i}" for i in range(60_000))
+    more = docs.limit(60).unionByName(spark.createDataFrame([(10**6, long, "en", "s", len(long))], docs.schema))
+    for name in ("kept_id", "digest", "regions", "benchmark_regions_found", "row", "spans", "whole", "kept", "component_id", "rule", "text_"):
+        more = more.withColumn(name, F.lit(name))
+    before = more
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        after = stage(spark, before, SF)
+        assert after.columns == more.columns, number
+        before = Tables(spark, f"clash{number}").write(after, "t")
+    out = before.collect()
+    assert out and all(r.kept_id == "kept_id" and r.digest == "digest" and r.row == "row" for r in out)
+    assert corpus_pipeline.STAGES[4][1](spark, before, SF).count() == len(out)

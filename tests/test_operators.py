@@ -262,7 +262,7 @@ def test_signals_with_odd_values(spark):
     for f in (A.trimmed(s.limit(0), "k", "i", "x", 2), A.clicks(s.limit(0), "k", "i", "x", 2, 2, 2.0, 0.1), A.stereo_minimum(s.limit(0).withColumn("y", F.col("x")), "k", "i", "x", "y", 4)):
         assert f.count() == 0
     ranked = R.mid_rank(spark.createDataFrame([(1, 2.0), (1, None), (None, 3.0)], "g int, x double"), "x", ["g"])
-    assert rows(ranked) == [(None, 3.0, 0.5), (1, None, None), (1, 2.0, 0.5)]
+    assert rows(ranked) == [(1, 2.0, 0.5), (1, None, None), (None, 3.0, 0.5)]
     kept = R.without_outliers(spark.createDataFrame([(None, 1.0), (None, 1.0), (None, 9.0), (1, None)], "g int, x double"), "g", "x")
     assert rows(kept) == [(None, 1.0), (None, 1.0)]
 

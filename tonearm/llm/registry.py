@@ -1,4 +1,4 @@
-"""Queries of the ten operators and their SQL twins."""
+"""Queries of the operators and their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import bpe, chat, decontaminate, language, licence, minhash, pii, quality, secret, warc
+from tonearm.llm import bpe, chat, decontaminate, exact, language, licence, minhash, pii, quality, secret, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secret.op1_secrets,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": language.op8_language,
     "op9_licences": licence.op9_licences,
     "op10_pii": pii.op10_pii,
+    "op12_exact": exact.op12_exact,
 }
 #: The others fit models, follow links or use a vocabulary: tests compare them with brute force instead.
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE_SQL, "op12_exact": exact.ORACLE_SQL}

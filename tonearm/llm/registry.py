@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.llm import bpe, chat, decontaminate, divergence, exact, language, licence, minhash, pii, quality, secret, warc
+from tonearm.llm import bpe, chat, decontaminate, divergence, exact, language, licence, minhash, pii, quality, secret, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secret.op1_secrets,
@@ -19,8 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": language.op8_language,
     "op9_licences": licence.op9_licences,
     "op10_pii": pii.op10_pii,
+    "op11_trie": trie.op11_trie,
     "op12_exact": exact.op12_exact,
     "op13_divergence": divergence.op13_divergence,
 }
 #: The others fit models, follow links or use a vocabulary: tests compare them with brute force instead.
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE_SQL, "op12_exact": exact.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.ORACLE_SQL, "op11_trie": trie.ORACLE_SQL, "op12_exact": exact.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}

@@ -188,6 +188,43 @@ def test_large_benchmarks_in_blocks(spark, monkeypatch):
     assert rows() == want
 
 
+def test_texts_of_a_batch_are_alone(spark):
+    """A passage that ends one text and begins the next is in neither, and no find hangs on the neighbours."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghij klmno") for _ in range(90))
+    held = decontaminate.Passages([(1, passage)])
+    assert held.find([f"one {passage[:45]}", f"{passage[45:]} two", passage[:45], passage[45:]]) == [[], [], [], []]
+    long = "".join(rng.choice("pqrs tuvw") for _ in range(400))
+    held = decontaminate.Passages([(1, passage), (2, long), (3, passage[:20])])
+    texts = []
+    for _ in range(300):
+        whole = rng.choice([passage, long])
+        a = rng.randrange(len(whole))
+        text = list(whole[a : a + rng.randrange(len(whole))])
+        for _ in range(rng.randrange(8)):
+            text[rng.randrange(len(text) + 1) : rng.randrange(len(text) + 1)] = rng.choice(["", "x", "yz"]) if rng.random() < 0.5 else []
+        texts.append("".join(text))
+    together = held.find(texts)
+    assert together == [held.find([t])[0] for t in texts] and sum(map(bool, together)) > 20
+    rng.shuffle(texts)
+    assert held.find(texts) == [held.find([t])[0] for t in texts]
+
+
+def test_any_partitioning(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    rows = lambda n: sorted((r.doc_id, [tuple(x) for x in r.regions]) for r in decontaminate.mark(docs.select("doc_id", "text").repartition(n), bench).collect())
+    assert rows(1) == rows(50)
+
+
+def test_short_items_literally(spark):
+    held = decontaminate.Passages([(1, "Yes"), (2, "a  b")])
+    assert held.find(["no, yes. YESyes", "A\t b", ""]) == [[(1, 4, 7, 0), (1, 9, 12, 0), (1, 12, 15, 0)], [(2, 0, 4, 0)], []]
+    docs = spark.createDataFrame([(1, "oh yes"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "yes"), (6, "")], "item_id long, text string")
+    assert [len(r.regions) for r in decontaminate.mark(docs, bench).orderBy("doc_id").collect()] == [0, 0]
+    assert [len(r.regions) for r in decontaminate.mark(docs, bench, least=1).orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_whole_table_against_full_alignment(spark):
     """Every document of the smallest table against every passage, with the plain edit distance."""
     items = [(r.item, r.passage) for r in decontaminate.passages_of(spark.read.parquet(f"{SF}/benchmark.parquet")).collect()]

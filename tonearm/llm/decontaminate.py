@@ -11,15 +11,18 @@ Passages go to the tasks in blocks of at most BLOCK_CHARS characters. A benchmar
 documents; a larger one is searched block by block, each block's finds written by text digest before the next block is
 read, and all finds joined to the documents at the end: no more than one block is in the driver or a task at a time.
 
-Cases: a null or short text holds nothing; passages shorter than LEAST or null can't be judged and are left out, and
-those under 16 characters are found as they are only (their edit budget is 0), so such an item marks every text that
-holds it (raise `least` where items are that short); an empty benchmark marks nothing; repeated rows are marked each,
+Finds never reach over two texts of a batch, so they don't hang on which rows stand next to one another.
+
+Cases: a null or short text holds nothing; passages shorter than `least` or null are left out; those under Q characters
+(with a lower `least`) are searched for literally, and those under 16 are found as they are only (their edit budget is
+0), so such an item marks every text that holds it; an empty benchmark marks nothing; repeated rows are marked each,
 repeated passages once for each item; a very long text costs its length; ties between regions are all given, in order;
 other columns stay as they are, but for the named output, which replaces a column of that name.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +38,10 @@ Q = 8
 WINDOW = 128
 BUDGET = 0.08
 BLOCK_CHARS = 2_000_000
+#: Characters between the texts of a batch: more than any stretch that is aligned, so no find reaches over two texts.
+GAP = 2 * WINDOW
+#: A multiple of all widths that half a band may have.
+STEP = math.lcm(*range(1, int(WINDOW * BUDGET) + 2))
 SLOTS = 1 << 20
 #: Characters that a passage must have.
 LEAST = Q
@@ -52,6 +59,11 @@ def codes_of(text: str) -> np.ndarray:
     return np.where(codes - np.uint32(9) < 5, np.uint32(32), codes)
 
 
+def shown(text: str) -> str:
+    """The text that codes_of() gives the code points of."""
+    return codes_of(text).astype("<u4").tobytes().decode("utf-32-le")
+
+
 def grams(codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the q-gram at each place, by doubling (Q is a power of two)."""
     h, width, factor = codes.astype(np.uint64), 1, 0x9E3779B97F4A7C15
@@ -68,6 +80,7 @@ class Passages:
     def __init__(self, items: list[tuple[int, str]]):
         self.item: list[int] = []
         self.codes: list[np.ndarray] = []
+        self.short = [(item, shown(text)) for item, text in items if 0 < len(text) < Q]
         for item, text in items:
             codes = codes_of(text)
             n = len(codes)
@@ -90,16 +103,24 @@ class Passages:
             self.slots[(self.grams >> np.uint64(44)).astype(np.int64)] = True
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
-        """For each text the (item, start, end, edits) of the passages that it holds."""
+        """For each text the (item, start, end, edits) of the passages that it holds, as if it were alone.
+
+        The texts are laid out with GAP borders between them: bands and stretches are shorter, so each is of one text.
+        """
         out: list[list] = [[] for _ in texts]
+        for item, short in self.short:
+            for found, text in zip(out, texts, strict=True):
+                plain, at = shown(text), -1
+                while (at := plain.find(short, at + 1)) >= 0:
+                    found.append((item, at, at + len(short), 0))
         if not self.item:
-            return out
-        border = np.full(1, 0xFFFFFFFF, np.uint32)
+            return [sorted(set(x)) for x in out]
+        border = np.full(GAP, 0xFFFFFFFF, np.uint32)
         parts = [x for t in texts for x in (codes_of(t), border)]
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        starts = np.cumsum([0] + [len(t) + GAP for t in texts])
         codes = np.concatenate(parts)
         if len(codes) < Q:
-            return out
+            return [sorted(set(x)) for x in out]
         h = grams(codes)
         near = np.flatnonzero(self.slots[(h >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.grams, h[near])
@@ -107,7 +128,7 @@ class Passages:
         known = self.grams[at] == h[near]
         places, at = near[known], at[known]
         if len(places) < self.bound:
-            return out
+            return [sorted(set(x)) for x in out]
         # Stretches that have as many hits as the least bound within the longest reach.
         ahead = places[self.bound - 1 :] - places[: len(places) - self.bound + 1] < self.reach
         dense = np.zeros(len(places) + 1, np.int32)
@@ -117,34 +138,44 @@ class Passages:
         dense = np.cumsum(dense[:-1]) > 0
         places, at = places[dense], at[dense]
         if not len(places):
-            return out
+            return [sorted(set(x)) for x in out]
         counts = self.count[at]
         hits = np.repeat(self.first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         passage = self.passage[hits]
-        diagonal = np.repeat(places, counts) - self.offset[hits] + WINDOW
+        # Diagonals of a text start at a multiple of all band widths, so its bands are the same wherever it lies.
+        doc = np.searchsorted(starts, places, "right") - 1
+        lines = np.cumsum([STEP, *(-(-(np.diff(starts) + GAP) // STEP) * STEP)])
+        diagonal = np.repeat(places - starts[doc] + lines[doc], counts) - self.offset[hits] + WINDOW
+
+        def place(line: np.ndarray, width: np.ndarray) -> np.ndarray:
+            """Where in the codes a diagonal starts; `width` is how far below a text's first one it may be."""
+            d = np.searchsorted(lines, line + width, "right") - 1
+            return line - lines[d] + starts[d] - WINDOW
+
         # Passages that stand there as they are: all their grams on one diagonal.
         exact, n = np.unique((passage << 40) | diagonal, return_counts=True)
         exact = exact[n >= self.m[exact >> 40] + 1 - Q]
         for key in exact:
-            p, at = int(key >> 40), int(key & ((1 << 40) - 1)) - WINDOW
+            p, at = int(key >> 40), int(place(key & ((1 << 40) - 1), 0))
             if at >= 0 and np.array_equal(codes[at : at + self.m[p]], self.codes[p]):
                 doc = int(np.searchsorted(starts, at, "right")) - 1
                 out[doc].append((self.item[p], int(at - starts[doc]), int(at + self.m[p] - starts[doc]), 0))
         # All others: the hits in overlapping bands of diagonals.
         band = diagonal // (self.k[passage] + 1)
-        keys = np.concatenate([(passage << 40) | band, (passage << 40) | np.maximum(band - 1, 0)])
+        keys = np.concatenate([(passage << 40) | band, (passage << 40) | (band - 1)])
         keys, n = np.unique(keys, return_counts=True)
         passage, band = keys >> 40, keys & ((1 << 40) - 1)
         low = band * (self.k[passage] + 1)
         within = np.append(exact, np.iinfo(np.int64).max)[np.searchsorted(exact, (passage << 40) | low)] < ((passage << 40) | (low + 2 * self.k[passage] + 2))
         full = (n >= self.least[passage]) & ~within
-        passage, low = passage[full], low[full] - WINDOW
+        passage = passage[full]
+        low = place(low[full], self.k[passage] + 1)
         for m, k in sorted(set(zip(self.m[passage].tolist(), self.k[passage].tolist(), strict=True))):
             alike = np.flatnonzero((self.m[passage] == m) & (self.k[passage] == k))
             edits = self.align(codes, m, k, np.stack([self.codes[p] for p in passage[alike]]), low[alike])
             for i, e in zip(alike[edits <= k], edits[edits <= k], strict=True):
                 lo, hi = int(low[i]) - (k + 1), int(low[i]) + m + 3 * (k + 1)  # all that was aligned
-                doc = int(np.searchsorted(starts, max(0, (lo + hi) // 2), "right")) - 1
+                doc = int(np.searchsorted(starts, hi - 1, "right")) - 1  # the one text that the stretch reaches
                 if doc < len(texts):
                     out[doc].append((self.item[passage[i]], int(max(0, lo - starts[doc])), int(min(len(texts[doc]), hi - starts[doc])), int(e)))
         return [sorted(set(x)) for x in out]
@@ -173,7 +204,7 @@ def passages_of(benchmark: DataFrame, item: str = "item_id", passage: str = "tex
             found = [(i, t[at : at + WINDOW]) for i, t in zip(*[c.to_pylist() for c in batch.columns], strict=True) for at in ([0] if len(t) <= WINDOW else sorted({*range(0, len(t) - WINDOW, WINDOW // 2), len(t) - WINDOW}))]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["item", "passage"])
 
-    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(passage).alias("passage")).filter(F.col("item").isNotNull() & (F.length("passage") >= max(Q, least)))
+    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(passage).alias("passage")).filter(F.col("item").isNotNull() & (F.length("passage") >= max(1, least)))
     return items.mapInArrow(run, "item long, passage string").distinct()
 
 

@@ -2,10 +2,12 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tonearm.llm import divergence
@@ -69,14 +71,36 @@ def test_runs_merge(spark):
         block = divergence.Block()
         for _ in range(rng.randrange(4)):
             text = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(30))
-            source = rng.choice(["s", "t"])
+            source = rng.choice([f"s{i}" for i in range(100)])
             block.add("en", source, text.encode())
             for t, n in Counter(text.split()).items():
                 want[t][source] += n
                 df[t] += 1
         blocks += list(block.run(1))
-    got = {t.decode(): (n, dict(c)) for _, t, n, c in divergence.merged(iter(sorted(blocks, key=lambda b: (b["shard"], b["lang"], b["first"]))))}
-    assert got == {t: (df[t], dict(c)) for t, c in want.items()}
+    whole = pa.Table.from_batches(blocks).sort_by([("shard", "ascending"), ("lang", "ascending"), ("first", "ascending")])
+    for least in (1, 40):
+        got = {t.decode(): (n, dict(c)) for _, t, n, c in divergence.merged(iter(whole.to_batches(max_chunksize=7)), least)}
+        assert got == {t: (df[t], dict(c)) for t, c in want.items() if df[t] >= least}
+
+
+def test_blocks_of_a_run(monkeypatch):
+    """Shards, places and postings of a run whose blocks have few terms, many sources among them."""
+    monkeypatch.setattr(divergence, "BLOCK_TERMS", 3)
+    rng = random.Random(7)
+    block, want = divergence.Block(), defaultdict(Counter)
+    for i in range(300):
+        words = [rng.choice("pqrstuvwxyz") * rng.randrange(1, 9) for _ in range(rng.randrange(20))]
+        block.add(rng.choice(["de", "en"]) if i else "fr", f"s{i % 90}", " ".join(words).encode())
+    for lang, part in block.parts.items():
+        names = list(part.sources)
+        terms = list(part.terms)
+        for s, ids, counts in part.docs:
+            for t, n in zip(ids, counts, strict=True):
+                want[lang, terms[t]][names[s]] += int(n)
+    rows = [r for b in block.run(5) for r in b.to_pylist()]
+    assert all(len(r["terms"]) <= 3 and r["terms"] == sorted(r["terms"]) and r["first"] == r["terms"][0] and {zlib.crc32(t) % 5 for t in r["terms"]} == {r["shard"]} for r in rows)
+    got = {(r["lang"], t): {r["names"][r["sources"][j]]: r["counts"][j] for j in range(lo, hi)} for r in rows for t, lo, hi in zip(r["terms"], [0, *r["ends"]], r["ends"], strict=False)}
+    assert got == {k: dict(c) for k, c in want.items()}
 
 
 def test_long_text_in_pieces():
@@ -87,13 +111,15 @@ def test_long_text_in_pieces():
 def test_tables_of_any_size():
     """Corrections do not hang on how many sources or languages a table holds."""
     rng = np.random.default_rng(1)
-    terms = [(lang, [{"source": f"s{i}", "p": int(rng.integers(100)), "p0": i} for i in sorted(rng.choice(30, rng.integers(2, 25), replace=False))]) for lang in ("a", "b", "c") for _ in range(60)]
+    terms = []
+    for lang in ("a", "b", "c") * 60:
+        of = rng.choice(30, rng.integers(2, 25), replace=False)
+        terms.append((lang, [f"s{i}" for i in of], rng.integers(0, 100, len(of)), of))
     want = Counter()
-    for lang, ps in terms:
-        for i, x in enumerate(ps):
-            for y in ps[i + 1 :]:
-                a, b = sorted((x["source"], y["source"]))
-                want[lang, a, b] += abs(x["p"] - y["p"]) - abs(x["p"] - y["p0"]) - abs(y["p"] - x["p0"]) + abs(x["p0"] - y["p0"])
+    for lang, names, p, p0 in terms:
+        for i in range(len(p)):
+            for j in range(i):
+                want[(lang, *sorted((names[i], names[j])))] += int(abs(p[i] - p[j]) - abs(p[i] - p0[j]) - abs(p[j] - p0[i]) + abs(p0[i] - p0[j]))
     for tile, langs in ((64, 8), (8, 8), (30, 1)):
         got = Counter()
         for rows in divergence.summed(iter(terms), tile, langs):

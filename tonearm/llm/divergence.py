@@ -1,8 +1,8 @@
 """Source divergence audit: how far the word use of each source is from that of the other sources of its language.
 
-Postings are built in a single pass. A task counts the terms of the documents it reads in memory; when BLOCK_ENTRIES
-(language, source, term) counts are held, they are spilled as a run: sorted by language and term, dealt to hash shards
-of the terms, a block of BLOCK_TERMS terms a row. A shard's blocks arrive ordered by their first term; a heap merges
+Postings are built in a single pass. A task numbers and counts the terms of the documents it reads in memory; at
+BLOCK_BYTES they are spilled as a run: sorted by language, hash shard and term, with postings by source, a block of
+BLOCK_TERMS terms a row. A shard's blocks arrive ordered by their first term; a heap merges
 those that are open, so each term's counts in all runs come together and its frequencies are summed. Terms in fewer
 than `least` documents end there. What a shard holds open is at most its own blocks; there are as many shards as
 shuffle partitions.
@@ -23,14 +23,15 @@ no rows; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +44,12 @@ LEAST = 30
 TOP = 50
 SCALE = 1_000_000_000
 SMOOTH = 5
-BLOCK_ENTRIES = 300_000
+#: Bytes of memory that make a block full: by TERM_BYTES a term and TOKEN_BYTES a term of a document.
+BLOCK_BYTES, TERM_BYTES, TOKEN_BYTES = 160_000_000, 160, 40
 BLOCK_TERMS = 512
 PIECE = 1 << 20
 TILE = 512
-BLOCK = "shard int, lang string, first binary, terms array<binary>, dfs array<long>, ends array<int>, sources array<string>, counts array<long>"
+BLOCK = "shard int, lang string, first binary, terms array<binary>, dfs array<long>, ends array<int>, names array<string>, sources array<int>, counts array<long>"
 
 
 def terms_of(text: bytes) -> Iterator[list[bytes]]:
@@ -62,114 +64,152 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+class Part:
+    """One language of a block: terms by number, and each document's distinct terms with their counts."""
+
+    def __init__(self) -> None:
+        self.terms: dict[bytes, int] = defaultdict()
+        self.terms.default_factory = self.terms.__len__
+        self.sources: dict[str, int] = {}
+        self.docs: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.tokens = 0
+
+    def add(self, source: str, text: bytes) -> None:
+        ids = [np.fromiter(map(self.terms.__getitem__, terms), np.int32, len(terms)) for terms in terms_of(text)]
+        terms, counts = np.unique(np.concatenate(ids), return_counts=True) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.docs.append((self.sources.setdefault(source, len(self.sources)), terms, counts))
+        self.tokens += len(terms)
+
+    def rows(self, lang: str, shards: int) -> Iterator[pa.RecordBatch]:
+        """A run in order of shard and term: a row for at most BLOCK_TERMS terms of one shard."""
+        if not self.terms:
+            return
+        terms, names = pa.array(self.terms, pa.binary()), np.array(list(self.sources), object)
+        ordered = pc.array_sort_indices(terms).to_numpy()
+        shard = np.fromiter(map(zlib.crc32, self.terms), np.uint32, len(terms))[ordered] % shards
+        by_shard = np.argsort(shard, kind="stable")
+        ordered, shard = ordered[by_shard], shard[by_shard]
+        place = np.empty(len(terms), np.int64)
+        place[ordered] = np.arange(len(terms))
+        at = place[np.concatenate([t for _, t, _ in self.docs])]
+        dfs = np.bincount(at, minlength=len(terms))
+        keys = at * len(names) + np.repeat([s for s, _, _ in self.docs], [len(t) for _, t, _ in self.docs])
+        by_key = np.argsort(keys)
+        keys, first = np.unique(keys[by_key], return_index=True)
+        counts = np.add.reduceat(np.concatenate([c for _, _, c in self.docs])[by_key], first)
+        at, sources = keys // len(names), keys % len(names)
+        ends = np.cumsum(np.bincount(at, minlength=len(terms)))
+        new = np.flatnonzero(np.diff(shard)) + 1
+        cuts = [c for lo, hi in zip([0, *new], [*new, len(terms)], strict=True) for c in range(lo, hi, BLOCK_TERMS)] + [len(terms)]
+        ordered_terms = terms.take(pa.array(ordered))
+        for lo in range(0, len(cuts) - 1, 1024):
+            some = cuts[lo : lo + 1025]
+            spans = [(0 if a == 0 else int(ends[a - 1]), int(ends[b - 1])) for a, b in itertools.pairwise(some)]
+            local = [np.unique(sources[x:y], return_inverse=True) for x, y in spans]
+            lists = lambda values, offsets: pa.ListArray.from_arrays(pa.array(np.asarray(offsets) - offsets[0], pa.int32()), values)
+            x, y = spans[0][0], spans[-1][1]
+            offsets = [x, *(e for _, e in spans)]
+            columns = [
+                pa.array(shard[some[:-1]], pa.int32()), pa.array([lang] * len(spans)), ordered_terms.take(pa.array(some[:-1])), lists(ordered_terms[some[0] : some[-1]], some), lists(pa.array(dfs[some[0] : some[-1]], pa.int64()), some),
+                lists(pa.array(np.concatenate([ends[a:b] - s for (s, _), (a, b) in zip(spans, itertools.pairwise(some), strict=True)]), pa.int32()), some),
+                pa.array([names[u].tolist() for u, _ in local], pa.list_(pa.string())), lists(pa.array(np.concatenate([i for _, i in local]), pa.int32()), offsets), lists(pa.array(counts[x:y], pa.int64()), offsets),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCK.split(", ")])
+
+
 class Block:
-    """Counts of terms by language and source, and documents of terms by language, until memory is full."""
+    """Postings of all languages until memory is full."""
 
     def __init__(self) -> None:
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.dfs: dict[str, Counter] = defaultdict(Counter)
-        self.entries = 0
+        self.parts: dict[str, Part] = defaultdict(Part)
+        self.bytes = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counter, seen = self.counts[lang, source], set()
-        before = len(counter)
-        for terms in terms_of(text):
-            counter.update(terms)
-            seen.update(terms)
-        self.dfs[lang].update(seen)
-        self.entries += len(counter) - before
-
-    def run(self, shards: int) -> Iterator[dict[str, list]]:
-        """The block as a run sorted by term: rows of at most BLOCK_TERMS terms of one shard and language."""
-        sources: dict[str, list[str]] = defaultdict(list)
-        for lang, source in self.counts:
-            sources[lang].append(source)
-        for lang, dfs in self.dfs.items():
-            ordered = sorted(sources[lang])
-            counters = [(s, self.counts[lang, s]) for s in ordered]
-            by_shard: dict[int, list[bytes]] = defaultdict(list)
-            for term in sorted(dfs):
-                by_shard[zlib.crc32(term) % shards].append(term)
-            for shard, terms in by_shard.items():
-                for at in range(0, len(terms), BLOCK_TERMS):
-                    part = terms[at : at + BLOCK_TERMS]
-                    postings = [[(s, c[t]) for s, c in counters if t in c] for t in part]
-                    yield {
-                        "shard": shard, "lang": lang, "first": part[0], "terms": part, "dfs": [dfs[t] for t in part], "ends": np.cumsum([len(p) for p in postings]).tolist(),
-                        "sources": [s for p in postings for s, _ in p], "counts": [n for p in postings for _, n in p],
-                    }
-
-
-ARROW_BLOCK = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())), ("dfs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+        part = self.parts[lang]
+        terms, tokens = len(part.terms), part.tokens
+        part.add(source, text)
+        self.bytes += (len(part.terms) - terms) * TERM_BYTES + (part.tokens - tokens) * TOKEN_BYTES
+
+    def run(self, shards: int) -> Iterator[pa.RecordBatch]:
+        for lang, part in self.parts.items():
+            yield from part.rows(lang, shards)
 
 
 def runs(docs: DataFrame, shards: int) -> DataFrame:
     """docs (text, lang, source) to the blocks of all runs."""
 
-    def spill(block: Block) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for row in block.run(shards):
-            rows.append(row)
-            if len(rows) == 1024:
-                yield pa.RecordBatch.from_pylist(rows, ARROW_BLOCK)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, ARROW_BLOCK)
-
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
         for batch in batches:
             for text, lang, source in zip(*[batch.column(n) for n in ("text", "lang", "source")], strict=True):
                 block.add(lang.as_py(), source.as_py(), text.as_py())
-                if block.entries >= BLOCK_ENTRIES:
-                    yield from spill(block)
+                if block.bytes >= BLOCK_BYTES:
+                    yield from block.run(shards)
                     block = Block()
-        yield from spill(block)
+        yield from block.run(shards)
 
     empty = F.lit("")
     return docs.select(F.coalesce("text", empty).cast("binary").alias("text"), F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source")).mapInArrow(index, BLOCK)
 
 
-def entries(row: dict) -> Iterator[tuple[bytes, int, list[tuple[str, int]]]]:
-    """A block's (term, documents, postings) in order."""
-    start = 0
-    for term, df, end in zip(row["terms"], row["dfs"], row["ends"], strict=True):
-        yield term, df, list(zip(row["sources"][start:end], row["counts"][start:end], strict=True))
-        start = end
+class Opened:
+    """A block that the merge has begun: its terms, and their postings as arrays until they are asked for."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        held = {n: batch.column(n)[i].values for n in ("terms", "dfs", "ends", "names", "sources", "counts")}
+        self.terms = held["terms"].to_pylist()
+        self.dfs, self.ends = (held[n].to_numpy().tolist() for n in ("dfs", "ends"))
+        self.held, self.lists = held, None
+
+    def postings(self, at: int) -> Iterator[tuple[str, int]]:
+        if self.lists is None:
+            names = np.array(self.held["names"].to_pylist(), object)
+            self.lists = names[self.held["sources"].to_numpy()].tolist(), self.held["counts"].to_numpy().tolist()
+        sources, counts = self.lists
+        span = slice(self.ends[at - 1] if at else 0, self.ends[at])
+        return zip(sources[span], counts[span], strict=True)
 
 
-def merged(rows: Iterator[dict]) -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
-    """(lang, term, documents, counts by source) of blocks ordered by language and first term.
+def merged(blocks: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
+    """(lang, term, documents, counts by source) of the terms in `least` documents, of blocks ordered by shard, language and first term.
 
-    A heap holds the next entry of every open block; a term is whole once the next block begins after it.
+    A heap holds the place in every open block; a term is whole once the next block begins after it.
     """
-    for (_, lang), blocks in groupby(rows, key=lambda r: (r["shard"], r["lang"])):
-        heap: list = []
-        opened = 0
+    heap: list[tuple[bytes, int]] = []
+    opened: dict[int, tuple[Opened, int]] = {}
+    current, number = None, 0
 
-        def pop() -> tuple[bytes, int, dict[str, int]]:
-            term, df, counts = heap[0][0], 0, Counter()
+    def before(first: bytes | None) -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
+        while heap and (first is None or heap[0][0] < first):
+            term, df, parts = heap[0][0], 0, []
             while heap and heap[0][0] == term:
-                _, number, n, postings, rest = heap[0]
-                df += n
-                for source, count in postings:
-                    counts[source] += count
-                following = next(rest, None)
-                if following is None:
-                    heapq.heappop(heap)
+                n = heap[0][1]
+                block, at = opened[n]
+                df += block.dfs[at]
+                parts.append((block, at))
+                if at + 1 < len(block.terms):
+                    opened[n] = block, at + 1
+                    heapq.heapreplace(heap, (block.terms[at + 1], n))
                 else:
-                    heapq.heapreplace(heap, (following[0], number, following[1], following[2], rest))
-            return term, df, counts
-
-        for row in blocks:
-            while heap and heap[0][0] < row["first"]:
-                yield lang, *pop()
-            rest = entries(row)
-            term, df, postings = next(rest)
-            heapq.heappush(heap, (term, opened, df, postings, rest))
-            opened += 1
-        while heap:
-            yield lang, *pop()
+                    heapq.heappop(heap)
+                    del opened[n]
+            if df >= least:
+                counts: dict[str, int] = defaultdict(int)
+                for block, at in parts:
+                    for source, count in block.postings(at):
+                        counts[source] += count
+                yield current[1], term, df, counts
+
+    for batch in blocks:
+        for i, (shard, lang, first) in enumerate(zip(*[batch.column(n).to_pylist() for n in ("shard", "lang", "first")], strict=True)):
+            if (shard, lang) != current:
+                yield from before(None)
+                current = shard, lang
+            yield from before(first)
+            opened[number] = Opened(batch, i), 0
+            heapq.heappush(heap, (first, number))
+            number += 1
+    yield from before(None)
 
 
 def postings(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -179,12 +219,9 @@ def postings(docs: DataFrame, least: int = LEAST) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("total", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for i in range(0, batch.num_rows, 64) for row in batch.slice(i, 64).to_pylist())
         out: list[dict] = []
-        for lang, term, df, counts in merged(rows):
-            if df >= least:
-                names = sorted(counts)
-                out.append({"lang": lang, "term": term.decode(), "total": sum(counts.values()), "sources": names, "counts": [counts[s] for s in names]})
+        for lang, term, _, counts in merged(batches, least):
+            out.append({"lang": lang, "term": term.decode(), "total": sum(counts.values()), "sources": list(counts), "counts": list(counts.values())})
             if len(out) == 1024:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
@@ -256,37 +293,31 @@ class Corrections:
     def add(self, a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, a0: np.ndarray, b0: np.ndarray) -> None:
         """One term: for each source of a with each of b, the true difference in place of what one_sided() took for it."""
         more = np.abs(pa_[:, None] - pb) - np.abs(pa_[:, None] - b0) - np.abs(pb - a0[:, None]) + np.abs(a0[:, None] - b0)
-        self.sums[np.ix_(a, b)] += more
-        if a is not b:
-            self.sums[np.ix_(b, a)] += more.T
+        self.sums[a[:, None], b] += np.triu(more, 1) if a is b else more
 
     def rows(self, lang: str) -> list[tuple[str, str, str, int]]:
-        return [(lang, *sorted((self.names[i], self.names[j])), int(self.sums[i, j])) for i, j in np.argwhere(np.triu(self.sums, 1))]
+        return [(lang, *sorted((self.names[i], self.names[j])), int(self.sums[i, j])) for i, j in np.argwhere(self.sums)]
 
 
-def summed(terms: Iterator[tuple[str, list[dict]]], tile: int = TILE, langs: int = 8) -> Iterator[list[tuple[str, str, str, int]]]:
-    """Corrections of a stream of (lang, postings): sums whenever a table is full or more than `langs` languages are open, and at the end."""
+def summed(terms: Iterator[tuple[str, list[str], np.ndarray, np.ndarray]], tile: int = TILE, langs: int = 8) -> Iterator[list[tuple[str, str, str, int]]]:
+    """Corrections of a stream of (lang, sources, p, p0), a term each: sums whenever a table is full or more than `langs` languages are open, and at the end."""
     held: dict[str, Corrections] = {}
-    for lang, postings in terms:
-        parts = [postings[i : i + tile // 2] for i in range(0, len(postings), tile // 2)]
+    for lang, sources, p, p0 in terms:
+        parts = [slice(i, i + tile // 2) for i in range(0, len(sources), tile // 2)]
         for i, one in enumerate(parts):
             for other in parts[i:]:
-                both = one if other is one else one + other
+                names = sources[one] if other is one else sources[one] + sources[other]
                 if lang not in held:
                     if len(held) == langs:
                         full = next(iter(held))
                         yield held.pop(full).rows(full)
                     held[lang] = Corrections(tile)
-                if (at := held[lang].places([x["source"] for x in both])) is None:
+                if (at := held[lang].places(names)) is None:
                     yield held[lang].rows(lang)
                     held[lang] = Corrections(tile)
-                    at = held[lang].places([x["source"] for x in both])
-                p, p0 = (np.array([x[c] for x in both], np.int64) for c in ("p", "p0"))
-                n = len(one)
-                if other is one:
-                    held[lang].add(at, at, p, p, p0, p0)
-                else:
-                    held[lang].add(at[:n], at[n:], p[:n], p[n:], p0[:n], p0[n:])
+                    at = held[lang].places(names)
+                a = at[: len(sources[one])]
+                held[lang].add(a, a if other is one else at[len(a) :], p[one], p[other], p0[one], p0[other])
     for lang, table_ in held.items():
         yield table_.rows(lang)
 
@@ -294,12 +325,20 @@ def summed(terms: Iterator[tuple[str, list[dict]]], tile: int = TILE, langs: int
 def corrections(rates: DataFrame) -> DataFrame:
     """(lang, a, b, value) for a < b: what one_sided() has too much for the terms that both sources have, summed in each task."""
 
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray]]:
+        for batch in batches:
+            ends = batch.column("sources").offsets.to_numpy()
+            p, p0 = (batch.column(c).values.to_numpy() for c in ("p", "p0"))
+            for i, (lang, sources) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("sources").to_pylist(), strict=True)):
+                yield lang, sources, p[ends[i] : ends[i + 1]], p0[ends[i] : ends[i + 1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in summed(pair for batch in batches for pair in zip(*[c.to_pylist() for c in batch.columns], strict=True)):
+        for rows in summed(terms(batches)):
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 3 else pa.string()) for i in range(4)], names=["lang", "a", "b", "value"])
 
-    terms = rates.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "p", "p0"))).alias("postings")).filter(F.size("postings") > 1)
-    return terms.select("lang", "postings").mapInArrow(run, "lang string, a string, b string, value long")
+    whole = rates.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("all")).filter(F.size("all") > 1)
+    columns = whole.select("lang", F.col("all.source").alias("sources"), F.col("all.p").alias("p"), F.col("all.p0").alias("p0"))
+    return columns.mapInArrow(run, "lang string, a string, b string, value long")
 
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:

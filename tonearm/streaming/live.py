@@ -8,20 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tonearm.functions.music import multiplier
-from tonearm.operators.library import merge_by_key
 from tonearm.functions.frames import together
-
-LATE = "1 hour"
+from tonearm.functions.music import multiplier
+from tonearm.sources.versions import Versions
+from tonearm.streaming.backlog import Backlog
+from tonearm.streaming.ordered import LATE, ROCKS, stepped
 
 
 def read_table(spark: SparkSession, path: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
@@ -45,24 +42,18 @@ def sessions(events: DataFrame, key: str, ts: str, quiet: str = "1.5 seconds") -
 
 
 def changes(settings: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """M5: settings that differ from the one before; a key's first value is no change. Stream only: the last value is its state."""
-    kind = dict(settings.dtypes)[value]
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        seen = state.exists
-        for rows in batches:
-            rows = rows.sort_values(ts)
-            keep = []
-            for v in rows[value]:
-                keep.append(seen and v != last)
-                last, seen = v, True
-            yield rows[keep][[key, ts, value]]
-        state.update((last,))
-
+    """M5: settings that differ from the one before, in order of time; a key's first value is no change."""
     kinds = dict(settings.dtypes)
-    out = f"{key} {kinds[key]}, {ts} {kinds[ts]}, {value} {kind}"
-    return settings.select(key, ts, value).groupBy(key).applyInPandasWithState(step, out, f"last {kind}", "append", GroupStateTimeout.NoTimeout)
+
+    def step(k: tuple, rows: list[tuple], state: tuple | None) -> tuple[list[tuple], tuple]:
+        out = []
+        for at, v in rows:
+            if state is not None and v != state[0]:
+                out.append((*k, at, v))
+            state = (v,)
+        return out, state
+
+    return stepped(settings, [key], ts, [value], step, f"last {kinds[value]}", f"{key} {kinds[key]}, {ts} {kinds[ts]}, {value} {kinds[value]}")
 
 
 def attributed_skips(transitions: DataFrame, skips: DataFrame, after: str = "20 seconds") -> DataFrame:
@@ -86,23 +77,20 @@ def once(reports: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 
 def once_lru(reports: DataFrame, group: str, key: str, ts: str, most: int = 256) -> DataFrame:
-    """M9, exact: a report is dropped while its key is among the last `most` keys of its group. Stream only."""
+    """M9, exact: in order of time, a report is dropped while its key is among the last `most` new keys of its group."""
     kinds = dict(reports.dtypes)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: list[Any] = list(state.get[0]) if state.exists else []
-        for rows in batches:
-            rows = rows.sort_values(ts)
-            keep = []
-            for v in rows[key]:
-                keep.append(v not in seen)
-                if keep[-1]:
-                    seen = [*seen, v][-most:]
-            yield rows[keep][[group, key, ts]]
-        state.update((seen,))
+    def step(k: tuple, rows: list[tuple], state: tuple | None) -> tuple[list[tuple], tuple]:
+        seen, out = dict.fromkeys(state[0] if state else ()), []
+        for at, v in rows:
+            if v not in seen:
+                out.append((*k, v, at))
+                seen[v] = None
+                if len(seen) > most:
+                    del seen[next(iter(seen))]
+        return out, (list(seen),)
 
-    out = f"{group} {kinds[group]}, {key} {kinds[key]}, {ts} {kinds[ts]}"
-    return reports.select(group, key, ts).groupBy(group).applyInPandasWithState(step, out, f"seen array<{kinds[key]}>", "append", GroupStateTimeout.NoTimeout)
+    return stepped(reports, [group], ts, [key], step, f"seen array<{kinds[key]}>", f"{group} {kinds[group]}, {key} {kinds[key]}, {ts} {kinds[ts]}")
 
 
 def running_multipliers(ratings: DataFrame, keys: list[str], rating: str, implicit: str, reset: Column | None = None, ts: str | None = None) -> DataFrame:
@@ -129,22 +117,21 @@ def running_multipliers(ratings: DataFrame, keys: list[str], rating: str, implic
 def _with_resets(rows: DataFrame, keys: list[str], rating: str, ts: str) -> DataFrame:
     kinds = dict(rows.dtypes)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total, soft_n, soft_total = state.get if state.exists else (0, 0.0, 0, 0.0)
-        for batch in batches:
-            for soft, reset, value in batch.sort_values(ts)[["__soft", "__reset", rating]].itertuples(index=False):
-                if reset:
-                    n, total, soft_n, soft_total = 0, 0.0, 0, 0.0
-                elif soft:
-                    soft_n, soft_total = soft_n + 1, soft_total + value
-                else:
-                    n, total = n + 1, total + value
-        state.update((n, total, soft_n, soft_total))
-        yield pd.DataFrame([(*k, n, total, soft_n, soft_total)], columns=[*keys, "n", "sum", "implicit_n", "implicit_sum"])
+    def step(k: tuple, part: list[tuple], state: tuple | None) -> tuple[list[tuple], tuple]:
+        n, total, soft_n, soft_total = state or (0, 0.0, 0, 0.0)
+        for _, reset, soft, value in part:
+            if reset:
+                n, total, soft_n, soft_total = 0, 0.0, 0, 0.0
+            elif soft:
+                soft_n, soft_total = soft_n + 1, soft_total + (value or 0.0)
+            else:
+                n, total = n + 1, total + (value or 0.0)
+        state = (n, total, soft_n, soft_total)
+        return [(*k, *state)], state
 
     tally = "n long, sum double, implicit_n long, implicit_sum double"
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + tally
-    sums = rows.select(*keys, ts, rating, "__soft", "__reset").groupBy(*keys).applyInPandasWithState(step, schema, tally, "update", GroupStateTimeout.NoTimeout)
+    sums = stepped(rows.withColumn(rating, F.col(rating).cast("double")), keys, ts, ["__reset", "__soft", rating], step, tally, schema, "update")
     return sums.withColumn("multiplier", multiplier(F.col("n"), F.col("sum"), F.col("implicit_n"), F.col("implicit_sum")))
 
 
@@ -160,52 +147,17 @@ def last_used(log: DataFrame, keys: list[str], value: str, ts: str) -> DataFrame
     return log.groupBy(*keys).agg(F.max_by(value, F.struct(ts, value)).alias(value), F.max(ts).alias(ts))
 
 
-def merging(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """M2, M3: a foreachBatch function that merges each batch into a table (column `bucket` is its own); a repeated batch changes nothing.
-
-    The table is partitioned by a hash of the keys. A batch reads and replaces the partitions that it touches alone,
-    by way of a staged copy, so that a stopped batch can be run again.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        new.write.mode("overwrite").parquet(f"{path}/_batch")  # folders with an underscore are not part of the table
-        new = spark.read.parquet(f"{path}/_batch")
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # `buckets` at most
-        try:
-            old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
-            merged = merge_by_key(old, new, keys)
-        except AnalysisException:  # the first batch: no table yet
-            merged = new
-        merged.write.mode("overwrite").parquet(f"{path}/_merged")
-        done = spark.read.parquet(f"{path}/_merged")
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-    return write
-
+def merging(path: str, keys: list[str], buckets: int = 64, sequence: str | None = None) -> Callable[[DataFrame, int], None]:
+    """M2, M3: a foreachBatch function that merges each batch into a table of versions; of rows with one key the one with the greatest `sequence` stays (without one the later batch's).
 
-def working(analyse: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, done: str, failed: str, most: int | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that analyses a backlog: results to `done`, rows with an error to `failed`, by batch number, so that a repeated batch changes nothing.
-
-    analyse gives its rows with a string column `error`, null for good ones. `most` is the worker's own limit for a batch.
+    Readers take `Versions(spark, path, keys).read()`: all of a batch or nothing of it. A repeated batch changes nothing.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.limit(most) if most else batch
-        rows.mapInPandas(analyse, schema).write.mode("overwrite").parquet(f"{done}/_batch")
-        out = spark.read.parquet(f"{done}/_batch")
-        out.filter("error is null").drop("error").write.mode("overwrite").parquet(f"{done}/batch={number}")
-        out.filter("error is not null").write.mode("overwrite").parquet(f"{failed}/batch={number}")
-
-    return write
+    return lambda batch, number: Versions(batch.sparkSession, path, keys, sequence, buckets).merge(batch, number)
 
 
-def progress(spark: SparkSession, done: str, failed: str) -> DataFrame:
-    """(batch, done, failed) of a worker so far."""
-    count = lambda path, name: spark.read.option("basePath", path).parquet(path).groupBy("batch").agg(F.count("*").alias(name))
-    return count(done, "done").join(count(failed, "failed"), "batch", "full_outer").na.fill(0)
+def working(path: str, key: str, analyse: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, most: int = 1000, tries: int = 3) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that puts a batch in a durable queue and works on it round by round, `most` rows at a time; see `Backlog`."""
+    return lambda batch, number: Backlog(batch.sparkSession, path, key, analyse, schema, most, tries).sink(batch, number)
 
 
 def pruned(rows: DataFrame, ts: str, keep: str) -> DataFrame:
@@ -215,5 +167,11 @@ def pruned(rows: DataFrame, ts: str, keep: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """M3, M6: everything that is there now, then stop (available-now trigger)."""
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    """M3, M6: everything that is there now, then stop (available-now trigger). A query keeps the settings it began with: the state store is set for its start alone."""
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKS)
+    try:
+        return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    finally:
+        conf.set(name, before)

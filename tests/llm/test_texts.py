@@ -168,28 +168,37 @@ def test_licences_among_others(spark, docs):
 
 
 def brute_labels(text, idf):
-    """(label, start of the mandatory phrase) by the definition: of each template whose phrase's words the text holds, its rarest words must agree on a beginning."""
+    """(label, start of the mandatory phrase) by the definition: every place where a template could begin is looked at by itself."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
-    held, out = set(words), set()
+    out = set()
     for label, wording, key in licence.TEMPLATES:
         own, phrase = wording.split(), key.split()
-        if not set(phrase) <= held:
-            continue
-        rare = sorted(set(own) & held, key=lambda w: (-idf[w], w))[: licence.RARE]
-        agree = {}
-        for place, w in enumerate(words):
-            if w in rare:
-                for at, x in enumerate(own):
-                    if x == w:
-                        agree.setdefault(place - at, set()).add(w)
+        rare = sorted(set(own), key=lambda w: (-idf[w], w))[:12]
         offset = next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
-        for begin, found in agree.items():
-            start = begin + offset
-            if start >= 0 and words[start : start + len(phrase)] == phrase and len(found) >= licence.LEAST and len(found) / len(rare) >= licence.SHARE:
-                out.add((label, start))
+        for start in range(len(words)):
+            if words[start : start + len(phrase)] == phrase:
+                begin = start - offset
+                agree = {x for i, x in enumerate(own) if x in rare and begin + i >= 0 and words[begin + i : begin + i + 1] == [x]}
+                if len(agree) >= (len(rare) if len(rare) <= 6 else 0.8 * len(rare)):
+                    out.add((label, start))
     return out
 
 
+def test_a_phrase_alone_is_no_licence(spark, docs):
+    """Mandatory phrases amid other words: what the text lacks of a template counts."""
+    texts = [
+        "this text is not under the mit license at all", "we refuse the gnu affero general public license", "see either version 2 1 of the license", "not the apache license version 2 0 but ours",
+        *[f"about {k} and nothing else" for _, t, k in licence.TEMPLATES if k != t],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = licence.frequencies(docs.select("doc_id", "text"))
+    assert {r.doc_id: [f.label for f in r.found] for r in licence.scan(df, idf).collect() if r.found} == {}
+    whole = spark.createDataFrame([(i, f"Intro. {t.upper()}!") for i, (_, t, _) in enumerate(licence.TEMPLATES)], "doc_id long, text string")
+    got = {r.doc_id: {f.label: f.score for f in r.found} for r in licence.scan(whole, idf).collect()}
+    assert all(got[i].get(label) == 1.0 for i, (label, _, _) in enumerate(licence.TEMPLATES))
+    assert licence.scan(whole, idf).select("doc_id", "found").selectExpr("doc_id", "explode(found)").count() >= len(licence.TEMPLATES)
+
+
 def test_labels_against_brute_force(spark, docs):
     rng = random.Random(8)
     texts = [r.text or "" for r in docs.collect()]

@@ -1,11 +1,11 @@
 """Licence scans: exact base phrases, and a positional index of rare licence words.
 
-Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z in lower case. The index lists
-each template's words with their places. Of each text and for each template whose mandatory phrase's words it holds, the
-RARE words of the template with the highest inverse document frequency (counted over the whole corpus; it only orders
-words) are looked up; places of a word in the text less its places in a template are where the template would begin, and
-it is a candidate where its mandatory phrase stands at its own place from there. It is a label if at least SHARE of its
-words that were looked up agree on that beginning.
+Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z in lower case. Inverse document
+frequencies, counted over the whole corpus, choose the words that the index lists: of each template the RARE rarest,
+with their places. A text's licence words among these are looked up; a word's place in the text less its place in a
+template is where the template would begin. A beginning is a label if the template's mandatory phrase stands at its own
+place from there and enough of the template's listed words agree on it, those that the text lacks counting against it:
+all of them for templates of up to SHORT words, else SHARE of them. The score is the share that agrees.
 
 Cases: a null text counts as empty; texts without words have no label and score 0; repeated rows share their result;
 an empty table gives an empty table; other columns, whatever their names, are left out of `scan`'s result; words that
@@ -14,7 +14,9 @@ are equally frequent are looked up by name; a very long text costs its words, an
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +55,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
 ]
-RARE, SHARE, LEAST = 12, 0.6, 2
+RARE, SHARE, SHORT = 12, 0.8, 6
 
 WORDS = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 
@@ -74,8 +76,6 @@ def frequencies(docs: DataFrame, text: str = "text") -> dict[str, float]:
     found = docs.select(F.array_intersect(words_of(F.coalesce(F.col(text), F.lit(""))), F.lit(WORDS)).alias("found"))
     counts = found.select(F.explode(F.concat("found", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     seen = {r["word"]: r["n"] for r in counts.collect()}
-    from math import log
-
     return {w: log((seen.get("", 0) + 1) / (seen.get(w, 0) + 1)) for w in WORDS}
 
 
@@ -86,53 +86,53 @@ def scan(docs: DataFrame, idf: dict[str, float], id: str = "doc_id", text: str =
     hint = "(?i)(" + "|".join(GAP.join(p.split()) for p in BASE) + ")"
     base = F.concat(*[_labelled(p, label) for p, label in BASE.items()])
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
-    # Licence words by falling inverse frequency: of each template, the first RARE of those in the text are its rarest.
-    ordered = sorted(WORDS, key=lambda w: (-idf[w], w))
-    held = F.array_intersect(F.lit(ordered), F.col("words"))
-    step = step.select("id", "words", F.size("words").cast("long").alias("n_words"), F.when(F.col("whole").rlike(hint), F.sort_array(base)).otherwise(none).alias("places"), "whole", held.alias("held"))
-    own, keys = [sorted(set(t.split())) for _, t, _ in TEMPLATES], [k.split() for _, _, k in TEMPLATES]
-    # A label needs its mandatory phrase: texts that have none are left to the base phrases.
+    rare, keys = rarest(idf), [k.split() for _, _, k in TEMPLATES]
+    # A label needs its mandatory phrase: texts that have none are left to the base phrases. The rarest word of each phrase is asked for first.
+    lower = F.lower(F.col("whole"))
+    some = reduce(Column.__or__, [F.contains(lower, F.lit(w)) for w in sorted({min(k, key=lambda w: (-idf[w], w)) for k in keys})])
     spoken = "(?i)(" + "|".join(sorted({GAP.join(k) for k in keys})) + ")"
-    whole_keys = reduce(Column.__or__, [F.size(F.array_intersect("held", F.lit(sorted(set(k))))) == len(set(k)) for k in keys])
-    some = F.when(whole_keys, F.col("whole").rlike(spoken)).otherwise(F.lit(False))
-    step = step.select("id", "n_words", "places", F.when(some, F.col("words")).alias("words"), F.when(some, F.col("held")).alias("held"))
-    rare = [F.when(F.size(F.array_intersect("held", F.lit(sorted(set(k))))) == len(set(k)), F.slice(F.array_intersect("held", F.lit(o)), 1, RARE)).otherwise(F.array().cast("array<string>")) for o, k in zip(own, keys, strict=True)]
-    step = step.select("id", "n_words", "places", "words", F.when(F.col("words").isNotNull(), F.array(*rare)).alias("rare"))
-    index = {w: [(n, i) for n, (_, t, _) in enumerate(TEMPLATES) for i, x in enumerate(t.split()) if x == w] for w in WORDS}
+    places_ = F.when(F.col("whole").rlike(hint), F.sort_array(base)).otherwise(none)
+    step = step.select("id", F.size("words").cast("long").alias("n_words"), places_.alias("places"), F.when(F.when(some, F.col("whole").rlike(spoken)), F.col("words")).alias("words"))
+    step = step.select(F.inline(F.array(F.struct("id", "n_words", "places", "words"))))  # a fence: what follows uses each several times
+    index = {w: [(n, i) for n, (_, t, _) in enumerate(TEMPLATES) for i, x in enumerate(t.split()) if x == w and w in rare[n]] for w in sorted(set().union(*rare))}
     postings = F.from_json(F.lit(_json(index)), "map<string,array<struct<template:int,at:int>>>")  # a few hundred, whatever the corpus
-    # What is looked up, in one map: each word's places in the templates that it was chosen for.
-    chosen = F.map_filter(F.transform_values(postings, lambda w, ps: F.filter(ps, lambda p: F.array_contains(F.get("rare", p["template"]), w))), lambda _, ps: F.size(ps) > 0)
-    step = step.select("id", "n_words", "places", "words", "rare", F.when(F.col("words").isNotNull(), chosen).alias("chosen"))
     # The mandatory phrase, at its own place from the beginning.
     pick = lambda values, c: F.get(F.array(*map(F.lit, values)), c["template"])
     start = lambda c: c["begin"] + pick([_index(t.split(), k.split()) for _, t, k in TEMPLATES], c)
     phrase = lambda c: F.when((start(c) >= 0) & (F.get("words", start(c)) == pick([k[0] for k in keys], c)), F.slice("words", start(c) + 1, F.size(pick(keys, c))))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda h: F.map_contains_key("chosen", h["word"]))
-    begins = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at("chosen", h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["place"] - p["at"]).alias("begin"), h["word"].alias("word")))))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), lambda h: F.map_contains_key(postings, h["word"]))
+    begins = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(postings, h["word"]), lambda p: F.struct(p["template"].alias("template"), (h["place"] - p["at"]).alias("begin"), h["word"].alias("word")))))
     spoken_at = F.filter(begins, lambda c: F.coalesce(phrase(c) == pick(keys, c), F.lit(False)))
-    step = step.select("id", "n_words", "places", "rare", F.sort_array(spoken_at).alias("begins"))
-    step = step.select("id", "n_words", "places", "rare", _agreements("begins").alias("agree"))
-    score = lambda c: c["agree"] / F.size(F.get("rare", c["template"]))
-    good = F.filter("agree", lambda c: score(c) >= SHARE)
-    found = F.sort_array(F.transform(good, lambda c: F.struct(pick([label for label, _, _ in TEMPLATES], c).alias("label"), start(c).cast("int").alias("start"), score(c).alias("score"))))
+    step = step.select("id", "n_words", "places", F.sort_array(spoken_at).alias("begins"))
+    step = step.select("id", "n_words", "places", _agreements("begins").alias("agree"))
+    good = F.filter("agree", lambda c: c["agree"] >= pick([needed(len(r)) for r in rare], c))
+    found = F.sort_array(F.transform(good, lambda c: F.struct(pick([label for label, _, _ in TEMPLATES], c).alias("label"), start(c).cast("int").alias("start"), (c["agree"] / pick([len(r) for r in rare], c)).alias("score"))))
     empty = F.expr("cast(array() as array<struct<label:string,start:int,score:double>>)")
-    return step.select(F.col("id").alias(id), "n_words", "places", F.coalesce(found, empty).alias("found"))
+    return step.select(F.inline(F.array(F.struct(F.col("id").alias(id), "n_words", "places", F.coalesce(found, empty).alias("found")))))
+
+
+def rarest(idf: dict[str, float]) -> list[set[str]]:
+    """Of each template its RARE words with the highest inverse document frequency, equal ones by name."""
+    return [set(sorted(set(t.split()), key=lambda w: (-idf[w], w))[:RARE]) for _, t, _ in TEMPLATES]
+
+
+def needed(words: int) -> int:
+    """How many of a template's listed words must agree."""
+    return words if words <= SHORT else ceil(SHARE * words)
 
 
 def _agreements(name: str) -> Column:
-    """Sorted (template, begin, word) to (template, begin, agree): different words for each beginning, LEAST or more; one run along the array."""
+    """Sorted (template, begin, word) to (template, begin, agree): different words for each beginning; one run along the array."""
     longest = max(len(t.split()) for _, t, _ in TEMPLATES)  # no place of a template is met twice from one beginning
     same = lambda x, y: (x["template"] == y["template"]) & (x["begin"] == y["begin"])
     run = lambda x, i: F.filter(F.slice(name, i + 1, longest), lambda y: same(x, y))
     first = lambda x, i: (i == 0) | ~same(x, F.get(name, i - 1))
     agree = lambda x, i: F.size(F.array_distinct(F.transform(run(x, i), lambda y: y["word"])))
     found = F.transform(name, lambda x, i: F.when(first(x, i), F.struct(x["template"].alias("template"), x["begin"].alias("begin"), agree(x, i).alias("agree"))))
-    return F.filter(found, lambda c: c["agree"] >= LEAST)
+    return F.filter(found, lambda c: c.isNotNull())
 
 
 def _json(index: dict[str, list[tuple[int, int]]]) -> str:
-    import json
-
     return json.dumps({w: [{"template": n, "at": i} for n, i in found] for w, found in index.items()})
 
 

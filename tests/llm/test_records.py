@@ -201,6 +201,48 @@ def test_warc_responses_keep_their_source(spark, tmp_path):
     assert "source-header: Server: s1\r\nsource-header: X-A: b: c\r\n" in made["<urn:uuid:1>", "metadata"].block
 
 
+def warc_record(n, body, version="1.1", length=None, digest="", kind="text/html; charset=UTF-8"):
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\n\r\n".encode() + body
+    extra = f"WARC-Payload-Digest: {digest}\r\n" if digest else ""
+    head = f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{n}>\r\n{extra}Content-Length: {length or len(http)}\r\n\r\n"
+    return head.encode() + http + b"\r\n\r\n"
+
+
+def test_warc_lengths_decide(spark, tmp_path):
+    """Mixed versions, payloads that hold beginnings of records or whole records, records cut short amid others, in plain and compressed files."""
+    inner = warc_record(99, b"inside")
+    bodies = {1: b"one", 2: b"two \r\n\r\nWARC/1.1\r\nand more", 3: b"three" + b"\r\n\r\n" + inner + inner, 4: b"", 5: b"five \r\n\r\nWARC/", 7: b"seven"}
+    records = [warc_record(n, b, "1.0" if n % 2 else "1.1") for n, b in bodies.items()]
+    records.insert(5, warc_record(6, b"cut", length=9999))
+    plain, packed, clean = tmp_path / "plain", tmp_path / "packed", tmp_path / "clean"
+    for folder in (plain, packed, clean):
+        folder.mkdir()
+    (plain / "a.warc").write_bytes(b"".join(records))
+    (plain / "b.warc").write_bytes(warc_record(20, b"other"))
+    (packed / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (clean / "a.warc").write_bytes(warc_record(1, b"x", "1.0") + warc_record(2, b"y") + warc_record(3, b"z", "0.18"))
+    got = {r.page_id: r.payload for r in warc.read_responses(spark, str(plain)).collect()}
+    assert got == {f"<urn:uuid:{n}>": b.decode() for n, b in [*bodies.items(), (20, b"other")]}
+    assert {r.page_id: r.payload for r in warc.read_responses(spark, str(packed)).collect()} == {f"<urn:uuid:{n}>": b.decode() for n, b in bodies.items()}
+    assert [r.fields["warc-record-id"] for r in warc.read(spark, str(packed)).filter("not whole").collect()] == ["<urn:uuid:6>"]
+    assert sorted(r.version for r in warc.read(spark, str(clean)).collect()) == ["0.18", "1.0", "1.1"]
+    assert [r.page_id for r in warc.read_responses(spark, str(clean), "1.1").collect()] == ["<urn:uuid:2>"]
+
+
+def test_warc_digests_and_charsets_of_the_source(spark, tmp_path):
+    latin, broken = "<p>caf\xe9 \x80</p>".encode("latin-1"), b"<p>caf\xe9</p>"
+    records = [warc_record(1, b"a", digest="sha1:ABC"), warc_record(2, latin, kind="text/html; charset=ISO-8859-1"), warc_record(3, broken)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    found = warc.read_responses(spark, str(tmp_path))
+    rows = {r.page_id[10:-1]: r for r in found.collect()}
+    assert rows["1"].payload_digest == "sha1:ABC"
+    assert rows["2"].payload == "<p>café €</p>" and rows["2"].payload_digest == "sha256:" + hashlib.sha256(latin).hexdigest()
+    assert rows["3"].payload == "<p>caf\ufffd</p>" and rows["3"].payload_digest == "sha256:" + hashlib.sha256(broken).hexdigest()
+    derived = {(r.refers_to[10:-1], r.warc_type): r for r in warc.derive(found).collect()}
+    assert derived["1", "metadata"].source_digest == "sha1:ABC" and "source-payload-digest: sha1:ABC" in derived["1", "metadata"].block
+    assert derived["2", "conversion"].block == "café €"
+
+
 SEEN = re.compile("|".join((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\w", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\b\d{13,19}\b")))
 
 

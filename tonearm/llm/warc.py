@@ -21,7 +21,9 @@ from __future__ import annotations
 import gzip
 import hashlib
 import html.entities as entities
+import itertools
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonearm.llm.common import small_batches, table
+from tonearm.llm.common import Tables, small_batches, table
 
 DATE = "2024-01-01T00:00:00Z"
 HTML = "text/html; charset=utf-8"
@@ -157,39 +159,107 @@ def write(derived: DataFrame, path: str, compress: bool = False) -> None:
         records(derived).select(F.substring("record", F.lit(1), F.length("record") - 2)).write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
-def read(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
-    """The records of WARC files, compressed or not (gzip files end in .gz): fields (map of lower-case names), block (bytes), whole.
+#: What may begin a record, after the two line ends that close the one before.
+BEGINS = "WARC/"
+_size = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, row, piece): the stretches between what may be the beginnings of records, as bytes, in the order of the file."""
+    rows = spark.read.option("lineSep", "\r\n\r\n" + BEGINS).text(path)
+    meta = F.col("_metadata")
+    return rows.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", f"^{BEGINS}", "").cast("binary").alias("piece"))
+
+
+def short_by(piece: bytes) -> int | None:
+    """Bytes that a record lacks of the length its header says, below 0 where it has more; nothing where there is no such header."""
+    head, gap, block = piece.partition(b"\r\n\r\n")
+    found = _size.search(head)
+    return int(found[1]) - len(block) if gap and found else None
+
+
+def joined(stretches: Iterator[bytes]) -> Iterator[bytes]:
+    """Records of one file from its pieces: a piece that is too short takes up those after it if they end where its length says; else it was cut short."""
+    glue = b"\r\n\r\n" + BEGINS.encode()
+    ahead: deque[bytes] = deque()
+    while True:
+        first = ahead.popleft() if ahead else next(stretches, None)
+        if first is None:
+            return
+        lacks, used = short_by(first), 0
+        while lacks is not None and lacks > 0:
+            if used == len(ahead):
+                following = next(stretches, None)
+                if following is None:
+                    break
+                ahead.append(following)
+            lacks -= len(glue) + len(ahead[used])
+            used += 1
+        # The last record of a file has its line ends still.
+        fits = lacks is not None and (lacks == 0 or (lacks < 0 and used and not (ahead[used - 1][lacks:]).strip(b"\r\n")))
+        if used and fits:
+            yield glue.join([first, *(ahead.popleft() for _ in range(used))])
+        else:
+            yield first
+
+
+def whole_records(found: DataFrame) -> DataFrame:
+    """(piece): pieces of files in which some are too short, joined where one payload was cut; a file is walked through by one task, a record at a time."""
 
-    Records are told apart by the line ends that close one and the version that begins the next, so that Spark streams
-    through a file; `whole` is false where a block is not as long as its header says.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f, x) for batch in batches for f, x in zip(batch.column("file").to_pylist(), (v.as_py() for v in batch.column("piece")), strict=True))
+        for _, of_file in itertools.groupby(rows, key=lambda r: r[0]):
+            for record in joined(x for _, x in of_file):
+                yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["piece"])
+
+    return found.repartition("file").sortWithinPartitions("file", "start", "row").select("file", "piece").mapInArrow(run, "piece binary")
+
+
+def read(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The records of WARC files of any version, compressed or not (gzip files end in .gz): version, fields (map of lower-case names), block (bytes), whole.
+
+    A record is as long as its Content-Length says. Files are streamed as stretches between what looks like the
+    beginning of a record; a first pass looks for files in which a stretch is too short (a payload that holds such a
+    line, or a record that was cut off), and these alone are put in order and joined. `whole` is false where a block is
+    not as long as its header says. `version` keeps the records of one version ("1.0").
     """
-    begins = f"WARC/{version}\r\n"
-    rows = spark.read.option("lineSep", "\r\n\r\n" + begins).text(path).select(F.regexp_replace("value", f"^{begins}", "").alias("value"))
-    ends = F.call_function("instr", F.col("value"), F.lit("\r\n\r\n"))
-    lines = F.split(F.substring(F.col("value"), F.lit(1), ends - 1), "\r\n")
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
+    small_batches(spark)
+    every = pieces(spark, path)
+    text = F.col("piece").cast("string")
+    head = F.substring_index(text, "\r\n\r\n", 1)
+    size = F.regexp_extract(head, r"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$", 1).try_cast("long")
+    rest = F.length("piece") - F.octet_length(head) - 4
+    tables = Tables(spark, "warc")
+    broken = tables.write(every.filter(F.contains(text, F.lit("\r\n\r\n")) & (rest < size)).select("file").distinct(), "broken")
+    rows = every.select("piece") if broken.isEmpty() else every.join(broken, "file", "left_anti").select("piece").unionByName(whole_records(every.join(broken, "file", "left_semi")))
+    lines = F.split(head, "\r\n")
+    pairs = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
     names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))  # a field that comes twice counts as it came first
     fields = F.map_from_arrays(names, F.transform(names, lambda n: F.filter(pairs, lambda p: p["name"] == n)[0]["value"]))
-    block = F.substring(F.col("value"), ends + 4, F.length("value"))
-    out = rows.filter(ends > 0).select(fields.alias("fields"), block.cast("binary").alias("raw"))
-    size = F.col("fields")["content-length"].cast("int")
-    cut = F.when(F.length("raw") >= size, F.substring(F.col("raw"), F.lit(1), size)).otherwise(F.col("raw"))  # the last record has its line ends still
-    return out.select("fields", cut.alias("block"), F.coalesce(F.length(cut) == size, F.lit(False)).alias("whole"))
+    raw = F.substring(F.col("piece"), F.octet_length(head) + 5, F.length("piece"))
+    cut = F.when(size.isNotNull() & (F.length(raw) >= size), F.substring(raw, F.lit(1), size.cast("int"))).otherwise(raw)
+    out = rows.filter(F.contains(text, F.lit("\r\n\r\n"))).select(F.get(lines, F.lit(0)).alias("version"), fields.alias("fields"), cut.alias("block"), size.alias("size"))
+    out = out.filter(F.col("version") == version) if version else out
+    return out.select("version", "fields", "block", F.coalesce(F.length("block") == F.col("size"), F.lit(False)).alias("whole"))
 
 
-def read_responses(spark: SparkSession, path: str, version: str = "1.1") -> DataFrame:
-    """The response records of WARC files as `responses` gives them: identifiers and date of the source, its HTTP headers, its payload.
+def read_responses(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The response records of WARC files as `responses` gives them: identifiers and date of the source, its HTTP headers, its payload and its payload digest.
 
-    page_id is the record's identifier. Payloads are read as UTF-8; records that are cut short are left out.
+    page_id is the record's identifier. The digest is the one that the source has, whatever its algorithm; where it has
+    none, the SHA-256 of the payload's bytes. Payloads in Latin-1 or Windows-1252, by their Content-Type, are decoded as
+    such, all others as UTF-8 with replacement characters for what is not. Records that are cut short are left out.
     """
-    found = read(spark, path, version).filter("whole and fields['warc-type'] = 'response'").select("fields", F.col("block").cast("string").alias("block"))
-    ends = F.call_function("instr", F.col("block"), F.lit("\r\n\r\n"))
-    found = found.select("fields", F.split(F.substring(F.col("block"), F.lit(1), ends - 1), "\r\n").alias("head"), F.substring(F.col("block"), ends + 4, F.length("block")).alias("payload"))
+    found = read(spark, path, version).filter("whole and fields['warc-type'] = 'response'").select("fields", "block")
+    head = F.substring_index(F.col("block").cast("string"), "\r\n\r\n", 1)
+    found = found.select("fields", F.split(F.make_valid_utf8(head), "\r\n").alias("head"), F.substring(F.col("block"), F.octet_length(head) + 5, F.length("block")).alias("bytes"))
     headers = F.slice("head", F.lit(2), F.greatest(F.size("head") - 1, F.lit(0)))  # the first line is the status
     kind = F.regexp_extract(F.array_join("head", "\n"), r"(?im)^content-type:[ \t]*([^\n]*?)[ \t]*$", 1)
-    digest = F.concat(F.lit("sha256:"), F.sha2("payload", 256))
+    latin = F.lower(kind).rlike(r"charset=\"?(iso-8859-1|latin-?1|windows-1252|cp1252)\"?")
+    payload = F.when(latin, F.translate(F.decode("bytes", "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), "".join(map(char_of, range(0x80, 0xA0))))).otherwise(F.make_valid_utf8(F.col("bytes").cast("string")))
+    digest = F.coalesce(F.nullif(F.col("fields")["warc-payload-digest"], F.lit("")), F.concat(F.lit("sha256:"), F.sha2("bytes", 256)))
     field = lambda n: F.coalesce(F.col("fields")[n], F.lit(""))
-    return found.select(field("warc-record-id").alias("page_id"), field("warc-record-id").alias("record_id"), field("warc-target-uri").alias("target_uri"), field("warc-date").alias("date"), kind.alias("content_type"), headers.alias("headers"), "payload", digest.alias("payload_digest"))
+    return found.select(field("warc-record-id").alias("page_id"), field("warc-record-id").alias("record_id"), field("warc-target-uri").alias("target_uri"), field("warc-date").alias("date"), kind.alias("content_type"), headers.alias("headers"), payload.alias("payload"), digest.alias("payload_digest"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,8 +167,9 @@ _size = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file, start, row, piece): the stretches between what may be the beginnings of records, as bytes, in the order of the file."""
     rows = spark.read.option("lineSep", "\r\n\r\n" + BEGINS).text(path)
-    meta = F.col("_metadata")
-    return rows.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", f"^{BEGINS}", "").cast("binary").alias("piece"))
+    meta, raw = F.col("_metadata"), F.col("value").cast("binary")  # bytes: patterns would replace what is not UTF-8
+    piece = F.when(F.startswith("value", F.lit(BEGINS)), F.substring(raw, F.lit(len(BEGINS) + 1), F.length(raw))).otherwise(raw)
+    return rows.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("row"), piece.alias("piece"))
 
 
 def short_by(piece: bytes) -> int | None:

@@ -60,9 +60,13 @@ RARE, SHARE, SHORT = 12, 0.8, 6
 WORDS = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 
 
-def words_of(text: Column) -> Column:
-    """The lower-case words; lower() also folds other scripts, which changes no ASCII word, but for two signs replaced before."""
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, "[İK]", "é")), GAP, -1), "")
+def lowered(text: Column) -> Column:
+    """lower() also folds other scripts, which changes no ASCII word, but for two signs replaced before."""
+    return F.lower(F.regexp_replace(text, "[\u0130\u212a]", "é"))
+
+
+def words_of(lower: Column) -> Column:
+    return F.array_remove(F.split(lower, GAP, -1), "")
 
 
 def places(words: Column, phrase: list[str]) -> Column:
@@ -73,7 +77,7 @@ def places(words: Column, phrase: list[str]) -> Column:
 
 def frequencies(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """Inverse document frequency of every licence word over all documents (a few hundred numbers)."""
-    found = docs.select(F.array_intersect(words_of(F.coalesce(F.col(text), F.lit(""))), F.lit(WORDS)).alias("found"))
+    found = docs.select(F.array_intersect(words_of(lowered(F.coalesce(F.col(text), F.lit("")))), F.lit(WORDS)).alias("found"))
     counts = found.select(F.explode(F.concat("found", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     seen = {r["word"]: r["n"] for r in counts.collect()}
     return {w: log((seen.get("", 0) + 1) / (seen.get(w, 0) + 1)) for w in WORDS}
@@ -81,18 +85,17 @@ def frequencies(docs: DataFrame, text: str = "text") -> dict[str, float]:
 
 def scan(docs: DataFrame, idf: dict[str, float], id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_words, places (of base phrases: label, start), found (of templates: label, start, score); one pass, no shuffle."""
-    step = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
-    step = step.select("id", words_of(F.col("whole")).alias("words"), "whole")
-    hint = "(?i)(" + "|".join(GAP.join(p.split()) for p in BASE) + ")"
+    step = docs.select(F.col(id).alias("id"), lowered(F.coalesce(F.col(text), F.lit(""))).alias("lower"))
+    step = step.select("id", words_of(F.col("lower")).alias("words"), "lower")
+    hint = "(" + "|".join(GAP.join(p.split()) for p in BASE) + ")"
     base = F.concat(*[_labelled(p, label) for p, label in BASE.items()])
     none = F.expr("cast(array() as array<struct<start:int,label:string>>)")
     rare, keys = rarest(idf), [k.split() for _, _, k in TEMPLATES]
     # A label needs its mandatory phrase: texts that have none are left to the base phrases. The rarest word of each phrase is asked for first.
-    lower = F.lower(F.col("whole"))
-    some = reduce(Column.__or__, [F.contains(lower, F.lit(w)) for w in sorted({min(k, key=lambda w: (-idf[w], w)) for k in keys})])
-    spoken = "(?i)(" + "|".join(sorted({GAP.join(k) for k in keys})) + ")"
-    places_ = F.when(F.col("whole").rlike(hint), F.sort_array(base)).otherwise(none)
-    step = step.select("id", F.size("words").cast("long").alias("n_words"), places_.alias("places"), F.when(F.when(some, F.col("whole").rlike(spoken)), F.col("words")).alias("words"))
+    some = F.arrays_overlap("words", F.lit(sorted({min(k, key=lambda w: (-idf[w], w)) for k in keys})))
+    spoken = "(" + "|".join(sorted({GAP.join(k) for k in keys})) + ")"
+    places_ = F.when(F.arrays_overlap("words", F.lit(sorted({p.split()[-1] for p in BASE}))) & F.col("lower").rlike(hint), F.sort_array(base)).otherwise(none)
+    step = step.select("id", F.size("words").cast("long").alias("n_words"), places_.alias("places"), F.when(F.when(some, F.col("lower").rlike(spoken)), F.col("words")).alias("words"))
     step = step.select(F.inline(F.array(F.struct("id", "n_words", "places", "words"))))  # a fence: what follows uses each several times
     index = {w: [(n, i) for n, (_, t, _) in enumerate(TEMPLATES) for i, x in enumerate(t.split()) if x == w and w in rare[n]] for w in sorted(set().union(*rare))}
     postings = F.from_json(F.lit(_json(index)), "map<string,array<struct<template:int,at:int>>>")  # a few hundred, whatever the corpus

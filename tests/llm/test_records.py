@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import unicodedata
 from collections import defaultdict
 
 import duckdb
@@ -282,6 +283,28 @@ def test_surrogate_formats(spark):
     assert len(set(names)) == 50 and pii.replace(df.limit(0), "key").count() == 0
 
 
+def test_letters_of_every_script(spark):
+    """No letter of a mail address or a name is copied, whatever its script; national telephone numbers are found."""
+    rows = [
+        (1, "write to 王伟同李娜芳@example.com or דויד.כהן@example.com, иван.ёжиков@пример.рф, þórður@example.is"),
+        (2, "Mr. Søren Łęcki met Frau Ağaoğlu-Żółw and Dr. Ὀδυσσεύς Παπαδόπουλος"),
+        (3, "call 030 12345678 or 0171/1234567 or 06 12 34 56 78, on 01-02-2024, 0.12345678, 0 12345"),
+        (4, "محمد.علي@example.com 김철수민@example.kr ひらがな@example.jp คนไทย@example.th"),
+    ]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert [len(got[i].entities) for i in (1, 2, 3, 4)] == [4, 5, 3, 4]
+    assert got[3].text.endswith(", on 01-02-2024, 0.12345678, 0 12345")
+    scripts = lambda t: [unicodedata.name(c, "?").split()[0] for c in t if c.isalpha()]
+    for i, text in rows:
+        for e in got[i].entities:
+            old = text[e.start : e.end]
+            new = got[i].text[e.start : e.end] if len(text) == len(got[i].text) else ""
+            assert len(text) == len(got[i].text) and old != new
+            part = lambda x: x.split("@")[0]
+            assert sum(a == b for a, b in zip(part(old), part(new), strict=True) if a.isalnum()) <= len(old) // 2
+            assert [s for s in scripts(part(old))] == [s for s in scripts(part(new))]
+
+
 def test_later_mentions_and_international_numbers(spark):
     """Names without their title are the same person's, and numbers of other countries are found in their grouping."""
     phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+34 912 34 56 78", "+49 30 12345678", "+47 12 34 56 78", "+442079460958"]

@@ -21,6 +21,7 @@ long text costs its length and its mentions.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,7 @@ TITLES = r"Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?|Herrn?|Frau|Monsieur|Madame|Mme|Señora
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+(?:1(?:[\x20().-]{0,3}[0-9]){10}(?![0-9])|[0-9](?:[\x20()./-]{0,3}[0-9]){6,14})|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+(?:1(?:[\x20().-]{0,3}[0-9]){10}(?![0-9])|[0-9](?:[\x20()./-]{0,3}[0-9]){6,14})|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[1-9][0-9]{0,4}[\x20/-][0-9]{5,9}|0[1-9](?:[\x20.-][0-9]{2}){4})(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
@@ -55,6 +56,14 @@ UNTITLED = (r"|(?<![\p{L}\p{N}])(?=\p{Lu})(?iu:", r")(?=s?(?![\p{L}\p{N}]))")
 COUNTRY = r"^\+(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Letters that replace one another.
 CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäåéèêëíîïóòôöúùûü", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+#: Other letters with marks, by script and by whether the plain letter is a vowel: tables by rule from the character database.
+MARKED = tuple(
+    "".join(c for c in map(chr, span) if c.islower() and c not in "".join(CLASSES) and len(c.upper()) == 1 and ((unicodedata.normalize("NFD", c)[0] in plain) == vowel))
+    for span, plain in ((range(0xDF, 0x250), "aeiouyæœøıəɛɔ"), (range(0x1E00, 0x1F00), "aeiouy"), (range(0x430, 0x530), "аеиоуыэюяѐёєіїўѣ"), (range(0x3AC, 0x3CF), "αεηιουω"), (range(0x1F00, 0x2000), "αεηιουω"))
+    for vowel in (True, False)
+)
+#: First and last letter of scripts without case, and of those beyond the tables: each is drawn from its own range.
+RANGES = ((0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x905, 0x939), (0x995, 0x9A8), (0xE01, 0xE2E), (0xE40, 0xE44), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 ENDINGS = ("a", "а", "ов", "ова", "ев", "ева")
 TURNS = 8
 
@@ -97,10 +106,17 @@ def redrawn(text: Column, seed: Column) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         draw = F.pmod(F.xxhash64(seed, i), F.lit(1 << 40))
-        out = c
-        for letters in CLASSES:
-            drawn = F.substring(F.lit(letters), (draw % len(letters) + 1).cast("int"), F.lit(1))
-            out = F.when(F.call_function("instr", F.lit(letters), c) > 0, drawn).otherwise(out)
+        sign = F.ascii(c)
+        from_table = lambda letters: F.substring(F.lit(letters), (draw % len(letters) + 1).cast("int"), F.lit(1))
+        code = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+        out = F.when(c.rlike(r"\p{L}"), from_table(CLASSES[2])).otherwise(c)  # a letter of none of them
+        for first, last in RANGES:
+            out = F.when(sign.between(first, last), code(draw % (last - first + 1) + first)).otherwise(out)
+        for letters in reversed(MARKED):
+            out = F.when(F.call_function("instr", F.lit(letters), c) > 0, from_table(letters)).otherwise(out)
+        out = F.when(sign < 128, c).otherwise(out)
+        for letters in reversed(CLASSES):  # the most frequent are asked for first
+            out = F.when(F.call_function("instr", F.lit(letters), c) > 0, from_table(letters)).otherwise(out)
         return out
 
     return F.array_join(F.transform(chars(text), one), "")

@@ -1,10 +1,13 @@
 """Operators on literal rows: nulls, ties, empty tables, sequential rules."""
 
 import math
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonearm.functions import music as M
 from tonearm.operators import artifacts as A
 from tonearm.operators import library as L
 from tonearm.operators import pairs as P
@@ -199,6 +202,124 @@ def test_orders_against_plain_loops(spark):
         assert mine == [ids[k] for k in plain_order(obj, len(ids))]
 
 
+def plain_online(deck, n, cost, o):
+    """The online order in a plain loop over lists; deck: dicts in the order in which they are drawn."""
+
+    def quantile(seen, v):
+        below, same = sum(x < v for x in seen), sum(x == v for x in seen)
+        if len(seen) <= 1:
+            return 0.5
+        return min(1.0, max(0.0, (below + (same - 1) / 2 if same else below - 0.5) / (len(seen) - 1)))
+
+    def target(k):
+        p = k / max(1, n - 1)
+        return {"rising": p, "peak": 0.15 + 0.85 * p / 0.7 if p <= 0.7 else 1 - 0.6 * (p - 0.7) / 0.3, "flat": 0.5}[o.arc]
+
+    deck, bent = list(deck), o.arc != "flat"
+    order, entered, admitted = [deck.pop(0)], {}, set()
+    seen, pool, costs = [], [], [0.0]
+
+    def admit(r):
+        if r["item"] not in admitted:
+            admitted.add(r["item"])
+            if r["energy"] is not None:
+                seen.append(r["energy"])
+
+    def refill(step):
+        while len(pool) < o.pool and deck:
+            r = deck.pop(0)
+            admit(r)
+            entered[r["item"]] = step
+            pool.append(r)
+
+    admit(order[0])
+    refill(0)
+    for step in range(1, min(n - 1, o.horizon if o.horizon is not None else n) + 1):
+        last, best, least = order[-1], None, float("inf")
+        for r in pool:
+            x = cost(last, r) + float(Q.noise(o.seed, o.variety, np.array([last["number"]], np.int64), np.array([r["number"]], np.int64))[0, 0])
+            x += 0.3 if last["artist"] and last["artist"] == r["artist"] else 0.0
+            if bent and r["energy"] is not None:
+                off = abs(quantile(seen, r["energy"]) - target(step))
+                x += 0.5 * off + (1.0 if off > 0.2 else 0.0)
+            x -= 0.15 * min(1.0, (step - entered[r["item"]]) / o.pool)
+            if x < least:
+                best, least = r, x
+        pool.remove(best)
+        order.append(best)
+        costs.append(cost(last, best))
+        if bent and deck:
+            for r in list(pool):
+                if step - entered[r["item"]] >= max(1, o.pool // 4) and r["energy"] is not None and abs(quantile(seen, r["energy"]) - target(step + 1)) > 0.2:
+                    pool.remove(r)
+                    deck.append(r)
+        refill(step)
+    for r in pool + deck:
+        costs.append(cost(order[-1], r) if {order[-1]["item"], r["item"]} <= admitted else 0.5)
+        order.append(r)
+    return [r["item"] for r in order], costs
+
+
+def songs(n, seed):
+    rng = random.Random(seed)
+    row = lambda i: {"item": i, "number": rng.getrandbits(63), "artist": rng.choice(["", "x", "y", f"a{i}"]), "energy": rng.choice([None, round(rng.random(), 2), rng.random()]), "bpm": 80 + 80 * rng.random()}
+    return [row(i) | {c: 0.0 for c in Q.COST_COLUMNS if c != "bpm"} for i in range(n)]
+
+
+def test_online_order_against_a_plain_loop():
+    """Pool, aging, arc band, songs put back, horizon and noise; 10,000 songs in a stream."""
+    costs = lambda a, b: np.abs(a["bpm"][:, None] - b["bpm"][None, :]) / 80
+    one = lambda a, b: abs(a["bpm"] - b["bpm"]) / 80
+    cases = [(n, Q.Online(arc=arc, variety=v, seed=n, pool=pool, horizon=h)) for n in (0, 1, 2, 150) for arc in ("flat", "rising", "peak") for v, pool, h in ((0.0, 32, None), (0.4, 8, 60), (0.4, 32, 0))]
+    for n, o in [*cases, (10_000, Q.Online(arc="flat", variety=0.2)), (2000, Q.Online(arc="peak", variety=0.2))]:
+        deck = songs(n, n)
+        made = list(Q.online(iter([dict(r) for r in deck]), n, costs, o))
+        if not n:
+            assert made == []
+            continue
+        want, price = plain_online(deck, n, one, o)
+        assert [m[0] for m in made] == want and [m[1] for m in made] == list(range(n))
+        assert np.allclose([m[2] for m in made], price)
+
+
+def test_online_sets_of_tracks(spark):
+    """The registered order of tracks, with the costs of the column, against the plain loop; an arc bends it."""
+    t = pairing.tracks(spark, SF).withColumn("energy", M.energy_proxy(F.col("lufs"), F.col("bpm"), F.col("tail_percussive"))).withColumn("set", F.col("track_id") % 7)
+    pairs = t.select(F.struct("*").alias("a")).join(t.select(F.struct("*").alias("b")), F.col("a.set") == F.col("b.set"))
+    s = P.sub_scores(P.features(pairs, pairing.PREFS), pairing.PREFS)
+    cost = {(r.a, r.b): r.c for r in s.select(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"), P.pair_cost(s, pairing.PREFS).alias("c")).collect()}
+    o = Q.Online(arc="peak", variety=0.2, seed=7)
+    rows = [r.asDict() for r in t.select("set", F.col("track_id").alias("item"), F.lower(F.trim("artist")).alias("artist"), "energy", F.xxhash64(F.lit(7), "track_id").alias("number")).collect()]
+    got = pairing.online_sets(spark, SF).collect()
+    for g in range(7):
+        deck = sorted((r for r in rows if r["set"] == g), key=lambda r: r["number"])
+        want, price = plain_online(deck, len(deck), lambda a, b: cost[a["item"], b["item"]], o)
+        mine = sorted((r for r in got if r.set == g), key=lambda r: r.position)
+        assert [r.track_id for r in mine] == want and np.allclose([r.cost for r in mine], price, atol=1e-8)
+
+
+def test_objective_is_what_the_solver_minimises(spark):
+    """Sets of 20 with an arc and the planner's scores: the columns `objective` and `refined` on all pairs, put in a plain loop, give the solver's order."""
+    t = pairing.tracks(spark, SF).withColumns({"energy": F.col("tail_energy"), "set": F.lit(1), "block": F.lit(0), "part": F.lit(0)}).filter("track_id <= 20")
+    pairs = t.select(F.struct("*").alias("a")).join(t.select(F.struct("*").alias("b")), F.col("a.track_id") != F.col("b.track_id"))
+    s = P.sub_scores(P.features(pairs, pairing.PREFS), pairing.PREFS)
+    best = s.select(F.lit(1).alias("set"), F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"), F.when((F.col("a.track_id") + F.col("b.track_id")) % 3 > 0, (F.col("a.track_id") * 7 % 10) / 8).alias("score"))
+    both = s.select(F.col("a.track_id").alias("a"), F.col("b.track_id").alias("b"), P.pair_cost(s, pairing.PREFS).alias("c"), F.coalesce(F.col("a.artist") == F.col("b.artist"), F.lit(False)).alias("same")).join(best, ["a", "b"])
+    flat = both.select("a", "b", Q.objective(Q.refined(F.col("c"), F.col("score")), F.col("same"), "flat", F.lit(0.0), F.lit(0), F.lit(20)).alias("x"))
+    cost = {(r.a, r.b): r.x for r in flat.collect()}
+    got = [r.track_id for r in Q.ordered(t, "set", "track_id", pairing.PREFS, best=best).orderBy("position").collect()]
+    ids = sorted(got)
+    assert got == [ids[k] for k in plain_order([[cost.get((x, y), 0.0) for y in ids] for x in ids], len(ids))]
+    rows = {r.track_id: r.energy for r in t.collect()}
+    known = sorted(rows.values())
+    places = spark.createDataFrame([(i, Q.mid_quantile(known, rows[i]), k) for i in ids for k in range(20)], "b long, q double, k int")
+    want = {(r.b, r.k): r.x for r in places.select("b", "k", Q.objective(F.lit(0.0), F.lit(False), "rising", F.col("q"), F.col("k"), F.lit(20)).alias("x")).collect()}
+    for (i, k), x in want.items():
+        assert abs(Q.ARC_WEIGHT * abs(Q.mid_quantile(known, rows[i]) - float(Q.target_of("rising", k, 20))) - x) < 1e-12
+    drawn = [r.track_id for r in Q.ordered(t, "set", "track_id", pairing.PREFS, seed=3, variety=0.5).orderBy("position").collect()]
+    assert sorted(drawn) == ids and drawn != got
+
+
 def test_blocks_are_bounded(spark):
     """Equal energies, null sets and large sets: no block is much larger than asked for, no item is lost, arcs bend orders."""
     rows = [(g, i, e) for g, e in ((1, 0.5), (None, None)) for i in range(1000)] + [(2, i, i / 1000) for i in range(1000)]

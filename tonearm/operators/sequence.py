@@ -1,12 +1,20 @@
-"""Ordering many sets at once (ids J2-J9, D21, E4): one bounded set is one group, groups run in parallel.
+"""Ordering many sets at once (ids J2-J9, D21, E4, H23): one bounded set is one group, groups run in parallel.
 
-Sets over MOST items are cut by energy into blocks of a bounded size that are ordered in parallel and stitched in order.
+Sets over MOST items are cut by energy into blocks of a bounded size that are ordered in parallel and stitched in order,
+or ordered online: one pass over a set's deck with a pool of bounded size.
 """
 
 from __future__ import annotations
 
+import itertools
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +24,8 @@ from tonearm.functions.frames import together
 
 #: Items of a set that is ordered as a whole, penalties and weights of the objective, what a known best plan counts.
 MOST, ARTIST_PENALTY, ARC_WEIGHT, PLANNER_BLEND, UNKNOWN_COST, ENOUGH = 500, 0.3, 0.5, 0.5, 0.5, 1e-9
+#: Scale of the variety noise; online, what waiting for a whole pool is worth, how far from the arc a song may be, and what being further costs; items of a set whose costs the planner refines.
+NOISE_SCALE, AGE_WEIGHT, ARC_BAND, OUT_OF_BAND, PLANNER_MOST = 0.6, 0.15, 0.2, 1.0, 24
 #: Moves that a search may try.
 BUDGET = 40_000_000
 #: A track's columns that its costs depend on.
@@ -23,7 +33,7 @@ COST_COLUMNS = ("bpm", "tonic", "minor", "lufs", "tail_energy", "head_energy", "
 
 
 def objective(cost: Column, same_artist: Column, arc: str, quantile: Column, place: Column, n: Column) -> Column:
-    """Pair cost, a penalty for the same artist, and distance to the energy arc."""
+    """Pair cost, a penalty for the same artist, and distance to the energy arc: what `ordered` minimises, but for its noise."""
     off = F.lit(0.0) if arc == "flat" else ARC_WEIGHT * F.abs(quantile - arc_target(arc, place, n))
     return cost + F.when(same_artist, ARTIST_PENALTY).otherwise(0.0) + off
 
@@ -31,7 +41,7 @@ def objective(cost: Column, same_artist: Column, arc: str, quantile: Column, pla
 def refined(cost: Column, best: Column) -> Column:
     """Pair cost blended with the planner's best score, where one is known."""
     blend = PLANNER_BLEND * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), best))) + (1 - PLANNER_BLEND) * cost
-    return F.coalesce(blend, cost)
+    return F.when(best.isNull(), cost).otherwise(blend)
 
 
 def blocks(items: DataFrame, group: str, energy: str, item: str, most: int = MOST) -> DataFrame:
@@ -55,10 +65,18 @@ def blocks(items: DataFrame, group: str, energy: str, item: str, most: int = MOS
     return both.withColumn("part", part).drop("__n", "__g", "__edges", "__h", "__b", "__in")
 
 
-def cost_matrix(rows: pd.DataFrame, prefs: Prefs) -> np.ndarray:
-    """J1 for all ordered pairs of one block: the same terms as pairs.pair_cost, as arrays; rows with an unknown tempo or value cost UNKNOWN_COST."""
-    x = {n: rows[n].to_numpy() for n in COST_COLUMNS}
-    a, b = (lambda n: x[n][:, None]), (lambda n: x[n][None, :])
+Features = dict[str, np.ndarray]
+#: (features of the items before, features of the items after) to costs, one row for each before, one column for each after.
+Costs = Callable[[Features, Features], np.ndarray]
+
+
+def features_of(rows: pd.DataFrame) -> Features:
+    return {n: rows[n].to_numpy() for n in COST_COLUMNS}
+
+
+def pair_costs(before: Features, after: Features, prefs: Prefs) -> np.ndarray:
+    """J1 for all pairs of two lists of items: the same terms as the column pairs.pair_cost, as arrays; pairs with an unknown tempo or value cost UNKNOWN_COST."""
+    a, b = (lambda n: before[n][:, None]), (lambda n: after[n][None, :])
     f = lambda v: np.asarray(v, float)
     with np.errstate(divide="ignore", invalid="ignore"):
         r = f(b("bpm")) / f(a("bpm"))
@@ -69,12 +87,13 @@ def cost_matrix(rows: pd.DataFrame, prefs: Prefs) -> np.ndarray:
         sigma = prefs.max_stretch / 1.5
         tempo = (np.exp(-((stretch / sigma) ** 2)) if sigma > 0 else (stretch <= 0).astype(float)) * octave
         number = lambda tonic, minor: np.where(minor, np.array(CAMELOT_MINOR)[tonic % 12], np.array(CAMELOT_MAJOR)[tonic % 12])
-        tonic, minor = x["tonic"].astype(int), x["minor"].astype(bool)
-        here, shifts = number(tonic, minor)[:, None], [0, *[s for m in range(1, max(0, min(6, prefs.max_shift)) + 1) for s in (m, -m)]]
+        whole = lambda x: np.nan_to_num(f(x)).astype(int)
+        minor_a, minor_b, tonic_b = a("minor").astype(bool), b("minor").astype(bool), whole(b("tonic"))
+        here, shifts = number(whole(a("tonic")), minor_a), [0, *[s for m in range(1, max(0, min(6, prefs.max_shift)) + 1) for s in (m, -m)]]
         apart = []
         for s in shifts:
-            d = (here - number(tonic + s, minor)[None, :]) % 12
-            apart.append(np.minimum(d, 12 - d) + (minor[:, None] != minor[None, :]))
+            d = (here - number(tonic_b + s, minor_b)) % 12
+            apart.append(np.minimum(d, 12 - d) + (minor_a != minor_b))
         distance = np.where(apart[0] <= 1, apart[0], np.min(apart, axis=0))
         weak = 1 - np.minimum(np.clip(f(a("key_strength")), 0, 1), np.clip(f(b("key_strength")), 0, 1))
         base = np.array(KEY_BY_DISTANCE)[np.clip(distance, 0, 4)]
@@ -86,8 +105,8 @@ def cost_matrix(rows: pd.DataFrame, prefs: Prefs) -> np.ndarray:
         energy = np.exp(-((louder / 6) ** 2)) * (1 - 0.5 * np.abs(rise))
         vocal = 1 - np.nan_to_num(np.clip(f(a("tail_vocal")) * f(b("head_vocal")), 0, 1))
         grid = np.minimum(np.clip(f(a("grid_confidence")), 0, 1), np.clip(f(b("grid_confidence")), 0, 1))
-        place = lambda names, kinds: np.array([names.index(k) if k in names else 5 for k in kinds])
-        struct = np.array(PRIORS["beat"])[place(OUTROS, x["outro"])[:, None], place(INTROS, x["intro"])[None, :]]
+        place = lambda names, kinds: np.array([names.index(k) if k in names else 5 for k in kinds], int)
+        struct = np.array(PRIORS["beat"])[place(OUTROS, before["outro"])[:, None], place(INTROS, after["intro"])[None, :]]
         share = lambda v: np.minimum(1.0, np.maximum(f(v), 0) / 32)
         room = share(a("outro_beats")) * share(b("intro_beats"))
         blocked = (grid < 0.5) | (stretch > prefs.max_stretch) | (room < 0.5)
@@ -95,6 +114,142 @@ def cost_matrix(rows: pd.DataFrame, prefs: Prefs) -> np.ndarray:
     return np.where(np.isnan(total), UNKNOWN_COST, total)
 
 
+def noise(seed: int, variety: float, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Variety * NOISE_SCALE * u for ordered pairs of item numbers (64-bit), u in [0, 1) from a 64-bit mix of the seed and both."""
+    if variety <= 0:
+        return np.zeros((len(before), len(after)))
+    one = np.uint64
+    z = one(seed & (2**64 - 1)) ^ (before.astype(np.uint64)[:, None] * one(0x9E3779B97F4A7C15)) ^ (after.astype(np.uint64)[None, :] * one(0xD6E8FEB86659FD93))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> one(shift))) * one(factor)
+    return variety * NOISE_SCALE * ((z ^ (z >> one(31))) >> one(11)).astype(float) / 2**53
+
+
+def target_of(arc: str, place: np.ndarray | int, n: int) -> np.ndarray:
+    """H20 as numbers: the energy quantile that an arc wants at a place of n."""
+    k = np.asarray(place, float)
+    p = k / max(1, n - 1)
+    return {"flat": 0.5 + 0 * p, "rising": p, "wave": 0.5 - 0.5 * np.cos(2 * np.pi * k / 10), "peak": np.where(p <= 0.7, 0.15 + 0.85 * p / 0.7, 1 - 0.6 * (p - 0.7) / 0.3)}[arc]
+
+
+def mid_quantile(known: list[float], value: float) -> float:
+    """The mid-rank quantile of a value among sorted ones."""
+    if len(known) <= 1:
+        return 0.5
+    lo, hi = bisect_left(known, value), bisect_right(known, value)
+    return min(1.0, max(0.0, ((lo + hi - 1) / 2 if hi > lo else lo - 0.5) / (len(known) - 1)))
+
+
+@dataclass(frozen=True)
+class Online:
+    """Settings of the online order."""
+
+    arc: str = "flat"
+    arc_weight: float = ARC_WEIGHT
+    variety: float = 0.0
+    seed: int = 0
+    pool: int = 32
+    horizon: int | None = None
+
+
+def online(deck: Iterator[dict], n: int, costs: Costs, o: Online) -> Iterator[tuple[object, int, float]]:
+    """(item, position, cost from the item before) of one set of n items, taken from its deck one by one.
+
+    The next song is always the best of a pool: cost, artist, noise and distance to the arc, less for having waited. The
+    pool is filled up from the deck; with an arc, songs that have waited a quarter of a pool and are off the arc go
+    under the deck. Beyond the horizon the pool and the deck follow as they are. Held are the pool, the songs put back,
+    and the energies seen so far, in order.
+    """
+    put_back: deque[dict] = deque()
+    ahead: deque[dict] = deque()
+    bent = o.arc != "flat" and o.arc_weight > 0
+    seen: list[float] = []
+
+    def drawn() -> dict | None:
+        if ahead:
+            return ahead.popleft()
+        return next(deck, None) or (put_back.popleft() if put_back else None)
+
+    def left() -> bool:
+        if not ahead and (following := next(deck, None)) is not None:
+            ahead.append(following)
+        return bool(ahead or put_back)
+
+    def known(x: float | None) -> bool:
+        return x is not None and x == x
+
+    def admit(row: dict) -> dict:
+        if not row.get("admitted"):
+            row["admitted"] = True
+            if bent and known(row["energy"]):
+                insort(seen, row["energy"])
+        return row
+
+    def listed(rows: list[dict]) -> Features:
+        return {c: np.array([r[c] for r in rows], object if c in ("outro", "intro") else None) for c in COST_COLUMNS}
+
+    last = drawn()
+    if last is None:
+        return
+    admit(last)
+    yield last["item"], 0, 0.0
+    pool: list[dict] = []
+
+    def refill(step: int) -> None:
+        while len(pool) < o.pool and left():
+            row = admit(drawn())
+            row["entered"] = step
+            pool.append(row)
+
+    refill(0)
+    step = 0
+    for step in range(1, min(n - 1, o.horizon if o.horizon is not None else n) + 1):
+        pair = costs(listed([last]), listed(pool))[0]
+        score = pair + noise(o.seed, o.variety, np.array([last["number"]], np.int64), np.array([r["number"] for r in pool], np.int64))[0]
+        target = float(target_of(o.arc, step, n))
+        for i, row in enumerate(pool):
+            if last["artist"] and row["artist"] == last["artist"]:
+                score[i] += ARTIST_PENALTY
+            if bent and known(row["energy"]):
+                off = abs(mid_quantile(seen, row["energy"]) - target)
+                score[i] += o.arc_weight * off + (OUT_OF_BAND if off > ARC_BAND else 0.0)
+            score[i] -= AGE_WEIGHT * min(1.0, (step - row["entered"]) / o.pool)
+        best = int(np.argmin(score))
+        last = pool.pop(best)
+        yield last["item"], step, float(pair[best])
+        if bent and left():
+            wanted = float(target_of(o.arc, step + 1, n))
+            for row in [r for r in pool if step - r["entered"] >= max(1, o.pool // 4) and known(r["energy"]) and abs(mid_quantile(seen, r["energy"]) - wanted) > ARC_BAND]:
+                pool.remove(row)
+                put_back.append(row)
+        refill(step)
+    rest = itertools.chain(pool, iter(drawn, None))
+    for row in rest:
+        step += 1
+        both = last.get("admitted") and row.get("admitted")
+        yield row["item"], step, float(costs(listed([last]), listed([row]))[0, 0]) if both else UNKNOWN_COST
+        last = row
+
+
+def online_order(items: DataFrame, group: str, item: str, prefs: Prefs, options: Online = Online(), artist: str = "artist", energy: str = "energy", costs: Callable[[Features, Features, Prefs], np.ndarray] = pair_costs) -> DataFrame:
+    """Every set in one pass over its deck, an order by hash of seed and item: (group, item, position, cost). Sets run in parallel, rows are streamed."""
+    kinds = dict(items.dtypes)
+    sizes = items.groupBy(group).agg(F.count("*").alias("__n")).withColumnRenamed(group, "__g")
+    named = items.select(F.col(group).alias("set"), F.col(item).alias("item"), F.lower(F.trim(F.coalesce(artist, F.lit("")))).alias("artist"), F.col(energy).cast("double").alias("energy"), F.xxhash64(F.lit(options.seed), item).alias("number"), *COST_COLUMNS)
+    dealt = named.join(sizes, F.col("set").eqNullSafe(F.col("__g"))).drop("__g").repartition("set").sortWithinPartitions("set", "number", "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for i in range(0, batch.num_rows, 256) for row in batch.slice(i, 256).to_pylist())
+        for key, deck in itertools.groupby(rows, key=lambda r: r["set"]):
+            first = next(deck)
+            made = online(itertools.chain([first], deck), first["__n"], lambda a, b: costs(a, b, prefs), options)
+            while part := list(itertools.islice(made, 4096)):
+                columns = list(zip(*part, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part)), *map(pa.array, columns)], names=[group, item, "position", "cost"])
+
+    return dealt.mapInArrow(run, f"{group} {kinds[group]}, {item} {kinds[item]}, position long, cost double")
+
+
 def greedy(obj: np.ndarray, arc: np.ndarray | None, start: int = 0) -> list[int]:
     """From the start item on, always the cheapest that is left (the first of equals); arc[t, k] is what item t costs at place k."""
     n = len(obj)
@@ -172,34 +327,48 @@ def improved(order: list[int], obj: np.ndarray, arc: np.ndarray | None = None, b
     return o.tolist()
 
 
-def ordered(items: DataFrame, group: str, item: str, prefs: Prefs, artist: str = "artist", arc: str = "flat", energy: str = "energy", improve: bool = True) -> DataFrame:
-    """Each block of each set by the whole objective, from its first item by id on: (group, block, part, item, position, cost).
+def ordered(items: DataFrame, group: str, item: str, prefs: Prefs, artist: str = "artist", arc: str = "flat", energy: str = "energy", improve: bool = True, variety: float = 0.0, seed: int | None = None, costs: Callable[[Features, Features, Prefs], np.ndarray] = pair_costs, best: DataFrame | None = None) -> DataFrame:
+    """Each block of each set by the whole objective: (group, block, part, item, position, cost).
 
-    `cost` is the objective's pair part from the item before (0 for the first). A block has about MOST items, so its matrix is small.
+    `cost` is the objective's pair part from the item before (0 for the first). With a seed the order starts at an item
+    that it draws, else at the first by id; `variety` adds noise to the costs. `best` (group, a, b, score: the planner's
+    best score of ordered pairs) refines the costs of sets of up to PLANNER_MOST items. A block has about MOST items, so
+    its matrix is small.
     """
-    kinds = dict(items.dtypes)
+    kinds, refine = dict(items.dtypes), best is not None
+    wanted = list(dict.fromkeys([group, "block", "part", item, artist, energy, *COST_COLUMNS]))
+    rows = items.select(*wanted, F.xxhash64(F.lit(seed or 0), item).alias("__number"))
+    if refine:
+        known = best.groupBy(F.col(group).alias("__g"), F.col("a").alias("__a")).agg(F.collect_list(F.struct("b", "score")).alias("__best"))
+        rows = rows.join(known, F.col(group).eqNullSafe(F.col("__g")) & (F.col(item) == F.col("__a")), "left").drop("__g", "__a")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(item).reset_index(drop=True)
         n = len(rows)
         names = rows[artist].fillna("").str.strip().str.lower().to_numpy()
-        obj = cost_matrix(rows, prefs) + np.where((names[:, None] == names[None, :]) & (names[:, None] != ""), ARTIST_PENALTY, 0.0)
+        x, number = features_of(rows), rows["__number"].to_numpy(np.int64)
+        obj = costs(x, x, prefs)
+        if refine and n <= PLANNER_MOST:
+            place = {v: i for i, v in enumerate(rows[item])}
+            for i, scores in enumerate(rows["__best"]):
+                for pair in scores if scores is not None else ():
+                    if pair["b"] in place and pair["score"] is not None and pair["score"] == pair["score"]:
+                        j = place[pair["b"]]
+                        obj[i, j] = PLANNER_BLEND * (1 - min(1.0, max(0.0, pair["score"]))) + (1 - PLANNER_BLEND) * obj[i, j]
+        obj = obj + np.where((names[:, None] == names[None, :]) & (names[:, None] != ""), ARTIST_PENALTY, 0.0) + noise(seed or 0, variety, number, number)
         bend = None
         if arc != "flat":
             e = rows[energy].to_numpy(float)
-            known = np.sort(e[~np.isnan(e)])
-            q = (np.searchsorted(known, e, "left") + np.searchsorted(known, e, "right") - 1) / 2 / max(1, len(known) - 1) if len(known) > 1 else np.full(n, 0.5)
-            p = np.arange(n) / max(1, n - 1)
-            target = {"rising": p, "wave": 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / 10), "peak": np.where(p <= 0.7, 0.15 + 0.85 * p / 0.7, 1 - 0.6 * (p - 0.7) / 0.3)}[arc]
-            bend = np.where(np.isnan(e)[:, None], 0.0, ARC_WEIGHT * np.abs(q[:, None] - target[None, :]))
-        order = greedy(obj, bend)
+            known = np.sort(e[~np.isnan(e)]).tolist()
+            q = np.array([mid_quantile(known, v) for v in e])
+            bend = np.where(np.isnan(e)[:, None], 0.0, ARC_WEIGHT * np.abs(q[:, None] - target_of(arc, np.arange(n), n)[None, :]))
+        order = greedy(obj, bend, 0 if seed is None else int(np.argmin(number)))
         if improve:
             order = improved(order, obj, bend)
         cost = [0.0, *[obj[x, y] for x, y in zip(order, order[1:], strict=False)]]
         return pd.DataFrame({group: rows[group], "block": rows["block"], "part": rows["part"], item: rows[item].to_numpy()[order], "position": np.arange(n), "cost": cost})
 
-    wanted = list(dict.fromkeys([group, "block", "part", item, artist, energy, *COST_COLUMNS]))
-    return items.select(*wanted).groupBy(group, "block", "part").applyInPandas(solve, f"{group} {kinds[group]}, block int, part int, {item} {kinds[item]}, position long, cost double")
+    return rows.groupBy(group, "block", "part").applyInPandas(solve, f"{group} {kinds[group]}, block int, part int, {item} {kinds[item]}, position long, cost double")
 
 
 def stitched(parts: DataFrame, group: str) -> DataFrame:

@@ -252,6 +252,14 @@ def ordered_sets(spark: SparkSession, sf: str) -> DataFrame:
     return Q.stitched(parts, "set").withColumn("cost", F.round("cost", 9))
 
 
+@PLANS.query()
+def online_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven sets of tracks ordered online along a peaking arc, with variety; tests order in a plain loop."""
+    t = tracks(spark, sf).withColumn("energy", M.energy_proxy(F.col("lufs"), F.col("bpm"), F.col("tail_percussive")))
+    made = Q.online_order(t.withColumn("set", F.col("track_id") % 7), "set", "track_id", PREFS, Q.Online(arc="peak", variety=0.2, seed=7))
+    return made.withColumn("cost", F.round("cost", 9))
+
+
 @PLANS.query(f"WITH {TRACKS} SELECT track_id, round(0.4 * greatest(0, least(1, (lufs + 20) / 14)) + 0.3 * greatest(0, least(1, (bpm - 70) / 100)) + 0.3 * tail_percussive, 6)::DOUBLE AS energy FROM tracks")
 def energy_proxies(spark: SparkSession, sf: str) -> DataFrame:
     """H19."""

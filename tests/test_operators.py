@@ -320,6 +320,53 @@ def test_objective_is_what_the_solver_minimises(spark):
     assert sorted(drawn) == ids and drawn != got
 
 
+def test_factors_multiply_to_the_score(spark):
+    """The factors' product is the score, also with weights, a pin, what came before and learned multipliers; the line names them."""
+    some = pairing.candidates(spark, SF).limit(300)
+    prefs = P.Prefs(energy=0.8, weights={"crossfade": 1.5, "echoOut": 0.4}, excluded=("phraseCut",))
+    learned = F.create_map(F.lit("crossfade"), F.lit(1.2), F.lit("echoOut"), F.lit(0.75))
+    plans = P.plans_of(some, prefs, pairing.KEYS, "a_id", "b_id", pin=F.lit("echoOut"), previous=F.lit("crossfade"), learned=learned)
+    got = G.explained(plans, prefs).collect()
+    assert len(got) > 300
+    for r in got:
+        assert abs(math.prod([r.fit, *(r[f] for f in P.FACTORS)]) - r.score) < 1e-12
+        assert r.pinned == (r.strategy == "echoOut") and (not r.pinned or r.place == 1)
+        assert (r.learned, r.weight) == ({"crossfade": 1.2, "echoOut": 0.75}.get(r.strategy, 1.0), {"crossfade": 1.5, "echoOut": 0.4}.get(r.strategy, 1.0))
+        assert r.variety == (0.7 if r.strategy == "crossfade" else 1.0)
+        assert (" · pinned (ranked first)" in r.explanation) == r.pinned and (" × learned " in r.explanation) == (r.learned != 1)
+    plain = {(r.l_orderkey, r.position, r.strategy): r.score for r in P.plans_of(some, prefs, pairing.KEYS, "a_id", "b_id").collect()}
+    assert all(abs(plain[r.l_orderkey, r.position, r.strategy] * r.variety * r.learned - r.score) < 1e-12 for r in got)
+
+
+def test_built_queues(spark):
+    """The next plan that leaves room is taken before a transition is given up; pins give way only where they starve a track."""
+    queue = [(g, p, 0, 1000, 300, g != "off") for g in ("first", "second", "none", "pin", "costs", "off") for p in range(3)] + [("one", 0, 5, 90, 10, True), ("short", 0, 0, 1000, 300, True), ("short", 1, 0, 200, 100, True)]
+    plan = lambda g, p, place, name, leave, enter, pinned=False: (g, p, place, name, pinned, leave, enter, 50)
+    plans = [
+        plan("first", 0, 1, "a", 800, 200), plan("first", 0, 2, "b", 900, 100), plan("first", 1, 1, "c", 600, 100),
+        plan("second", 0, 1, "a", 200, 200), plan("second", 0, 2, "b", 900, 650), plan("second", 0, 3, "c", 800, 500), plan("second", 1, 1, "d", 700, 100), plan("second", 1, 2, "e", 900, 100),
+        plan("none", 0, 1, "a", 200, 100), plan("none", 0, 2, "b", 900, 800), plan("none", 1, 1, "c", 900, 100),
+        plan("pin", 0, 1, "p", 900, 690, True), plan("pin", 0, 2, "b", 900, 100), plan("pin", 1, 1, "c", 900, 100),
+        plan("costs", 0, 1, "a", 900, 650), plan("costs", 0, 2, "b", 900, 640), plan("costs", 1, 1, "c", 900, 100), plan("off", 0, 1, "a", 900, 100), plan("short", 0, 1, "a", 900, 150),
+    ]
+    q = spark.createDataFrame(queue, "g string, position long, start long, end long, least_body long, enabled boolean")
+    t = spark.createDataFrame(plans, "g string, position long, place int, strategy string, pinned boolean, leave long, enter long, length long")
+    out = {}
+    for r in sorted(G.built(q, t, "g").collect(), key=lambda r: (r.position, r.kind)):
+        out.setdefault(r.g, []).append(r.strategy if r.kind == "transition" else (r.start, r.end))
+    assert out == {
+        "first": [(0, 800), "a", (200, 600), "c", (100, 1000)],
+        "second": [(0, 800), "c", (500, 900), "e", (100, 1000)],
+        "none": [(0, 1000), (0, 900), "c", (100, 1000)],
+        "pin": [(0, 900), "p", (690, 1000), (0, 1000)],
+        "costs": [(0, 900), "a", (650, 1000), (0, 1000)],
+        "off": [(0, 1000), (0, 1000), (0, 1000)],
+        "one": [(5, 90)],
+        "short": [(0, 1000), (0, 200)],
+    }
+    assert G.built(q.limit(0), t, "g").count() == 0
+
+
 def test_blocks_are_bounded(spark):
     """Equal energies, null sets and large sets: no block is much larger than asked for, no item is lost, arcs bend orders."""
     rows = [(g, i, e) for g, e in ((1, 0.5), (None, None)) for i in range(1000)] + [(2, i, i / 1000) for i in range(1000)]

@@ -350,6 +350,10 @@ def texture_carry(p: Prefs, strategy: Column) -> Column:
 MODIFIERS = (Modifier("tempoGlide", tempo_glide), Modifier("textureCarry", texture_carry))
 
 
+#: I8: what a plan's fit is multiplied with, in this order.
+FACTORS = ("weight", "energy", "variety", "bonus", "jitter", "learned")
+
+
 def energy_preference(strategy: str, energy: float) -> float:
     """I8: 1 less half the distance between the energy wanted and how showy a strategy is."""
     return min(1.0, max(0.0, 1 - abs(min(1.0, max(0.0, energy)) - AMBITION.get(strategy, 0.5)) * 0.5))
@@ -373,33 +377,43 @@ def fitted(scored: DataFrame, prefs: Prefs, keys: list[str], strategies: tuple[S
     return with_edges(scored).select(*keys, *[n for n in asked if n not in keys], *[x.alias(n) for n, x in columns.items()])
 
 
-def plans_of(scored: DataFrame, prefs: Prefs, keys: list[str], a: str, b: str, most: int | None = None, pin: Column | None = None, strategies: tuple[Strategy, ...] = STRATEGIES, modifiers: tuple[Modifier, ...] = MODIFIERS) -> DataFrame:
-    """The usable strategies of each pair, the pinned one first, then by score, with their modifiers.
+def plans_of(scored: DataFrame, prefs: Prefs, keys: list[str], a: str, b: str, most: int | None = None, pin: Column | None = None, strategies: tuple[Strategy, ...] = STRATEGIES, modifiers: tuple[Modifier, ...] = MODIFIERS, previous: Column | None = None, learned: Column | None = None) -> DataFrame:
+    """The usable strategies of each pair, the pinned one first, then by score, with their modifiers and the factors of the score.
 
-    They are ranked within the row, so a ranking needs no shuffle and no window; without variety and learning.
+    They are ranked within the row, so a ranking needs no shuffle and no window. `previous` is the strategy used just
+    before, `learned` a map of strategies to multipliers (1 where it has none).
     """
     live = [m for m in modifiers if m.id not in prefs.excluded]
-    step = fitted(scored, prefs, keys, strategies)
+    step = fitted(scored.withColumns({"__previous": F.lit(None).cast("string") if previous is None else previous, "__learned": F.create_map().cast("map<string,double>") if learned is None else learned, "__pin": F.lit(None).cast("string") if pin is None else pin}), prefs, [*keys, "__previous", "__learned", "__pin"], strategies)
+    usable = lambda n: (F.size(f"why_{n}") == 0) & (F.col(f"fit_{n}") > 0)
     goes = {}
     for n, s in enumerate(strategies):
         mods = [F.struct(F.lit(m.id).alias("modifier"), m.score(prefs, F.lit(s.id)).alias("score")) for m in live]
         goes[f"mods_{n}"] = F.filter(F.array(*mods), lambda m: m["score"] > MODIFIER_FROM) if mods else F.expr("cast(array() as array<struct<modifier:string,score:double>>)")
+        goes[f"jitter_{n}"] = F.when(usable(n), jitter(F.col(a), F.col(b), F.lit(prefs.seed), F.lit(s.id)))
     step = step.select("*", *[x.alias(n) for n, x in goes.items()])
-    scores = {}
+    factors = {}
     for n, s in enumerate(strategies):
         worth = lambda m: m["score"] * F.when(m["modifier"] == "tempoGlide", MODIFIER_BONUS["tempoGlide"]).otherwise(MODIFIER_BONUS["textureCarry"])
-        bonus = F.aggregate(f"mods_{n}", F.lit(1.0), lambda acc, m: acc + worth(m))  # noqa: B023
-        by = max(0.0, prefs.weights.get(s.id, 1.0)) * energy_preference(s.id, prefs.energy)
-        scores[f"score_{n}"] = F.when((F.size(f"why_{n}") == 0) & (F.col(f"fit_{n}") > 0), F.col(f"fit_{n}") * by * bonus * jitter(F.col(a), F.col(b), F.lit(prefs.seed), F.lit(s.id)))
-    step = step.select("*", *[x.alias(n) for n, x in scores.items()])
+        factors[f"bonus_{n}"] = F.aggregate(f"mods_{n}", F.lit(1.0), lambda acc, m: acc + worth(m))  # noqa: B023
+        factors[f"variety_{n}"] = F.lit(1.0) if previous is None else variety(F.lit(s.id), F.col("__previous"), prefs.variety)
+        factors[f"learned_{n}"] = F.lit(1.0) if learned is None else F.coalesce(F.element_at("__learned", F.lit(s.id)), F.lit(1.0))
+    step = step.select("*", *[x.alias(n) for n, x in factors.items()])
     rows = []
     for n, s in enumerate(strategies):
-        rank = -F.col(f"score_{n}") if pin is None else F.when(pin.eqNullSafe(F.lit(s.id)), float("-inf")).otherwise(-F.col(f"score_{n}"))
-        made = F.struct(rank.alias("rank"), F.lit(n).alias("ordinal"), F.lit(s.id).alias("strategy"), F.col(f"fit_{n}").alias("fit"), F.col(f"score_{n}").alias("score"), F.col(f"mods_{n}").alias("modifiers"))
-        rows.append(F.when(F.col(f"score_{n}").isNotNull(), made))
+        weight, showy = max(0.0, float(prefs.weights.get(s.id, 1.0))), energy_preference(s.id, prefs.energy)
+        score = F.col(f"fit_{n}") * (weight * showy) * F.col(f"bonus_{n}") * F.col(f"jitter_{n}")
+        score = score if previous is None else score * F.col(f"variety_{n}")
+        score = score if learned is None else score * F.col(f"learned_{n}")
+        pinned = F.col("__pin").eqNullSafe(F.lit(s.id)) if pin is not None else F.lit(False)
+        made = F.struct(
+            (-score if pin is None else F.when(pinned, float("-inf")).otherwise(-score)).alias("rank"), F.lit(n).alias("ordinal"), F.lit(s.id).alias("strategy"), F.lit(s.family).alias("family"), F.col(f"fit_{n}").alias("fit"), score.alias("score"), F.col(f"mods_{n}").alias("modifiers"),
+            F.lit(weight).alias("weight"), F.lit(showy).alias("energy"), F.col(f"variety_{n}").alias("variety"), F.col(f"bonus_{n}").alias("bonus"), F.col(f"jitter_{n}").alias("jitter"), F.col(f"learned_{n}").alias("learned"), pinned.alias("pinned"),
+        )
+        rows.append(F.when(usable(n), made))
     best = F.array_sort(F.array_compact(F.array(*rows)))
     found = step.select(*keys, F.posexplode(F.slice(best, 1, most) if most else best).alias("place", "s"))
-    return found.select(*keys, (F.col("place") + 1).alias("place"), "s.strategy", "s.ordinal", "s.fit", "s.score", "s.modifiers")
+    return found.select(*keys, (F.col("place") + 1).alias("place"), *[f"s.{n}" for n in ("strategy", "ordinal", "family", "fit", "score", "modifiers", *FACTORS, "pinned")])
 
 
 def candidates(scored: DataFrame, prefs: Prefs, keys: list[str], strategies: tuple[Strategy, ...] = STRATEGIES) -> DataFrame:
@@ -409,19 +423,6 @@ def candidates(scored: DataFrame, prefs: Prefs, keys: list[str], strategies: tup
     return found.select(*keys, "s.*").withColumn("applicable", (F.size("blockers") == 0) & (F.col("fit") > 0))
 
 
-def final_scores(found: DataFrame, prefs: Prefs, a: str, b: str, previous: Column | None = None, learned: DataFrame | None = None) -> DataFrame:
-    """Fit times weight, energy preference, variety, jitter and the learned multiplier (one row for each strategy: broadcast)."""
-    weight = F.lit(1.0)
-    for s in sorted({*prefs.weights, *AMBITION}):
-        weight = F.when(F.col("strategy") == s, max(0.0, float(prefs.weights.get(s, 1.0))) * energy_preference(s, prefs.energy)).otherwise(weight)
-    again = F.lit(1.0) if previous is None else variety(F.col("strategy"), previous, prefs.variety)
-    if learned is not None:
-        found = found.join(F.broadcast(learned.select("strategy", "multiplier")), "strategy", "left")
-    multiplier = F.lit(1.0) if learned is None else F.coalesce("multiplier", F.lit(1.0))
-    score = F.col("fit") * weight * again * jitter(F.col(a), F.col(b), F.lit(prefs.seed), F.col("strategy")) * multiplier
-    return found.withColumn("score", F.when(F.col("applicable"), score).otherwise(0.0))
-
-
 def ranked(found: DataFrame, keys: list[str], pin: Column | None = None) -> DataFrame:
     """Plans of each pair: the pinned one first, then by score, registry order on ties."""
     first = F.lit(0) if pin is None else F.when(F.col("strategy") == pin, 0).otherwise(1)
@@ -483,10 +484,3 @@ def pair_cost(scored: DataFrame, prefs: Prefs) -> Column:
         + 0.10 * (1 - c("struct_beat")) + 0.05 * (1 - c("room_beat")) + 0.10 * (1 - c("s_vocal")) + F.when(blocked, 0.25).otherwise(0.0)
     )
     return F.coalesce(total, F.lit(0.5))
-
-
-def program(plans: DataFrame, group: str, position: str, body: str, overlap: str, bar: str) -> DataFrame:
-    """Which transitions of a queue stay: a body between two must keep a bar at least and may lose half at most."""
-    w = Window.partitionBy(group).orderBy(position)
-    left = F.col(body) - F.coalesce(F.lag(overlap).over(w), F.lit(0.0)) - F.coalesce(F.col(overlap), F.lit(0.0))
-    return plans.withColumn("body_left", left).withColumn("fits", left >= F.greatest(F.least(F.col(bar), F.col(body) / 2), F.lit(0.0)))

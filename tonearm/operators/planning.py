@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.frames import by_runs
-from tonearm.operators.pairs import COOLDOWN, Prefs
+from tonearm.operators.pairs import COOLDOWN, NEEDED_BARS, Prefs
 
 PREFER_BOOST = 1.3
 #: Stretch up to which a pair counts as matched.
@@ -93,10 +93,17 @@ def context_bucket() -> Column:
 
 
 def explained(plans: DataFrame, prefs: Prefs) -> DataFrame:
-    """Plans (fit, score, modifiers) with the line that says how the score came about."""
+    """Plans (pairs.plans_of) with the line that says how the score came about: its factors, whose product it is, a pin, and the modifiers.
+
+    Fixed format: the words of the line and their order.
+    """
     two = lambda c: F.format_string("%.2f", c)
-    mods = F.array_join(F.transform("modifiers", lambda m: F.concat(m["modifier"], F.lit(" ("), F.format_string("%.2f", m["score"]), F.lit(")"))), ", ")
-    line = F.concat(F.lit("score "), F.format_string("%.3f", "score"), F.lit(" = fit "), two("fit"), F.when(F.size("modifiers") > 0, F.concat(F.lit(", modifiers: "), mods)).otherwise(""))
+    mods = F.array_join(F.transform("modifiers", lambda m: F.concat(m["modifier"], F.lit(" ("), two(m["score"]), F.lit(")"))), ", ")
+    line = F.concat(
+        F.lit("score "), F.format_string("%.3f", "score"), F.lit(" = fit "), two("fit"), F.lit(" × weight "), two("weight"), F.lit(" × energy "), two("energy"), F.lit(" × variety "), two("variety"),
+        F.lit(" × modifiers "), two("bonus"), F.lit(" × jitter "), F.format_string("%.3f", "jitter"), F.when(F.col("learned") != 1, F.concat(F.lit(" × learned "), two("learned"))).otherwise(""),
+        F.when(F.col("pinned"), " · pinned (ranked first)").otherwise(""), F.when(F.size("modifiers") > 0, F.concat(F.lit(", modifiers: "), mods)).otherwise(""),
+    )
     return plans.withColumn("explanation", line)
 
 
@@ -211,6 +218,72 @@ def program(queue: DataFrame, group: str) -> DataFrame:
     return by_runs(queue.select(*wanted), [group], ["position"], build, f"{group} {kind}, position long, kind string, start long, end long")
 
 
+def plan_frames(plans: DataFrame, a: str, b: str, rate: int, beats_per_bar: int = 4) -> DataFrame:
+    """Plans with the frames at which each leaves its first track and enters its second, and its length.
+
+    a, b: structs with start, end (frames of what is playable), bpm, outro_beats, intro_beats. A plan overlaps the beats
+    that its family needs, as far as both tracks have room for them, and a bar at least; without a tempo a beat is half a second.
+    """
+    needs = F.lit(0)
+    for family, bars in NEEDED_BARS.items():
+        needs = F.when(F.col("family") == family, bars * beats_per_bar).otherwise(needs)
+    room_ = F.least(F.coalesce(F.col(f"{a}.outro_beats"), F.lit(0)), F.coalesce(F.col(f"{b}.intro_beats"), F.lit(0)))
+    beats = F.greatest(F.least(needs, room_), F.lit(beats_per_bar))
+    frames = lambda bpm: F.floor(beats * F.when(bpm > 0, 60.0 / bpm).otherwise(0.5) * rate + 0.5).cast("long")
+    length = F.least(frames(F.col(f"{a}.bpm")), F.greatest(F.col(f"{a}.end") - F.col(f"{a}.start"), F.lit(0)))
+    into = F.least(frames(F.col(f"{b}.bpm")), F.greatest(F.col(f"{b}.end") - F.col(f"{b}.start"), F.lit(0)))
+    return plans.withColumns({"leave": F.col(f"{a}.end") - length, "enter": F.col(f"{b}.start") + into, "length": length})
+
+
+def built(queue: DataFrame, plans: DataFrame, group: str) -> DataFrame:
+    """Queues to segments: (group, position, kind, strategy, start, end).
+
+    queue: group, position, start, end, least_body, enabled (whether a transition into the next track may be made).
+    plans: group, position (of the track that is left), place, strategy, pinned, leave, enter, length. For each pair, in
+    play order, the plans are put in the order of the room they leave (pinned first, then those that fit with some plan
+    of the next pair, then those that cost it, ranked order within), given where the plan chosen before enters; the
+    first that starves no track is taken, so the next ranked plan is tried before a transition is given up, and where
+    all starve a track the two meet body to body. A queue is walked in order, queues run in parallel.
+    """
+    kinds = dict(queue.dtypes)
+    each = plans.groupBy(F.col(group).alias("__g"), F.col("position").alias("__p")).agg(F.array_sort(F.collect_list(F.struct("place", "strategy", "pinned", "leave", "enter", "length"))).alias("plans"))
+    rows = queue.join(each, F.col(group).eqNullSafe(F.col("__g")) & (F.col("position") == F.col("__p")), "left").select(group, "position", "start", "end", "least_body", F.when(F.col("enabled"), F.col("plans")).alias("plans"))
+
+    def build(rows: dict[str, list]) -> list[tuple]:
+        start, end, least = (list(map(int, rows[c])) for c in ("start", "end", "least_body"))
+        offered = [list(p) if p is not None else [] for p in rows["plans"][:-1]] + [[]]
+        n = len(start)
+
+        def keeps(i: int, entry: int | None, leave: int | None) -> bool:
+            begin = max(start[i] if entry is None else entry, 0)
+            return max(end[i] if leave is None else leave, begin) - begin >= least[i]
+
+        chosen: list[dict | None] = []
+        for i in range(n - 1):
+            entry = chosen[-1]["enter"] if chosen and chosen[-1] else None
+
+            def rank(plan: dict, i: int = i, entry: int | None = entry) -> int:
+                if not keeps(i, entry, plan["leave"]) or not keeps(i + 1, plan["enter"], None):
+                    return 3
+                if plan["pinned"]:
+                    return 0
+                following = offered[i + 1]
+                return 1 if not following or any(keeps(i + 1, plan["enter"], x["leave"]) for x in following) else 2
+
+            best = min(offered[i], key=rank, default=None)  # the first of equals: the planner's order
+            chosen.append(best if best is not None and rank(best) < 3 else None)
+        out = []
+        for i, position in enumerate(rows["position"]):
+            before, after = chosen[i - 1] if i else None, chosen[i] if i < n - 1 else None
+            begin = max(before["enter"] if before else start[i], 0)
+            out.append((rows[group][0], position, "body", None, begin, max(after["leave"] if after else end[i], begin)))
+            if after:
+                out.append((rows[group][0], position, "transition", after["strategy"], 0, after["length"]))
+        return out
+
+    return by_runs(rows, [group], ["position"], build, f"{group} {kinds[group]}, position long, kind string, strategy string, start long, end long")
+
+
 def program_totals(segments: DataFrame, group: str) -> DataFrame:
     """Frames of each queue by kind of segment, and how many transitions stayed."""
     length = F.col("end") - F.col("start")

@@ -9,7 +9,7 @@ from tonearm.operators import pairs as P
 from tonearm.operators import planning as G
 from tonearm.plans.base import Plans, table
 from tonearm.plans.library import ENTRIES, entries
-from tonearm.plans.pairing import CANDIDATES, COST, FITS, KEYS, PREFS, candidates, scored
+from tonearm.plans.pairing import CANDIDATES, COST, FITS, KEYS, PREFS, candidates, scored, tracks
 
 PLANS = Plans()
 
@@ -43,13 +43,13 @@ def chained_plans(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("score", F.round(F.col("score") + 1e-9, 6))
 
 
-@PLANS.query(f"""WITH {CANDIDATES} SELECT l_orderkey, position, strategy, 'score ' || format('{{:.3f}}', score + 1e-9) || ' = fit ' || format('{{:.2f}}', fit + 1e-9) || CASE WHEN glide > 0.3 OR carry > 0.3 THEN ', modifiers: ' ||
-array_to_string(list_filter([CASE WHEN glide > 0.3 THEN 'tempoGlide (' || format('{{:.2f}}', glide + 1e-9) || ')' END, CASE WHEN carry > 0.3 THEN 'textureCarry (' || format('{{:.2f}}', carry + 1e-9) || ')' END], lambda x: x IS NOT NULL), ', ') ELSE '' END AS explanation FROM ranked WHERE place = 1""")
+@PLANS.query(f"""WITH {CANDIDATES} SELECT l_orderkey, position, strategy, 'score ' || format('{{:.3f}}', score + 1e-9) || ' = fit ' || format('{{:.2f}}', fit + 1e-9) || ' × weight 1.00 × energy ' || format('{{:.2f}}', pref + 1e-9) || ' × variety 1.00 × modifiers ' || format('{{:.2f}}', bonus + 1e-9) || ' × jitter ' || format('{{:.3f}}', jitter + 1e-9) ||
+CASE WHEN glide > 0.3 OR carry > 0.3 THEN ', modifiers: ' || array_to_string(list_filter([CASE WHEN glide > 0.3 THEN 'tempoGlide (' || format('{{:.2f}}', glide + 1e-9) || ')' END, CASE WHEN carry > 0.3 THEN 'textureCarry (' || format('{{:.2f}}', carry + 1e-9) || ')' END], lambda x: x IS NOT NULL), ', ') ELSE '' END AS explanation FROM ranked WHERE place = 1""")
 def plan_explanations(spark: SparkSession, sf: str) -> DataFrame:
-    """How the best plan's score came about."""
+    """How the best plan's score came about, factor by factor."""
     best = P.plans_of(candidates(spark, sf), PREFS, KEYS, "a_id", "b_id", 1)
     near = F.transform("modifiers", lambda m: F.struct(m["modifier"].alias("modifier"), (m["score"] + 1e-9).alias("score")))
-    nudged = best.withColumns({"score": F.col("score") + 1e-9, "fit": F.col("fit") + 1e-9, "modifiers": near})  # both engines round halves alike
+    nudged = best.withColumns({n: F.col(n) + 1e-9 for n in ("score", "fit", "energy", "bonus", "jitter")} | {"modifiers": near})  # both engines round halves alike
     return G.explained(nudged, PREFS).select("l_orderkey", "position", "strategy", "explanation")
 
 
@@ -87,6 +87,36 @@ def gated_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("l_orderkey", "position", G.gated(F.expr(CONTEXT), F.col("album_a") == F.col("album_b")).alias("enabled"))
 
 
+RATE = 44_100
+#: A track's frames, what it must keep for itself, and its tempo, from its seconds.
+BODY = f"""0::BIGINT AS start, (seconds * {RATE})::BIGINT AS "end", least(CASE WHEN bpm > 0 THEN floor(60.0 / bpm * 4 * {RATE} + 0.5) ELSE {RATE} END, floor(seconds * {RATE} / 2))::BIGINT AS least_body"""
+BARS_OF = "CASE strategy " + " ".join(f"WHEN '{s.id}' THEN {P.NEEDED_BARS[s.family]}" for s in P.STRATEGIES) + " END"
+_KEEPS = lambda entry, leave, start, end, least: f"(greatest(coalesce({leave}, {end}), greatest(coalesce({entry}, {start}), 0)) - greatest(coalesce({entry}, {start}), 0) >= {least})"
+
+
+@PLANS.query(f"""WITH RECURSIVE {CANDIDATES}, tb AS (SELECT track_id, bpm, outro_beats, intro_beats, {BODY} FROM tracks),
+tg AS (SELECT ranked.l_orderkey, ranked.position, place, strategy, greatest(4, least({BARS_OF} * 4, outro, intro)) AS beats, a_bpm, b_bpm, a_end, b_end FROM ranked JOIN (SELECT x.track_id AS a_id, y.track_id AS b_id, x.outro_beats AS outro, y.intro_beats AS intro, x.bpm AS a_bpm, y.bpm AS b_bpm, x."end" AS a_end, y."end" AS b_end FROM (SELECT DISTINCT a_track_id, b_track_id FROM ranked) r JOIN tb x ON x.track_id = a_track_id JOIN tb y ON y.track_id = b_track_id) f ON f.a_id = a_track_id AND f.b_id = b_track_id),
+tf AS (SELECT *, least(floor(beats * (60.0 / a_bpm) * {RATE} + 0.5)::BIGINT, a_end) AS length, least(floor(beats * (60.0 / b_bpm) * {RATE} + 0.5)::BIGINT, b_end) AS enter FROM tg),
+tc AS (SELECT l_orderkey, position, list({{'place': place, 'strategy': strategy, 'leave': a_end - length, 'enter': enter, 'length': length}} ORDER BY place) AS c FROM tf GROUP BY 1, 2),
+tw AS (SELECT e.l_orderkey, e.position, e.l_partkey, row_number() OVER (PARTITION BY e.l_orderkey ORDER BY e.position) AS k, count(*) OVER (PARTITION BY e.l_orderkey) AS n, CASE WHEN {CONTEXT.replace('l_orderkey', 'e.l_orderkey')} = 'SINGLE' THEN NULL ELSE tc.c END AS c FROM {ENTRIES} e LEFT JOIN tc ON tc.l_orderkey = e.l_orderkey AND tc.position = e.position),
+tq AS (SELECT tw.*, tb.start AS s, tb."end" AS t, tb.least_body AS m, lead(tb.start) OVER o AS s2, lead(tb."end") OVER o AS t2, lead(tb.least_body) OVER o AS m2, lead(c) OVER o AS c2 FROM tw JOIN tb ON track_id = l_partkey WINDOW o AS (PARTITION BY tw.l_orderkey ORDER BY k)),
+walk AS (SELECT l_orderkey, 0::BIGINT AS k, NULL::STRUCT("rank" INT, place BIGINT, strategy VARCHAR, "leave" BIGINT, enter BIGINT, length BIGINT) AS pick FROM tq WHERE k = 1 UNION ALL
+SELECT l_orderkey, k, CASE WHEN best."rank" < 3 THEN best END FROM (SELECT tq.l_orderkey, tq.k, list_sort(list_transform(tq.c, lambda x: {{'rank': CASE WHEN NOT {_KEEPS('walk.pick.enter', "x['leave']", 'tq.s', 'tq.t', 'tq.m')} OR NOT {_KEEPS("x['enter']", 'NULL', 'tq.s2', 'tq.t2', 'tq.m2')} THEN 3
+WHEN tq.c2 IS NULL OR len(list_filter(tq.c2, lambda y: {_KEEPS("x['enter']", "y['leave']", 'tq.s2', 'tq.t2', 'tq.m2')})) > 0 THEN 1 ELSE 2 END::INT, 'place': x['place'], 'strategy': x['strategy'], 'leave': x['leave'], 'enter': x['enter'], 'length': x['length']}}))[1] AS best FROM walk JOIN tq ON tq.l_orderkey = walk.l_orderkey AND tq.k = walk.k + 1 WHERE tq.k < tq.n)),
+td AS (SELECT tq.*, i.pick AS i, u.pick AS u FROM tq LEFT JOIN walk i ON i.l_orderkey = tq.l_orderkey AND i.k = tq.k - 1 LEFT JOIN walk u ON u.l_orderkey = tq.l_orderkey AND u.k = tq.k)
+SELECT l_orderkey, position::BIGINT AS position, 'body' AS kind, NULL AS strategy, coalesce(i.enter, s) AS start, greatest(coalesce(u."leave", t), coalesce(i.enter, s)) AS "end" FROM td UNION ALL SELECT l_orderkey, position, 'transition', u.strategy, 0, u.length FROM td WHERE u IS NOT NULL""")
+def built_programs(spark: SparkSession, sf: str) -> DataFrame:
+    """From tracks to segments: every playlist's plans ranked, put in order of the room they leave, the first that fits taken."""
+    bars = F.when(F.col("bpm") > 0, F.floor(60.0 / F.col("bpm") * 4 * RATE + 0.5)).otherwise(F.lit(RATE))
+    bodies = tracks(spark, sf).select("track_id", "bpm", "outro_beats", "intro_beats", F.lit(0).cast("long").alias("start"), (F.col("seconds") * RATE).cast("long").alias("end"), F.least(bars, F.floor(F.col("seconds") * RATE / 2)).cast("long").alias("least_body"))
+    queue = entries(spark, sf).select("l_orderkey", F.col("position").cast("long").alias("position"), "l_partkey").join(bodies, F.col("l_partkey") == F.col("track_id"))
+    queue = queue.withColumn("enabled", G.gated(F.expr(CONTEXT), F.lit(None).cast("boolean")))
+    plans = P.plans_of(candidates(spark, sf), PREFS, KEYS, "a_id", "b_id")
+    side = lambda id, name: bodies.select(F.col("track_id").alias(id), F.struct("start", "end", "bpm", "outro_beats", "intro_beats").alias(name))
+    placed = G.plan_frames(plans.join(side("a_id", "a"), "a_id").join(side("b_id", "b"), "b_id"), "a", "b", RATE)
+    return G.built(queue, placed, "l_orderkey")
+
+
 #: A queue's tracks in frames, and where the transition into the next one leaves and enters.
 FRAMES = """(l_partkey * 7) % 500 AS start, (l_partkey * 7) % 500 + 1000 + (l_partkey * 13) % 3000 AS "end", least(100 + l_partkey % 40 * 40, (1000 + (l_partkey * 13) % 3000) // 2) AS least_body,
 CASE WHEN next IS NULL OR (l_partkey + next) % 6 = 0 THEN NULL ELSE (l_partkey * 7) % 500 + (1000 + (l_partkey * 13) % 3000) * ((l_partkey + next) % 10 + 2) // 12 END AS leave,

@@ -367,6 +367,56 @@ def test_built_queues(spark):
     assert G.built(q.limit(0), t, "g").count() == 0
 
 
+def test_best_pairs_by_bounds(spark):
+    """The ten best of all ordered pairs equal brute force, for tables of any size and ties; few of the pairs are scored."""
+    t = pairing.tracks(spark, SF)
+    every = t.select(F.struct("*").alias("a")).join(t.select(F.struct("*").alias("b")), F.col("a.track_id") != F.col("b.track_id"))
+    s = P.sub_scores(P.features(every, pairing.PREFS), pairing.PREFS)
+    want = s.select("a.track_id", "b.track_id", F.round(P.pair_cost(s, pairing.PREFS), 9).alias("cost")).toDF("a", "b", "cost").orderBy("cost", "a", "b").limit(40).collect()
+    assert P.best_pairs(t, pairing.PREFS, 40).collect() == want
+    assert P.bounded_pairs(t, pairing.PREFS, want[9].cost).count() < 0.05 * t.count() ** 2
+    twins = t.filter("track_id < 12").withColumn("bpm", F.lit(120.0)).withColumn("track_id", F.col("track_id") + 1000)
+    few = twins.unionByName(twins.limit(2).withColumns({"track_id": F.col("track_id") + 500, "bpm": F.lit(None).cast("double")}))
+    pairs = few.filter("bpm > 0").select(F.struct("*").alias("a")).join(few.filter("bpm > 0").select(F.struct("*").alias("b")), F.col("a.track_id") != F.col("b.track_id"))
+    s = P.sub_scores(P.features(pairs, pairing.PREFS), pairing.PREFS)
+    want = s.select("a.track_id", "b.track_id", F.round(P.pair_cost(s, pairing.PREFS), 9).alias("cost")).toDF("a", "b", "cost").orderBy("cost", "a", "b").limit(200).collect()
+    assert P.best_pairs(few, pairing.PREFS, 200).collect() == want
+    assert P.best_pairs(few.limit(0), pairing.PREFS, 5).count() == 0
+
+
+def test_suggested_names(spark):
+    """Typos by edit distance, case apart, ties by name, nothing that is too far; against all distances."""
+    rng = random.Random(3)
+    known = ["level", "low", "mid", "lengthBars", "tempo", "Tempi", "b", "", "über"] + ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    asked = ["levle", "Level", "lenghtBars", "zzz", "", "t", "uber", "tempx", None, None] + ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+
+    def distance(a, b):
+        d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    want = {}
+    for w in {a for a in asked if a is not None}:
+        best = min((distance(w.lower(), k.lower()), k) for k in known)
+        want[w] = best[::-1] if best[0] <= max(1, min(3, (len(w) + 2) // 3)) else (None, None)
+    words = spark.createDataFrame([(a,) for a in asked], "word string")
+    names = spark.createDataFrame([(k,) for k in [*known, *known, None]], "name string")
+    assert {r.word: (r.suggestion, r.distance) for r in L.suggested(words, names, "word", "name").collect()} == want
+    assert want["levle"] == ("level", 1) and want["lenghtBars"] == ("lengthBars", 1) and want["zzz"] == (None, None)
+
+
+def test_nearest_vectors_block_by_block(spark, monkeypatch):
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id", "embedding")
+    queries = v.filter("vec_id % 20 = 0")
+    one = rows(P.nearest_vectors(queries, v, "vec_id", "embedding", 3))
+    monkeypatch.setattr(P, "QUERY_BLOCK", 7)
+    assert rows(P.nearest_vectors(queries, v, "vec_id", "embedding", 3)) == one
+
+
 def test_blocks_are_bounded(spark):
     """Equal energies, null sets and large sets: no block is much larger than asked for, no item is lost, arcs bend orders."""
     rows = [(g, i, e) for g, e in ((1, 0.5), (None, None)) for i in range(1000)] + [(2, i, i / 1000) for i in range(1000)]

@@ -142,3 +142,13 @@ def csv_text(x: Column) -> Column:
 def suggestion_limit(c: Column) -> Column:
     """Edits within which a name is offered for a misspelt one: a third of its length, 1 to 3."""
     return F.greatest(F.lit(1), F.least(F.lit(3), F.floor((F.length(c) + 2) / 3))).cast("int")
+
+
+def deletions(word: Column, most: int) -> Column:
+    """A word and all that is left of it without up to `most` of its letters."""
+    without = lambda w: F.transform(F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    level = out = F.array(word)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, without)))
+        out = F.array_union(out, level)
+    return out

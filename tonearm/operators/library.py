@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonearm.functions.text import blank_to_null, disc_of, nocase, parent_dir, path_prefixes, stable_id, track_of
+from tonearm.functions.text import alignment_distance, blank_to_null, deletions, disc_of, nocase, parent_dir, path_prefixes, stable_id, suggestion_limit, track_of
 from tonearm.functions.frames import together
 
 # -- scans and ingest
@@ -325,3 +325,22 @@ def recent_logs(logs: DataFrame, limit: int, a: object = None, b: object = None)
     if a is not None:
         logs = logs.filter((F.col("a") == F.lit(a)) & (F.col("b") == F.lit(b)))
     return logs.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def suggested(words: DataFrame, dictionary: DataFrame, word: str, name: str) -> DataFrame:
+    """(word, suggestion, distance): for each distinct word the nearest name of a dictionary within its limit, else nulls.
+
+    An index of deletion neighbourhoods: a word and a name within d edits (a swap of neighbours is one) have a common
+    remainder after at most d deletions from each, so candidates come from one equi-join on remainders, and the distance
+    is worked out for these alone. Case does not count; of equally near names the first by name is offered. Names are
+    short: a name of n letters has about n^3 / 6 remainders where its limit is 3.
+    """
+    limit = suggestion_limit(F.col("word"))
+    asked = words.select(F.col(word).alias("word")).filter("word is not null").distinct().withColumns({"low": F.lower("word"), "most": limit})
+    left = asked.select("word", "low", "most", F.explode(F.when(F.col("most") == 1, deletions(F.col("low"), 1)).when(F.col("most") == 2, deletions(F.col("low"), 2)).otherwise(deletions(F.col("low"), 3))).alias("rest"))
+    names = dictionary.select(F.col(name).alias("name")).filter("name is not null").distinct()
+    index = names.select("name", F.explode(deletions(F.lower("name"), 3)).alias("rest"))
+    near = left.join(index, "rest").select("word", "low", "most", "name").distinct()
+    scored = near.withColumn("distance", alignment_distance(F.col("low"), F.lower("name"))).filter(F.col("distance") <= F.col("most"))
+    best = scored.groupBy("word").agg(F.min(F.struct("distance", "name")).alias("b"))
+    return asked.select("word").join(best, "word", "left").select("word", F.col("b.name").alias("suggestion"), F.col("b.distance").alias("distance"))

@@ -6,6 +6,7 @@ come from `candidate_pairs`, a band join; `all_pairs` gives them all where all a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.music import KEY_BY_DISTANCE, best_shift, camelot, camelot_distance, coerce, cosine, jitter, tempo_relation
-from tonearm.functions.frames import together
+from tonearm.functions.frames import Tables
 
 OUTROS = ("HARD_STOP", "FADE_OUT", "BEAT_OUTRO", "AMBIENT_OUTRO", "VOCAL_OUTRO", "UNKNOWN")
 INTROS = ("BEAT_INTRO", "AMBIENT_INTRO", "VOCAL_INTRO", "COLD_START", "SILENCE", "UNKNOWN")
@@ -116,14 +117,17 @@ QUERY_BLOCK = 4096
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: str, most: int) -> DataFrame:
     """(a, b, place, cosine): the `most` nearest vectors of every query, by exact search against all of them.
 
-    Queries go out in blocks of QUERY_BLOCK, so what is broadcast is bounded. Each batch of vectors is multiplied with a
+    Queries go out in blocks of QUERY_BLOCK; with more than one, each block's finds are written before the next is read,
+    so the driver and the tasks hold one block at a time, however many queries there are. Each batch of vectors is multiplied with a
     block at once and keeps its best few for each query, so no table of all pairs is made; the few are ranked at the end.
     """
     spark = vectors.sparkSession
     q = queries.select(F.col(key).alias("a"), F.col(vector).alias("v"))
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     kind = vectors.schema[key].dataType.simpleString()
-    out = None
+    out, tables = None, Tables(spark, "nearest") if blocks > 1 else None
+    order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
+    ranked_ = lambda df: df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("a", "b", "place", "cosine")
     for block in range(blocks):
         part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("a"), F.lit(blocks)) == block)
         rows = [(r["a"], list(r["v"])) for r in part.collect()]  # about QUERY_BLOCK rows
@@ -145,10 +149,56 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: st
                 fine = np.isfinite(s)
                 yield pa.RecordBatch.from_arrays([pa.array(a[fine]), pa.array(b[fine]), pa.array(s[fine])], names=["a", "b", "cosine"])
 
-        found = vectors.select(key, vector).mapInArrow(search, f"a {kind}, b {kind}, cosine double")
-        out = found if out is None else together(out, found)
-    order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
-    return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("a", "b", "place", "cosine")
+        found = ranked_(vectors.select(key, vector).mapInArrow(search, f"a {kind}, b {kind}, cosine double"))
+        if tables is None:
+            return found
+        out = tables.write(found, "found", "append")
+        sent.destroy()
+    return out
+
+
+def bounded_pairs(tracks: DataFrame, prefs: Prefs, most: float, item: str = "track_id") -> DataFrame:
+    """(a, b): structs of all ordered pairs of tracks whose cost may be `most` or less, and few others.
+
+    A pair costs at least what each of its tracks brings alone (an uncertain grid, no room) and what its tempo term
+    brings, so tracks beyond `most` are left out and the others joined by bands of tempo (the same, half or double) as
+    wide as that term allows: one equi-join, each pair once.
+    """
+    own = lambda beats: 0.10 * (1 - coerce(F.col("grid_confidence"), 0.0, 1.0)) + 0.05 * (1 - F.least(F.lit(1.0), F.greatest(F.col(beats), F.lit(0)) / 32)) + F.when((F.col("grid_confidence") < 0.5) | (F.col(beats) < 16), 0.25).otherwise(0.0)
+    known = tracks.filter((F.col("bpm") > 0) & F.col(item).isNotNull())
+    sigma, least = prefs.max_stretch / 1.5, 1 - (most + 1e-9) / 0.30
+    octave = F.log2("bpm")
+    reach = lambda best: sigma * math.sqrt(-math.log(min(1.0, least / best))) if least > 0 else 100.0
+    width = -math.log2(max(1e-6, 1 - min(99.0, reach(1.0)) / 100)) if sigma > 0 else 1e-6
+    width = max(width, 1e-6)
+    shifts = (0, 1, -1) if least <= 0.85 else (0,)
+    bin_of = lambda x: F.floor(x / width)
+    bins = F.array_distinct(F.array(*[bin_of(octave + s) + n for s in shifts for n in (-1, 0, 1)])) if least > 0 else F.array(F.lit(0).cast("long"))
+    a = known.filter(own("outro_beats") <= most + 1e-9).select(F.struct("*").alias("a"), F.explode(bins).alias("bin"))
+    b = known.filter(own("intro_beats") <= most + 1e-9).select(F.struct("*").alias("b"), (bin_of(octave) if least > 0 else F.lit(0).cast("long")).alias("bin"))
+    return a.join(b, "bin").filter(F.col(f"a.{item}") != F.col(f"b.{item}")).drop("bin")
+
+
+def best_pairs(tracks: DataFrame, prefs: Prefs, k: int = 10, item: str = "track_id", seeds: int = 8, decimals: int = 9) -> DataFrame:
+    """the k ordered pairs of least cost among all pairs of a library: (a, b, cost), ties by id.
+
+    Branch and bound: a few promising tracks of every band of tempo are paired, the k-th best of their costs bounds the
+    answer, and only pairs that may be within it are scored. Tracks without a tempo or an id are not ranked.
+    """
+    # inline() is a fence: what is inferred from filters over derived columns, in every combination, would choke the optimiser.
+    tracks = tracks.select(F.inline(F.array(F.struct(*tracks.columns))))
+    known = tracks.filter((F.col("bpm") > 0) & F.col(item).isNotNull())
+    band = F.floor(F.log2("bpm") * 24)
+    ends = lambda beats, name: known.withColumns({"__band": band, "__n": F.row_number().over(Window.partitionBy(band).orderBy(-F.least(F.col(beats), F.lit(32)), -F.col("grid_confidence"), item))}).filter(F.col("__n") <= seeds).select("__band", F.struct(*known.columns).alias(name))
+    first = ends("outro_beats", "a").join(ends("intro_beats", "b"), "__band").filter(F.col(f"a.{item}") != F.col(f"b.{item}"))
+
+    def costs(pairs: DataFrame) -> DataFrame:
+        s = sub_scores(features(pairs.select("a", "b"), prefs), prefs)
+        return s.select(F.col(f"a.{item}").alias("a"), F.col(f"b.{item}").alias("b"), F.round(pair_cost(s, prefs), decimals).alias("cost"))
+
+    some = [r.cost for r in costs(first).orderBy("cost").limit(k).collect()]
+    bound = some[-1] + 10.0**-decimals if len(some) == k else float("inf")
+    return costs(bounded_pairs(tracks, prefs, bound, item)).orderBy("cost", "a", "b").limit(k)
 
 
 def consecutive(order: DataFrame, group: list[str], position: list[str], columns: list[str]) -> DataFrame:

@@ -264,6 +264,18 @@ def parsed_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", M.parse_key(name).alias("key"), F.round(M.db(x), 6).alias("db"), F.round(M.lufs(x), 6).alias("lufs")).select("p_partkey", "key.tonic", "key.minor", "db", "lufs")
 
 
+#: Misspelt names: letters swapped, dropped, doubled, changed, in other case, by the part's key.
+MISSPELT = "CASE p_partkey % 5 WHEN 0 THEN reverse(substr(p_name, 1, 2)) || substr(p_name, 3) WHEN 1 THEN substr(p_name, 1, 3) || substr(p_name, 5) WHEN 2 THEN upper(p_name) || 'x' WHEN 3 THEN 'q' || substr(p_name, 2, 4) || 'zz' || substr(p_name, 6) ELSE substr(p_brand, 1, 9) END"
+
+
+@PLANS.query(f"""WITH w AS (SELECT DISTINCT {MISSPELT} AS word FROM part), n AS (SELECT DISTINCT p_name AS name FROM part), d AS (SELECT word, name, damerau_levenshtein(lower(word), lower(name)) AS distance, greatest(1, least(3, (length(word) + 2) // 3)) AS most FROM w, n),
+b AS (SELECT word, min({{'distance': distance, 'name': name}}) AS b FROM d WHERE distance <= most GROUP BY 1) SELECT word, b.name AS suggestion, b.distance AS distance FROM w LEFT JOIN b USING (word)""")
+def name_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest known name for every misspelt one."""
+    parts = table(spark, sf, "part")
+    return L.suggested(parts.select(F.expr(MISSPELT).alias("word")), parts, "word", "p_name").withColumn("distance", F.col("distance").cast("long"))
+
+
 @PLANS.query("SELECT p_partkey, damerau_levenshtein(p_name, reverse(p_name[:2]) || p_name[4:]) AS distance, greatest(1, least(3, (length(p_name) + 2) // 3))::INT AS most FROM part")
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """How far a misspelt name is, a swap counting one edit, and how far it may be."""

@@ -260,6 +260,15 @@ def online_sets(spark: SparkSession, sf: str) -> DataFrame:
     return made.withColumn("cost", F.round("cost", 9))
 
 
+EVERY_PAIR = COST.replace("FROM q JOIN tracks a ON a.track_id = q.a JOIN tracks b ON b.track_id = q.b", "FROM tracks a JOIN tracks b ON a.track_id <> b.track_id").replace("SELECT q.l_orderkey, q.position,", "SELECT 0 AS l_orderkey, 0 AS position,")
+
+
+@PLANS.query(f"WITH {EVERY_PAIR} SELECT a_track_id AS a, b_track_id AS b, round(cost, 9) AS cost FROM cost ORDER BY round(cost, 9), a, b LIMIT 10")
+def best_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """the ten most compatible ordered pairs of the whole library, by bounds."""
+    return P.best_pairs(tracks(spark, sf), PREFS)
+
+
 @PLANS.query(f"WITH {TRACKS} SELECT track_id, round(0.4 * greatest(0, least(1, (lufs + 20) / 14)) + 0.3 * greatest(0, least(1, (bpm - 70) / 100)) + 0.3 * tail_percussive, 6)::DOUBLE AS energy FROM tracks")
 def energy_proxies(spark: SparkSession, sf: str) -> DataFrame:
     """H19."""

@@ -221,19 +221,24 @@ def order_gains(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("l_orderkey", F.round("m", 6).alias("mean_cost"), (F.round(Q.gain_over(F.col("m"), F.col("r")), 6) + 0.0).alias("gain"))
 
 
-@PLANS.query("""WITH g AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 9 <> 4), a AS (SELECT vec_id, label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END AS label, CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: x + 2) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE vec_id % 9 <> 5),
-b AS (SELECT coalesce(g.vec_id, a.vec_id) AS vec_id, g.vec_id IS NULL AS ng, a.vec_id IS NULL AS na, g.label AS gl, a.label AS al, sqrt(list_avg(list_transform(range(1, len(g.e) + 1), lambda i: (g.e[i] - a.e[i]) ^ 2))) AS r FROM g FULL JOIN a USING (vec_id))
-SELECT vec_id, round(r, 6) AS spectrum_rmse, CASE WHEN na THEN ['not rendered'] WHEN ng THEN ['no golden'] ELSE list_filter([CASE WHEN gl <> al THEN 'plan' END, CASE WHEN r > 1 THEN 'spectrum' END], lambda x: x IS NOT NULL) END AS differs FROM b""")
+@PLANS.query("""WITH g AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, (embedding::DOUBLE[])[1:8] AS v, md5(label || ':' || vec_id) AS h FROM embeddings WHERE vec_id % 9 <> 4),
+a AS (SELECT vec_id, label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END AS label, CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: x + 2) ELSE embedding::DOUBLE[] END AS e,
+CASE WHEN vec_id % 13 = 0 THEN (embedding::DOUBLE[])[1:7] WHEN vec_id % 11 = 0 THEN list_transform((embedding::DOUBLE[])[1:8], lambda x: x - 0.75) WHEN vec_id % 11 = 1 THEN list_transform((embedding::DOUBLE[])[1:8], lambda x: x + 0.25) ELSE (embedding::DOUBLE[])[1:8] END AS v, CASE WHEN vec_id % 17 = 0 THEN 'other' ELSE md5(label || ':' || vec_id) END AS h FROM embeddings WHERE vec_id % 9 <> 5),
+b AS (SELECT coalesce(g.vec_id, a.vec_id) AS vec_id, g.vec_id IS NULL AS ng, a.vec_id IS NULL AS na, g.label AS gl, a.label AS al, g.h AS gh, a.h AS ah, len(g.v) <> len(a.v) AS cut, sqrt(list_avg(list_transform(range(1, len(g.e) + 1), lambda i: (g.e[i] - a.e[i]) ^ 2))) AS r, sqrt(list_avg(list_transform(range(1, least(len(g.v), len(a.v)) + 1), lambda i: (g.v[i] - a.v[i]) ^ 2))) AS w FROM g FULL JOIN a USING (vec_id))
+SELECT vec_id, round(w, 6) AS envelope_rmse, round(r, 6) AS spectrum_rmse, CASE WHEN na THEN ['not rendered'] WHEN ng THEN ['no golden'] ELSE list_filter([CASE WHEN gl <> al THEN 'plan' END, CASE WHEN w > 0.5 THEN 'envelope' END, CASE WHEN r > 1 THEN 'spectrum' END, CASE WHEN cut THEN 'length' END, CASE WHEN gh <> ah THEN 'hash' END], lambda x: x IS NOT NULL) END AS differs FROM b""")
 def golden_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Plans and spectra against golden ones."""
+    """Plans, envelopes, spectra and hashes against golden ones."""
     from tonearm.operators import stats as S
 
-    v = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    cell = lambda df, plan, spectrum: df.select("vec_id", plan.alias("plan"), F.array().cast("array<double>").alias("envelope"), spectrum.alias("spectrum"), F.lit("").alias("hash"))
-    golden = cell(v.filter("vec_id % 9 <> 4"), F.col("label"), F.col("embedding").cast("array<double>"))
-    moved = F.when(F.col("vec_id") % 5 == 0, F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 2)).otherwise(F.col("embedding").cast("array<double>"))
-    actual = cell(v.filter("vec_id % 9 <> 5"), F.col("label") + (F.col("vec_id") % 7 == 0).cast("int"), moved)
-    return S.golden_cells(golden, actual, ["vec_id"]).select("vec_id", F.round("spectrum_rmse", 6).alias("spectrum_rmse"), "differs")
+    whole = F.col("embedding").cast("array<double>")
+    v = table(spark, sf, "embeddings").select("vec_id", "label", whole.alias("e"), F.slice(whole, 1, 8).alias("v"), F.md5(F.concat_ws(":", "label", "vec_id")).alias("h"))
+    cell = lambda df, plan, envelope, spectrum, hash: df.select("vec_id", plan.alias("plan"), envelope.alias("envelope"), spectrum.alias("spectrum"), hash.alias("hash"))
+    golden = cell(v.filter("vec_id % 9 <> 4"), F.col("label"), F.col("v"), F.col("e"), F.col("h"))
+    every = lambda n, rest=0: F.col("vec_id") % n == rest
+    envelope = F.when(every(13), F.slice("v", 1, 7)).when(every(11), F.transform("v", lambda x: x - 0.75)).when(every(11, 1), F.transform("v", lambda x: x + 0.25)).otherwise(F.col("v"))
+    actual = cell(v.filter("vec_id % 9 <> 5"), F.col("label") + every(7).cast("int"), envelope, F.when(every(5), F.transform("e", lambda x: x + 2)).otherwise(F.col("e")), F.when(every(17), "other").otherwise(F.col("h")))
+    out = S.golden_cells(golden, actual, ["vec_id"], strict=True)
+    return out.select("vec_id", F.round("envelope_rmse", 6).alias("envelope_rmse"), F.round("spectrum_rmse", 6).alias("spectrum_rmse"), "differs")
 
 
 CASE_COLUMNS = {
@@ -254,16 +259,35 @@ def accuracy_bench(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({n: F.round(n, 6).cast("double") for n in ("mean_f", "worst_trim", "mean_cents")})
 
 
-@PLANS.query(f"""WITH {CANDIDATES}, k AS (SELECT l_orderkey, position, strategy, ok, CASE WHEN ok THEN fit * pref * bonus * jitter ELSE 0 END AS score, -20.0 - n % 5 - position % 3 AS level FROM z) SELECT strategy, count(*) AS rows, count(*) FILTER (ok) AS applicable, round(avg(score), 5) AS mean_score, round(avg(greatest(-12, low - level)), 5)::DOUBLE AS mean_gain
-FROM (SELECT *, min(level) OVER (PARTITION BY l_orderkey, position) AS low FROM k WHERE ok) GROUP BY 1""")
+@PLANS.query(f"""WITH {CANDIDATES}, tk AS (SELECT l_orderkey, position, strategy, ok, CASE WHEN ok THEN fit * pref * bonus * jitter END AS score, CASE WHEN ok THEN -20.0 - n % 5 - position % 3 END AS level FROM z)
+SELECT strategy, count(*) AS rows, count(*) FILTER (ok) AS applicable, round(avg(score), 5) AS mean_score, round(avg(greatest(-12, low - level)) FILTER (ok), 5)::DOUBLE AS mean_gain FROM (SELECT *, min(level) OVER (PARTITION BY l_orderkey, position) AS low FROM tk) GROUP BY 1""")
 def ab_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pair's applicable strategies with score and level-matched gain, rolled up by strategy."""
+    """Every pair's strategies, those that apply with score and level-matched gain, rolled up by strategy."""
     from tonearm.operators import stats as S
 
-    plans = P.plans_of(candidates(spark, sf), PREFS, KEYS, "a_id", "b_id").withColumn("level", -20.0 - F.col("ordinal") % 5 - F.col("position") % 3)
+    scored_ = candidates(spark, sf)
+    every = P.candidates(scored_, PREFS, KEYS).groupBy("strategy").agg(F.count("*").alias("rows"), F.count_if("applicable").alias("applicable"))
+    plans = P.plans_of(scored_, PREFS, KEYS, "a_id", "b_id").withColumn("level", -20.0 - F.col("ordinal") % 5 - F.col("position") % 3)
     matched = S.level_matched(plans, ["l_orderkey", "position"], "level")
-    out = matched.groupBy("strategy").agg(F.count("*").alias("rows"), F.count("*").alias("applicable"), F.round(F.avg("score"), 5).alias("mean_score"), F.round(F.avg("gain"), 5).alias("mean_gain"))
-    return out
+    means = matched.groupBy("strategy").agg(F.round(F.avg("score"), 5).alias("mean_score"), F.round(F.avg("gain"), 5).alias("mean_gain"))
+    return every.join(means, "strategy", "left").select("strategy", "rows", "applicable", "mean_score", "mean_gain")
+
+
+#: Quotas of the evaluation's sample: half from chains, a quarter each of the hardest stretches and the steepest rises.
+QUOTAS = (200, 100, 100)
+
+
+@PLANS.query(f"""WITH {COST[:COST.index('cost AS (')]}tp AS (SELECT a_track_id || '-' || b_track_id AS pair, min(position) AS position, min(round(stretch, 9)) AS stretch, min(round(ed, 9)) AS rise FROM h GROUP BY 1),
+s1 AS (SELECT pair, 'chain' AS source, 0 AS turn FROM tp ORDER BY position, pair LIMIT {QUOTAS[0]}), s2 AS (SELECT pair, 'hardest' AS source, 1 AS turn FROM tp ANTI JOIN s1 USING (pair) ORDER BY stretch DESC, pair LIMIT {QUOTAS[1]}),
+s3 AS (SELECT pair, 'steepest' AS source, 2 AS turn FROM tp ANTI JOIN s1 USING (pair) ANTI JOIN s2 USING (pair) ORDER BY rise DESC, pair LIMIT {QUOTAS[2]}) SELECT pair, source FROM (FROM s1 UNION ALL FROM s2 UNION ALL FROM s3) ORDER BY turn, pair LIMIT {sum(QUOTAS)}""")
+def quota_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs that an evaluation renders: first chain pairs, then the hardest to stretch, then the steepest rises; the quotas are the feature."""
+    from tonearm.operators import stats as S
+
+    s = scored(spark, sf).select(F.concat_ws("-", "a.track_id", "b.track_id").alias("pair"), "position", F.round("stretch", 9).alias("stretch"), F.round("energy_delta", 9).alias("rise"))
+    pairs = s.groupBy("pair").agg(F.min("position").alias("position"), F.min("stretch").alias("stretch"), F.min("rise").alias("rise"))
+    sources = [("chain", F.asc("position"), QUOTAS[0]), ("hardest", F.desc("stretch"), QUOTAS[1]), ("steepest", F.desc("rise"), QUOTAS[2])]
+    return S.quota_sample(pairs, sources, sum(QUOTAS)).select("pair", "source")
 
 
 @PLANS.query("WITH v AS (SELECT p_partkey, greatest(1, least(8, floor(p_size / 4.0 + 0.5))) AS bars FROM part), w AS (SELECT *, greatest(0, least(60, bars * 4 - 2)) AS beats FROM v) SELECT p_partkey, bars::DOUBLE AS bars, beats::DOUBLE AS beats, greatest(0, least(1, beats / greatest(bars, 4)))::DOUBLE AS share FROM w")

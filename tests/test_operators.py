@@ -412,9 +412,69 @@ def test_suggested_names(spark):
 def test_nearest_vectors_block_by_block(spark, monkeypatch):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id", "embedding")
     queries = v.filter("vec_id % 20 = 0")
-    one = rows(P.nearest_vectors(queries, v, "vec_id", "embedding", 3))
+    near = lambda: rows(P.nearest_vectors(queries, v, "vec_id", "embedding", 3).withColumn("cosine", F.round("cosine", 9)))
+    one = near()
     monkeypatch.setattr(P, "QUERY_BLOCK", 7)
-    assert rows(P.nearest_vectors(queries, v, "vec_id", "embedding", 3)) == one
+    assert near() == one
+
+
+def plain_fit(beats, n_fits=4):
+    """The robust fit of one series of (x, support) in plain loops: (kind, period, offset, share of the weight on the line)."""
+    n, w = len(beats), [0.05 + s for _, s in beats]
+    best, best_weight, start = None, 0.0, None
+    for k in range(n + 1):
+        if k < n and w[k] - 0.05 >= 0.25:
+            start = k if start is None else start
+        elif start is not None:
+            if k - start >= 8 and sum(w[start:k]) > best_weight:
+                best, best_weight = range(start, k), sum(w[start:k])
+            start = None
+    inside = [best is None or k in best for k in range(n)]
+    period = offset = residual = share = None
+    for turn in range(n_fits):
+        rows_ = [(k, beats[k][0], w[k]) for k in range(n) if inside[k]]
+        sw, sk, st = sum(r[2] for r in rows_), sum(r[0] * r[2] for r in rows_), sum(r[1] * r[2] for r in rows_)
+        skk, skt = sum(r[0] ** 2 * r[2] for r in rows_), sum(r[0] * r[1] * r[2] for r in rows_)
+        d = sw * skk - sk * sk
+        if len(rows_) < 2 or d <= 1e-12:
+            break
+        period = (sw * skt - sk * st) / d
+        offset = (st - period * sk) / sw
+        res = [beats[k][0] - offset - period * k for k in range(n)]
+        residual, share = math.sqrt(sum(w[k] * res[k] ** 2 for k in range(n) if inside[k]) / sw) * 1000, sw / sum(w)
+        if turn < n_fits - 1:
+            acc = 0.0
+            for k in sorted(range(n), key=lambda k: abs(res[k])):
+                acc += w[k]
+                if acc >= sum(w) / 2:
+                    break
+            inside = [abs(r) <= max(3 * 1.4826 * abs(res[k]), 0.006) for r in res]
+    rigid = period is not None and period > 0 and residual < 8 and share >= 0.7
+    return ("RIGID" if rigid else "FLEX", period, offset, share)
+
+
+def test_robust_grids_against_plain_loops(spark):
+    """Outliers, weak openings, tempo changes, short and constant series."""
+    rng = random.Random(12)
+    series = {}
+    for g in range(40):
+        n = (1, 2, 5, 40, 120)[g % 5]
+        x = lambda k: 0.3 + 0.5 * k + rng.gauss(0, 0.002) + (0.2 if rng.random() < 0.1 else 0) + (0.05 * (k - n // 2) if g % 7 == 0 and k > n // 2 else 0)  # noqa: B023, E731
+        series[g] = [(round(x(k), 6), 0.02 if (g % 3 == 0 and k < 10) or rng.random() < 0.05 else round(0.3 + rng.random(), 6)) for k in range(n)]
+    series[40] = [(1.0, 0.5)] * 20
+    df = spark.createDataFrame([(g, k, x, s) for g, b in series.items() for k, (x, s) in enumerate(b)], "g int, i int, x double, s double").repartition(5)
+    got = {r.g: r for r in R.robust_fit(df, "g", "i", "x", "s").collect()}
+    assert got.keys() == series.keys()
+    kinds = set()
+    for g, beats in series.items():
+        kind, period, offset, share = plain_fit(beats)
+        kinds.add(kind)
+        r = got[g]
+        assert r.kind == kind, g
+        assert (r.period is None) == (period is None)
+        if period is not None:
+            assert np.allclose([r.period, r.start, r.share], [period, offset, share], atol=1e-9)
+    assert kinds == {"RIGID", "FLEX"} and R.robust_fit(df.limit(0), "g", "i", "x", "s").count() == 0
 
 
 def test_blocks_are_bounded(spark):

@@ -280,6 +280,49 @@ def line_fit(df: DataFrame, key: str, i: str, x: str, weight: str | None = None)
     return s.select(key, slope.alias("slope"), ((F.col("wx") - slope * F.col("wi")) / F.col("w")).alias("start"))
 
 
+#: What every beat weighs beside its support, what support and how many beats make a seed, re-fits after the first, how many deviations and how many seconds from the line a beat may be, milliseconds and share of the weight of a rigid grid.
+WEIGHT_FLOOR, SEED_SUPPORT, SEED_BEATS, REFITS, DEVIATIONS, LEAST_CUT, RIGID_MS, RIGID_SHARE = 0.05, 0.25, 8, 3, 3 * 1.4826, 0.006, 8.0, 0.7
+
+
+def robust_fit(df: DataFrame, key: str, i: str, x: str, support: str) -> DataFrame:
+    """The grid of every series of beats: (key, kind RIGID or FLEX, period, start, residual_ms, share, bpm).
+
+    Weighted least squares x = period i + start. The first fit takes the heaviest run of well-supported beats, where
+    there is one; each re-fit takes the beats within a weighted median deviation of the line before. All series are
+    fitted at once: the re-fits are windows by one key, unrolled, so there is one shuffle. A grid is rigid if little is
+    left between its beats and the line, and most of the weight is on it; only then it has a tempo of its own.
+    """
+    one = Window.partitionBy(key)
+    w = F.col("w")
+    rows = df.select(key, F.col(i).cast("double").alias("i"), F.col(x).cast("double").alias("x"), (F.coalesce(F.col(support).cast("double"), F.lit(0.0)) + WEIGHT_FLOOR).alias("w"))
+    strong = w - WEIGHT_FLOOR >= SEED_SUPPORT
+    rows = rows.withColumn("run", F.when(strong, F.row_number().over(one.orderBy("i")) - F.sum(strong.cast("int")).over(one.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))))
+    run = Window.partitionBy(key, "run")
+    seed = F.when(F.col("run").isNotNull() & (F.count("*").over(run) >= SEED_BEATS), F.struct(F.round(F.sum("w").over(run), 9).alias("w"), (-F.min("i").over(run)).alias("first")))
+    rows = rows.withColumn("seed", seed).withColumn("best", F.max("seed").over(one))
+    rows = rows.select(key, "i", "x", "w", F.sum("w").over(one).alias("all"), (F.col("best").isNull() | F.col("seed").eqNullSafe(F.col("best"))).alias("inside"), *[F.lit(None).cast("double").alias(c) for c in ("period", "start", "residual", "on")])
+    for turn in range(REFITS + 1):
+        on = lambda c: F.sum(F.when(F.col("inside"), c)).over(one)
+        sums = {"sw": on(w), "sk": on(w * F.col("i")), "st": on(w * F.col("x")), "skk": on(w * F.col("i") * F.col("i")), "skt": on(w * F.col("i") * F.col("x")), "n": F.count_if("inside").over(one)}
+        rows = rows.withColumns(sums).withColumn("d", F.col("sw") * F.col("skk") - F.col("sk") * F.col("sk"))
+        fits = (F.col("n") >= 2) & (F.col("d") > 1e-12)
+        period = F.when(fits, (F.col("sw") * F.col("skt") - F.col("sk") * F.col("st")) / F.col("d")).otherwise(F.col("period"))
+        rows = rows.withColumn("period", period).withColumn("start", F.when(fits, (F.col("st") - F.col("period") * F.col("sk")) / F.col("sw")).otherwise(F.col("start")))
+        rows = rows.withColumn("res", F.abs(F.col("x") - (F.col("start") + F.col("period") * F.col("i"))))
+        left = F.sqrt(F.sum(F.when(F.col("inside"), w * F.col("res") * F.col("res"))).over(one) / F.col("sw")) * 1000
+        rows = rows.withColumn("residual", F.when(fits, left).otherwise(F.col("residual"))).withColumn("on", F.when(fits, F.col("sw")).otherwise(F.col("on")))
+        if turn < REFITS:
+            so_far = F.sum("w").over(one.orderBy("res", "i").rowsBetween(Window.unboundedPreceding, 0))
+            rows = rows.withColumn("mid", F.when(so_far >= F.col("all") / 2, F.col("res")))
+            cut = F.greatest(DEVIATIONS * F.min("mid").over(one), F.lit(LEAST_CUT))
+            rows = rows.withColumn("inside", F.when(fits, F.col("res") <= cut).otherwise(F.col("inside")))
+        rows = rows.select(key, "i", "x", "w", "all", "inside", "period", "start", "residual", "on")
+    found = rows.groupBy(key).agg(*[F.first(c).alias(c) for c in ("period", "start", "residual", "on", "all")])
+    share = F.coalesce(F.col("on") / F.col("all"), F.lit(0.0))
+    rigid = F.coalesce((F.col("period") > 0) & (F.col("residual") < RIGID_MS) & (share >= RIGID_SHARE), F.lit(False))
+    return found.select(key, F.when(rigid, "RIGID").otherwise("FLEX").alias("kind"), "period", "start", F.col("residual").alias("residual_ms"), share.alias("share"), F.when(rigid, 60 / F.col("period")).alias("bpm"))
+
+
 def z_scored(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Columns less their series' mean, over its deviation (0 where it has none)."""
     w = Window.partitionBy(key)

@@ -103,6 +103,39 @@ def grid_fit(spark: SparkSession, sf: str) -> DataFrame:
     return R.line_fit(series(spark, sf), "user_id", "i", "x").select("user_id", F.round("slope", 6).alias("slope"), F.round("start", 6).alias("start"))
 
 
+#: Beats of every user's series: half a second apart but for jitter, stray beats, and for some a slower second part; support by arithmetic.
+BEATS = {
+    "x": "0.3 + 0.5 * i + (i * 37 + user_id) % 11 / 4000.0 + CASE WHEN (i + user_id) % 13 = 3 THEN 0.17 ELSE 0 END + CASE WHEN user_id % 5 = 0 AND i > 20 THEN 0.04 * (i - 20) ELSE 0 END",
+    "support": "CASE WHEN (i + user_id) % 13 = 3 OR (user_id % 4 = 1 AND i < 6) THEN 0.03 ELSE 0.3 + (i * 7 + user_id) % 10 / 16.0 END",
+}
+
+
+def _robust_sql() -> str:
+    w = "0.05"
+    sql = f"""WITH {S}, b AS (SELECT user_id, i, ({BEATS['x']})::DOUBLE AS x, ({BEATS['support']})::DOUBLE + {w} AS w FROM s), r0 AS (SELECT *, w - {w} >= 0.25 AS strong, i - sum((w - {w} >= 0.25)::INT) OVER ({W}) AS run FROM b),
+r1 AS (SELECT user_id, run, min(i) AS lo, max(i) AS hi, round(sum(w), 9) AS sw FROM r0 WHERE strong GROUP BY 1, 2 HAVING count(*) >= 8), r2 AS (SELECT user_id, first(lo ORDER BY sw DESC, lo) AS lo, first(hi ORDER BY sw DESC, lo) AS hi FROM r1 GROUP BY 1),
+f0 AS (SELECT b.user_id, i, x, w, sum(w) OVER (PARTITION BY b.user_id) AS total, lo IS NULL OR i BETWEEN lo AND hi AS inside, NULL::DOUBLE AS period, NULL::DOUBLE AS start, NULL::DOUBLE AS residual, NULL::DOUBLE AS onw FROM b LEFT JOIN r2 ON r2.user_id = b.user_id)"""
+    p = "PARTITION BY user_id"
+    for k in range(4):
+        last = k == 3
+        sql += f""",
+a{k} AS (SELECT *, sum(w) FILTER (inside) OVER ({p}) AS sw, sum(w * i) FILTER (inside) OVER ({p}) AS sk, sum(w * x) FILTER (inside) OVER ({p}) AS st, sum(w * i * i) FILTER (inside) OVER ({p}) AS skk, sum(w * i * x) FILTER (inside) OVER ({p}) AS skt, count(*) FILTER (inside) OVER ({p}) AS n FROM f{k}),
+c{k} AS (SELECT *, n >= 2 AND sw * skk - sk * sk > 1e-12 AS fits FROM a{k}), d{k} AS (SELECT * REPLACE (CASE WHEN fits THEN (sw * skt - sk * st) / (sw * skk - sk * sk) ELSE period END AS period) FROM c{k}),
+e{k} AS (SELECT * REPLACE (CASE WHEN fits THEN (st - period * sk) / sw ELSE start END AS start) FROM d{k}), g{k} AS (SELECT *, abs(x - (start + period * i)) AS res FROM e{k}),
+h{k} AS (SELECT * REPLACE (CASE WHEN fits THEN sqrt(sum(w * res * res) FILTER (inside) OVER ({p}) / sw) * 1000 ELSE residual END AS residual, CASE WHEN fits THEN sw ELSE onw END AS onw), sum(w) OVER ({p} ORDER BY res, i ROWS UNBOUNDED PRECEDING) AS acc FROM g{k}),
+f{k + 1} AS (SELECT user_id, i, x, w, total, {'inside' if last else f"CASE WHEN fits THEN res <= greatest(3 * 1.4826 * min(res) FILTER (acc >= total / 2) OVER ({p}), 0.006) ELSE inside END AS inside"}, period, start, residual, onw FROM h{k})"""
+    return sql + """, z AS (SELECT DISTINCT user_id, period, start, residual, coalesce(onw / total, 0) AS share FROM f4), y AS (SELECT user_id, period, start, residual, share, coalesce(period > 0 AND residual < 8 AND share >= 0.7, false) AS rigid FROM (SELECT user_id, min(period) AS period, min(start) AS start, min(residual) AS residual, min(share) AS share FROM z GROUP BY 1))
+SELECT user_id, CASE WHEN rigid THEN 'RIGID' ELSE 'FLEX' END AS kind, round(period, 6) AS period, round(start, 6) AS start, round(residual, 4) AS residual_ms, round(share, 6) AS share, CASE WHEN rigid THEN round(60 / period, 4) END AS bpm FROM y"""
+
+
+@PLANS.query(_robust_sql())
+def robust_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Rigid or flexible grids of every user's beats, robust against stray beats and weak openings."""
+    beats = series(spark, sf).select("user_id", "i", *[F.expr(e).cast("double").alias(n) for n, e in BEATS.items()])
+    out = R.robust_fit(beats, "user_id", "i", "x", "support")
+    return out.select("user_id", "kind", *[F.round(c, n).alias(c) for c, n in (("period", 6), ("start", 6), ("residual_ms", 4), ("share", 6), ("bpm", 4))])
+
+
 @PLANS.query(f"WITH {S}, d AS (SELECT *, x - lag(x) OVER ({W}) AS jump FROM s) SELECT user_id, first(i ORDER BY jump DESC, i) AS at, round(max(jump), 6) AS jump FROM d WHERE jump > 0 GROUP BY 1")
 def largest_jump(spark: SparkSession, sf: str) -> DataFrame:
     """E19, L25."""

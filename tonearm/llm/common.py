@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.functions.frames import Tables, shared_dir
+
+__all__ = ["Tables", "shared_dir"]  # for the operators, as the helpers below
+
 #: ASCII white space as a Java class body: what separates words in the quality and duplicate operators.
 SPACE = r"\x20\x09-\x0D"
 #: Rows a Python task takes from Arrow at once: texts may be long, so few.
@@ -22,34 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, one of our own, on a single machine only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='tonearm-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Tables:
-    """Written tables that cut lineage; they live in the shared folder, so a lost executor loses none of them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode(mode).option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Takes the files of written tables away (an empty table takes their place); none may be read after that."""
-        for name in names:
-            self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}")
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that no other has, whatever their case."""
     lower = {t.lower() for t in taken}
@@ -59,6 +33,12 @@ def fresh(name: str, taken: list[str]) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on in this session: plans are lazy, so the setting must outlive the call.
+
+    It bounds memory where texts are long, and no result of the library hangs on it.
+    """
+    if 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        return
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

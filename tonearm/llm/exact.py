@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm.common import SPACE, Tables, fresh, table
+from tonearm.llm.common import SPACE, Tables, fresh, small_batches, table
 
 #: Code points of a chunk.
 CHUNK = 1 << 16
@@ -153,6 +153,7 @@ def collisions(docs: DataFrame, prints: DataFrame, shared: DataFrame, id: str, t
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", primes: tuple[int, ...] = PRIMES) -> DataFrame:
     """One row per document: doc_id, keep_id (least id of its group), group_size, kept, text_sha256."""
+    small_batches(docs.sparkSession)
     tables = Tables(docs.sparkSession, "exact")
     prints = tables.write(fingerprints(docs, id, text, primes), "prints")
     shared = prints.groupBy(*KEY).agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")).filter("group_size > 1")

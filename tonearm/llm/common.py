@@ -8,9 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.functions.frames import Tables, shared_dir
-
-__all__ = ["Tables", "shared_dir"]  # for the operators, as the helpers below
+from tonearm.functions.frames import Tables as Tables  # for the operators, as the helpers below
 
 #: ASCII white space as a Java class body: what separates words in the quality and duplicate operators.
 SPACE = r"\x20\x09-\x0D"

@@ -553,6 +553,32 @@ def test_documents_by_file_name(spark, tmp_path):
         assert rows(files.read_documents(spark, str(tmp_path), schema, "id")) == [("1", 5), ("a b", 7)]
 
 
+def test_documents_written_by_key(spark, tmp_path):
+    """One gzip file a key, keys of any letters; a second batch replaces its keys alone; null keys and repeated rows."""
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.LongType())])
+    first = spark.createDataFrame([("1", 5), ("a b/c=d%20+é:x", 7), ("2", 1), ("2", 1), (None, 9)], schema)
+    files.write_documents(first, str(tmp_path), "id")
+    assert rows(files.read_documents(spark, str(tmp_path), schema, "id")) == [("1", 5), ("2", 1), ("a b/c=d%20+é:x", 7)]
+    files.write_documents(spark.createDataFrame([("2", 8), ("3", 4)], schema), str(tmp_path), "id")
+    assert rows(files.read_documents(spark, str(tmp_path), schema, "id")) == [("1", 5), ("2", 8), ("3", 4), ("a b/c=d%20+é:x", 7)]
+    assert all(f.name.endswith(".gz") for f in tmp_path.glob("document=*/part-*"))
+
+
+def test_specs_and_styles(spark):
+    """Knobs read as specified; a style's overlap and key lock reach the scores' room."""
+    params = spark.createDataFrame([({"energy": "3", "overlap_bars": "24.6", "key_lock": "off"},), ({"energy": "x", "max_shift": "-1"},)], "m map<string,string>")
+    got = params.select(*[s.read(F.col("m")).alias(s.id) for s in G.SPECS]).collect()
+    assert tuple(got[0]) == (1.0, 8.0, 2, 0.3, 25, False) and tuple(got[1]) == (0.5, 8.0, 0, 0.3, 8, True)
+    assert G.SPECS[4].described() == "overlap_bars: int 1..64 (default 8)"
+    smooth = G.STYLES["smooth"].apply(P.Prefs())
+    assert (smooth.overlap_bars, smooth.key_lock, smooth.needed_beats("beat"), smooth.needed_beats("fade")) == (24, True, 96, 8)
+    assert G.Style("odd", overlap_bars=0).problem() and not G.Style("fine", overlap_bars=64, key_lock=False).problem()
+    t = pairing.tracks(spark, SF).limit(40)
+    pairs = t.select(F.struct("*").alias("a")).join(t.select(F.struct("*").alias("b")), F.col("a.track_id") < F.col("b.track_id"))
+    room = lambda p: P.sub_scores(P.features(pairs, p), p).agg(F.sum("room_beat")).first()[0]
+    assert room(smooth) < room(P.Prefs(overlap_bars=16)) < room(P.Prefs())
+
+
 def test_wide_unions_keep_their_rows(spark):
     """A window after a union of frames that are dealt by its key, in different ways."""
     e = pairing.entries(spark, SF).select("l_orderkey", F.col("l_partkey").alias("item"), "position")

@@ -74,6 +74,13 @@ class Prefs:
     seed: int = 1
     weights: dict[str, float] = field(default_factory=dict)
     excluded: tuple[str, ...] = ()
+    #: Bars that a beat-matched overlap should have; whether pitch stays where tempo is bent.
+    overlap_bars: int = NEEDED_BARS["beat"]
+    key_lock: bool = True
+
+    def needed_beats(self, family: str, beats_per_bar: int = 4) -> int:
+        """I4: beats that a plan of a family needs."""
+        return (max(1, self.overlap_bars) if family == "beat" else NEEDED_BARS[family]) * beats_per_bar
 
 
 def prior(family: str, outro: Column, intro: Column) -> Column:
@@ -164,7 +171,8 @@ def bounded_pairs(tracks: DataFrame, prefs: Prefs, most: float, item: str = "tra
     brings, so tracks beyond `most` are left out and the others joined by bands of tempo (the same, half or double) as
     wide as that term allows: one equi-join, each pair once.
     """
-    own = lambda beats: 0.10 * (1 - coerce(F.col("grid_confidence"), 0.0, 1.0)) + 0.05 * (1 - F.least(F.lit(1.0), F.greatest(F.col(beats), F.lit(0)) / 32)) + F.when((F.col("grid_confidence") < 0.5) | (F.col(beats) < 16), 0.25).otherwise(0.0)
+    beats_ = float(prefs.needed_beats("beat"))
+    own = lambda beats: 0.10 * (1 - coerce(F.col("grid_confidence"), 0.0, 1.0)) + 0.05 * (1 - F.least(F.lit(1.0), F.greatest(F.col(beats), F.lit(0)) / beats_)) + F.when((F.col("grid_confidence") < 0.5) | (F.col(beats) < beats_ / 2), 0.25).otherwise(0.0)
     known = tracks.filter((F.col("bpm") > 0) & F.col(item).isNotNull())
     sigma, least = prefs.max_stretch / 1.5, 1 - (most + 1e-9) / 0.30
     octave = F.log2("bpm")
@@ -189,7 +197,7 @@ def best_pairs(tracks: DataFrame, prefs: Prefs, k: int = 10, item: str = "track_
     tracks = tracks.select(F.inline(F.array(F.struct(*tracks.columns))))
     known = tracks.filter((F.col("bpm") > 0) & F.col(item).isNotNull())
     band = F.floor(F.log2("bpm") * 24)
-    ends = lambda beats, name: known.withColumns({"__band": band, "__n": F.row_number().over(Window.partitionBy(band).orderBy(-F.least(F.col(beats), F.lit(32)), -F.col("grid_confidence"), item))}).filter(F.col("__n") <= seeds).select("__band", F.struct(*known.columns).alias(name))
+    ends = lambda beats, name: known.withColumns({"__band": band, "__n": F.row_number().over(Window.partitionBy(band).orderBy(-F.least(F.col(beats), F.lit(prefs.needed_beats("beat"))), -F.col("grid_confidence"), item))}).filter(F.col("__n") <= seeds).select("__band", F.struct(*known.columns).alias(name))
     first = ends("outro_beats", "a").join(ends("intro_beats", "b"), "__band").filter(F.col(f"a.{item}") != F.col(f"b.{item}"))
 
     def costs(pairs: DataFrame) -> DataFrame:
@@ -267,8 +275,8 @@ def sub_scores(f: DataFrame, prefs: Prefs, beats_per_bar: int = 4) -> DataFrame:
         "s_vocal": 1 - F.col("vocal_clash"), "s_grid": F.least("grid_a", "grid_b"),
         "matchable": (F.col("grid_a") >= 0.5) & (F.col("grid_b") >= 0.5),
     }
-    for family, bars in NEEDED_BARS.items():
-        share = lambda c: F.least(F.lit(1.0), F.greatest(F.col(c), F.lit(0)) / float(bars * beats_per_bar))  # noqa: B023, E731
+    for family in NEEDED_BARS:
+        share = lambda c: F.least(F.lit(1.0), F.greatest(F.col(c), F.lit(0)) / float(prefs.needed_beats(family, beats_per_bar)))  # noqa: B023, E731
         columns[f"struct_{family}"] = prior(family, F.col("outro"), F.col("intro"))
         columns[f"room_{family}"] = share("outro_beats") * share("intro_beats")
     out = f.withColumns(columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.frames import by_runs
+from tonearm.functions.text import read_param
 from tonearm.operators.pairs import COOLDOWN, NEEDED_BARS, Prefs
 
 PREFER_BOOST = 1.3
@@ -26,6 +27,15 @@ class Spec:
     most: float | None = None
     choices: tuple[str, ...] = ()
 
+    def read(self, params: Column) -> Column:
+        """The knob's value in a map of texts: clamped, or its default where it can't be read."""
+        return read_param(params, self.id, self.kind, self.default, self.least, self.most, self.choices)
+
+    def described(self) -> str:
+        """One line for a list of knobs."""
+        span = f" {self.least}..{self.most}" if self.least is not None or self.most is not None else ""
+        return f"{self.id}: {self.kind}{span}{' ' + '|'.join(self.choices) if self.choices else ''} (default {self.default})"
+
 
 @dataclass(frozen=True)
 class Style:
@@ -36,6 +46,8 @@ class Style:
     max_stretch: float | None = None
     max_shift: int | None = None
     variety: float | None = None
+    overlap_bars: int | None = None
+    key_lock: bool | None = None
     weights: tuple[tuple[str, float], ...] = ()
     prefer: tuple[str, ...] = ()
     disable: tuple[str, ...] = ()
@@ -46,7 +58,9 @@ class Style:
         ranges = (("energy", self.energy, 1), ("max_stretch", self.max_stretch, 16), ("max_shift", self.max_shift, 6), ("variety", self.variety, 1))
         for name, x, most in ranges:
             if x is not None and not 0 <= x <= most:
-                return f"{name} {x} is outside 0..{most}"
+                return f"{name} must be from 0 to {most}, not {x}"
+        if self.overlap_bars is not None and not 1 <= self.overlap_bars <= 64:
+            return f"overlap_bars must be from 1 to 64, not {self.overlap_bars}"
         bad = [f"{s} {w}" for s, w in self.weights if not 0 <= w < float("inf")]
         return f"weights out of range: {', '.join(bad)}" if bad else None
 
@@ -55,20 +69,25 @@ class Style:
         weights = dict(prefs.weights)
         for s, w in (*self.weights, *((s, PREFER_BOOST) for s in self.prefer)):
             weights[s] = weights.get(s, 1.0) * w
-        new = {n: v for n, v in (("energy", self.energy), ("max_stretch", self.max_stretch), ("max_shift", self.max_shift), ("variety", self.variety)) if v is not None}
+        new = {n: v for n, v in (("energy", self.energy), ("max_stretch", self.max_stretch), ("max_shift", self.max_shift), ("variety", self.variety), ("overlap_bars", self.overlap_bars), ("key_lock", self.key_lock)) if v is not None}
         return replace(prefs, weights=weights, excluded=tuple(dict.fromkeys((*prefs.excluded, *self.disable))), **new)
 
 
+#: The knobs of a plan's settings.
+SPECS = (
+    Spec("energy", "double", 0.5, 0, 1), Spec("max_stretch", "double", 8.0, 0, 16), Spec("max_shift", "int", 2, 0, 6),
+    Spec("variety", "double", 0.3, 0, 1), Spec("overlap_bars", "int", 8, 1, 64), Spec("key_lock", "bool", True),
+)
 #: The styles that ship.
 STYLES = {
     s.id: s
     for s in (
-        Style("smooth", energy=0.3, variety=0.2, prefer=("beatMatchedBlend", "bassSwap", "harmonicBlend"), weights=(("phraseCut", 0.8), ("brakeStop", 0.5), ("loopRollRiser", 0.5)), presets=(("bassSwap", "long-bass-swap"), ("crossfade", "long-crossfade"))),
-        Style("club", energy=0.7, prefer=("bassSwap", "stemSwap", "drumBreakBridge"), weights=(("crossfade", 0.7), ("ambientBridge", 0.7)), presets=(("bassSwap", "tight-bass-swap"),)),
-        Style("radio", energy=0.4, prefer=("phraseCut", "outroIntroMinimal", "echoOut"), weights=(("harmonicBlend", 0.7), ("stemSwap", 0.7), ("ambientBridge", 0.6)), presets=(("crossfade", "quick-crossfade"),)),
-        Style("chill", energy=0.2, max_stretch=4.0, prefer=("ambientBridge", "spectralFreezeBridge", "harmonicBlend", "outroIntroMinimal"), disable=("brakeStop", "loopRollRiser"), presets=(("crossfade", "long-crossfade"),)),
+        Style("smooth", energy=0.3, overlap_bars=24, variety=0.2, prefer=("beatMatchedBlend", "bassSwap", "harmonicBlend"), weights=(("phraseCut", 0.8), ("brakeStop", 0.5), ("loopRollRiser", 0.5)), presets=(("bassSwap", "long-bass-swap"), ("crossfade", "long-crossfade"))),
+        Style("club", energy=0.7, key_lock=True, prefer=("bassSwap", "stemSwap", "drumBreakBridge"), weights=(("crossfade", 0.7), ("ambientBridge", 0.7)), presets=(("bassSwap", "tight-bass-swap"),)),
+        Style("radio", energy=0.4, overlap_bars=8, prefer=("phraseCut", "outroIntroMinimal", "echoOut"), weights=(("harmonicBlend", 0.7), ("stemSwap", 0.7), ("ambientBridge", 0.6)), presets=(("crossfade", "quick-crossfade"),)),
+        Style("chill", energy=0.2, overlap_bars=32, max_stretch=4.0, prefer=("ambientBridge", "spectralFreezeBridge", "harmonicBlend", "outroIntroMinimal"), disable=("brakeStop", "loopRollRiser"), presets=(("crossfade", "long-crossfade"),)),
         Style("adventurous", energy=0.9, max_stretch=12.0, variety=0.7, prefer=("loopRollRiser", "brakeStop", "echoOut", "filterSweep", "drumBreakBridge", "stemSwap")),
-        Style("purist", energy=0.1, max_stretch=3.0, max_shift=0, prefer=("outroIntroMinimal", "crossfade", "phraseCut"),
+        Style("purist", energy=0.1, overlap_bars=8, key_lock=True, max_stretch=3.0, max_shift=0, prefer=("outroIntroMinimal", "crossfade", "phraseCut"),
               disable=("echoOut", "filterSweep", "loopRollRiser", "brakeStop", "spectralFreezeBridge", "ambientBridge", "drumBreakBridge", "stemSwap", "textureCarry", "tempoGlide"),
               presets=(("phraseCut", "dry-cut"), ("bassSwap", "tight-bass-swap"), ("beatMatchedBlend", "short-blend"))),
     )
@@ -218,15 +237,15 @@ def program(queue: DataFrame, group: str) -> DataFrame:
     return by_runs(queue.select(*wanted), [group], ["position"], build, f"{group} {kind}, position long, kind string, start long, end long")
 
 
-def plan_frames(plans: DataFrame, a: str, b: str, rate: int, beats_per_bar: int = 4) -> DataFrame:
+def plan_frames(plans: DataFrame, prefs: Prefs, a: str, b: str, rate: int, beats_per_bar: int = 4) -> DataFrame:
     """Plans with the frames at which each leaves its first track and enters its second, and its length.
 
     a, b: structs with start, end (frames of what is playable), bpm, outro_beats, intro_beats. A plan overlaps the beats
     that its family needs, as far as both tracks have room for them, and a bar at least; without a tempo a beat is half a second.
     """
     needs = F.lit(0)
-    for family, bars in NEEDED_BARS.items():
-        needs = F.when(F.col("family") == family, bars * beats_per_bar).otherwise(needs)
+    for family in NEEDED_BARS:
+        needs = F.when(F.col("family") == family, prefs.needed_beats(family, beats_per_bar)).otherwise(needs)
     room_ = F.least(F.coalesce(F.col(f"{a}.outro_beats"), F.lit(0)), F.coalesce(F.col(f"{b}.intro_beats"), F.lit(0)))
     beats = F.greatest(F.least(needs, room_), F.lit(beats_per_bar))
     frames = lambda bpm: F.floor(beats * F.when(bpm > 0, 60.0 / bpm).otherwise(0.5) * rate + 0.5).cast("long")

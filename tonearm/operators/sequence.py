@@ -107,7 +107,7 @@ def pair_costs(before: Features, after: Features, prefs: Prefs) -> np.ndarray:
         grid = np.minimum(np.clip(f(a("grid_confidence")), 0, 1), np.clip(f(b("grid_confidence")), 0, 1))
         place = lambda names, kinds: np.array([names.index(k) if k in names else 5 for k in kinds], int)
         struct = np.array(PRIORS["beat"])[place(OUTROS, before["outro"])[:, None], place(INTROS, after["intro"])[None, :]]
-        share = lambda v: np.minimum(1.0, np.maximum(f(v), 0) / 32)
+        share = lambda v: np.minimum(1.0, np.maximum(f(v), 0) / prefs.needed_beats("beat"))
         room = share(a("outro_beats")) * share(b("intro_beats"))
         blocked = (grid < 0.5) | (stretch > prefs.max_stretch) | (room < 0.5)
         total = 0.30 * (1 - tempo) + 0.20 * (1 - key) + 0.15 * (1 - energy) + 0.10 * (1 - grid) + 0.10 * (1 - struct) + 0.05 * (1 - room) + 0.10 * (1 - vocal) + np.where(blocked, 0.25, 0.0)

@@ -9,6 +9,7 @@ from tonearm.functions import music as M
 from tonearm.functions import text as X
 from tonearm.operators import library as L
 from tonearm.operators import pairs as P
+from tonearm.operators import planning as G
 from tonearm.operators import stats as S
 from tonearm.plans.base import Plans, table
 
@@ -291,8 +292,8 @@ def typed_params(spark: SparkSession, sf: str) -> DataFrame:
     bars = F.when(k % 3 == 0, "x").when(k % 3 == 1, F.concat((F.col("p_size") + 1).cast("string"), F.lit(".4"))).otherwise("")
     text = F.concat(F.lit("bars="), bars, F.lit(",lock="), F.when(k % 2 == 0, "YES").otherwise("0"), F.lit(",mode="), F.get(F.array(*map(F.lit, ("soft", "hard", "odd", ""))), (k % 4).cast("int")))
     m = X.params_of(text)
-    read = lambda n, kind, default, **more: X.read_param(m, n, kind, default, **more).alias(n)
-    return table(spark, sf, "part").select("p_partkey", read("bars", "int", 16, lo=1, hi=64), read("lock", "bool", False), read("mode", "choice", "soft", choices=("soft", "hard")))
+    specs = (G.Spec("bars", "int", 16, 1, 64), G.Spec("lock", "bool", False), G.Spec("mode", "choice", "soft", choices=("soft", "hard")))
+    return table(spark, sf, "part").select("p_partkey", *[s.read(m).alias(s.id) for s in specs])
 
 
 @PLANS.query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '—' ELSE regexp_replace(regexp_replace(format('{:.3f}', o_totalprice / 8 + 1e-7), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') END AS shown, format('{:.1f}', o_orderkey % 1000 / 10.0 + 1e-9) || ' %' AS share, CASE WHEN o_orderkey % 3 = 0 THEN '"' || 'a ""' || o_orderkey || '"", b' || '"' ELSE 'plain ' || o_orderkey END AS field FROM orders""")

@@ -113,7 +113,7 @@ def built_programs(spark: SparkSession, sf: str) -> DataFrame:
     queue = queue.withColumn("enabled", G.gated(F.expr(CONTEXT), F.lit(None).cast("boolean")))
     plans = P.plans_of(candidates(spark, sf), PREFS, KEYS, "a_id", "b_id")
     side = lambda id, name: bodies.select(F.col("track_id").alias(id), F.struct("start", "end", "bpm", "outro_beats", "intro_beats").alias(name))
-    placed = G.plan_frames(plans.join(side("a_id", "a"), "a_id").join(side("b_id", "b"), "b_id"), "a", "b", RATE)
+    placed = G.plan_frames(plans.join(side("a_id", "a"), "a_id").join(side("b_id", "b"), "b_id"), PREFS, "a", "b", RATE)
     return G.built(queue, placed, "l_orderkey")
 
 

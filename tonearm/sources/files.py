@@ -45,15 +45,27 @@ def analysed(sources: DataFrame, cache: DataFrame, keys: list[str], analyse: Cal
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
-    """JSON documents, one file each, gzip or plain; corrupt ones are misses, and so are those whose key is not their file's name (without endings)."""
-    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    """JSON documents, one file each, gzip or plain; corrupt ones are misses, and so are those whose key is not their file's name (without endings) or, as `write_documents` lays them out, their folder's by digest."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     whole = StructType([*schema.fields, StructField("_corrupt", StringType())])
     parsed = raw.select("file", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    folder = F.regexp_extract("file", r"/document=([0-9a-f]+)/[^/]*$", 1)
     stem = F.url_decode(F.regexp_extract("file", r"([^/]*?)(?:\.json)?(?:\.gz)?$", 1))
-    good = parsed.filter(F.col("d._corrupt").isNull() & (F.col(f"d.{key}").cast("string") == stem))
+    own = F.col(f"d.{key}").cast("string")
+    good = parsed.filter(F.col("d._corrupt").isNull() & F.when(folder != "", F.sha1(own) == folder).otherwise(own == stem))
     return good.select(*[F.col(f"d.{f.name}") for f in schema.fields])
 
 
+def write_documents(documents: DataFrame, path: str, key: str) -> None:
+    """Every row as a JSON document in a gzip file of its own, in a folder named by its key's SHA-1; a key that is there is replaced, all others stay.
+
+    Rows without a key are left out; of rows with one key the one whose text is the greatest is written.
+    """
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns]))
+    rows = documents.filter(F.col(key).isNotNull()).groupBy(F.sha1(F.col(key).cast("string")).alias("document")).agg(F.max(text).alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").option("lineSep", " ").partitionBy("document").text(path)
+
+
 def report_rows(values: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """One row per report, a value and a verdict column for each metric id; the ids are given, so no extra pass."""
     wide = values.groupBy(*keys).pivot("metric", metrics).agg(F.first("value").alias("value"), F.first("verdict").alias("verdict"))

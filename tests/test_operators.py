@@ -77,6 +77,13 @@ def test_series_rules(spark):
     assert R.mid_rank(x.limit(0), "x").count() == 0
 
 
+def test_equal_neighbours_are_no_strict_peak(spark):
+    x = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.0, 9.0, 9.0, 1.0, 8.0, 1.0])], "k string, i long, x double")
+    places = lambda strict: sorted(r.i for r in R.peaks(x, "k", "i", "x", 1, -1e9, strict=strict).collect())
+    assert places(False) == [2, 4]
+    assert places(True) == [4]
+
+
 def test_key_and_chroma(spark):
     hz = {0: 261.63, 4: 329.63, 7: 392.0}
     p = spark.createDataFrame([(1, f, w) for f, w in zip(hz.values(), (3.0, 2.0, 2.5), strict=True)], "k int, f double, p double")

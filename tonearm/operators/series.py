@@ -111,11 +111,15 @@ def running_max(df: DataFrame, key: str, i: str, x: str, width: int, floor: floa
     return df.withColumn("scaled", F.when(by > 0, F.col(x) / by).otherwise(0.0))
 
 
-def peaks(df: DataFrame, key: str, i: str, x: str, width: int, k: float, distance: int = 0) -> DataFrame:
-    """Local maxima above mean + k deviations around them; within `distance` the larger ones win, in order of height."""
+def peaks(df: DataFrame, key: str, i: str, x: str, width: int, k: float, distance: int = 0, strict: bool = False) -> DataFrame:
+    """Local maxima above mean + k deviations around them; within `distance` the larger ones win, in order of height.
+
+    The last of several equal values counts as the maximum, with `strict` none of them.
+    """
     w, near = along(key, i), along(key, i).rowsBetween(-width, width)
-    rise = F.col(x) >= F.coalesce(F.lag(x).over(w), F.lit(float("-inf")))
-    fall = F.col(x) > F.coalesce(F.lead(x).over(w), F.lit(float("-inf")))
+    before, after = (F.coalesce(c.over(w), F.lit(float("-inf"))) for c in (F.lag(x), F.lead(x)))
+    rise = F.col(x) > before if strict else F.col(x) >= before
+    fall = F.col(x) > after
     high = F.col(x) > F.avg(x).over(near) + k * F.coalesce(F.stddev_pop(x).over(near), F.lit(0.0))
     found = df.withColumn("__peak", rise & fall & high).filter("__peak").drop("__peak")
     if distance <= 1:

@@ -211,7 +211,7 @@ q AS (SELECT user_id, n, floor((i - 1) / 4.0) * 4 + 1 AS a, ceil((i - 1) / 4.0)
 def section_bounds(spark: SparkSession, sf: str) -> DataFrame:
     """Peaks snapped to their nearest downbeat."""
     b = beats(spark, sf)
-    found = R.peaks(b.select("user_id", "i", "x"), "user_id", "i", "x", 1, -1e9).filter("x > 80")
+    found = R.peaks(b.select("user_id", "i", "x"), "user_id", "i", "x", 1, -1e9, strict=True).filter("x > 80")
     rows = found.join(b.groupBy("user_id").agg(F.count("*").alias("n"), F.max("i").alias("last")), "user_id").filter("i > 0 and i < last")
     return T.boundaries(rows.select("user_id", "i", "n"), "user_id", "i", F.col("n"), F.lit(1))
 

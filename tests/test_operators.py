@@ -15,6 +15,7 @@ from tonearm.operators import planning as G
 from tonearm.operators import sequence as Q
 from tonearm.operators import series as R
 from tonearm.operators import stats as S
+from tonearm.operators import structure as ST
 from tonearm.plans import pairing
 from tonearm.sources import files
 
@@ -77,6 +78,12 @@ def test_series_rules(spark):
     assert R.mid_rank(x.limit(0), "x").count() == 0
 
 
+def test_equal_bins_of_tuning_by_place(spark):
+    hertz = lambda b: 440 * 2 ** ((b - 49.5) / 1200)
+    x = spark.createDataFrame([("a", hertz(5), 0.3), ("a", hertz(60), 0.1), ("a", hertz(60), 0.2)], "k string, f double, w double")  # .1 + .2 > .3
+    assert [round(r.cents, 9) for r in ST.tuning(x, "k", "f", "w").collect()] == [-44.5]
+
+
 def test_equal_neighbours_are_no_strict_peak(spark):
     x = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.0, 9.0, 9.0, 1.0, 8.0, 1.0])], "k string, i long, x double")
     places = lambda strict: sorted(r.i for r in R.peaks(x, "k", "i", "x", 1, -1e9, strict=strict).collect())

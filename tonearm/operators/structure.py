@@ -191,7 +191,7 @@ def tuning(peaks: DataFrame, key: str, hertz: str, weight: str, low: float = 100
     held = counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "w"))).alias("m"), F.sum("w").alias("all")).filter("all > 0")
     held = held.select(key, "all", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("h"))
     around = lambda b, width, f: F.aggregate(F.sequence(F.lit(-width), F.lit(width)), F.lit(0.0), lambda s, d: s + f(F.get("h", F.pmod(b + d, F.lit(100)).cast("int")), d))
-    smoothed = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda b: F.struct((-around(b, smooth, lambda w, d: w * (smooth + 1 - F.abs(d)))).alias("n"), b.alias("b")))
+    smoothed = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda b: F.struct((-F.round(around(b, smooth, lambda w, d: w * (smooth + 1 - F.abs(d))), 9)).alias("n"), b.alias("b")))  # sums that differ by their order alone are equal
     held = held.withColumn("best", F.array_min(smoothed)["b"])
     held = held.withColumns({"num": around(F.col("best"), radius, lambda w, d: w * (F.col("best") + d)), "den": around(F.col("best"), radius, lambda w, d: w)})
     centre = F.when(F.col("den") > 0, F.col("num") / F.when(F.col("den") > 0, F.col("den"))).otherwise(F.col("best")) - 49.5

@@ -78,6 +78,17 @@ def test_series_rules(spark):
     assert R.mid_rank(x.limit(0), "x").count() == 0
 
 
+def test_level_on_the_gate_by_order_of_the_series(spark):
+    levels = [28.62, 69.41, 46.08, 24.51, 53.58, 69.52]  # summed from the first on, 28.62 lies on the gate; from the last on, below it
+    assert 28.62 >= sum(levels[1:], levels[0]) / 6 - 20
+    backwards = 0.0
+    for v in reversed(levels):
+        backwards += v
+    assert 28.62 < backwards / 6 - 20
+    x = spark.createDataFrame([("a", i, v) for i, v in reversed(list(enumerate(levels)))], "k string, i long, x double").coalesce(1)
+    assert [round(r.range, 9) for r in R.loudness_range(x, "k", "i", "x").collect()] == [40.9]
+
+
 def test_equal_bins_of_tuning_by_place(spark):
     hertz = lambda b: 440 * 2 ** ((b - 49.5) / 1200)
     x = spark.createDataFrame([("a", hertz(5), 0.3), ("a", hertz(60), 0.1), ("a", hertz(60), 0.2)], "k string, f double, w double")  # .1 + .2 > .3

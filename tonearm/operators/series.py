@@ -248,9 +248,13 @@ def gated_loudness(df: DataFrame, key: str, power: str, absolute: float, relativ
     return first.filter(F.col(power) > F.col("__mean") * relative).groupBy(key).agg(F.avg(power).alias("loudness"), F.count("*").alias("blocks"))
 
 
-def loudness_range(df: DataFrame, key: str, level: str) -> DataFrame:
-    """10th to 95th value by rounded index, of the levels within 20 of their series' mean."""
-    gated = df.withColumn("__mean", F.avg(level).over(Window.partitionBy(key))).filter(F.col(level) >= F.col("__mean") - 20)
+def loudness_range(df: DataFrame, key: str, i: str, level: str) -> DataFrame:
+    """10th to 95th value by rounded index, of the levels within 20 of their series' mean.
+
+    The mean is summed along the series, so a level that lies on the gate does not depend on how rows arrive.
+    """
+    whole = along(key, i).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gated = df.withColumn("__mean", F.avg(level).over(whole)).filter(F.col(level) >= F.col("__mean") - 20)
     values = gated.groupBy(key).agg(F.sort_array(F.collect_list(level)).alias("v"))
     at = lambda q: F.get("v", F.floor(q * (F.size("v") - 1) + 0.5).cast("int"))
     return values.select(key, (at(0.95) - at(0.10)).alias("range"))

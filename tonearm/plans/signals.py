@@ -75,7 +75,7 @@ def loudness_gated(spark: SparkSession, sf: str) -> DataFrame:
 SELECT user_id, round(v[floor(0.95 * (len(v) - 1) + 0.5)::INT + 1] - v[floor(0.1 * (len(v) - 1) + 0.5)::INT + 1], 6) AS range FROM v""")
 def loudness_range(spark: SparkSession, sf: str) -> DataFrame:
     """L10."""
-    return R.loudness_range(series(spark, sf), "user_id", "x").withColumn("range", F.round("range", 6))
+    return R.loudness_range(series(spark, sf), "user_id", "i", "x").withColumn("range", F.round("range", 6))
 
 
 @PLANS.query(f"WITH {S}, e AS (SELECT *, max(i) OVER (PARTITION BY user_id) AS e FROM s) SELECT user_id, round(regr_slope(x, i), 6) AS slope, round(max(x) - min(x), 6) AS range, count(*) AS n FROM e WHERE i > e - 12 GROUP BY 1")

@@ -89,6 +89,13 @@ def test_level_on_the_gate_by_order_of_the_series(spark):
     assert [round(r.range, 9) for r in R.loudness_range(x, "k", "i", "x").collect()] == [40.9]
 
 
+def test_mean_of_an_ending_by_order_of_the_series(spark):
+    drums = [(i, 0.1) for i in range(3)] + [(3, 0.3), (4, 0.6), (5, 0.9), (6, 0.2)]
+    x = spark.createDataFrame([("a", i, v, 6) for i, v in reversed(drums)], "k string, i long, x double, e long").coalesce(1)
+    assert [r.m for r in x.groupBy("k").agg(ST.last_mean("i", "x", "e", 4).alias("m")).collect()] == [(0.3 + 0.6 + 0.9 + 0.2) / 4]
+    assert (0.3 + 0.6 + 0.9 + 0.2) / 4 < 0.5 == (0.2 + 0.9 + 0.6 + 0.3) / 4
+
+
 def test_equal_bins_of_tuning_by_place(spark):
     hertz = lambda b: 440 * 2 ** ((b - 49.5) / 1200)
     x = spark.createDataFrame([("a", hertz(5), 0.3), ("a", hertz(60), 0.1), ("a", hertz(60), 0.2)], "k string, f double, w double")  # .1 + .2 > .3

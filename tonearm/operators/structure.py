@@ -102,6 +102,12 @@ def boundaries(peaks: DataFrame, key: str, beat: str, beats: Column, phase: Colu
     return together(snapped, peaks.select(key, F.lit(0).cast("long").alias("start"))).distinct()
 
 
+def last_mean(i: str, x: str, end: str, n: int) -> Column:
+    """The mean of a series' last n values, summed along the series: an aggregate that does not depend on how rows arrive."""
+    held = F.sort_array(F.collect_list(F.when(F.col(i) > F.col(end) - n, F.struct(F.col(i).alias("i"), F.col(x).cast("double").alias("x")))))
+    return slice_mean(F.transform(held, lambda z: z["x"]), F.lit(0), F.size(held))
+
+
 def intro_type(first: Column, body: Column, head_energy: Column, head_drums: Column, trim_seconds: Column, has_vocals: Column) -> Column:
     """The kind of a track's opening, by the first rule that holds; first: struct of energy, drums, vocals of the first section."""
     return (

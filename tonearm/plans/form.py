@@ -104,7 +104,7 @@ def edge_types(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.struct("energy", "drums", "vocals")
     ends = all_.groupBy("user_id").agg(F.min_by(kind, "start").alias("a"), F.max_by(kind, "start").alias("z"))
     last = b.groupBy("user_id").agg(F.max("i").alias("e"))
-    means = b.join(last, "user_id").groupBy("user_id").agg(F.percentile("energy", 0.5).alias("body"), *[F.avg(F.when(F.col("i") < 2, F.col(c))).alias(n) for c, n in (("energy", "he"), ("drums", "hd"))], F.avg(F.when(F.col("i") > F.col("e") - 4, F.col("drums"))).alias("td"))
+    means = b.join(last, "user_id").groupBy("user_id").agg(F.percentile("energy", 0.5).alias("body"), *[F.avg(F.when(F.col("i") < 2, F.col(c))).alias(n) for c, n in (("energy", "he"), ("drums", "hd"))], T.last_mean("i", "drums", "e", 4).alias("td"))
     x, u = ends.join(means, "user_id"), F.col("user_id")
     intro = T.intro_type(F.col("a"), F.col("body"), F.col("he"), F.col("hd"), (u % 4).cast("double"), u % 3 == 0)
     return x.select("user_id", intro.alias("intro"), T.outro_type(F.col("z"), F.col("body"), F.col("td"), u % 7 == 0, u % 7 == 1, u % 3 == 0).alias("outro"))

@@ -621,3 +621,19 @@ def test_wide_unions_keep_their_rows(spark):
     assert q.count() == e.count() + 2 * cur.count()
     back = L.restored(L.shuffled(e.withColumn("was", F.col("position")), "l_orderkey", 3, F.lit(False)), "l_orderkey", "was")
     assert back.filter("position <> was").count() == 0
+
+
+def test_ranked_plans_are_compiled_and_joined_narrow(spark):
+    """No method that Java would interpret, no comparator in the ranking, and only what tracks are derived from in the joins."""
+    from tonearm.plans import playing
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    plan = playing.PLANS.queries["room_ordered_plans"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    assert "array_sort" not in plan
+    assert all("#" in line and line.count("#") < 40 for line in plan.splitlines() if "Join Inner" in line)
+    pairs = pairing.transitions(spark, SF, True)
+    joined = pairs._jdf.queryExecution().optimizedPlan()
+    while "Join" not in joined.nodeName():
+        joined = joined.children().apply(0)
+    assert joined.output().size() <= 10

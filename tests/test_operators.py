@@ -637,3 +637,16 @@ def test_ranked_plans_are_compiled_and_joined_narrow(spark):
     while "Join" not in joined.nodeName():
         joined = joined.children().apply(0)
     assert joined.output().size() <= 10
+
+
+def test_nearest_vectors_across_slices(spark, monkeypatch):
+    """The best few are carried from slice to slice, and a task gives no more than them for each query."""
+    monkeypatch.setattr(P, "VECTOR_SLICE", 3)
+    r = np.random.default_rng(5)
+    v = r.integers(-2, 3, size=(40, 3)).astype(float) + 0.5  # many ties
+    df = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(v)], "id long, v array<double>")
+    got = {(x.a, x.place): x.b for x in P.nearest_vectors(df.filter("id % 10 = 0"), df, "id", "v", 4).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for a in range(0, 40, 10):
+        near = sorted((-round(float(unit[a] @ unit[b]), 9), b) for b in range(40) if b != a)[:4]
+        assert [got[a, k] for k in range(1, 5)] == [b for _, b in near]

@@ -650,3 +650,20 @@ def test_nearest_vectors_across_slices(spark, monkeypatch):
     for a in range(0, 40, 10):
         near = sorted((-round(float(unit[a] @ unit[b]), 9), b) for b in range(40) if b != a)[:4]
         assert [got[a, k] for k in range(1, 5)] == [b for _, b in near]
+
+
+def test_best_pairs_of_copies(spark):
+    """Many copies of each track: those alike are paired by id as far as the k best need them, and pairs of weak keys never meet."""
+    t = pairing.tracks(spark, SF).filter("track_id < 60")
+    copies = P.fenced(P.fenced(t).withColumn("track_id", F.explode(F.array(*[F.col("track_id") + 100_000 * n for n in range(5)]))))
+    every = copies.select(F.struct("*").alias("a")).join(copies.select(F.struct("*").alias("b")), F.col("a.track_id") != F.col("b.track_id"))
+    s = P.sub_scores(P.features(every, pairing.PREFS), pairing.PREFS)
+    want = s.select("a.track_id", "b.track_id", F.round(P.pair_cost(s, pairing.PREFS), 9).alias("cost")).toDF("a", "b", "cost").orderBy("cost", "a", "b").limit(60).collect()
+    assert P.best_pairs(copies, pairing.PREFS, 60).collect() == want
+    most = want[9].cost
+    met = P.bounded_pairs(copies, pairing.PREFS, most)
+    rows = met.select("a.key_strength", "b.key_strength").toDF("x", "y").collect()
+    assert rows and all(min(r.x, r.y) >= 1 - (most + 1e-6) / 0.08 for r in rows)
+    assert met.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    near = P.near_keys(pairing.PREFS, 0.02)
+    assert all(k in near[k] for k in range(24)) and max(map(len, near)) < 8

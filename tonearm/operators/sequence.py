@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.music import CAMELOT_MAJOR, CAMELOT_MINOR, KEY_BY_DISTANCE, arc_target
-from tonearm.operators.pairs import INTROS, OUTROS, PRIORS, Prefs
+from tonearm.operators.pairs import COST_COLUMNS, INTROS, OUTROS, PRIORS, Prefs
 from tonearm.functions.frames import together
 
 #: Items of a set that is ordered as a whole, penalties and weights of the objective, what a known best plan counts.
@@ -28,8 +28,6 @@ MOST, ARTIST_PENALTY, ARC_WEIGHT, PLANNER_BLEND, UNKNOWN_COST, ENOUGH = 500, 0.3
 NOISE_SCALE, AGE_WEIGHT, ARC_BAND, OUT_OF_BAND, PLANNER_MOST = 0.6, 0.15, 0.2, 1.0, 24
 #: Moves that a search may try.
 BUDGET = 40_000_000
-#: A track's columns that its costs depend on.
-COST_COLUMNS = ("bpm", "tonic", "minor", "lufs", "tail_energy", "head_energy", "tail_vocal", "head_vocal", "grid_confidence", "key_strength", "outro", "intro", "outro_beats", "intro_beats")
 
 
 def objective(cost: Column, same_artist: Column, arc: str, quantile: Column, place: Column, n: Column) -> Column:

@@ -667,3 +667,12 @@ def test_best_pairs_of_copies(spark):
     assert met.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     near = P.near_keys(pairing.PREFS, 0.02)
     assert all(k in near[k] for k in range(24)) and max(map(len, near)) < 8
+
+
+def test_candidate_pairs_are_dealt_out(spark):
+    """Keys that must be equal are keys of the join, and a small table's pairs are made by more than one task."""
+    t = pairing.tracks(spark, SF).select("track_id", "bpm", "tonic", "minor")
+    want = t.alias("x").join(t.alias("y"), (F.col("x.track_id") != F.col("y.track_id")) & (F.abs(F.col("x.bpm") - F.col("y.bpm")) <= 3.0) & (F.col("x.tonic") == F.col("y.tonic")) & (F.col("x.minor") == F.col("y.minor"))).count()
+    made = P.candidate_pairs(t, "track_id", "bpm", 3.0, same=("tonic", "minor"))
+    assert made.select("a.track_id", "b.track_id").toDF("a", "b").distinct().count() == want
+    assert made.select("a.track_id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -676,3 +676,23 @@ def test_candidate_pairs_are_dealt_out(spark):
     made = P.candidate_pairs(t, "track_id", "bpm", 3.0, same=("tonic", "minor"))
     assert made.select("a.track_id", "b.track_id").toDF("a", "b").distinct().count() == want
     assert made.select("a.track_id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_alignment_distance_of_short_names(spark):
+    """Against a plain table, with common ends cut off and swaps at their edges; the registered query is dealt to all cores."""
+
+    def plain(a, b):
+        d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(8)))
+    rows = [(word(), word()) for _ in range(500)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.alignment_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == plain(r.a, r.b) for r in got)
+    assert browse.suggestions(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

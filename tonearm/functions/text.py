@@ -103,8 +103,29 @@ def stable_id(name: Column) -> Column:
 
 
 def alignment_distance(a: Column, b: Column) -> Column:
-    """Edits between two short names, a swap of neighbours counting one: rows of the table as arrays, in one expression."""
-    x, y = (F.filter(F.split(c, ""), lambda z: z != "") for c in (a, b))
+    """Edits between two short names, a swap of neighbours counting one: rows of the table as arrays, in one expression.
+
+    Common ends cost nothing and are cut off first. Each step is a transform() of an array of one, so that its lists are
+    made once and not for every cell.
+    """
+    chars = lambda c: F.filter(F.split(c, ""), lambda z: z != "")
+
+    def common(x: Column, y: Column) -> Column:
+        differs = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), F.lit(False))
+        return F.coalesce(F.when(differs > 0, differs - 1).otherwise(F.size(x)), F.lit(0)).cast("int")
+
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    without = lambda c, n, start: F.slice(c, start, F.greatest(F.size(c) - n, F.lit(0)))
+    both = F.array(pair(chars(a), chars(b)))
+    both = F.transform(both, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), common(F.reverse(s["x"]), F.reverse(s["y"])).alias("n")))
+    both = F.transform(both, lambda s: pair(without(s["x"], s["n"], F.lit(1)), without(s["y"], s["n"], F.lit(1))))
+    both = F.transform(both, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), common(s["x"], s["y"]).alias("n")))
+    both = F.transform(both, lambda s: pair(without(s["x"], s["n"], s["n"] + 1), without(s["y"], s["n"], s["n"] + 1)))
+    return F.get(F.transform(both, lambda s: _edits(s["x"], s["y"])), 0)
+
+
+def _edits(x: Column, y: Column) -> Column:
+    """Edits between two lists of characters."""
     first = F.sequence(F.lit(0), F.size(y))
 
     def row(acc: Column, i: Column) -> Column:

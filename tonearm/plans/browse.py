@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions import music as M
+from tonearm.functions.frames import spread
 from tonearm.functions import text as X
 from tonearm.operators import library as L
 from tonearm.operators import pairs as P
@@ -282,7 +283,8 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """How far a misspelt name is, a swap counting one edit, and how far it may be."""
     name = F.col("p_name")
     wrong = F.concat(F.reverse(F.substring(name, 1, 2)), F.substring(name, F.lit(4), F.length(name)))
-    return table(spark, sf, "part").select("p_partkey", X.alignment_distance(name, wrong).cast("long").alias("distance"), X.suggestion_limit(name).alias("most"))
+    parts = spread(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")  # a short file, and much work for each name
+    return parts.select("p_partkey", X.alignment_distance(name, wrong).cast("long").alias("distance"), X.suggestion_limit(name).alias("most"))
 
 
 @PLANS.query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 16 WHEN p_partkey % 3 = 1 THEN greatest(1, least(64, p_size + 1)) ELSE 16 END::BIGINT AS bars, p_partkey % 2 = 0 AS lock, CASE WHEN p_partkey % 4 < 2 THEN ['soft', 'hard'][p_partkey % 4 + 1] ELSE 'soft' END AS mode FROM part""")

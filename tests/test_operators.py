@@ -680,6 +680,8 @@ def test_candidate_pairs_are_dealt_out(spark):
 
 def test_alignment_distance_of_short_names(spark):
     """Against a plain table, with common ends cut off and swaps at their edges; the registered query is dealt to all cores."""
+    from tonearm.functions import text as X
+    from tonearm.plans import browse
 
     def plain(a, b):
         d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
@@ -696,3 +698,20 @@ def test_alignment_distance_of_short_names(spark):
     got = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.alignment_distance(F.col("a"), F.col("b")).alias("d")).collect()
     assert all(r.d == plain(r.a, r.b) for r in got)
     assert browse.suggestions(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_order_gains_in_one_shuffle(spark):
+    """Each order's mean against random_orders() joined back; playlists are shuffled once."""
+    from tonearm.plans import playing
+    from tonearm.plans.library import entries
+
+    items = entries(spark, SF).select("l_orderkey", F.col("position").alias("place"), ((F.col("l_partkey") * 17) % 100 / 100).alias("x"))
+    cost = F.abs(F.col("b.x") - F.col("a.x"))
+    own = Q.report(items, ["l_orderkey"], ["place"], cost, ["x"]).select("l_orderkey", F.col("mean_cost").alias("m"))
+    drawn = Q.random_orders(items, "l_orderkey", "place", 5).join(items, ["l_orderkey", "place"])
+    random_ = Q.report(drawn, ["l_orderkey", "seed"], ["position"], cost, ["x"]).groupBy("l_orderkey").agg(F.collect_list("mean_cost").alias("r"))
+    want = {r.l_orderkey: (round(r.m, 6), None if r.g is None else round(r.g, 6)) for r in own.join(random_, "l_orderkey").select("l_orderkey", "m", Q.gain_over(F.col("m"), F.col("r")).alias("g")).collect()}
+    made = playing.order_gains(spark, SF)
+    got = {r.l_orderkey: (r.mean_cost, r.gain) for r in made.collect()}
+    assert got.keys() == want.keys() and all(np.allclose([x or 0.0 for x in got[k]], [x or 0.0 for x in want[k]], atol=2e-6) for k in want)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1

@@ -387,10 +387,27 @@ def report(order: DataFrame, group: list[str], position: list[str], cost: Column
 def random_orders(items: DataFrame, group: str, item: str, seeds: int) -> DataFrame:
     """Seeded random orders of each set, to compare an order with: (group, seed, item, position)."""
     each = items.select(group, item, F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
-    w = Window.partitionBy(group, "seed").orderBy(F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col(item).cast("string"))), item)
+    w = Window.partitionBy(group, "seed").orderBy(_drawn("seed", item), item)
     return each.withColumn("position", F.row_number().over(w) - 1)
 
 
+def _drawn(seed: str, item: str) -> Column:
+    return F.md5(F.concat_ws(":", F.col(seed).cast("string"), F.col(item).cast("string")))
+
+
+def order_gains(items: DataFrame, group: str, place: str, cost: Column, columns: list[str], seeds: int) -> DataFrame:
+    """(group, mean_cost, gain) of each set's own order over its random_orders.
+
+    The own order goes along as seed 0 and all columns are carried, so sets that are partitioned by group already need no shuffle and no join.
+    """
+    each = items.select(group, place, *columns, F.explode(F.sequence(F.lit(0), F.lit(seeds))).alias("__seed"))
+    each = each.withColumn("__key", F.when(F.col("__seed") > 0, _drawn("__seed", place)).otherwise(""))
+    means = report(each, [group, "__seed"], ["__key", place], cost, columns)
+    of = lambda own: F.when((F.col("__seed") == 0) == F.lit(own), F.col("mean_cost"))
+    both = means.groupBy(group).agg(F.max(of(True)).alias("__own"), F.collect_list(of(False)).alias("__random"))
+    return both.select(group, F.col("__own").alias("mean_cost"), gain_over(F.col("__own"), F.col("__random")).alias("gain"))
+
+
 def gain_over(mean_cost: Column, random_costs: Column) -> Column:
     """The share by which an order's mean cost lies below the median of random orders' (an array)."""
     sorted_ = F.sort_array(random_costs)

@@ -214,11 +214,8 @@ def order_gains(spark: SparkSession, sf: str) -> DataFrame:
 
     items = entries(spark, sf).select("l_orderkey", F.col("position").alias("place"), ((F.col("l_partkey") * 17) % 100 / 100).alias("x"))
     cost = F.abs(F.col("b.x") - F.col("a.x"))
-    own = Q.report(items, ["l_orderkey"], ["place"], cost, ["x"]).select("l_orderkey", F.col("mean_cost").alias("m"))
-    drawn = Q.random_orders(items, "l_orderkey", "place", 5).join(items, ["l_orderkey", "place"])
-    random = Q.report(drawn, ["l_orderkey", "seed"], ["position"], cost, ["x"]).groupBy("l_orderkey").agg(F.collect_list("mean_cost").alias("r"))
-    both = own.join(random, "l_orderkey")
-    return both.select("l_orderkey", F.round("m", 6).alias("mean_cost"), (F.round(Q.gain_over(F.col("m"), F.col("r")), 6) + 0.0).alias("gain"))
+    out = Q.order_gains(items, "l_orderkey", "place", cost, ["x"], 5)
+    return out.select("l_orderkey", F.round("mean_cost", 6).alias("mean_cost"), (F.round("gain", 6) + 0.0).alias("gain"))
 
 
 @PLANS.query("""WITH g AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, (embedding::DOUBLE[])[1:8] AS v, md5(label || ':' || vec_id) AS h FROM embeddings WHERE vec_id % 9 <> 4),

@@ -715,3 +715,20 @@ def test_order_gains_in_one_shuffle(spark):
     got = {r.l_orderkey: (r.mean_cost, r.gain) for r in made.collect()}
     assert got.keys() == want.keys() and all(np.allclose([x or 0.0 for x in got[k]], [x or 0.0 for x in want[k]], atol=2e-6) for k in want)
     assert made._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_improved_in_blocks_of_starts():
+    """Many starts tried at once give the order of one after another, also where the budget ends in between."""
+    rng = np.random.default_rng(0)
+    for n, budget in ((3, 10**6), (9, 10**6), (40, 10**6), (70, 10**6), (70, 4000), (70, 700)):
+        obj = rng.random((n, n))
+        start = Q.greedy(obj, None)
+        assert Q.improved(list(start), obj, None, budget) == Q.improved(list(start), obj, np.zeros((n, n)), budget)
+
+
+def test_stitched_orders_blocks_once(spark):
+    t = spark.createDataFrame([(g, b, 0, 10 * b + i, i) for g in (1, 2) for b in (0, 1, 2) for i in range(3 + b)], "set long, block int, part int, item long, position long")
+    got = {(r.set, r.item): r.position for r in Q.stitched(t, "set", t).collect()}
+    assert got == {(r.set, r.item): r.position for r in Q.stitched(t, "set").collect()} and sorted(v for (g, _), v in got.items() if g == 1) == list(range(12))
+    made = pairing.ordered_sets(spark, SF)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.music import CAMELOT_MAJOR, CAMELOT_MINOR, KEY_BY_DISTANCE, arc_target
 from tonearm.operators.pairs import COST_COLUMNS, INTROS, OUTROS, PRIORS, Prefs
-from tonearm.functions.frames import together
+from tonearm.functions.frames import spread, together
 
 #: Items of a set that is ordered as a whole, penalties and weights of the objective, what a known best plan counts.
 MOST, ARTIST_PENALTY, ARC_WEIGHT, PLANNER_BLEND, UNKNOWN_COST, ENOUGH = 500, 0.3, 0.5, 0.5, 0.5, 1e-9
@@ -266,7 +266,7 @@ def improved(order: list[int], obj: np.ndarray, arc: np.ndarray | None = None, b
     o, n, work = np.array(order), len(order), 0
     places = np.arange(n)
 
-    def reversals() -> bool:
+    def bent_reversals() -> bool:
         nonlocal o, work
         any_ = False
         for i in range(1, n - 1):
@@ -278,8 +278,7 @@ def improved(order: list[int], obj: np.ndarray, arc: np.ndarray | None = None, b
                 after = o[np.minimum(ends + 1, n - 1)]
                 tail = np.where(ends < n - 1, obj[o[i], after] - obj[o[ends], after], 0.0)
                 delta = backward[ends - i] - forward[ends - i] + obj[o[i - 1], o[ends]] - obj[o[i - 1], o[i]] + tail
-                if arc is not None:
-                    delta += np.array([arc[o[i : e + 1][::-1], places[i : e + 1]].sum() - arc[o[i : e + 1], places[i : e + 1]].sum() for e in ends])
+                delta += np.array([arc[o[i : e + 1][::-1], places[i : e + 1]].sum() - arc[o[i : e + 1], places[i : e + 1]].sum() for e in ends])
                 good = np.flatnonzero(delta < -ENOUGH)
                 if not len(good):
                     work += len(ends)
@@ -290,7 +289,7 @@ def improved(order: list[int], obj: np.ndarray, arc: np.ndarray | None = None, b
                 any_, j = True, e + 1
         return any_
 
-    def moves() -> bool:
+    def bent_moves() -> bool:
         nonlocal o, work
         any_ = False
         for size in (1, 2, 3):
@@ -304,9 +303,8 @@ def improved(order: list[int], obj: np.ndarray, arc: np.ndarray | None = None, b
                 right = rest[np.minimum(at, len(rest) - 1)]
                 inner = np.where(at < len(rest), obj[part[-1], right] - obj[left, right], 0.0)
                 delta = removal + obj[left, part[0]] + inner
-                if arc is not None:
-                    base = arc[o, places].sum()
-                    delta += np.array([arc[np.concatenate([rest[:p], part, rest[p:]]), places].sum() - base for p in at])
+                base = arc[o, places].sum()
+                delta += np.array([arc[np.concatenate([rest[:p], part, rest[p:]]), places].sum() - base for p in at])
                 delta[at == i] = 0.0  # where it stands now
                 good = np.flatnonzero(delta < -ENOUGH)
                 work += int(good[0]) + 1 + n if len(good) else len(at)
@@ -318,9 +316,75 @@ def improved(order: list[int], obj: np.ndarray, arc: np.ndarray | None = None, b
                     i += 1
         return any_
 
+    flat = np.ascontiguousarray(obj).ravel()
+
+    def reversals() -> bool:
+        """All ends of several starts at once, as many again while none helps; sums run on from each start."""
+        nonlocal o, work
+        any_, i, j, many = False, 1, 2, 1  # j: the first end to try from i
+        ends = np.arange(n)[None, :]
+        while i < n - 1 and work < budget:
+            starts = np.arange(i, min(i + many, n - 1))
+            lows = starts + 1
+            lows[0] = j
+            spent = np.cumsum(n - lows)
+            rows = int(np.count_nonzero(work + spent - (n - lows) < budget))
+            starts, lows, spent = starts[:rows, None], lows[:rows], spent[:rows]
+            ahead, back = flat[o[:-1] * n + o[1:]], flat[o[1:] * n + o[:-1]]
+            run = lambda steps: np.concatenate([np.zeros((rows, 1)), np.cumsum(np.where(ends[:, :-1] >= starts, steps[None, :], 0.0), axis=1)], axis=1)  # noqa: B023, E731
+            before, first, after = o[starts - 1], o[starts], o[np.minimum(ends + 1, n - 1)]
+            tail = np.where(ends < n - 1, flat[first * n + after] - flat[o[ends] * n + after], 0.0)
+            delta = run(back) - run(ahead) + flat[before * n + o[ends]] - flat[before * n + first] + tail
+            good = (delta < -ENOUGH) & (ends >= lows[:, None])
+            helps = np.flatnonzero(good.any(axis=1))
+            if not len(helps):
+                work += int(spent[-1])
+                i, many = i + rows, min(32, 2 * many)
+                j = i + 1
+                continue
+            row = int(helps[0])
+            e = int(np.argmax(good[row]))
+            i, many, any_ = i + row, 1, True
+            work += (int(spent[row - 1]) if row else 0) + e - int(lows[row]) + 1 + n
+            o[i : e + 1] = o[i : e + 1][::-1].copy()
+            j = e + 1
+            if j >= n:
+                i, j = i + 1, i + 2
+        return any_
+
+    def moves() -> bool:
+        """All places of several parts at once, as many again while none helps; the first part and place that help count."""
+        nonlocal o, work
+        any_ = False
+        for size in (1, 2, 3):
+            i, many, m = 1, 1, n - size
+            at = np.arange(1, m + 1)[None, :]  # the part stands before the at-th of the rest
+            while i + size <= n and work < budget:
+                starts = np.arange(i, min(i + many, m + 1, i + -(-(budget - work) // m)))[:, None]
+                nxt = np.minimum(at, m - 1)
+                left, right = o[at - 1 + size * (at - 1 >= starts)], o[nxt + size * (nxt >= starts)]
+                first, last, before, after = o[starts], o[starts + size - 1], o[starts - 1], o[np.minimum(starts + size, n - 1)]
+                removal = -flat[before * n + first] + np.where(starts + size < n, flat[before * n + after] - flat[last * n + after], 0.0)
+                inner = np.where(at < m, flat[last * n + right] - flat[left * n + right], 0.0)
+                delta = removal + flat[left * n + first] + inner
+                delta[at == starts] = 0.0  # where it stands now
+                good = delta < -ENOUGH
+                helps = np.flatnonzero(good.any(axis=1))
+                if not len(helps):
+                    work += m * len(starts)
+                    i, many = i + len(starts), min(32, 2 * many)
+                    continue
+                row = int(helps[0])
+                place = int(np.argmax(good[row]))
+                work += m * row + place + 1 + n
+                i, many, any_ = i + row, 1, True
+                part, rest = o[i : i + size], np.concatenate([o[:i], o[i + size :]])
+                o = np.concatenate([rest[: place + 1], part, rest[place + 1 :]])
+        return any_
+
     if n >= 3:
         while work < budget:
-            if not (reversals() | moves()):
+            if not ((reversals() | moves()) if arc is None else (bent_reversals() | bent_moves())):
                 break
     return o.tolist()
 
@@ -366,12 +430,12 @@ def ordered(items: DataFrame, group: str, item: str, prefs: Prefs, artist: str =
         cost = [0.0, *[obj[x, y] for x, y in zip(order, order[1:], strict=False)]]
         return pd.DataFrame({group: rows[group], "block": rows["block"], "part": rows["part"], item: rows[item].to_numpy()[order], "position": np.arange(n), "cost": cost})
 
-    return rows.groupBy(group, "block", "part").applyInPandas(solve, f"{group} {kinds[group]}, block int, part int, {item} {kinds[item]}, position long, cost double")
+    return spread(rows, group, "block", "part").groupBy(group, "block", "part").applyInPandas(solve, f"{group} {kinds[group]}, block int, part int, {item} {kinds[item]}, position long, cost double")
 
 
-def stitched(parts: DataFrame, group: str) -> DataFrame:
-    """Blocks one after another: positions shifted by the sizes of the blocks before."""
-    sizes = parts.groupBy(group, "block", "part").agg(F.count("*").alias("n"))
+def stitched(parts: DataFrame, group: str, items: DataFrame | None = None) -> DataFrame:
+    """Blocks one after another: positions shifted by the sizes of the blocks before, counted in `items`, what was ordered, where given: else all is ordered twice."""
+    sizes = (parts if items is None else items).groupBy(group, "block", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = sizes.withColumn("before", before).drop("n")
     return parts.join(shift, [group, "block", "part"]).withColumn("position", F.col("position") + F.col("before")).drop("before", "block", "part")

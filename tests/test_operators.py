@@ -732,3 +732,14 @@ def test_stitched_orders_blocks_once(spark):
     assert got == {(r.set, r.item): r.position for r in Q.stitched(t, "set").collect()} and sorted(v for (g, _), v in got.items() if g == 1) == list(range(12))
     made = pairing.ordered_sets(spark, SF)
     assert made._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+
+
+def test_online_sets_are_tasks_of_their_own(spark):
+    """Small sets are not put into one task; the table of key scores is what the columns give."""
+    assert pairing.online_sets(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    keys = spark.range(24).select((F.col("id") / 2).cast("int").alias("t"), (F.col("id") % 2 == 1).alias("m"))
+    pairs = keys.alias("a").crossJoin(keys.alias("b"))
+    direct = M.camelot_distance(M.camelot(F.col("a.t"), F.col("a.m")), F.col("a.m"), M.camelot(F.col("b.t"), F.col("b.m")), F.col("b.m"))
+    best = F.when(direct <= 1, direct).otherwise(M.best_shift(F.col("a.t"), F.col("a.m"), F.col("b.t"), F.col("b.m"), 2)["distance"])
+    for r in pairs.select(F.col("a.t").alias("ta"), F.col("a.m").alias("ma"), F.col("b.t").alias("tb"), F.col("b.m").alias("mb"), best.alias("d")).collect():
+        assert Q._key_scores(2)[2 * r.ta + r.ma, 2 * r.tb + r.mb] == M.KEY_BY_DISTANCE[min(4, r.d)]

@@ -11,6 +11,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -72,10 +73,29 @@ def features_of(rows: pd.DataFrame) -> Features:
     return {n: rows[n].to_numpy() for n in COST_COLUMNS}
 
 
+#: Tables that all pairs share: the structural prior, places of its names.
+BEAT_PRIORS, OUTRO_PLACES, INTRO_PLACES = np.array(PRIORS["beat"]), {k: i for i, k in enumerate(OUTROS)}, {k: i for i, k in enumerate(INTROS)}
+
+
+@cache
+def _key_scores(limit: int) -> np.ndarray:
+    """The key score of every two of the 24 keys (twice the tonic, one more in minor), b shifted by up to `limit` where that helps."""
+    number = lambda k: (CAMELOT_MINOR if k % 2 else CAMELOT_MAJOR)[k // 2]
+
+    def distance(a: int, b: int) -> int:
+        d = (number(a) - number(b)) % 12
+        return min(d, 12 - d) + (a % 2 != b % 2)
+
+    best = lambda a, b: d if (d := distance(a, b)) <= 1 else min(distance(a, (b + 2 * s) % 24) for s in range(-limit, limit + 1))
+    return np.array([[KEY_BY_DISTANCE[min(4, best(a, b))] for b in range(24)] for a in range(24)])
+
+
 def pair_costs(before: Features, after: Features, prefs: Prefs) -> np.ndarray:
     """J1 for all pairs of two lists of items: the same terms as the column pairs.pair_cost, as arrays; pairs with an unknown tempo or value cost UNKNOWN_COST."""
     a, b = (lambda n: before[n][:, None]), (lambda n: after[n][None, :])
     f = lambda v: np.asarray(v, float)
+    known = lambda v: np.where(np.isnan(v), 0.0, v)
+    share_of = lambda v: np.minimum(np.maximum(v, 0), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         r = f(b("bpm")) / f(a("bpm"))
         tries = np.stack([np.abs(np.log(r)), np.abs(np.log(r / 2)), np.abs(np.log(r * 2))])
@@ -84,27 +104,19 @@ def pair_costs(before: Features, after: Features, prefs: Prefs) -> np.ndarray:
         octave = np.where(half | double, 0.85, 1.0)
         sigma = prefs.max_stretch / 1.5
         tempo = (np.exp(-((stretch / sigma) ** 2)) if sigma > 0 else (stretch <= 0).astype(float)) * octave
-        number = lambda tonic, minor: np.where(minor, np.array(CAMELOT_MINOR)[tonic % 12], np.array(CAMELOT_MAJOR)[tonic % 12])
-        whole = lambda x: np.nan_to_num(f(x)).astype(int)
-        minor_a, minor_b, tonic_b = a("minor").astype(bool), b("minor").astype(bool), whole(b("tonic"))
-        here, shifts = number(whole(a("tonic")), minor_a), [0, *[s for m in range(1, max(0, min(6, prefs.max_shift)) + 1) for s in (m, -m)]]
-        apart = []
-        for s in shifts:
-            d = (here - number(tonic_b + s, minor_b)) % 12
-            apart.append(np.minimum(d, 12 - d) + (minor_a != minor_b))
-        distance = np.where(apart[0] <= 1, apart[0], np.min(apart, axis=0))
-        weak = 1 - np.minimum(np.clip(f(a("key_strength")), 0, 1), np.clip(f(b("key_strength")), 0, 1))
-        base = np.array(KEY_BY_DISTANCE)[np.clip(distance, 0, 4)]
+        code = lambda side: np.nan_to_num(f(side["tonic"])).astype(int) % 12 * 2 + side["minor"].astype(bool)
+        base = _key_scores(max(0, min(6, prefs.max_shift)))[code(before)[:, None], code(after)[None, :]]
+        weak = 1 - np.minimum(share_of(f(a("key_strength"))), share_of(f(b("key_strength"))))
         key = base + (0.6 - base) * weak
         audible = lambda v: np.isfinite(v) & (v > -100)
         la, lb = f(a("lufs")), f(b("lufs"))
         louder = np.where(audible(la) & audible(lb), lb - la, 0.0)
-        rise = np.nan_to_num(np.clip(f(b("head_energy")) - f(a("tail_energy")), -1, 1))
+        rise = known(np.minimum(np.maximum(f(b("head_energy")) - f(a("tail_energy")), -1), 1))
         energy = np.exp(-((louder / 6) ** 2)) * (1 - 0.5 * np.abs(rise))
-        vocal = 1 - np.nan_to_num(np.clip(f(a("tail_vocal")) * f(b("head_vocal")), 0, 1))
-        grid = np.minimum(np.clip(f(a("grid_confidence")), 0, 1), np.clip(f(b("grid_confidence")), 0, 1))
-        place = lambda names, kinds: np.array([names.index(k) if k in names else 5 for k in kinds], int)
-        struct = np.array(PRIORS["beat"])[place(OUTROS, before["outro"])[:, None], place(INTROS, after["intro"])[None, :]]
+        vocal = 1 - known(share_of(f(a("tail_vocal")) * f(b("head_vocal"))))
+        grid = np.minimum(share_of(f(a("grid_confidence"))), share_of(f(b("grid_confidence"))))
+        place = lambda places, kinds: np.array([places.get(k, 5) for k in kinds], int)
+        struct = BEAT_PRIORS[place(OUTRO_PLACES, before["outro"])[:, None], place(INTRO_PLACES, after["intro"])[None, :]]
         share = lambda v: np.minimum(1.0, np.maximum(f(v), 0) / prefs.needed_beats("beat"))
         room = share(a("outro_beats")) * share(b("intro_beats"))
         blocked = (grid < 0.5) | (stretch > prefs.max_stretch) | (room < 0.5)
@@ -127,7 +139,11 @@ def target_of(arc: str, place: np.ndarray | int, n: int) -> np.ndarray:
     """H20 as numbers: the energy quantile that an arc wants at a place of n."""
     k = np.asarray(place, float)
     p = k / max(1, n - 1)
-    return {"flat": 0.5 + 0 * p, "rising": p, "wave": 0.5 - 0.5 * np.cos(2 * np.pi * k / 10), "peak": np.where(p <= 0.7, 0.15 + 0.85 * p / 0.7, 1 - 0.6 * (p - 0.7) / 0.3)}[arc]
+    if arc == "wave":
+        return 0.5 - 0.5 * np.cos(2 * np.pi * k / 10)
+    if arc == "peak":
+        return np.where(p <= 0.7, 0.15 + 0.85 * p / 0.7, 1 - 0.6 * (p - 0.7) / 0.3)
+    return {"flat": 0.5 + 0 * p, "rising": p}[arc]
 
 
 def mid_quantile(known: list[float], value: float) -> float:
@@ -234,7 +250,7 @@ def online_order(items: DataFrame, group: str, item: str, prefs: Prefs, options:
     kinds = dict(items.dtypes)
     sizes = items.groupBy(group).agg(F.count("*").alias("__n")).withColumnRenamed(group, "__g")
     named = items.select(F.col(group).alias("set"), F.col(item).alias("item"), F.lower(F.trim(F.coalesce(artist, F.lit("")))).alias("artist"), F.col(energy).cast("double").alias("energy"), F.xxhash64(F.lit(options.seed), item).alias("number"), *COST_COLUMNS)
-    dealt = named.join(sizes, F.col("set").eqNullSafe(F.col("__g"))).drop("__g").repartition("set").sortWithinPartitions("set", "number", "item")
+    dealt = spread(named.join(sizes, F.col("set").eqNullSafe(F.col("__g"))).drop("__g"), "set").sortWithinPartitions("set", "number", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for i in range(0, batch.num_rows, 256) for row in batch.slice(i, 256).to_pylist())

@@ -743,3 +743,27 @@ def test_online_sets_are_tasks_of_their_own(spark):
     best = F.when(direct <= 1, direct).otherwise(M.best_shift(F.col("a.t"), F.col("a.m"), F.col("b.t"), F.col("b.m"), 2)["distance"])
     for r in pairs.select(F.col("a.t").alias("ta"), F.col("a.m").alias("ma"), F.col("b.t").alias("tb"), F.col("b.m").alias("mb"), best.alias("d")).collect():
         assert Q._key_scores(2)[2 * r.ta + r.ma, 2 * r.tb + r.mb] == M.KEY_BY_DISTANCE[min(4, r.d)]
+
+
+def test_transitions_shuffle_little_and_keep_odd_parts(spark, tmp_path):
+    """Entries are shuffled twice, by track and by playlist, with no columns to break ties; null, missing and repeated parts count as in SQL."""
+    import duckdb
+
+    spark.createDataFrame([(1, 10, "x"), (2, None, "x"), (3, 30, "y"), (3, 31, "z"), (None, 5, "n")], "p_partkey long, p_size int, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    lines = [(1, 1, 1), (1, 3, 2), (1, 3, 3), (1, 9, 4), (1, 1, 5), (2, 1, 1), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, None, 2), (3, 3, 3), (None, 1, 1), (None, 3, 2)]
+    spark.createDataFrame([(o, p, n, at, 1.0, 2.0, None) for n, (o, p, at) in enumerate(lines)], kinds).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"WITH {pairing.PAIRS} SELECT l_orderkey, position, a_track_id, b_track_id, a_bpm, b_bpm FROM p").fetchall()
+    pairs = pairing.transitions(spark, str(tmp_path))
+    assert rows(pairs.select("l_orderkey", "position", "a.track_id", "b.track_id", "a.bpm", "b.bpm")) == sorted(want, key=repr)
+    assert len(want) == 11
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pairing.PLANS.queries["consecutive_pair_cost"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert "l_suppkey" not in plan and "p_brand" not in plan

@@ -767,3 +767,13 @@ def test_transitions_shuffle_little_and_keep_odd_parts(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 3
     assert "l_suppkey" not in plan and "p_brand" not in plan
+
+
+def test_fade_outs_look_at_their_samples_twice(spark):
+    """Each branch of a plan holds memory of its own in one task: one for the trims, one for the curve."""
+    from tonearm.plans import audio
+
+    plan = audio.PLANS.queries["fade_outs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2
+    s = spark.createDataFrame([(k, i, 0.5 if 4 <= i < 12 or 14 <= i < 16 else 0.0) for k in (1, None) for i in range(20)], "k int, i long, x double")
+    assert rows(A.trimmed(s, "k", "i", "x", 2, 2)) == sorted([(1, 4, 12, False), (None, 0, 0, True)], key=repr)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions.music import db
-from tonearm.operators.series import along, away_from, islands, local_rms, spaced_first
+from tonearm.operators.series import along, away_from, local_rms, spaced_first
 
 #: Levels in dB at which sound begins, and begins again after it first stopped; the floor of level curves.
 SOUND, AGAIN, FLOOR = -60.0, -54.0, -80.0
@@ -95,10 +95,12 @@ def trimmed(df: DataFrame, key: str, i: str, x: str, width: int, least: int = 5,
     crossing = F.last(F.when(F.col("l") >= again, True).when(F.col("l") < sound, False), ignorenulls=True).over(w)
     early = F.col("fall").isNull() | (F.col("block") < F.col("fall"))
     on = F.coalesce(F.when(early, F.col("block") >= F.col("first")).otherwise(crossing), F.lit(False))
-    runs = islands(step.withColumn("on", on), key, "block", F.col("on")).filter(F.col("length") >= least)
-    ends = runs.groupBy(key).agg(F.min("start").alias("a"), F.max("end").alias("b"))
-    sizes = blocks.groupBy(key).agg(F.sum("n").alias("n"))
-    out = sizes.join(ends, key, "left")
+    # One pass: rows that are no sound form runs of their own, so lengths need no second look at the blocks.
+    step = step.select(key, "block", "n", on.alias("on"))
+    placed = step.select("*", F.row_number().over(along(key, "block")).alias("place"), F.count_if("on").over(along(key, "block").rowsBetween(Window.unboundedPreceding, 0)).alias("sounds"))
+    runs = placed.groupBy(key, "on", F.when(F.col("on"), F.col("place") - F.col("sounds")).alias("run")).agg(F.min("block").alias("start"), F.max("block").alias("end"), F.count("*").alias("length"), F.sum("n").alias("n"))
+    counts = F.col("on") & (F.col("length") >= least) & F.col(key).isNotNull()
+    out = runs.groupBy(key).agg(F.sum("n").alias("n"), F.min(F.when(counts, F.col("start"))).alias("a"), F.max(F.when(counts, F.col("end"))).alias("b"))
     return out.select(key, F.coalesce(F.col("a") * width, F.lit(0)).alias("trim_start"), F.when(F.col("a").isNull(), 0).otherwise(F.least((F.col("b") + 1) * width, F.col("n"))).cast("long").alias("trim_end"), F.col("a").isNull().alias("silent"))
 
 
@@ -126,11 +128,13 @@ def fade_outs(df: DataFrame, trims: DataFrame, key: str, i: str, x: str, rate: i
     w = along(key, "__k").rowsBetween(0, wide - 1)
     curve = sums.select(key, "__from", "__k", F.sum("__s").over(w).alias("__s"), F.sum("__n").over(w).alias("__n"), F.count("*").over(w).alias("__c")).filter(F.col("__n") == window).filter(F.col("__c") == wide)
     curve = curve.select(key, "__from", "__k", F.greatest(level(F.col("__s") / window), F.lit(FLOOR)).alias("__l"))
-    fit = curve.groupBy(key).agg(F.count("*").alias("__points"), F.regr_slope("__l", F.col("__k") * (hop / rate)).alias("slope"), F.max("__l").alias("__top"), F.min("__l").alias("__low"), F.min_by("__k", F.struct((-F.col("__l")).alias("__l"), "__k")).alias("__peak"), F.first("__from").alias("__from"))
-    near = curve.join(fit.select(key, "__top", "__peak"), key).filter((F.col("__k") >= F.col("__peak")) & (F.col("__l") >= F.col("__top") - 3)).groupBy(key).agg(F.max("__k").alias("__last"))
+    whole = Window.partitionBy(key).orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a track's end only, `span` samples
+    curve = curve.select("*", F.max("__l").over(whole).alias("__top"), F.min_by("__k", F.struct((-F.col("__l")).alias("__l"), "__k")).over(whole).alias("__peak"))
+    near = (F.col("__k") >= F.col("__peak")) & (F.col("__l") >= F.col("__top") - 3)
+    fit = curve.groupBy(key).agg(F.count("*").alias("__points"), F.regr_slope("__l", F.col("__k") * (hop / rate)).alias("slope"), F.first("__top").alias("__top"), F.min("__l").alias("__low"), F.max(F.when(near, F.col("__k"))).alias("__last"), F.first("__from").alias("__from"))
     fading = F.coalesce((F.col("__points") >= 5) & (F.col("slope") < slope) & (F.col("__top") - F.col("__low") > drop), F.lit(False))
     enough = F.col("__points") >= 5
-    return fit.join(near, key).select(
+    return fit.filter(F.col(key).isNotNull()).select(
         key, F.when(enough, F.coalesce("slope", F.lit(0.0))).otherwise(0.0).alias("slope"), F.when(enough, F.col("__top") - F.col("__low")).otherwise(0.0).alias("range"), fading.alias("fade_out"),
         F.when(fading, F.col("__from") + F.col("__last") * hop + window // 2).otherwise(-1).cast("long").alias("fade_start"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonearm.operators import artifacts as A
@@ -18,9 +18,8 @@ Q = f"{S}, q AS (SELECT user_id, i, {QUIET} AS y FROM (SELECT *, count(*) OVER (
 
 
 def quiet(spark: SparkSession, sf: str) -> DataFrame:
-    s = series(spark, sf)
-    n = s.groupBy("user_id").agg(F.count("*").alias("n"))
-    return s.join(n, "user_id").select("user_id", "i", F.expr(QUIET).cast("double").alias("y"))
+    s = series(spark, sf).filter("user_id is not null").withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    return s.select("user_id", "i", F.expr(QUIET).cast("double").alias("y"))
 
 
 BLOCKS = "b AS (SELECT user_id, i // 2 AS block, avg(y * y) AS p, count(*) AS n FROM q GROUP BY 1, 2), l AS (SELECT user_id, block, n, CASE WHEN p > 0 THEN greatest(20 * log10(sqrt(p)), -120) ELSE -120 END AS l FROM b)"

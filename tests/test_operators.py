@@ -777,3 +777,14 @@ def test_fade_outs_look_at_their_samples_twice(spark):
     assert plan.count("parquet") == 2
     s = spark.createDataFrame([(k, i, 0.5 if 4 <= i < 12 or 14 <= i < 16 else 0.0) for k in (1, None) for i in range(20)], "k int, i long, x double")
     assert rows(A.trimmed(s, "k", "i", "x", 2, 2)) == sorted([(1, 4, 12, False), (None, 0, 0, True)], key=repr)
+
+
+def test_best_plan_is_the_first_of_all_plans(spark):
+    """The best plan alone needs no array of plans and no jitter of those that can't be the best; it is the first of the whole ranking."""
+    found = pairing.candidates(spark, SF).filter("l_orderkey < 200")
+    wanted = ("l_orderkey", "position", "place", "strategy", "fit", "score", "bonus", "jitter", "modifiers")
+    best = P.plans_of(found, pairing.PREFS, pairing.KEYS, "a_id", "b_id", 1)
+    every = P.plans_of(found, pairing.PREFS, pairing.KEYS, "a_id", "b_id")
+    assert rows(best.select(*wanted)) == rows(every.filter("place = 1").select(*wanted))
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(slice(__plans" in plan and "sort_array" not in plan

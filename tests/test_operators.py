@@ -788,3 +788,32 @@ def test_best_plan_is_the_first_of_all_plans(spark):
     assert rows(best.select(*wanted)) == rows(every.filter("place = 1").select(*wanted))
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode(slice(__plans" in plan and "sort_array" not in plan
+
+
+def test_built_programs_keep_plans_in_their_rows(spark, tmp_path):
+    """Plans are not dealt out, joined or sorted on their way into the queues; null, missing and repeated parts give what joins of all plans give."""
+    from tonearm.plans import playing
+
+    sizes = [(1, 10), (2, None), (3, 30), (3, 140), (4, 7), (5, 44), (5, 44), (6, 21), (None, 5)]  # 30 and 140 are of one tempo
+    spark.createDataFrame([(k, s, "b") for k, s in sizes], "p_partkey long, p_size int, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    rng = random.Random(4)
+    lines = [(o, rng.choice([1, 2, 3, 4, 5, 6, 9, None]), at) for o in [None, *range(30)] for at in range(rng.randrange(1, 9))]
+    spark.createDataFrame([(o, p, n, at // 2, 1.0, 2.0, None) for n, (o, p, at) in enumerate(lines)], kinds).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sf = str(tmp_path)
+    tracks = pairing.tracks(spark, sf).withColumn("body", playing.body("track_id", "CAST(NULL AS INT)")).withColumn("bars", F.when(F.col("bpm") > 0, F.floor(60.0 / F.col("bpm") * 4 * playing.RATE + 0.5)).otherwise(F.lit(playing.RATE)))
+    bodies = tracks.select("track_id", "body.start", "body.end", "bpm", "outro_beats", "intro_beats", F.least("bars", F.floor(F.col("body.end") / 2)).cast("long").alias("least_body"))
+    queue = playing.entries(spark, sf).select("l_orderkey", F.col("position").cast("long").alias("position"), "l_partkey").join(bodies, F.col("l_partkey") == F.col("track_id"))
+    queue = queue.withColumn("enabled", G.gated(F.expr(playing.CONTEXT), F.lit(None).cast("boolean")))
+    plans = P.plans_of(pairing.candidates(spark, sf), pairing.PREFS, pairing.KEYS, "a_id", "b_id")
+    side = lambda id, name: bodies.select(F.col("track_id").alias(id), F.struct("start", "end", "bpm", "outro_beats", "intro_beats").alias(name))
+    placed = G.plan_frames(plans.join(side("a_id", "a"), "a_id").join(side("b_id", "b"), "b_id"), pairing.PREFS, "a", "b", playing.RATE)
+    want = rows(G.built(queue, placed, "l_orderkey"))
+    assert rows(playing.built_programs(spark, sf)) == want
+    assert len({r[3] for r in want}) > 3
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = playing.built_programs(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("SortMergeJoin") == 1

@@ -678,6 +678,21 @@ def test_candidate_pairs_are_dealt_out(spark):
     assert made.select("a.track_id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_candidate_pairs_of_tracks_alike_are_one_row_of_the_join(spark, monkeypatch):
+    """Tracks alike meet as blocks of keys, so the join's rows are few; blocks, null and repeated keys lose and add no pair."""
+    monkeypatch.setattr(P, "ALIKE_BLOCK", 4)
+    rng = random.Random(6)
+    some = [(rng.choice([*range(60), None]), rng.choice([100.0, 100.5, 102.75, 104.0, None]), rng.choice([1, 2, None])) for _ in range(120)]
+    t = spark.createDataFrame(some, "track_id long, bpm double, tonic int")
+    want = [(a, b, abs(x - y)) for a, x, k in some for b, y, n in some if None not in (a, b, x, y, k, n) and a != b and k == n and abs(x - y) <= 2.25]
+    made = P.candidate_pairs(t, "track_id", "bpm", 2.25, F.col("a.track_id") != 7, ("tonic",), {"gap": F.abs(F.col("a.bpm") - F.col("b.bpm"))})
+    assert rows(made.select("a.track_id", "b.track_id", "gap")) == sorted((w for w in want if w[0] != 7), key=repr)
+    assert made.schema["a"].dataType.names == t.columns
+    plan = pairing.candidate_pairs(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join Inner") :]
+    assert "collect_list(track_id" in joined and "round(abs" in plan[plan.rindex("explode(__keys_a") : plan.index("Join Inner")]
+
+
 def test_alignment_distance_of_short_names(spark):
     """Against a plain table, with common ends cut off and swaps at their edges; the registered query is dealt to all cores."""
     from tonearm.functions import text as X

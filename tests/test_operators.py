@@ -832,3 +832,15 @@ def test_built_programs_keep_plans_in_their_rows(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 3 and plan.count("SortMergeJoin") == 1
+
+
+def test_sections_are_summed_along_their_beats(spark):
+    """Also where a task has more sections than an aggregate of arrays keeps before it sorts; nulls count for no mean."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        b = spark.range(300).select(F.col("id").alias("k"), F.posexplode(F.array(F.lit(1.0), F.lit(1e16), F.lit(-1e16), F.lit(None)))).select("k", F.col("pos").cast("long").alias("i"), F.col("col").alias("x"))
+        b = b.select("k", "i", F.col("x").alias("e"), (F.col("x") / 2).alias("d"), F.lit(None).cast("double").alias("v"))
+        found = ST.sections(b, b.filter("i = 0").select("k", F.col("i").alias("start")), "k", "i", "start", "e", "d", "v")
+        assert found.groupBy("energy", "drums", "vocals", "label", "end").count().collect() == [(0.0, 0.0, None, "VERSE", 4, 300)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -65,16 +65,20 @@ def rooms(beats: Column, last_downbeat: Column, first_downbeat: Column, mix_out:
 def sections(beats: DataFrame, bounds: DataFrame, key: str, beat: str, start: str, energy: str, drums: str, vocals: str) -> DataFrame:
     """(key, section, start, end, label, energy, drums, vocals) of the sections that begin at `bounds`.
 
-    Beats are dealt to sections by one sort of both (the last start carried along), means are partial sums, and labels
-    come from each section, its neighbours and its track's largest and upper-quartile energy.
+    Beats are dealt to sections by one sort of both (the last start carried along), means are summed along the section, so
+    they do not depend on how its beats are grouped, and labels come from each section, its neighbours and its track's
+    largest and upper-quartile energy.
     """
     marks = bounds.select(key, F.col(start).alias("b"), F.lit(0).alias("kind"), *[F.lit(None).cast("double").alias(v) for v in ("e", "d", "v")])
     rows = beats.select(key, F.col(beat).alias("b"), F.lit(1).alias("kind"), F.col(energy).cast("double").alias("e"), F.col(drums).cast("double").alias("d"), F.col(vocals).cast("double").alias("v"))
     w = Window.partitionBy(key).orderBy("b", "kind").rowsBetween(Window.unboundedPreceding, 0)
     dealt = together(marks, rows).withColumn("start", F.last(F.when(F.col("kind") == 0, F.col("b")), True).over(w)).filter("kind = 1 and start is not null")
-    held = dealt.groupBy(key, "start").agg(F.avg("e").alias("energy"), F.avg("d").alias("drums"), F.avg("v").alias("vocals"), (F.max("b") + 1).alias("end"), F.sort_array(F.collect_list(F.struct("b", "e"))).alias("es"))
+    held = dealt.groupBy(key, "start").agg((F.max("b") + 1).alias("end"), F.sort_array(F.collect_list(F.struct("b", "e", "d", "v"))).alias("beats"))
+    of = lambda c: F.transform("beats", lambda x: x[c])
+    held = held.select(key, "start", "end", of("e").alias("es"), *[F.filter(of(c), lambda x: x.isNotNull()).alias(c) for c in ("e", "d", "v")])
+    held = held.select(key, "start", "end", "es", *[slice_mean(F.col(c), F.lit(0), F.size(c)).alias(n) for c, n in (("e", "energy"), ("d", "drums"), ("v", "vocals"))])
     whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("start")
-    es = F.transform("es", lambda x: x["e"])
+    es = F.col("es")
     n = F.size("es")
     part = F.floor(n / 4).cast("int")
     rise = F.when(n >= 4, F.coalesce(slice_mean(es, n - part, n) - slice_mean(es, F.lit(0), part), F.lit(0.0)) >= BUILD_RISE).otherwise(False)
